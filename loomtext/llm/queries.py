@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, lm_score, packing, quality, secret_scan
+from . import decontam, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan
 from .common import table
 
 
@@ -41,7 +41,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_lm_score, op3_best_fit_packing, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup)
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op2_lm_score, op3_best_fit_packing, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -49,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontam.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op6_decontamination": decontam.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
