@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan
+from . import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit(documents))
@@ -45,7 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_lm_score, op3_best_fit_packing, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join)
+QUERIES = (op1_suffix_dedup, op2_lm_score, op3_best_fit_packing, op4_html_extraction, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
