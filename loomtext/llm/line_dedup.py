@@ -29,7 +29,8 @@ def _lines(documents: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-_KEY = (F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+def _key() -> list:
+    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
 
 
 def _halves() -> list:
@@ -48,14 +49,14 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     lines = _lines(documents).withColumn("n", F.length("line"))
     at = F.struct("doc_id", "dk", "ln")
     ends = [F.when(F.col("n") >= min_near, x).alias(name) for x, name in zip(_halves(), ("p0", "s0", "p1", "s1"), strict=True)]
-    firsts = saved(lines.select("doc_id", "dk", "ln", *_KEY, *ends).groupBy("k1", "k2").agg(F.min(at).alias("first"), *[F.min(c).alias(c) for c in ("p0", "s0", "p1", "s1")]))
+    firsts = saved(lines.select("doc_id", "dk", "ln", *_key(), *ends).groupBy("k1", "k2").agg(F.min(at).alias("first"), *[F.min(c).alias(c) for c in ("p0", "s0", "p1", "s1")]))
 
     halves = firsts.where("p0 is not null").select("k1", "k2", "first", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half"))
     shared = saved(halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half"))
     suspects = saved(halves.join(shared, "half", "left_semi").select("k1", "k2", "first").distinct())
 
     # The suspects' texts, read again where each line stands first.
-    texts = _lines(documents).select("doc_id", "dk", "ln", "line", *_KEY).join(suspects.select("k1", "k2", "first"), ["k1", "k2"])
+    texts = _lines(documents).select("doc_id", "dk", "ln", "line", *_key()).join(suspects.select("k1", "k2", "first"), ["k1", "k2"])
     texts = texts.where(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (F.col("first.ln") == F.col("ln")))
     texts = saved(texts.select("k1", "k2", "first", "line").dropDuplicates(["k1", "k2"]).withColumn("n", F.length("line")))
 
@@ -83,7 +84,7 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     near = saved(near.where(F.levenshtein("line", "other") <= 1).select("k1", "k2", F.lit(True).alias("near")).distinct())
 
     marked = firsts.select("k1", "k2", "first").join(near, ["k1", "k2"], "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    every = _lines(documents).select("doc_id", "dk", "ln", *_KEY).join(marked, ["k1", "k2"])
+    every = _lines(documents).select("doc_id", "dk", "ln", *_key()).join(marked, ["k1", "k2"])
     again = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (F.col("first.ln") == F.col("ln")))
     return every.where(again | F.col("near")).select("doc_id", "dk", "ln", (~again).alias("near"))
 
