@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, shared_dir
+
+__all__ = ["SPACE", "WORD", "ascii_lower", "fold", "saved", "shared_dir", "sized", "table", "text_key"]
+
 #: Words of several contracts: runs of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,20 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='loomtext-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/loomtext-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, a saved table of narrow rows, with a broadcast hint if it has at most ``most`` rows; else joins with it shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def ascii_lower(col: Column) -> Column:
