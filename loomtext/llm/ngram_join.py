@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, sized
 
 WORDS = 5
 NUM, DEN = 3, 4  # the similarity, 0.75
@@ -99,13 +99,13 @@ def blocks_of(upper: np.ndarray) -> np.ndarray:
     return most + most // 4 + 8
 
 
-def block_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """owner, key and band of each emitted block; then per (owner, band) what unsafe() needs is derived from sizes alone."""
+def block_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, key and step (0: own band, 1: the band below) of each emitted block; then by step and owner how many filled blocks there are beyond the bound."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     edges = bands(int(sizes.max(initial=1)))
     flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     own = np.searchsorted(edges, sizes, side="right") - 1
-    owners, keys, in_band = [], [], []
+    owners, keys, steps, spare = [], [], [], []
     for step in (0, 1):  # as the smaller of a pair, and as the larger one of a pair in the band below
         band = own - step
         live = band >= 0
@@ -129,9 +129,10 @@ def block_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             gone = np.setdiff1d(np.arange(count[x]), block[at == x])
             at, block, parity = np.concatenate((at, np.full(len(gone), x))), np.concatenate((block, gone)), np.concatenate((parity, np.zeros(len(gone), dtype=np.uint64)))
         owners.append(at)
-        in_band.append(band[at])
+        steps.append(np.full(len(at), step, dtype=np.uint16))
+        spare.append(np.clip(filled - limit, -32768, 32767).astype(np.int16))
         keys.append(mix(parity ^ mix((block.astype(np.uint64) << np.uint64(16)) | band[at].astype(np.uint64), 6), 7))
-    return np.concatenate(owners), np.concatenate(keys), np.concatenate(in_band)
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(steps), np.stack(spare, axis=1)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -163,32 +164,32 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
                     continue
                 sigs, sets = np.array(list(found), dtype=np.int64), list(found.values())
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                owner, key, band = block_keys(sets)
+                owner, key, low, spare = block_keys(sets)
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                owner, key, band, bucket = owner[order].astype(np.uint16), (key[order] >> np.uint64(32)).astype(np.uint32), band[order].astype(np.uint8), bucket[order]
+                owner, key, low, bucket = owner[order].astype(np.uint16), (key[order] >> np.uint64(32)).astype(np.uint32), low[order], bucket[order]
                 starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 out = []
                 for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
                     used, at = np.unique(owner[s:e], return_inverse=True)
-                    low = band[s:e] != (np.searchsorted(bands(int(sizes.max())), sizes[owner[s:e]], side="right") - 1)
-                    out.append((int(bucket[s]), sigs[used].tobytes(), sizes[used].tobytes(), (at.astype(np.uint16) | (low.astype(np.uint16) << 15)).tobytes(), key[s:e].tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "at", "keys"])
+                    out.append((int(bucket[s]), sigs[used].tobytes(), sizes[used].tobytes(), spare[used].tobytes(), (at.astype(np.uint16) | (low[s:e] << 15)).tobytes(), key[s:e].tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "spare", "at", "keys"])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        sig, size, low, key = [], [], [], []
+        sig, size, low, key, spare = [], [], [], [], []
         for row in group.itertuples(index=False):
             at = np.frombuffer(row.at, dtype=np.uint16)
-            low.append(at >> 15 > 0)
+            low.append((at >> 15).astype(np.int64))
             at = at & np.uint16(0x7FFF)
+            spare.append(np.frombuffer(row.spare, dtype=np.int16).reshape(-1, 2)[at, low[-1]])
             sig.append(np.frombuffer(row.sigs, dtype=np.int64)[at])
             size.append(np.frombuffer(row.sizes, dtype=np.int32)[at])
             key.append(np.frombuffer(row.keys, dtype=np.uint32))
-        sig, size, low, key = map(np.concatenate, (sig, size, low, key))
+        sig, size, low, key, spare = map(np.concatenate, (sig, size, low, key, spare))
         order = np.lexsort((sig, key))
-        sig, size, low, key = sig[order], size[order], low[order], key[order]
+        sig, size, low, key, spare = sig[order], size[order], low[order], key[order], spare[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])))  # copies of a set count once
-        sig, size, low, key = sig[fresh], size[fresh].astype(np.int64), low[fresh], key[fresh]
+        sig, size, low, key, spare = sig[fresh], size[fresh].astype(np.int64), low[fresh], key[fresh], spare[fresh].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.concatenate((starts, [len(key)])))
         left, right, star = [], [], []
@@ -202,7 +203,8 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
             star.append(at == np.repeat(first, span))
         hot = length > COLD
         at = np.flatnonzero(np.repeat(hot, length))
-        lead = np.repeat(starts[hot], length[hot])
+        lead = np.repeat(starts[hot] + key[starts[hot]] % length[hot], length[hot])  # another member for each key
+        cold = len(np.concatenate(left))
         left.append(lead[lead != at])
         right.append(at[lead != at])
         star.append(np.ones(int((lead != at).sum()), dtype=bool))
@@ -210,13 +212,13 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
         small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
         ok = small * DEN >= large * NUM
         a, b = np.minimum(sig[left], sig[right])[ok], np.maximum(sig[left], sig[right])[ok]
-        pairs = pd.DataFrame({"a": a, "b": b, "star": star[ok], "n": 0, "low": False, "hot": 0}).drop_duplicates()
-        warm = pd.DataFrame({"a": sig[at], "n": size[at], "low": low[at]}).groupby(["a", "n", "low"], as_index=False).size().rename(columns={"size": "hot"})
-        warm["b"], warm["star"] = pd.array([None] * len(warm), dtype="Int64"), False
-        return pd.concat([pairs.astype({"b": "Int64"}), warm[["a", "b", "star", "n", "low", "hot"]]])
+        pairs = pd.DataFrame({"a": a, "b": b, "star": star[ok], "cold": (np.arange(len(star)) < cold)[ok], "n": 0, "low": 0, "spare": 0, "hot": 0}).drop_duplicates()
+        warm = pd.DataFrame({"a": sig[at], "n": size[at], "low": low[at], "spare": spare[at]}).groupby(["a", "n", "low", "spare"], as_index=False).size().rename(columns={"size": "hot"})
+        warm["b"], warm["star"], warm["cold"] = pd.array([None] * len(warm), dtype="Int64"), False, False
+        return pd.concat([pairs.astype({"b": "Int64"}), warm[["a", "b", "star", "cold", "n", "low", "spare", "hot"]]])
 
-    blobs = documents.select("text").mapInPandas(emit, "bucket int, sigs binary, sizes binary, at binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, star boolean, n long, low boolean, hot long")
+    blobs = documents.select("text").mapInPandas(emit, "bucket int, sigs binary, sizes binary, spare binary, at binary, keys binary")
+    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, star boolean, cold boolean, n long, low long, spare long, hot long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,13 +227,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = saved(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = labels.join(near, "node").join(jump, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "further").alias("label"))
         step = saved(step)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        nxt = saved(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
-        if nxt.where("old <> label").limit(1).count() == 0:
-            return nxt.select("node", "label")
-        labels = nxt.select("node", "label")
+        if step.where("old <> label").limit(1).count() == 0:
+            return step.select("node", "label")
+        labels = step.select("node", "label")
 
 
 _LINKED = f"{DEN} * size(array_intersect(sa, sb)) >= {NUM} * (size(sa) + size(sb) - size(array_intersect(sa, sb)))"
@@ -251,17 +252,10 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def _unsafe(warm: DataFrame) -> DataFrame:
     """Classes with too few cold blocks to be sure of meeting every partner there: sig, band, n."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, low = b.n.to_numpy(), b.low.to_numpy()
-            edges = bands(int(n.max(initial=1)))
-            band = np.searchsorted(edges, n, side="right") - 1 - low
-            upper = edges[band + 1]
-            limit = bound(n, np.where(low, np.minimum(n, upper - 1), n * DEN // NUM))
-            yield pd.DataFrame({"sig": b.a, "band": band, "n": n, "most_hot": b.filled.to_numpy() - limit})[b.hot.to_numpy() >= b.filled.to_numpy() - limit]
-
-    return warm.mapInPandas(run, "sig bigint, band int, n long, most_hot long").select("sig", "band", "n")
+    short = warm.groupBy(F.col("a").alias("sig"), "n", "low", "spare").agg(F.sum("hot").alias("hot")).where("hot >= spare")
+    edges = [int(x) for x in bands(2**40)]  # about a hundred bounds
+    own = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col("n")))
+    return short.select("sig", (own - 1 - F.col("low")).cast("int").alias("band"), "n")
 
 
 def linked_components(documents: DataFrame) -> DataFrame:
@@ -271,33 +265,31 @@ def linked_components(documents: DataFrame) -> DataFrame:
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "dk")).alias("rep"), F.min("doc_id").alias("least"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     found = saved(_candidates(keyed, max(64, -(-total // BUCKET_KEYS))))
-    pairs = saved(found.where("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")))
-    warm = found.where("b is null").groupBy("a", "n", "low").agg(F.sum("hot").alias("hot"))
-
-    # The sets of all classes in a pair, and of those in hot blocks with their filled blocks and sketches.
-    names = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(warm.select("a")).distinct()
+    unsafe = saved(_unsafe(found.where("b is null")))
+    # Hot blocks link their unsafe members to one of them; safe members meet their partners in cold blocks.
+    weak = sized(saved(unsafe.select("sig").distinct()))
+    hot = found.where("b is not null and not cold").select("a", "b", "star").distinct()
+    hot = hot.join(weak.withColumnRenamed("sig", "a"), "a", "left_semi").join(weak.withColumnRenamed("sig", "b"), "b", "left_semi")
+    pairs = found.where("cold").select("a", "b", "star").unionByName(hot.select("a", "b", "star"))
+    pairs = saved(pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
+
+    # The sets of all classes in a pair, and of the unsafe ones, which also get whole sketches.
+    names = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(unsafe.select("sig")).distinct()
     reps = saved(names.join(classes, "sig").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.dk").alias("rep_dk")))
-    texts = keyed.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("dk") == F.col("rep_dk")), "left_semi").dropDuplicates(["doc_id", "dk"])
+    texts = keyed.join(sized(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("dk") == F.col("rep_dk")), "left_semi").dropDuplicates(["doc_id", "dk"])
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler()
         for b in batches:
             sets = [own(x) for x in b.text]
-            filled = []
-            for s in sets:
-                edges = bands(len(s))
-                k = int(np.searchsorted(edges, len(s), side="right") - 1)
-                filled.append([len(np.unique(mix(s, 3) % np.uint64(blocks_of(edges[j + 1])))) if j >= 0 else 0 for j in (k, k - 1)])
-            yield pd.DataFrame({"sig": [class_of(s) for s in sets], "items": [s.view(np.int64) for s in sets], "filled": filled, "bits": [sketch(s) for s in sets]})
-
-    sets = saved(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, filled array<long>, bits array<long>"))
+            yield pd.DataFrame({"sig": [class_of(s) for s in sets], "items": [s.view(np.int64) for s in sets], "bits": [sketch(s) for s in sets]})
+
+    sets = saved(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, bits array<long>"))
     edges = saved(_verified(pairs.where("star"), sets))
     label = components(edges)
     rest = _across(pairs.where("not star"), label)
     edges = saved(edges.union(_verified(rest, sets)))
 
-    warm = warm.join(sets.select(F.col("sig").alias("a"), "filled"), "a").withColumn("filled", F.when(F.col("low"), F.col("filled")[1]).otherwise(F.col("filled")[0]))
-    unsafe = saved(_unsafe(warm.select("a", "n", "low", "hot", "filled")))
     label = components(edges)
     tagged = saved(unsafe.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     sizes = tagged.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"))
@@ -338,6 +330,7 @@ def _chunked(others: DataFrame, everyone: DataFrame, sets: DataFrame) -> DataFra
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else pd.DataFrame({"a": [], "b": []})
 
     cols = ["band", "q", "r", "sig", "n", "label", "bits"]
+    left, right = saved(left.select(*cols)), saved(right.select(*cols))
     return left.select(*cols).groupBy("band", "q", "r").cogroup(right.select(*cols).groupBy("band", "q", "r")).applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
