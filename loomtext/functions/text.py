@@ -107,9 +107,14 @@ def byte_encode(c: Column) -> Column:
     return F.translate(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), _FROM, _TO)
 
 
+def _bytes_of(c: Column) -> Column:
+    """The alphabet's characters back as bytes; translate() reads a NUL as a deletion, so that byte goes by itself."""
+    return F.replace(F.translate(c, _TO[1:], _FROM[1:]), F.lit(_TO[0]), F.lit(_FROM[0]))
+
+
 def byte_decode(c: Column) -> Column:
     """Inverse of byte_encode for whole characters; see byte_decode_lossy for ids that may be cut."""
-    return F.decode(F.encode(F.translate(c, _TO, _FROM), "ISO-8859-1"), "UTF-8")
+    return F.decode(F.encode(_bytes_of(c), "ISO-8859-1"), "UTF-8")
 
 
 @F.pandas_udf(StringType())
@@ -121,7 +126,7 @@ def _lossy(s: pd.Series) -> pd.Series:
 def byte_decode_lossy(c: Column) -> Column:
     """Inverse of byte_encode in which broken UTF-8 becomes U+FFFD; text of single bytes stays in the JVM."""
     plain = c.rlike(f"^[\\x21-\\x7E{_TO[10]}{_TO[32]}]*$")
-    return F.when(plain, F.translate(c, _TO, _FROM)).otherwise(_lossy(F.when(~plain, c)))
+    return F.when(plain, _bytes_of(c)).otherwise(_lossy(F.when(~plain, c)))
 
 
 def cleanup_spaces(c: Column) -> Column:

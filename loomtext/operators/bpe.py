@@ -80,10 +80,10 @@ def tokens_by_distinct(df: DataFrame, key: Sequence[str], words: str, ranks: dic
     Partial aggregation collapses the frequent words before the shuffle. On the way back the words stay one row per
     position, so a very frequent word is a skewed join key, which adaptive execution splits.
     """
-    flat = df.select(*key, F.posexplode(words).alias("pos", "word"))
-    merged = word_tokens(flat.select("word").distinct(), ranks, end)
-    back = flat.join(merged, "word").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("t"))
-    out = back.select(*key, F.flatten(F.col("t.tokens")).alias("tokens"))
+    flat = df.select(*key, F.posexplode(words).alias("pos_", "word_"))
+    merged = word_tokens(flat.select(F.col("word_").alias("word")).distinct(), ranks, end).select(F.col("word").alias("word_"), F.col("tokens").alias("tokens_"))
+    back = flat.join(merged, "word_").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos_", "tokens_"))).alias("t_"))
+    out = back.select(*key, F.flatten(F.col("t_.tokens_")).alias("tokens"))
     none = F.array().cast("array<string>")
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
     cond = same[0]

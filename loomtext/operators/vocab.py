@@ -53,21 +53,22 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: str, vocab: DataFrame,
 
     An unknown token takes unk_id; without one it is an error.
     """
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos", "token"))
-    fallback = F.lit(unk_id) if unk_id is not None else F.raise_error(F.concat(F.lit("unknown token: "), F.col("token"))).cast("int")
-    found = flat.join(vocab, "token", "left").withColumn("id", F.when(F.col("pos").isNotNull(), F.coalesce("id", fallback)))
-    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("t"))
-    return rows.select(*key, F.col("t.id").alias("ids"))
+    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos_", "token_"))
+    fallback = F.lit(unk_id) if unk_id is not None else F.raise_error(F.concat(F.lit("unknown token: "), F.col("token_"))).cast("int")
+    found = flat.join(vocab.select(F.col("token").alias("token_"), F.col("id").alias("id_")), "token_", "left")
+    known = F.when(F.col("pos_").isNotNull(), F.struct("pos_", F.coalesce("id_", fallback).alias("id_")))
+    return found.groupBy(*key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.id_").alias("ids"))
 
 
 def id_tokens(df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     """key and tokens of an array of ids; ids in skip are left out, a missing id is an error."""
-    flat = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    flat = df.select(*key, F.posexplode_outer(ids).alias("pos_", "id_"))
     if skip:
-        flat = flat.where(F.col("id").isNull() | ~F.col("id").isin(*skip))
-    found = flat.join(vocab, "id", "left").withColumn("token", F.when(F.col("pos").isNotNull(), F.coalesce("token", F.raise_error(F.concat(F.lit("no token has id "), F.col("id").cast("string"))))))
-    rows = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))).alias("t"))
-    return rows.select(*key, F.col("t.token").alias("tokens"))
+        flat = flat.withColumn("pos_", F.when(~F.col("id_").isin(*skip), F.col("pos_")))
+    found = flat.join(vocab.select(F.col("token").alias("token_"), F.col("id").alias("id_")), "id_", "left")
+    missing = F.raise_error(F.concat(F.lit("no token has id "), F.col("id_").cast("string")))
+    known = F.when(F.col("pos_").isNotNull(), F.struct("pos_", F.coalesce("token_", missing).alias("token_")))
+    return found.groupBy(*key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.token_").alias("tokens"))
 
 
 def ids_of(tokens: Column, vocab: dict[str, int], unk_id: int) -> Column:
