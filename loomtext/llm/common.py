@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import saved, shared_dir
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "fold", "saved", "shared_dir", "sized", "table", "text_key"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "fold", "saved", "shared_dir", "sized", "table", "text_key", "wrapped"]
 
 #: Words of several contracts: runs of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,6 +23,11 @@ def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def wrapped(documents: DataFrame) -> DataFrame:
+    """The whole row as one column beside its id and key, so that no column of the caller can clash: row_, id_, dk_."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row_"), F.col("doc_id").alias("id_"), F.xxhash64("doc_id", "text").alias("dk_"))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z alone; every other letter keeps its case."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

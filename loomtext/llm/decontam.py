@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, saved, wrapped
 
 WINDOW = 10
 K = 5
@@ -49,8 +49,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: i
     """The documents without a hit, columns unchanged."""
     dirty = _hits(documents.select("doc_id", "text"), benchmark, window, k)[1].select(F.col("doc_id").alias("hit_id"), F.col("dk").alias("hit_dk")).distinct()
     dirty = saved(dirty)
-    key = F.xxhash64("doc_id", "text")
-    return documents.join(dirty, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (key == F.col("hit_dk")), "left_anti")
+    return wrapped(documents).join(dirty, F.col("id_").eqNullSafe(F.col("hit_id")) & (F.col("dk_") == F.col("hit_dk")), "left_anti").select("row_.*")
 
 
 def _hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import saved, sized, wrapped
 
 MIN_NEAR = 20
 
@@ -86,28 +86,33 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
 
 
 def _with_drops(documents: DataFrame, min_near: int) -> DataFrame:
-    drops = dropped_lines(documents, min_near).groupBy(F.col("doc_id").alias("drop_id"), F.col("dk").alias("drop_dk")).agg(F.collect_set("ln").alias("drop_ln"), F.count_if("near").alias("drop_near"))
-    key = F.xxhash64("doc_id", "text")
-    return documents.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (key == F.col("drop_dk")), "left").drop("drop_id", "drop_dk")
+    """row_, body, and the numbers of the lines to drop where there are any."""
+    drops = dropped_lines(documents.select("doc_id", "text"), min_near).groupBy(F.col("doc_id").alias("drop_id"), F.col("dk").alias("drop_dk")).agg(F.collect_set("ln").alias("drop_ln"), F.count_if("near").alias("drop_near"))
+    rows = wrapped(documents).join(drops, F.col("id_").eqNullSafe(F.col("drop_id")) & (F.col("dk_") == F.col("drop_dk")), "left")
+    return rows.select("row_", F.col("row_.text").alias("body"), "drop_ln", "drop_near")
 
 
-_KEPT = "CASE WHEN drop_ln IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(drop_ln, i)), '\\n') END"
+_KEPT = "CASE WHEN drop_ln IS NULL THEN body ELSE array_join(filter(split(body, '\\n', -1), (x, i) -> NOT array_contains(drop_ln, i)), '\\n') END"
 
 
 def dedup_report(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """Per document: lines with a word, how many go (of these, near_lines without an equal earlier line), and the kept text's hash."""
     rows = _with_drops(documents.select("doc_id", "text"), min_near)
-    words = F.expr("size(filter(split(coalesce(text, ''), '\\n', -1), x -> regexp_like(x, '[^\\\\x20\\\\x09-\\\\x0D]')))")
+    words = F.expr("size(filter(split(coalesce(body, ''), '\\n', -1), x -> regexp_like(x, '[^\\\\x20\\\\x09-\\\\x0D]')))")
     kept = F.expr(f"coalesce({_KEPT}, '')")
-    return rows.select("doc_id", words.cast("long").alias("n_lines"), F.coalesce(F.size("drop_ln"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("drop_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(kept, 256).alias("kept_sha256"))
+    return rows.select("row_.doc_id", words.cast("long").alias("n_lines"), F.coalesce(F.size("drop_ln"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("drop_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def drop_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
-    """The documents without the lines that go; a document that loses all its lines with words goes whole."""
-    columns = documents.columns
-    rows = _with_drops(documents, min_near).withColumn("new_text", F.expr(_KEPT))
-    rows = rows.where(F.col("drop_ln").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.withColumn("text", F.col("new_text")).select(*[F.when(F.col("drop_ln").isNotNull(), F.length("text")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    """The documents without the lines that go (n_chars follows the text); one that loses all its lines with words goes whole."""
+    rows = _with_drops(documents, min_near).withColumn("kept", F.expr(_KEPT))
+    rows = rows.where(F.col("drop_ln").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("drop_ln").isNotNull(), F.length("kept"))}
+    out = []
+    for f in documents.schema:
+        old = F.col("row_")[f.name]
+        out.append((new["text"] if f.name == "text" else F.coalesce(new["n_chars"], old).cast(f.dataType) if f.name == "n_chars" else old).alias(f.name))
+    return rows.select(*out)
 
 
 #: Lines within one edit share a half, so SQL can compare only those; the edit distance decides.

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import saved, sized, wrapped
 
 WORDS = 5
 NUM, DEN = 3, 4  # the similarity, 0.75
@@ -342,7 +342,8 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     """One document of each component: the one whose id names it (of rows that share it, the one with the least key)."""
     found = linked_components(documents.select("doc_id", "text"))
     keep = found.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("keep_id")).agg(F.min("dk").alias("keep_dk"))
-    return documents.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("doc_id", "text") == F.col("keep_dk")), "left_semi")
+    keep = saved(keep)
+    return wrapped(documents).join(keep, F.col("id_").eqNullSafe(F.col("keep_id")) & (F.col("dk_") == F.col("keep_dk")), "left_semi").select("row_.*")
 
 
 ORACLE = r"""
