@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import fold
 
 MAX_WORDS = 100_000
-MAX_GRAMS = 30_000
-ORDERS = (5, 4, 3, 2, 1)
+MAX_GRAMS = 60_000
+ORDERS = (4, 3, 2, 1)
+CACHED = 200_000
 _FLUSH = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -87,49 +88,64 @@ def fit(documents: DataFrame, held_out: int = 1, mod: int = 3) -> dict:
     if not langs:
         return model
     for order, source, key, most in [(0, words, "word", MAX_WORDS), *((n, grams.where(F.length("gram") == n), "gram", MAX_GRAMS) for n in ORDERS)]:
-        top = source.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("total"), "key").limit(most).collect()
-        sums = np.ones(len(langs))
-        counts = np.array([[r.by.get(x, 0) for x in langs] for r in top], dtype=np.float64).reshape(len(top), len(langs))
-        sums = np.maximum(counts.sum(axis=0), 1.0) if len(top) else sums
-        logs = np.log((counts + 0.1) / (sums + 0.1 * (len(top) + 1)))
-        model["tables"][order] = {r.key: row for r, row in zip(top, logs.astype(np.float32), strict=True)}
+        top = source.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).orderBy(F.desc("total"), "key").limit(most).toArrow()
+        counts = np.stack([top.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+        sums = np.maximum(counts.sum(axis=0), 1.0)
+        logs = np.log((counts + 0.1) / (sums + 0.1 * (len(counts) + 1)))
+        model["tables"][order] = (top.column("key").to_pylist(), logs.astype(np.float32))
     return model
 
 
 class Scorer:
+    """Rows of per-language log frequencies: known words first, then a bounded cache of words scored by their n-grams."""
+
     def __init__(self, model: dict):
-        self.langs, self.tables = model["langs"], model["tables"]
-        self.cache: dict[str, np.ndarray] = {}
+        self.langs = model["langs"]
+        if not self.langs:
+            return
+        keys, rows = model["tables"][0]
+        self.words = dict(zip(keys, range(len(keys)), strict=True))
+        self.rows = np.concatenate((rows, np.zeros((CACHED, len(self.langs)), dtype=np.float32)))
+        self.known, self.used, self.cache = len(keys), 0, {}
+        self.grams = {}
+        for n in ORDERS:
+            for g in model["tables"][n][0]:
+                self.grams[g] = len(self.grams)
+        self.gram_rows = np.concatenate([model["tables"][n][1] for n in ORDERS])
 
     def unseen(self, word: str) -> np.ndarray:
-        """Per position the longest known n-gram, shorter ones where it is unknown; the mean keeps one word one vote."""
-        total, used = np.zeros(len(self.langs), dtype=np.float32), 0
-        w = f"^{word}$"
+        """At each position the longest known n-gram, shorter ones where it is unknown; the mean keeps one word one vote."""
+        w, get, found = f"^{word}$", self.grams.get, []
         for i in range(len(w)):
             for n in ORDERS:
-                row = self.tables[n].get(w[i : i + n]) if i + n <= len(w) else None
-                if row is not None:
-                    total = total + row
-                    used += 1
+                k = get(w[i : i + n])
+                if k is not None:
+                    found.append(k)
                     break
-        return total / max(used, 1)
-
-    def row(self, word: str) -> np.ndarray:
-        row = self.tables[0].get(word)
-        if row is None:
-            row = self.cache.get(word)
-            if row is None:
-                if len(self.cache) > 200_000:
-                    self.cache.clear()
-                row = self.cache[word] = self.unseen(word)
-        return row
+        return self.gram_rows[found].mean(axis=0) if found else np.zeros(len(self.langs), dtype=np.float32)
+
+    def row(self, word: str) -> int:
+        k = self.words.get(word)
+        if k is None:
+            k = self.cache.get(word)
+            if k is None:
+                k = self.known + self.used
+                self.rows[k] = self.unseen(word)
+                self.cache[word] = k
+                self.used += 1
+        return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text)) if text else None
         if not counts or not self.langs:
             return "und", 0.0
-        rows = np.array([self.row(w) for w in counts])
-        score = np.array(list(counts.values()), dtype=np.float64) @ rows
+        score, words, n = np.zeros(len(self.langs)), list(counts), list(counts.values())
+        for lo in range(0, len(words), CACHED // 2):  # a part never outgrows the cache
+            part = words[lo : lo + CACHED // 2]
+            if self.used + len(part) > CACHED:
+                self.cache.clear()
+                self.used = 0
+            score += np.array(n[lo : lo + CACHED // 2], dtype=np.float64) @ self.rows[[self.row(w) for w in part]]
         best = int(score.argmax())
         return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
 
