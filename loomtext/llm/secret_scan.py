@@ -50,12 +50,14 @@ def _transitions(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.length(column) > 1).select(pair.alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-def _log_probabilities(counts: dict[str, int]) -> dict[tuple[str, str], float]:
-    out = {}
+def _log_probabilities(counts: dict[str, int], weight: float = 5.0) -> dict[tuple[str, str], float]:
+    """Transition probabilities, smoothed towards each character's own share, so that rare contexts still tell rare characters."""
+    single = {b: sum(counts.get(a + b, 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+    total, out = sum(single.values()), {}
     for a in ALPHABET:
-        total = sum(counts.get(a + b, 0) for b in ALPHABET) + 0.5 * len(ALPHABET)
+        row = sum(counts.get(a + b, 0) for b in ALPHABET) + weight
         for b in ALPHABET:
-            out[a, b] = math.log((counts.get(a + b, 0) + 0.5) / total)
+            out[a, b] = math.log((counts.get(a + b, 0) + weight * single[b] / total) / row)
     return out
 
 

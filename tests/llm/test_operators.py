@@ -104,7 +104,11 @@ def test_lm_score_base_and_model(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         assert r.score < 0
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    got = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 def test_lm_tail_words_take_their_counts_by_a_join(spark, monkeypatch):
@@ -115,44 +119,27 @@ def test_lm_tail_words_take_their_counts_by_a_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in lm_score.score(df).collect()} == want
 
 
-def reference_probability(counts, history, symbol):
-    """Absolute discounting, written out for one symbol."""
-    p = 1 / lm_score.SYMBOLS
-    for k in range(lm_score.ORDER):
-        h = tuple(history[len(history) - k :]) if k else ()
-        row = counts.get(h)
-        if not row:
-            break
-        total = sum(row.values())
-        kept = {s: (n - lm_score.DISCOUNT) / total for s, n in row.items()}
-        p = kept.get(symbol, 0) + (1 - sum(kept.values())) * p
-    return p
-
-
-def test_automaton_equals_the_formula_and_sums_to_one():
-    texts = [b"abc abd".split(), b"ab".split(), [], b"abcabcabc abd abd".split()]
-    codes, starts, lengths = lm_score.stream(texts)
-    packed, n = np.unique(lm_score.grams(codes), return_counts=True)
-    arcs = {}
-    for k in range(1, lm_score.ORDER + 1):
-        key, at = np.unique(packed & ((1 << (9 * k)) - 1), return_inverse=True)
-        m = np.bincount(at, weights=n)
-        _, ctx = np.unique(key >> 9, return_inverse=True)
-        arcs[k] = (key, m, np.bincount(ctx, weights=m)[ctx])
-    counts = defaultdict(Counter)
-    for s, size in zip(starts, lengths, strict=True):
-        for i in range(s, s + size):
-            for k in range(lm_score.ORDER):
-                counts[tuple(codes[i - k : i])][int(codes[i])] += 1
-    a = lm_score.Automaton(arcs)
-    probe = [b"abc".split(), b"abx abd".split(), [], b"zz abcab".split()]
-    c, st, ln = lm_score.stream(probe)
-    for score, s, size in zip(a.score(probe), st, ln, strict=True):
-        want = sum(math.log10(reference_probability(counts, tuple(c[i - 5 : i]), int(c[i]))) for i in range(s, s + size))
-        assert score == pytest.approx(want, rel=1e-5)
-    assert sum(reference_probability(counts, tuple(codes[:5]), x) for x in range(lm_score.SYMBOLS)) == pytest.approx(1)
-    long = [(b"abc abd " * 900).split()]
-    assert a.score(long)[0] == pytest.approx(sum(math.log10(reference_probability(counts, tuple(cc[i - 5 : i]), int(cc[i]))) for cc, ss, ll in [lm_score.stream(long)] for i in range(ss[0], ss[0] + ll[0])), rel=1e-5)
+def test_automaton_equals_the_formula_and_sums_to_one(spark):
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randint(0, 12)) for _ in range(120)] + ["so so so ka", None]
+    train = [WORD.findall(t or "") + [""] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    top = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    arcs = defaultdict(dict)
+    for (h, w), m in pairs.items():
+        if m > 1:
+            arcs[h][w] = (m - 0.5) / (c[h] + 5)
+
+    def p(h, w):
+        own = arcs.get(h, {})
+        return own[w] if w in own else (1 - sum(own.values())) / (1 - sum(map(top, own))) * top(w)
+
+    for h in [*list(c)[:20], "never"]:
+        assert sum(p(h, w) for w in [*c, "unseen"]) == pytest.approx(1)
+    for r in lm_score.score(frame(spark, texts)).collect():
+        t = WORD.findall(texts[r.doc_id] or "") + [""]
+        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["", *t], t, strict=False)))
 
 
 def test_lm_edges(spark, edge):
@@ -190,17 +177,18 @@ def test_packing_pieces_and_bins(spark):
             end += length
         assert end <= 2048
     total = sum(r.length for r in got)
-    assert len(bins) <= -(-total // 2048) + 1
+    assert len(bins) <= 1.1 * total / 2048 + 1
 
 
 def test_vector_capacities_hold():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 1000, 400)
+    lengths = rng.integers(1, 700, 400)
     seq, off = packing.place(lengths, 1000, 4, 600_000.0)
     for s in np.unique(seq):
-        own = lengths[seq == s]
-        assert own.sum() <= 1000 and len(own) <= 4 and (own.astype(float) ** 2).sum() <= 1_000_000
-    assert all((lengths[seq == s].astype(float) ** 2).sum() <= 600_000 for s in np.unique(seq)) if (lengths.astype(float) ** 2).max() <= 600_000 else True
+        own, at = lengths[seq == s], off[seq == s]
+        assert own.sum() <= 1000 and len(own) <= 4 and (own.astype(float) ** 2).sum() <= 600_000
+        order = np.argsort(at)
+        assert (at[order] == np.cumsum(own[order]) - own[order]).all()
 
 
 def test_vector_capacity_errors():
