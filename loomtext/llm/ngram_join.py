@@ -153,7 +153,7 @@ def _sets(documents: DataFrame) -> DataFrame:
 
 
 def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
-    """Rows: a pair (a, b) of classes with star true or false, or a class that is unsafe in a band (b null)."""
+    """Rows: a pair (a, b) of classes that agree in some blocks (times) of a bucket, or a class in its hot blocks (b null)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler()
@@ -211,14 +211,20 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
         left, right, star = map(np.concatenate, (left, right, star))
         small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
         ok = small * DEN >= large * NUM
-        a, b = np.minimum(sig[left], sig[right])[ok], np.maximum(sig[left], sig[right])[ok]
-        pairs = pd.DataFrame({"a": a, "b": b, "star": star[ok], "cold": (np.arange(len(star)) < cold)[ok], "n": 0, "low": 0, "spare": 0, "hot": 0}).drop_duplicates()
+        left, right, star, near = left[ok], right[ok], star[ok], (np.arange(len(star)) < cold)[ok]
+        turn = sig[left] > sig[right]
+        left, right = np.where(turn, right, left), np.where(turn, left, right)
+        pairs = pd.DataFrame({"a": sig[left], "b": sig[right], "cold": near, "low": low[left], "low_b": low[right], "spare": spare[left], "spare_b": spare[right], "star": star, "times": 1})
+        pairs = pairs.groupby(["a", "b", "cold", "low", "low_b", "spare", "spare_b"], as_index=False).agg(star=("star", "max"), times=("times", "sum"))
+        pairs["n"], pairs["hot"] = 0, 0
         warm = pd.DataFrame({"a": sig[at], "n": size[at], "low": low[at], "spare": spare[at]}).groupby(["a", "n", "low", "spare"], as_index=False).size().rename(columns={"size": "hot"})
         warm["b"], warm["star"], warm["cold"] = pd.array([None] * len(warm), dtype="Int64"), False, False
-        return pd.concat([pairs.astype({"b": "Int64"}), warm[["a", "b", "star", "cold", "n", "low", "spare", "hot"]]])
+        warm["low_b"], warm["spare_b"], warm["times"] = 0, 0, 0
+        columns = ["a", "b", "star", "cold", "n", "low", "low_b", "spare", "spare_b", "times", "hot"]
+        return pd.concat([pairs.astype({"b": "Int64"})[columns], warm[columns]])
 
     blobs = documents.select("text").mapInPandas(emit, "bucket int, sigs binary, sizes binary, spare binary, at binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, star boolean, cold boolean, n long, low long, spare long, hot long")
+    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, star boolean, cold boolean, n long, low long, low_b long, spare long, spare_b long, times long, hot long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,7 +276,13 @@ def linked_components(documents: DataFrame) -> DataFrame:
     weak = sized(saved(unsafe.select("sig").distinct()))
     hot = found.where("b is not null and not cold").select("a", "b", "star").distinct()
     hot = hot.join(weak.withColumnRenamed("sig", "a"), "a", "left_semi").join(weak.withColumnRenamed("sig", "b"), "b", "left_semi")
-    pairs = found.where("cold").select("a", "b", "star").unionByName(hot.select("a", "b", "star"))
+    # A linked pair agrees in all filled blocks of either end but as many as the bound: fewer cold agreements rule it out.
+    warm = saved(found.where("b is null").groupBy(F.col("a").alias("sig"), "low").agg(F.sum("hot").alias("hot")))
+    met = found.where("cold").groupBy("a", "b", "low", "low_b", "spare", "spare_b").agg(F.max("star").alias("star"), F.sum("times").alias("times"))
+    hot_a, hot_b = warm.select(F.col("sig").alias("a"), "low", F.col("hot").alias("hot_a")), warm.select(F.col("sig").alias("b"), F.col("low").alias("low_b"), F.col("hot").alias("hot_b"))
+    met = met.join(hot_a, ["a", "low"], "left").join(hot_b, ["b", "low_b"], "left")
+    met = met.where("times >= greatest(spare - coalesce(hot_a, 0), spare_b - coalesce(hot_b, 0))")
+    pairs = met.select("a", "b", "star").unionByName(hot.select("a", "b", "star"))
     pairs = saved(pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
 
     # The sets of all classes in a pair, and of the unsafe ones, which also get whole sketches.
