@@ -155,6 +155,25 @@ class EncodeOptions:
             raise ValueError("overflowing tokens of a pair have no order under longest_first truncation")
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    """What a scorer's configuration file says; other keys are ignored."""
+
+    vocab_size: int | None = None
+    hidden_size: int | None = None
+    num_attention_heads: int | None = None
+    num_hidden_layers: int | None = None
+    architectures: tuple[str, ...] = ()
+    is_encoder_decoder: bool = False
+    sliding_window: int | None = None
+    max_position_embeddings: int | None = None
+
+    @classmethod
+    def from_json(cls, text: str) -> ModelConfig:
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items() if k in names and v is not None})
+
+
 @dataclass(frozen=True)
 class GenerationConfig:
     """Defaults as published for the generation options; None leaves an option out."""

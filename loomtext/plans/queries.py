@@ -299,6 +299,20 @@ def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[shown(c).alias(c) for c in ("input_ids", "token_type_ids", "attention_mask", "special_tokens_mask")])
 
 
+@query
+def public_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path with the public vocabulary of 50,257 tokens and an end token that doubles as padding."""
+    from ..operators.tokenizer import Tokenizer
+    from .options import AddedToken, TokenizerConfig
+    from .vocabulary import public_file
+
+    end = AddedToken(EOS, special=True)
+    t = Tokenizer.from_json(public_file(), Family.BYTE_LEVEL, TokenizerConfig(eos_token=end, pad_token=end))
+    options = EncodeOptions(padding=Padding.MAX_LENGTH, truncation=Truncation.LONGEST_FIRST, max_length=256)
+    out = t.encode(documents(spark, sf_dir), ["doc_id"], options=options)
+    return out.select("doc_id", shown("input_ids").alias("input_ids"), shown("attention_mask").alias("attention_mask"))
+
+
 @query
 def mask_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Special-token mask of sequences that have their special tokens already."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators.encode import fill
-from loomtext.plans.options import AddedToken, EncodeOptions, Family, GenerationConfig, Padding, Side, TokenizerConfig
+from loomtext.plans.options import AddedToken, EncodeOptions, Family, GenerationConfig, ModelConfig, Padding, Side, TokenizerConfig
 from loomtext.sources import files
 from loomtext.streaming.encode import encode_stream
 
@@ -44,6 +44,7 @@ def test_configs(spark, tmp_path):
         AddedToken.parse({"content": "x"}, tagged=True)
     g = GenerationConfig.from_json('{"eos_token_id": 2, "max_new_tokens": 5, "other": 1}')
     assert g.eos_token_id == (2,) and GenerationConfig.from_json(g.to_json()) == g and g.extra == {"other": 1}
+    assert ModelConfig.from_json('{"vocab_size": 7, "architectures": ["x"], "more": 1}') == ModelConfig(vocab_size=7, architectures=("x",))
     assert TokenizerConfig.from_json("{}").model_input_names[0] == "input_ids"
 
 
