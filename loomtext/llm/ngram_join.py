@@ -34,8 +34,8 @@ from .common import saved, sized, wrapped
 WORDS = 5
 NUM, DEN = 3, 4  # the similarity, 0.75
 COLD = 24
-BUCKET_KEYS = 2_000_000
-SUB = 4096
+BUCKET_KEYS = 1_000_000
+SUB = 1500
 SKETCH_LONGS = 32
 CHUNK = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,7 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words, known = (text or "").encode().lower().split(), self.words
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         out = []
         for w in words:
@@ -232,6 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = saved(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
+        labels = sized(labels)  # small graphs need one exchange a round
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = labels.join(near, "node").join(jump, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "further").alias("label"))
@@ -251,6 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose ends are not known to be connected."""
+    label = sized(label)
     for side in ("a", "b"):
         pairs = pairs.join(label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
     return pairs.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
