@@ -38,9 +38,9 @@ def small_ids(df: DataFrame, key: str, words: str = "words") -> DataFrame:
     """key, tokens and ids of arrays of byte-encoded pre-tokens: each distinct one is folded and looked up once."""
     spark = df.sparkSession
     flat = df.select(key, F.posexplode_outer(words).alias("pos", "word"))
-    distinct = flat.where("word is not null").select("word").distinct().withColumn("tokens", bpe.fold_tokens(F.col("word"), small_merges()))
-    looked_up = vocab.token_ids(distinct, ["word"], "tokens", vocab.vocab_frame(spark, small_vocab()), small_vocab()[UNK])
-    table = distinct.join(looked_up, "word")
+    distinct = flat.where("word is not null").select("word").distinct().select("word", F.posexplode(bpe.fold_tokens(F.col("word"), small_merges())).alias("k", "token"))
+    found = distinct.join(vocab.vocab_frame(spark, small_vocab()), "token", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "token", F.coalesce("id", F.lit(small_vocab()[UNK])).alias("id")))).alias("w"))
+    table = found.select("word", F.col("w.token").alias("tokens"), F.col("w.id").alias("ids"))
     rows = flat.join(table, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "tokens", "ids")))).alias("t"))
     return rows.select(key, F.flatten(F.col("t.tokens")).alias("tokens"), F.flatten(F.col("t.ids")).alias("ids"))
 
