@@ -5,13 +5,15 @@ share, and a failure arc, weighted by the backoff mass, to the top state, which
 smoothed frequency and one for unknown words. A text is read once from left to right: the state is carried and
 log10 probabilities add up. A text starts and ends in the state of the end token.
 
-Word and word-pair counts cover every training row. What reaches every executor is bounded: the ``MAX_WORDS`` most
-frequent words, which alone have states, and the ``MAX_ARCS`` most frequent pairs of them (those that occur twice
-or more); all other words get their top-state weights by a join.
+Word and word-pair counts cover every training row, and every word and every pair that occurs twice or more takes
+part in every score. The weights along a text add up: each word gives its top-state weight and, as each word is also
+left once, the weight of its failure arc; each pair that has an arc gives what that arc weighs more than the way over
+the top state. So scores are sums of lookups. The ``MAX_WORDS`` most frequent words and ``MAX_ARCS`` most frequent
+arcs are looked up in place, which saves work and changes no result; all others by joins on 64-bit hashes.
 
 Edge cases: a null text is empty and scores its end token alone; a null doc_id belongs to the training
 fold; repeated rows are scored one by one (and counted as often in training); with no training rows every
-token is unknown; other columns are ignored. Words outside the broadcast table are told apart by 64-bit hashes.
+token is unknown; other columns are ignored. Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -81,24 +83,70 @@ def before(flat: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The words' 64-bit hashes, as Spark's xxhash64 gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Names a pair by the hashes of its words; _PAIR_KEY is the same in SQL."""
+    return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
+
+
+_PAIR_KEY = "(shiftleft(first, 1) | shiftrightunsigned(first, 63)) ^ second"
+
+
+class Reader:
+    """Numbers and hashes of the tokens of many texts; words without a number share the last one."""
+
+    def __init__(self, names: list[bytes]):
+        self.known = {w: i for i, w in enumerate(names)}
+        self.unknown = len(names)
+        self.hashes = np.append(hashed(names), np.uint64(0))
+        self.end = self.known.get(b"", self.unknown)
+        self.end_hash = xxhash.xxh64_intdigest(b"", 42)
+
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, sizes = numbered(texts, self.known, self.unknown)
+        hashes = self.hashes[flat]
+        rare = np.flatnonzero(flat == self.unknown)
+        if len(rare):
+            words = [w for t in texts for w in (*t, b"")]
+            hashes[rare] = hashed([words[i] for i in rare.tolist()])
+        return flat, sizes, hashes
+
+
 def count_pairs(documents: DataFrame, words: list[str]) -> DataFrame:
-    """pair (two word numbers) and n over all given rows, for words that have a number."""
-    sent = documents.sparkSession.sparkContext.broadcast("\x00".join(words))
+    """first and second (hashes of a pair's words) and n over all given rows, for pairs that occur twice or more."""
+    sent = documents.sparkSession.sparkContext.broadcast("\n".join(words))
 
+    # Two numbered words make one long in a; any other pair has its hashes in a and b.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {w.encode(): i for i, w in enumerate(sent.value.split("\x00"))}
-        unknown = 1 << BITS
-        end, keys, counts = known.get(b"", unknown), [], []
+        reader = Reader([w.encode() for w in sent.value.split("\n")])
+        keys, counts = [], []
+        rare: Counter = Counter()
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             k, at = np.unique(np.concatenate(keys), return_inverse=True)
             return k, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
 
+        def frame(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"numbered": b is None, "a": a, "b": np.zeros(len(a), dtype=np.int64) if b is None else b, "n": n})
+
+        def rare_frame() -> pd.DataFrame:
+            both = np.array(list(rare), dtype=np.int64).reshape(-1, 2)
+            out = frame(both[:, 0], both[:, 1], np.fromiter(rare.values(), dtype=np.int64, count=len(rare)))
+            rare.clear()
+            return out
+
         for whole in batches:
             for lo in range(0, len(whole), 4000):
-                flat, sizes = numbered([tokens(x) for x in whole.text.iloc[lo : lo + 4000]], known, unknown)
-                prev = before(flat, sizes, end)
-                ok = (flat != unknown) & (prev != unknown)
+                flat, sizes, hashes = reader([tokens(x) for x in whole.text.iloc[lo : lo + 4000]])
+                prev, prev_hash = before(flat, sizes, reader.end), before(hashes, sizes, reader.end_hash)
+                ok = (flat != reader.unknown) & (prev != reader.unknown)
+                rare.update(zip(prev_hash[~ok].view(np.int64).tolist(), hashes[~ok].view(np.int64).tolist(), strict=True))
+                if len(rare) > _FLUSH:
+                    yield rare_frame()
                 k, n = np.unique((prev[ok] << BITS) | flat[ok], return_counts=True)
                 keys.append(k)
                 counts.append(n)
@@ -106,41 +154,24 @@ def count_pairs(documents: DataFrame, words: list[str]) -> DataFrame:
                     k, n = merged()
                     keys, counts = [k], [n]
                     if len(k) > _PAIRS:
-                        yield pd.DataFrame({"pair": k, "n": n})
+                        yield frame(k, None, n)
                         keys, counts = [], []
         if keys:
             k, n = merged()
-            yield pd.DataFrame({"pair": k, "n": n})
-
-    return documents.select("text").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """Sorted arcs of the word states, the backoff weight of each, and the top state's weights; the last number is the unknown word."""
-
-    def __init__(self, counts: np.ndarray, total: int, kinds: int, pairs: np.ndarray, times: np.ndarray):
-        share = (counts + 0.5) / (total + 0.5 * (kinds + 1))
-        self.floor = float(np.log10(0.5 / (total + 0.5 * (kinds + 1))))
-        self.top = np.append(np.log10(share), 0.0)
-        order = np.argsort(pairs)
-        self.arcs = pairs[order]
-        first, second = self.arcs >> BITS, self.arcs & ((1 << BITS) - 1)
-        p = (times[order] - DISCOUNT) / (counts[first] + PRIOR)
-        self.weight = np.log10(p)
-        taken = np.bincount(first, weights=p, minlength=len(counts))
-        lower = np.bincount(first, weights=share[second], minlength=len(counts))
-        self.backoff = np.append(np.log10((1 - taken) / np.maximum(1 - lower, 1e-12)), 0.0)
-
-    def weights(self, flat: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        """log10 weight of each token in its state; an unknown word (the last number) has its state's backoff alone."""
-        out = self.backoff[prev] + self.top[flat]
-        if len(self.arcs):
-            key = (prev << BITS) | flat
-            key[(flat == len(self.top) - 1) | (prev == len(self.top) - 1)] = -1
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            out[hit] = self.weight[at[hit]]
-        return out
+            yield frame(k, None, n)
+        if rare:
+            yield rare_frame()
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = hashed([w.encode() for w in sent.value.split("\n")]).view(np.int64)
+        for b in batches:
+            packed, a, second = b.numbered.to_numpy(), b.a.to_numpy().copy(), b.b.to_numpy().copy()
+            second[packed] = own[a[packed] & ((1 << BITS) - 1)]
+            a[packed] = own[a[packed] >> BITS]
+            yield pd.DataFrame({"first": a, "second": second, "n": b.n.to_numpy()})
+
+    found = documents.select("text").mapInPandas(run, "numbered boolean, a long, b long, n long").groupBy("numbered", "a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    return found.mapInPandas(unpacked, "first long, second long, n long")
 
 
 def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -148,7 +179,7 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [t.column(n).to_numpy() for n in names]
 
 
-_ROWS = "row_id long, doc_id bigint, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, tail_n array<int>"
+_ROWS = "row_id long, doc_id bigint, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, tail_n array<int>, pairs array<long>, pairs_n array<int>"
 
 
 def score(documents: DataFrame, held_out: int = 1, mod: int = 5) -> DataFrame:
@@ -158,57 +189,71 @@ def score(documents: DataFrame, held_out: int = 1, mod: int = 5) -> DataFrame:
     train = docs.where("not held_out")
     words = count_words(train)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    names, counts = _arrays(words.orderBy(F.desc("n"), "word").limit(MAX_WORDS), "word", "n")
-    names = names.tolist()
-    pairs, times = _arrays(count_pairs(train, names).where("n > 1").orderBy(F.desc("n"), "pair").limit(MAX_ARCS), "pair", "n") if names else (np.zeros(0, dtype=np.int64),) * 2
-    sent = spark.sparkContext.broadcast(("\x00".join(names), counts.astype(np.float64), pairs, times.astype(np.float64)))
-    whole = v <= MAX_WORDS
-    floor = float(np.log10(0.5 / (n + 0.5 * (v + 1))))
+    size = float(n + 0.5 * (v + 1))
+    share = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(size)
+    hashes = words.select("word", F.xxhash64("word").alias("h"), F.col("n").alias("c"))
+    names = _arrays(words.orderBy(F.desc("n"), "word").limit(MAX_WORDS), "word")[0].tolist() if n else []
+
+    # The arcs with their target's share, and of each word the weight of its failure arc.
+    arcs = count_pairs(train, names) if names else spark.createDataFrame([], "first long, second long, n long")
+    arcs = saved(arcs.join(hashes.select(F.col("h").alias("second"), share.alias("share")), "second").select("first", F.expr(_PAIR_KEY).alias("key"), "n", "share"))
+    left = arcs.groupBy(F.col("first").alias("h")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("share").alias("lower"))
+    backoff = F.log10((1 - F.col("taken") / (F.col("c") + PRIOR)) / F.greatest(1 - F.col("lower"), F.lit(1e-12)))
+    states = saved(hashes.join(left, "h", "left").select("word", "h", "c", F.coalesce(backoff, F.lit(0.0)).alias("backoff")))
+    more = F.log10(F.col("n") - DISCOUNT) - F.log10(F.col("c") + PRIOR) - F.log10("share") - F.col("backoff")
+    arcs = saved(arcs.join(states.select(F.col("h").alias("first"), "c", "backoff"), "first").select("key", "n", more.alias("more")))
+    keys, gains = _arrays(arcs.orderBy(F.desc("n"), "key").limit(MAX_ARCS), "key", "more")
+    order = np.argsort(keys)
+    counts, backoffs = _arrays(states.orderBy(F.desc("c"), "word").limit(MAX_WORDS), "c", "backoff")
+    sent = spark.sparkContext.broadcast(("\n".join(names), counts.astype(np.float64), backoffs.astype(np.float64), keys[order], gains[order].astype(np.float64)))
+    all_words, all_arcs = v <= MAX_WORDS, len(keys) < MAX_ARCS
+    floor = float(np.log10(0.5 / size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts, pairs, times = sent.value
-        automaton = Automaton(counts, n, v, pairs, times)
-        known = {w.encode(): i for i, w in enumerate(names.split("\x00"))} if len(counts) else {}
-        unknown = len(counts)
-        end = known.get(b"", unknown)
+        names, counts, backoffs, keys, gains = sent.value
+        reader = Reader([w.encode() for w in names.split("\n")] if len(counts) else [])
+        top = np.append(np.log10((counts + 0.5) / size), 0.0)
+        both = top + np.append(backoffs, 0.0)
         row_id = TaskContext.get().partitionId() << 33
-        hashes: dict[bytes, int] = {}
+
+        def distinct(hashes: np.ndarray, wanted: np.ndarray, ends: np.ndarray) -> tuple[list, list]:
+            """Of each text the different hashes that are wanted and how often each occurs."""
+            found = [np.unique(x[w], return_counts=True) for x, w in zip(np.split(hashes, ends), np.split(wanted, ends), strict=True)]
+            return [k for k, _ in found], [c for _, c in found]
+
         for whole_batch in batches:
             for lo in range(0, len(whole_batch), 2000):
                 b = whole_batch.iloc[lo : lo + 2000]
-                texts = [tokens(x) for x in b.text]
-                flat, sizes = numbered(texts, known, unknown)
-                first, hit = np.cumsum(sizes) - sizes, flat != unknown
-                tails, tails_n = [], []
-                for t, s in zip(texts, first.tolist(), strict=True):
-                    tail, tail_n = [], []
-                    for w, c in Counter(t[i] for i in np.flatnonzero(~hit[s : s + len(t)]).tolist()).items():
-                        h = hashes.get(w)
-                        if h is None:
-                            if len(hashes) > _FLUSH:
-                                hashes.clear()
-                            h = hashes[w] = xxhash.xxh64_intdigest(w, 42)
-                        tail.append(h)
-                        tail_n.append(c)
-                    tails.append(np.array(tail, dtype=np.uint64).view(np.int64))
-                    tails_n.append(tail_n)
-                last = np.where(hit[first + sizes - 1], 0.0, floor)
-                frame = pd.DataFrame({"row_id": np.arange(row_id, row_id + len(b)), "doc_id": b.doc_id.to_numpy(), "held_out": b.held_out.to_numpy(), "n_tokens": sizes, "known": np.add.reduceat(hit.astype(np.int64), first), "base": np.add.reduceat(automaton.top[flat], first) + last, "score": np.add.reduceat(automaton.weights(flat, before(flat, sizes, end)), first) + last})
-                frame["tail"], frame["tail_n"] = tails, tails_n
+                flat, sizes, hashes = reader([tokens(x) for x in b.text])
+                ends = np.cumsum(sizes)
+                first, hit = ends - sizes, flat != reader.unknown
+                pairs = pair_keys(before(hashes, sizes, reader.end_hash), hashes).view(np.int64)
+                gain, found = np.zeros(len(flat)), np.zeros(len(flat), dtype=bool)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                    found = keys[at] == pairs
+                    gain[found] = gains[at[found]]
+                frame = pd.DataFrame({"row_id": np.arange(row_id, row_id + len(b)), "doc_id": b.doc_id.to_numpy(), "held_out": b.held_out.to_numpy(), "n_tokens": sizes, "known": np.add.reduceat(hit.astype(np.int64), first), "base": np.add.reduceat(top[flat], first), "score": np.add.reduceat(both[flat] + gain, first)})
+                frame["tail"], frame["tail_n"] = distinct(hashes.view(np.int64), ~hit, ends[:-1])
+                frame["pairs"], frame["pairs_n"] = distinct(pairs, ~found & (not all_arcs), ends[:-1])
                 row_id += len(b)
                 yield frame
 
     rows = saved(docs.mapInPandas(run, _ROWS))
-    # Words that are not broadcast: their counts come by a join on the word's 64-bit hash.
-    tail = rows.select("row_id", F.explode(F.arrays_zip("tail", "tail_n")).alias("w")).select("row_id", F.col("w.tail").alias("h"), F.col("w.tail_n").alias("tf"))
-    if whole:
-        tail = tail.groupBy("row_id").agg(F.sum("tf").alias("unknown")).select("row_id", F.lit(0).cast("long").alias("more"), (F.col("unknown") * F.lit(floor)).alias("add"))
+
+    def exploded(key: str) -> DataFrame:
+        return rows.select("row_id", F.explode(F.arrays_zip(F.col(key).alias("h"), F.col(f"{key}_n").alias("tf"))).alias("w")).select("row_id", "w.h", "w.tf")
+
+    # Words that are not broadcast: their counts and failure arcs come by a join.
+    tail, zero = exploded("tail"), F.lit(0.0)
+    if all_words:
+        tail = tail.groupBy("row_id").agg(F.sum("tf").alias("unknown")).select("row_id", F.lit(0).cast("long").alias("more"), (F.col("unknown") * F.lit(floor)).alias("add"), zero.alias("gain"))
     else:
-        counts = words.select(F.xxhash64("word").alias("h"), F.col("n").alias("c"))
-        value = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(n + 0.5 * (v + 1))))
-        tail = tail.join(counts, "h", "left").groupBy("row_id").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * value).alias("add"))
-    zero = F.lit(0)
-    return rows.drop("tail", "tail_n").join(tail, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
+        tail = tail.join(states.select("h", "c", "backoff"), "h", "left").groupBy("row_id").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10(share)).alias("add"), F.sum(F.col("tf") * F.coalesce("backoff", zero)).alias("gain"))
+    if not all_arcs:  # pairs that are not broadcast: a pair without an arc adds nothing
+        met = exploded("pairs").join(arcs.select(F.col("key").alias("h"), F.col("more").alias("arc")), "h").groupBy("row_id").agg(F.sum(F.col("tf") * F.col("arc")).alias("gain"))
+        tail = tail.unionByName(met, allowMissingColumns=True).groupBy("row_id").agg(*[F.sum(x).alias(x) for x in ("more", "add", "gain")])
+    return rows.drop("tail", "tail_n", "pairs", "pairs_n").join(tail, "row_id", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("add", zero)).alias("base_score"), (F.col("score") + F.coalesce("add", zero) + F.coalesce("gain", zero)).alias("score"),
     )

@@ -142,6 +142,17 @@ def test_automaton_equals_the_formula_and_sums_to_one(spark):
         assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["", *t], t, strict=False)))
 
 
+def test_lm_score_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [sentence(rng, rng.randint(0, 30)) for _ in range(120)] + [None, "zzz unseen", "so so so ka"]
+    want = {r.doc_id: r for r in lm_score.score(frame(spark, texts)).collect()}
+    monkeypatch.setattr(lm_score, "MAX_WORDS", 3)
+    monkeypatch.setattr(lm_score, "MAX_ARCS", 2)
+    for r in lm_score.score(frame(spark, texts)).collect():
+        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
+        assert (r.base_score, r.score) == pytest.approx((want[r.doc_id].base_score, want[r.doc_id].score))
+
+
 def test_lm_edges(spark, edge):
     assert ids(lm_score.score(edge)) == ALL_IDS
     assert lm_score.score(edge.limit(0)).count() == 0
