@@ -267,7 +267,7 @@ def _unsafe(warm: DataFrame) -> DataFrame:
 
 
 def linked_components(documents: DataFrame) -> DataFrame:
-    """doc_id, dk, n_shingles and component_id of every row."""
+    """doc_id, dk, n_shingles, component_id and label of every row; label names the component whatever its ids, and is null without shingles."""
     keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
     rows = saved(_sets(keyed))
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "dk")).alias("rep"), F.min("doc_id").alias("least"))
@@ -314,11 +314,11 @@ def linked_components(documents: DataFrame) -> DataFrame:
 
     least = classes.select(F.col("sig").alias("node"), "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = least.where("node <> label").select("node", "label").join(named, "label").select(F.col("node").alias("sig"), "component_id")
+    member = least.where("node <> label").select("node", "label").join(named, "label").select(F.col("node").alias("sig"), "component_id", F.col("label").alias("main"))
     member = saved(member)
     # Most classes are alone: only those in a component of several need the join to find another class's id.
-    alone = classes.select("sig", "least").join(named.withColumnRenamed("label", "sig"), "sig", "left").join(member.withColumnRenamed("component_id", "other"), "sig", "left").select("sig", F.coalesce("other", "component_id", "least").alias("component_id"))
-    return rows.join(alone, "sig", "left").select("doc_id", "dk", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = classes.select("sig", "least").join(named.withColumnRenamed("label", "sig"), "sig", "left").join(member.withColumnRenamed("component_id", "other"), "sig", "left").select("sig", F.coalesce("main", "sig").alias("label"), F.coalesce("other", "component_id", "least").alias("component_id"))
+    return rows.join(alone, "sig", "left").select("doc_id", "dk", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
 def _chunked(others: DataFrame, everyone: DataFrame, sets: DataFrame) -> DataFrame:
@@ -349,15 +349,23 @@ def _chunked(others: DataFrame, everyone: DataFrame, sets: DataFrame) -> DataFra
 
 
 def ngram_join(documents: DataFrame) -> DataFrame:
-    return linked_components(documents).drop("dk")
+    return linked_components(documents).drop("dk", "label")
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one whose id names it (of rows that share it, the one with the least key)."""
-    found = linked_components(documents.select("doc_id", "text"))
-    keep = found.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("keep_id")).agg(F.min("dk").alias("keep_dk"))
-    keep = saved(keep)
-    return wrapped(documents).join(keep, F.col("id_").eqNullSafe(F.col("keep_id")) & (F.col("dk_") == F.col("keep_dk")), "left_semi").select("row_.*")
+    """One row of each component, the one with the smallest id (null ids last, then the least key; any one of rows alike in id and text), and every row without shingles."""
+    found = linked_components(documents.select("doc_id", "text")).where("label is not null")
+    rows = found.groupBy("label", "doc_id", "dk").agg(F.count("*").alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dk", "copies")
+    keep = saved(rows.groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.dk").alias("keep_dk"), F.col("k.copies").alias("copies")))
+    every = wrapped(documents)
+    has_word = F.coalesce(F.col("row_.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col("id_").eqNullSafe(F.col("keep_id")) & (F.col("dk_") == F.col("keep_dk"))
+    kept = every.where(has_word).join(keep.where("copies = 1"), same, "left_semi").select("row_").union(every.where(~has_word).select("row_"))
+    copied = keep.where("copies > 1")
+    if copied.limit(1).count():
+        kept = kept.union(every.where(has_word).join(sized(copied), same, "left_semi").dropDuplicates(["id_", "dk_"]).select("row_"))
+    return kept.select("row_.*")
 
 
 ORACLE = r"""

@@ -484,3 +484,13 @@ def test_ngram_join_edges(spark, edge):
     assert ngram_join.ngram_join(edge.limit(0)).count() == 0
     assert ngram_join.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")).agg(F.max("label")).first()[0] == 0
     assert isinstance(got.toPandas(), pd.DataFrame)
+
+
+def test_one_row_of_each_component_stays_whatever_its_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    texts = [(None, a), (None, b), (None, b + " zz"), (5, c), (5, d), (6, e), (6, e), (6, e), (None, e + " zz"), (8, None), (8, None), (None, " ")]
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(frame(spark, texts)).collect()), key=str)
+    linked = [x for x in got if x in ((None, b), (None, b + " zz"))]
+    assert len(linked) == 1
+    assert got == sorted([(None, a), *linked, (5, c), (5, d), (6, e), (8, None), (8, None), (None, " ")], key=str)
