@@ -2,7 +2,9 @@
 
 A tree builder closes implied tags and resolves visibility; a renderer walks the tree and emits every visible
 text: blocks on lines of their own (paragraph-like ones with a blank line around), nested lists with markers
-and indentation, tables as rows of aligned cells, preformatted text as it stands.
+and indentation, tables as rows of aligned cells, preformatted text as it stands. Formulas give their text, figures
+in SVG that of their text elements. An element that is not displayed goes with all it holds; visibility is inherited,
+and what is set visible again inside a hidden element is emitted.
 
 Edge cases: null HTML gives null text and empty HTML empty text; broken or unclosed markup is repaired, never
 refused; nesting of any depth is walked without recursion; a null page_id keeps its row; repeated rows each
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("audio canvas datalist head iframe math noframes noscript object script style svg template title video".split())
+HIDDEN = frozenset("audio canvas datalist annotation annotation-xml head iframe noframes noscript object script style template title video".split())
 BLOCKS = frozenset("address article aside body caption dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option section select summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 #: A start tag closes the open elements named first, looking no further out than one of those named second.
@@ -32,7 +34,11 @@ IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPL
 _CLOSES_P = (BLOCKS | SPACED) - frozenset("option optgroup select body html td th tr tbody thead tfoot caption legend".split())
 #: An end tag reaches no further out than these.
 _SCOPE = frozenset("table td th html".split())
-_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+#: Within svg these are never drawn where they stand, and only those show characters.
+_SVG_HIDDEN = frozenset("clippath defs desc lineargradient marker mask metadata pattern radialgradient symbol".split())
+_SVG_TEXT = frozenset("text foreignobject".split())
+_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(!important)?\s*(?=;|$)", re.I)
 MAX_ALIGNED = 60
 
 
@@ -46,6 +52,14 @@ class Node:
         a = self.attrs
         return self.tag in HIDDEN or "hidden" in a or (self.tag == "input" and (a.get("type") or "").lower() == "hidden") or bool(_STYLE.search(a.get("style") or ""))
 
+    def visible(self, before: bool, svg: bool) -> bool:
+        """Visibility as the style sets it (the last important declaration, or else the last), or else as inherited."""
+        found = _VISIBILITY.findall(self.attrs.get("style") or "")
+        value = ([v for v, important in found if important] or [v for v, _ in found] or [""])[-1].lower()
+        if not value and svg:
+            value = (self.attrs.get("visibility") or "").strip().lower()
+        return value in ("visible", "initial") if value in ("visible", "initial", "hidden", "collapse") else before
+
 
 class TreeBuilder(HTMLParser):
     def __init__(self):
@@ -78,7 +92,10 @@ class TreeBuilder(HTMLParser):
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        foreign = next((x.tag for x in reversed(self.open) if x.tag in ("svg", "math", "foreignobject")), "")
         self.handle_starttag(tag, attrs)
+        if (tag in ("svg", "math") or foreign in ("svg", "math")) and self.open[-1].tag == tag:
+            self.open.pop()  # only in svg and math does the slash close an element
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and all(x.tag != "p" for x in self.open):
@@ -160,26 +177,37 @@ def _aligned(rows: list[list[str]]) -> list[str]:
 def render(root: Node) -> str:
     """Depth-first walk with an explicit stack of nodes to enter and of steps to do when they end."""
     writers, tables, lists = [Writer()], [], []
-    stack: list = [root]
+    # Beside each node: whether it inherits visibility, whether it is drawn by svg, and whether characters show there.
+    stack: list = [(root, True, False, True)]
     pre = 0
     while stack:
         node = stack.pop()
         out = writers[-1]
-        if isinstance(node, str):
-            out.text(node, pre > 0)
-            continue
         if callable(node):
             node()
             continue
+        node, visible, svg, shown = node
+        if isinstance(node, str):
+            if visible and shown:
+                out.text(node, pre > 0)
+            continue
         tag = node.tag
-        if node.hidden():
+        if node.hidden() or (svg and (tag in _SVG_HIDDEN or (node.attrs.get("display") or "").strip().lower() == "none")):
             continue
+        if tag == "svg":
+            svg, shown = True, False
+        visible = node.visible(visible, svg)
+        if svg and tag in _SVG_TEXT:
+            svg, shown = tag == "text", True
+            out.text(" ", False)
+            stack.append(lambda out=out: out.text(" ", False))
         if tag == "br":
-            out.line(True)
+            if visible:
+                out.line(True)
             continue
-        if tag == "img" and node.attrs.get("alt"):
+        if tag == "img" and node.attrs.get("alt") and visible:
             out.text(node.attrs["alt"], False)
-        if tag in ("input", "button") and node.attrs.get("value") and tag == "input":
+        if tag in ("input", "button") and node.attrs.get("value") and tag == "input" and visible:
             out.text(f" {node.attrs['value']} ", False)
 
         def end(tag=tag, out=out) -> None:
@@ -210,13 +238,16 @@ def render(root: Node) -> str:
 
             stack.append(end_cell)
         elif tag == "tr" and tables:
-            tables[-1].append([])
+            row: list = []
+            tables[-1].append(row)
+            if not visible:  # a row of which nothing shows is none
+                stack.append(lambda row=row: None if any(map(any, row)) else row.clear())
         elif tag == "table":
             out.space()
             tables.append([])
 
-            def end_table(out=out) -> None:
-                rows = [r for r in tables.pop() if r]
+            def end_table(out=out, visible=visible) -> None:
+                rows = [r for r in tables.pop() if r and (visible or any(map(any, r)))]
                 if all(len(r) == 1 for r in rows):  # a table of one column is layout: its blocks stay blocks
                     lines = [x for r in rows for x in r[0]]
                 else:
@@ -247,7 +278,7 @@ def render(root: Node) -> str:
             if tag == "pre":
                 pre += 1
             stack.append(end)
-        stack.extend(reversed(node.children))
+        stack.extend((x, visible, svg, shown) for x in reversed(node.children))
     return "\n".join(writers[0].done())
 
 

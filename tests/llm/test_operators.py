@@ -226,6 +226,20 @@ def test_html(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds</p>", "so x=2 holds"),
+    ("a<svg><title>t</title><desc>d</desc><defs><text>n</text></defs>raw<circle r='1'/><text>one</text><text>t<tspan>wo</tspan></text></svg>b", "a one two b"),
+    ("<svg><defs/><text>shown</text><text display='none'>n</text><text visibility='hidden'>h</text></svg>", "shown"),
+    ("<svg><foreignObject><p>x<br/>y</p></foreignObject></svg>", "x\ny"),
+    ("a<div style='visibility:hidden'>b<br><span style='color:red; visibility: visible'>c</span><img alt=d><i>e</i></div>f", "a\nc\nf"),
+    ("<div style='display:none'>a<b style='visibility:visible'>b</b></div>c", "c"),
+    ("<table><tr><td>a<td>b<tr style='visibility:hidden'><td>c<td>d</table>", "a | b"),
+    ("<table style='visibility:collapse'><tr><td>a<td>b<tr><td>c<td style='visibility:visible'>d</table>", " | d"),
+])
+def test_html_formulas_figures_and_visibility(html, want):
+    assert html_text.extract(html) == want
+
+
 def test_html_deep_and_frames(spark):
     assert html_text.extract("<div>" * 30000 + "x") == "x"
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
