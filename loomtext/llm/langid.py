@@ -2,9 +2,10 @@
 
 Known words score by their per-language log frequency; for a word not in the model, its character
 n-grams do, from the longest length downwards, each position falling back to shorter ones.
-The word and n-gram counts cover all training rows. The model keeps the ``MAX_WORDS`` most frequent
-words and the ``MAX_GRAMS`` most frequent n-grams of each length (ties: by text), which bounds what is
-sent to the executors; every other word takes the n-gram path.
+The counts cover all training rows, and every word of them is known: the ``MAX_WORDS`` most frequent words are looked
+up in place, which saves work and changes no result, all others by a join of the texts' distinct words with the counts.
+Only words that no training row has take the n-gram path. Of each length it knows the ``MAX_GRAMS`` most frequent
+n-grams of every language (ties: by text), so that a language with many rows pushes out none of another.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; without any training row
 everything is ``und``; a null doc_id is not held out; repeated rows each get a row.
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, saved
 
 MAX_WORDS = 100_000
 MAX_GRAMS = 60_000
-ORDERS = (4, 3, 2, 1)
-CACHED = 200_000
+ORDERS = (5, 4, 3, 2, 1)
 _FLUSH = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,7 +48,7 @@ def _counted(counts: Counter, names: list[str]) -> pd.DataFrame:
 
 
 def fit(documents: DataFrame, held_out: int = 1, mod: int = 3) -> dict:
-    """Count words and character n-grams per language over all training rows; collect only the bounded tables."""
+    """Count words and character n-grams per language over all training rows; collect the most frequent ones, keep all words as a table."""
     train = documents.where((fold("doc_id", mod) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,42 +79,56 @@ def fit(documents: DataFrame, held_out: int = 1, mod: int = 3) -> dict:
         if counts:
             yield _counted(counts, ["gram", "lang"])
 
-    from .common import saved
-
     words = saved(train.mapInPandas(count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
-    grams = saved(words.mapInPandas(count_grams, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    model: dict = {"langs": langs, "tables": {}}
+    model: dict = {"langs": langs}
     if not langs:
         return model
-    for order, source, key, most in [(0, words, "word", MAX_WORDS), *((n, grams.where(F.length("gram") == n), "gram", MAX_GRAMS) for n in ORDERS)]:
-        top = source.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).orderBy(F.desc("total"), "key").limit(most).toArrow()
-        counts = np.stack([top.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
-        sums = np.maximum(counts.sum(axis=0), 1.0)
-        logs = np.log((counts + 0.1) / (sums + 0.1 * (len(counts) + 1)))
-        model["tables"][order] = (top.column("key").to_pylist(), logs.astype(np.float32))
+    wide = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    grams = words.mapInPandas(count_grams, "gram string, lang string, n long").groupBy(F.col("gram").alias("key")).agg(*wide)
+    grams = saved(grams.withColumn("size", F.length("key")))
+    words = saved(words.groupBy(F.col("word").alias("key")).agg(*wide))
+    columns = [f"n{i}" for i in range(len(langs))]
+
+    def logs(table: DataFrame, sums: np.ndarray, kinds: int) -> tuple[list[str], np.ndarray]:
+        t = table.select("key", *columns).toArrow()
+        return t.column("key").to_pylist(), log_shares(np.stack([t.column(c).to_numpy() for c in columns], axis=1), sums, kinds)
+
+    sums, kinds = np.array([totals[x] for x in langs], dtype=np.float64), words.count()
+    model |= {"counts": words, "sums": sums, "kinds": kinds, "grams": []}
+    model["words"] = logs(words.orderBy(F.desc(sum(map(F.col, columns))), "key").limit(MAX_WORDS), sums, kinds)
+    of_size = {r["size"]: r for r in grams.groupBy("size").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(c) for c in columns], *[F.count_if(F.col(c) > 0).alias(f"k{c}") for c in columns]).collect()}
+    for order in ORDERS:
+        r = of_size.get(order)
+        if r is None:
+            continue
+        of, kept = grams.where(F.col("size") == order), F.lit(False)
+        for c in columns:
+            if r[f"k{c}"] <= MAX_GRAMS:
+                kept = kept | (F.col(c) > 0)
+            else:  # the last of a language's most frequent
+                last = of.select(c, "key").orderBy(F.desc(c), "key").limit(MAX_GRAMS).orderBy(c, F.desc("key")).first()
+                kept = kept | (F.col(c) > last[0]) | ((F.col(c) == last[0]) & (F.col("key") <= last[1]))
+        model["grams"].append(logs(of.where(kept), np.array([r[c] for c in columns], dtype=np.float64), r["kinds"]))
     return model
 
 
-class Scorer:
-    """Rows of per-language log frequencies: known words first, then a bounded cache of words scored by their n-grams."""
-
-    def __init__(self, model: dict):
-        self.langs = model["langs"]
-        if not self.langs:
-            return
-        keys, rows = model["tables"][0]
-        self.words = dict(zip(keys, range(len(keys)), strict=True))
-        self.rows = np.concatenate((rows, np.zeros((CACHED, len(self.langs)), dtype=np.float32)))
-        self.known, self.used, self.cache = len(keys), 0, {}
-        self.grams = {}
-        for n in ORDERS:
-            for g in model["tables"][n][0]:
+def log_shares(counts: np.ndarray, sums: np.ndarray, kinds: int) -> np.ndarray:
+    return np.log((counts + 0.1) / (np.maximum(sums, 1.0) + 0.1 * (kinds + 1)))
+
+
+class Unseen:
+    """Per-language log frequencies of a word that no training row has, from its n-grams."""
+
+    def __init__(self, tables: list[tuple[list[str], np.ndarray]], langs: int):
+        self.langs, self.grams = langs, {}
+        for keys, _ in tables:
+            for g in keys:
                 self.grams[g] = len(self.grams)
-        self.gram_rows = np.concatenate([model["tables"][n][1] for n in ORDERS])
+        self.rows = np.concatenate([rows for _, rows in tables]) if tables else np.zeros((0, langs))
 
-    def unseen(self, word: str) -> np.ndarray:
+    def __call__(self, word: str) -> np.ndarray:
         """At each position the longest known n-gram, shorter ones where it is unknown; the mean keeps one word one vote."""
         w, get, found = f"^{word}$", self.grams.get, []
         for i in range(len(w)):
@@ -122,44 +137,61 @@ class Scorer:
                 if k is not None:
                     found.append(k)
                     break
-        return self.gram_rows[found].mean(axis=0) if found else np.zeros(len(self.langs), dtype=np.float32)
-
-    def row(self, word: str) -> int:
-        k = self.words.get(word)
-        if k is None:
-            k = self.cache.get(word)
-            if k is None:
-                k = self.known + self.used
-                self.rows[k] = self.unseen(word)
-                self.cache[word] = k
-                self.used += 1
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text)) if text else None
-        if not counts or not self.langs:
-            return "und", 0.0
-        score, words, n = np.zeros(len(self.langs)), list(counts), list(counts.values())
-        for lo in range(0, len(words), CACHED // 2):  # a part never outgrows the cache
-            part = words[lo : lo + CACHED // 2]
-            if self.used + len(part) > CACHED:
-                self.cache.clear()
-                self.used = 0
-            score += np.array(n[lo : lo + CACHED // 2], dtype=np.float64) @ self.rows[[self.row(w) for w in part]]
-        best = int(score.argmax())
-        return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
+        return self.rows[found].mean(axis=0) if found else np.zeros(self.langs)
 
 
 def identify(documents: DataFrame, model: dict, held_out: int = 1, mod: int = 3) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the winner's posterior) of every whole text; no shuffle."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    """doc_id, held_out, lang_pred and score (the winner's posterior) of every whole text; less frequent words by a join."""
+    docs = documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text")
+    if not model["langs"]:
+        return docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    context, langs = documents.sparkSession.sparkContext, len(model["langs"])
+    head = context.broadcast(model["words"])
+    unseen = context.broadcast((model["grams"], model["sums"], model["kinds"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
+        keys, rows = head.value
+        known = dict(zip(keys, range(len(keys)), strict=True))
+        row_id = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = pd.DataFrame([scorer.predict(x) for x in b.text], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", b.doc_id.to_numpy())
-            out.insert(1, "held_out", b.held_out.to_numpy())
-            yield out
-
-    return documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text").mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+            sums, tails, tails_n, lettered = [], [], [], []
+            for text in b.text:
+                counts = Counter(words_of(text)) if text else Counter()
+                at, n, tail = [], [], {}
+                for w, c in counts.items():
+                    k = known.get(w)
+                    if k is None:
+                        tail[w] = c
+                    else:
+                        at.append(k)
+                        n.append(c)
+                sums.append(np.array(n, dtype=np.float64) @ rows[at] if at else np.zeros(langs))
+                tails.append(list(tail))
+                tails_n.append(list(tail.values()))
+                lettered.append(bool(counts))
+            yield pd.DataFrame({"row_id": np.arange(row_id, row_id + len(b)), "doc_id": b.doc_id.to_numpy(), "held_out": b.held_out.to_numpy(), "lettered": lettered, "sums": sums, "tail": tails, "tail_n": tails_n})
+            row_id += len(b)
+
+    columns = [f"n{i}" for i in range(langs)]
+
+    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, sums, kinds = unseen.value
+        score = Unseen(tables, langs)
+        for b in batches:
+            counts = b[columns].to_numpy(dtype=np.float64)
+            out = log_shares(counts, sums, kinds)
+            for i in np.flatnonzero(np.isnan(counts[:, 0])).tolist():
+                out[i] = score(b.key.iat[i])
+            yield pd.DataFrame({"key": b.key.to_numpy(), **{f"v{i}": out[:, i] for i in range(langs)}})
+
+    rows = saved(docs.mapInPandas(run, "row_id long, doc_id bigint, held_out boolean, lettered boolean, sums array<double>, tail array<string>, tail_n array<int>"))
+    tail = rows.select("row_id", F.explode(F.arrays_zip(F.col("tail").alias("key"), F.col("tail_n").alias("tf"))).alias("w")).select("row_id", "w.key", "w.tf")
+    values = tail.select("key").distinct().join(model["counts"], "key", "left").select("key", *columns)
+    values = saved(values.mapInPandas(valued, "key string, " + ", ".join(f"v{i} double" for i in range(langs))))
+    more = tail.join(values, "key").groupBy("row_id").agg(*[F.sum(F.col("tf") * F.col(f"v{i}")).alias(f"v{i}") for i in range(langs)])
+    scores = F.array(*[F.col("sums")[i] + F.coalesce(f"v{i}", F.lit(0.0)) for i in range(langs)])
+    found = rows.select("row_id", "doc_id", "held_out", "lettered", "sums").join(more, "row_id", "left").select("doc_id", "held_out", "lettered", scores.alias("s")).withColumn("top", F.array_max("s"))
+    names = F.array(*map(F.lit, model["langs"]))
+    best = names[F.array_position("s", F.col("top")).cast("int") - 1]
+    posterior = 1.0 / F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
+    return found.select("doc_id", "held_out", F.when(F.col("lettered"), best).otherwise("und").alias("lang_pred"), F.when(F.col("lettered"), posterior).otherwise(0.0).alias("score"))

@@ -256,6 +256,24 @@ def test_language_id_held_out(spark, sf):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def test_language_id_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 12) + (" el gato" if i % 2 else " the cat"), ("en", "es")[i % 2], "s", 0) for i in range(60)] + [(60, "gato unseen", None, "s", 0), (61, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: (r.lang_pred, pytest.approx(r.score)) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    monkeypatch.setattr(langid, "MAX_WORDS", 2)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()} == want
+
+
+def test_language_id_keeps_the_ngrams_of_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_GRAMS", 40)
+    rng = random.Random(9)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, sentence(rng, 30), "en", "s", 0) for i in train[:-2]] + [(i, "qxqxq wyqyw", "qq", "s", 0) for i in train[-2:]] + [(1000, "xqxqxqx", None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert langid.identify(docs, langid.fit(docs)).where("doc_id = 1000").first().lang_pred == "qq"
+
+
 def test_language_id_edges(spark, edge):
     got = langid.identify(edge, langid.fit(edge))
     assert ids(got) == ALL_IDS
