@@ -9,8 +9,10 @@ agrees in some block that is not empty. (A document with too few such blocks emi
 a pair in which neither has enough then agrees in an empty one.) Equal blocks are joined, pairs verified on the sets.
 
 Hot blocks, in which more than COLD different sets agree, yield no pairs but a star around one member. A
-document with enough other blocks meets all its partners there; the rest ("unsafe") are compared by whole
-sketches, in chunks, with the members of other components of their band.
+document with enough other blocks meets all its partners there; the rest ("unsafe") meet in the rarest of
+their blocks, as many as a linked pair must share one of, and compare whole sketches there with members of
+other components only. One or two pairs for each class are verified first: they join most groups, and of the
+other pairs only those between groups that are still apart are verified, so a group costs rows in proportion.
 
 Equal sets form one class from the start; a class is named by a 64-bit hash of its set.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, sized, wrapped
@@ -192,39 +194,37 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
         sig, size, low, key, spare = sig[fresh], size[fresh].astype(np.int64), low[fresh], key[fresh], spare[fresh].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.concatenate((starts, [len(key)])))
-        left, right, star = [], [], []
+        left, right = [], []
         many = length >= 2
-        for g in range(1, COLD):  # the pairs at distance g within each cold group; those with the first member are stars
+        for g in range(1, COLD):  # the pairs at distance g within each cold group
             first = starts[many & (length > g) & (length <= COLD)]
             span = length[many & (length > g) & (length <= COLD)] - g
             at = np.repeat(first, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
             left.append(at)
             right.append(at + g)
-            star.append(at == np.repeat(first, span))
         hot = length > COLD
         at = np.flatnonzero(np.repeat(hot, length))
         lead = np.repeat(starts[hot] + key[starts[hot]] % length[hot], length[hot])  # another member for each key
         cold = len(np.concatenate(left))
         left.append(lead[lead != at])
         right.append(at[lead != at])
-        star.append(np.ones(int((lead != at).sum()), dtype=bool))
-        left, right, star = map(np.concatenate, (left, right, star))
+        left, right = map(np.concatenate, (left, right))
         small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
         ok = small * DEN >= large * NUM
-        left, right, star, near = left[ok], right[ok], star[ok], (np.arange(len(star)) < cold)[ok]
+        left, right, near = left[ok], right[ok], (np.arange(len(ok)) < cold)[ok]
         turn = sig[left] > sig[right]
         left, right = np.where(turn, right, left), np.where(turn, left, right)
-        pairs = pd.DataFrame({"a": sig[left], "b": sig[right], "cold": near, "low": low[left], "low_b": low[right], "spare": spare[left], "spare_b": spare[right], "star": star, "times": 1})
-        pairs = pairs.groupby(["a", "b", "cold", "low", "low_b", "spare", "spare_b"], as_index=False).agg(star=("star", "max"), times=("times", "sum"))
+        pairs = pd.DataFrame({"a": sig[left], "b": sig[right], "cold": near, "low": low[left], "low_b": low[right], "spare": spare[left], "spare_b": spare[right]})
+        pairs = pairs.groupby(["a", "b", "cold", "low", "low_b", "spare", "spare_b"], as_index=False).size().rename(columns={"size": "times"})
         pairs["n"], pairs["hot"] = 0, 0
         warm = pd.DataFrame({"a": sig[at], "n": size[at], "low": low[at], "spare": spare[at]}).groupby(["a", "n", "low", "spare"], as_index=False).size().rename(columns={"size": "hot"})
-        warm["b"], warm["star"], warm["cold"] = pd.array([None] * len(warm), dtype="Int64"), False, False
+        warm["b"], warm["cold"] = pd.array([None] * len(warm), dtype="Int64"), False
         warm["low_b"], warm["spare_b"], warm["times"] = 0, 0, 0
-        columns = ["a", "b", "star", "cold", "n", "low", "low_b", "spare", "spare_b", "times", "hot"]
+        columns = ["a", "b", "cold", "n", "low", "low_b", "spare", "spare_b", "times", "hot"]
         return pd.concat([pairs.astype({"b": "Int64"})[columns], warm[columns]])
 
     blobs = documents.select("text").mapInPandas(emit, "bucket int, sigs binary, sizes binary, spare binary, at binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, star boolean, cold boolean, n long, low long, low_b long, spare long, spare_b long, times long, hot long")
+    return blobs.groupBy("bucket").applyInPandas(join, "a bigint, b bigint, cold boolean, n long, low long, low_b long, spare long, spare_b long, times long, hot long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +255,28 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     label = sized(label)
     for side in ("a", "b"):
         pairs = pairs.join(label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
-    return pairs.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    return pairs.where("coalesce(la, a) <> coalesce(lb, b)").drop("la", "lb")
+
+
+def _picked(pairs: DataFrame) -> DataFrame:
+    """For each class of the pairs its partner with most agreements and its smallest one: at most two pairs a class."""
+    both = pairs.select("a", "b", "times").union(pairs.select("b", "a", "times"))
+    best = both.groupBy("a").agg(F.array_distinct(F.array(F.max_by("b", F.struct("times", "b")), F.min("b"))).alias("partners")).select("a", F.explode("partners").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(pairs: DataFrame, edges: DataFrame, label: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges and labels with the links that join components: one or two pairs for each class join most groups, then what is left between groups is verified."""
+    pairs = saved(_across(pairs, label))
+    if pairs.limit(1).count() == 0:
+        return edges, label
+    for chosen in (_picked, lambda left: left.select("a", "b")):
+        more = saved(_verified(chosen(pairs), sets))
+        if more.limit(1).count():
+            edges = saved(edges.union(more))
+            label = components(edges)
+            pairs = saved(_across(pairs, label))
+    return edges, label
 
 
 def _unsafe(warm: DataFrame) -> DataFrame:
@@ -274,21 +295,21 @@ def linked_components(documents: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     found = saved(_candidates(keyed, max(64, -(-total // BUCKET_KEYS))))
     unsafe = saved(_unsafe(found.where("b is null")))
-    # Hot blocks link their unsafe members to one of them; safe members meet their partners in cold blocks.
+    # Hot blocks offer their unsafe members one partner each; safe members meet their partners in cold blocks.
     weak = sized(saved(unsafe.select("sig").distinct()))
-    hot = found.where("b is not null and not cold").select("a", "b", "star").distinct()
+    hot = found.where("b is not null and not cold").groupBy("a", "b").agg(F.sum("times").alias("times"))
     hot = hot.join(weak.withColumnRenamed("sig", "a"), "a", "left_semi").join(weak.withColumnRenamed("sig", "b"), "b", "left_semi")
     # A linked pair agrees in all filled blocks of either end but as many as the bound: fewer cold agreements rule it out.
     warm = saved(found.where("b is null").groupBy(F.col("a").alias("sig"), "low").agg(F.sum("hot").alias("hot")))
-    met = found.where("cold").groupBy("a", "b", "low", "low_b", "spare", "spare_b").agg(F.max("star").alias("star"), F.sum("times").alias("times"))
+    met = found.where("cold").groupBy("a", "b", "low", "low_b", "spare", "spare_b").agg(F.sum("times").alias("times"))
     hot_a, hot_b = warm.select(F.col("sig").alias("a"), "low", F.col("hot").alias("hot_a")), warm.select(F.col("sig").alias("b"), F.col("low").alias("low_b"), F.col("hot").alias("hot_b"))
     met = met.join(hot_a, ["a", "low"], "left").join(hot_b, ["b", "low_b"], "left")
     met = met.where("times >= greatest(spare - coalesce(hot_a, 0), spare_b - coalesce(hot_b, 0))")
-    pairs = met.select("a", "b", "star").unionByName(hot.select("a", "b", "star"))
-    pairs = saved(pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
+    pairs = saved(met.groupBy("a", "b").agg(F.max("times").alias("times")))
+    first = saved(_picked(pairs.unionByName(_picked(hot).withColumn("times", F.lit(0).cast("long")))))
 
     # The sets of all classes in a pair, and of the unsafe ones, which also get whole sketches.
-    names = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(unsafe.select("sig")).distinct()
+    names = pairs.select("a", "b").union(first).select(F.explode(F.array("a", "b")).alias("sig")).union(unsafe.select("sig")).distinct()
     reps = saved(names.join(classes, "sig").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.dk").alias("rep_dk")))
     texts = keyed.join(sized(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("dk") == F.col("rep_dk")), "left_semi").dropDuplicates(["doc_id", "dk"])
 
@@ -299,18 +320,10 @@ def linked_components(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"sig": [class_of(s) for s in sets], "items": [s.view(np.int64) for s in sets], "bits": [sketch(s) for s in sets]})
 
     sets = saved(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, bits array<long>"))
-    edges = saved(_verified(pairs.where("star"), sets))
-    label = components(edges)
-    rest = _across(pairs.where("not star"), label)
-    edges = saved(edges.union(_verified(rest, sets)))
-
-    label = components(edges)
+    edges = saved(_verified(first, sets))
+    edges, label = _joined(pairs, edges, components(edges), sets)
     tagged = saved(unsafe.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
-    sizes = tagged.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"))
-    others = saved(tagged.join(F.broadcast(sizes), "band").where("label <> main"))  # at most one row per band
-    if others.limit(1).count():
-        edges = saved(edges.union(_verified(_chunked(others, tagged.join(F.broadcast(sizes.select("band", "members")), "band"), sets), sets)))
-        label = components(edges)
+    edges, label = _joined(saved(_unsafe_pairs(tagged, sets)), edges, label, sets)
 
     least = classes.select(F.col("sig").alias("node"), "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = least.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -321,31 +334,59 @@ def linked_components(documents: DataFrame) -> DataFrame:
     return rows.join(alone, "sig", "left").select("doc_id", "dk", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
-def _chunked(others: DataFrame, everyone: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of an unsafe class outside its band's largest component with any unsafe class of another component, by sketch distance."""
-    bits = sets.select("sig", "bits")
-    chunks = F.ceil(F.col("members") / CHUNK)
-    right = everyone.join(bits, "sig").withColumn("r", F.pmod(F.xxhash64("sig"), chunks))
-    left = others.join(bits, "sig").withColumn("q", F.pmod(F.xxhash64("sig"), chunks)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    right = right.join(others.select("band").distinct(), "band", "left_semi").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of unsafe classes of different components whose sketches differ in no more bits than the bound; times is less the more they differ.
+
+    A linked pair agrees in all filled blocks of either end but as many as the bound, so in one of the bound + 1 rarest
+    of either (a class with too few filled blocks takes all it emits). Classes meet in those blocks; in each, the members
+    outside its largest component are compared with all of other components, in chunks where it is large.
+    """
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), SUB):
+                b = whole.iloc[lo : lo + SUB]
+                owner, key, step, spare = block_keys([np.asarray(x, dtype=np.int64).view(np.uint64) for x in b["items"]])
+                filled = np.bincount(owner * 2 + step, minlength=2 * len(b)).reshape(-1, 2)
+                take = np.where(spare > 0, filled - spare + 1, filled)
+                yield pd.DataFrame({"sig": b.sig.to_numpy()[owner], "label": b.label.to_numpy()[owner], "n": b.n.to_numpy()[owner], "key": key.view(np.int64), "step": step.astype(np.int32), "take": take[owner, step].astype(np.int64)})
+
+    members = tagged.groupBy("sig").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(sets.select("sig", "items"), "sig")
+    keys = saved(members.select("sig", "label", "n", "items").mapInPandas(rarest, "sig bigint, label bigint, n long, key bigint, step int, take long"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("members"))
+    place = F.row_number().over(Window.partitionBy("sig", "step").orderBy("members", "key"))
+    kept = saved(keys.join(counts, "key").withColumn("place", place).where("place <= take and members > 1").select("key", "sig", "label", "n"))
+    groups = kept.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels"))
+    kept = saved(kept.join(groups.where("labels > 1").drop("labels"), "key"))
+    buckets = kept.count() // CHUNK + 1
+    bits, chunks, cols = sets.select("sig", "bits"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits"]
+    cell = F.when(F.col("members") <= CHUNK, F.pmod("key", F.lit(buckets))).otherwise(F.col("key"))  # small groups share a cell, a large one has a cell for each pair of chunks
+    kept = kept.join(bits, "sig").select("*", cell.alias("cell"), F.pmod(F.xxhash64("sig"), chunks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
+    left = kept.where("label <> main").select(F.col("own").alias("q"), F.col("other").alias("r"), "*")
+    right = kept.select(F.col("other").alias("q"), F.col("own").alias("r"), "*")
+
+    none = pd.DataFrame({"a": [], "b": [], "times": []})
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
+            return none
+        y = y.sort_values("key", kind="stable")
         p, q = np.stack(x.bits).astype(np.int64).view(np.uint64), np.stack(y.bits).astype(np.int64).view(np.uint64)
-        n, m = x.n.to_numpy(), y.n.to_numpy()
-        ys, yl = y.sig.to_numpy(), y.label.to_numpy()
-        a, b = [], []
-        for i in range(len(x)):
-            apart = np.bitwise_count(p[i] ^ q).sum(axis=1)
-            ok = (apart <= bound(n[i], m)) & (np.minimum(n[i], m) * DEN >= np.maximum(n[i], m) * NUM) & (yl != x.label.iat[i])
-            a += [x.sig.iat[i]] * int(ok.sum())
-            b += ys[ok].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else pd.DataFrame({"a": [], "b": []})
-
-    cols = ["band", "q", "r", "sig", "n", "label", "bits"]
+        m, ys, yl, yk = y.n.to_numpy(), y.sig.to_numpy(), y.label.to_numpy(), y.key.to_numpy()
+        starts, ends = np.searchsorted(yk, x.key, side="left"), np.searchsorted(yk, x.key, side="right")
+        a, b, times = [], [], []
+        for i, (sig, n, label, s, e) in enumerate(zip(x.sig, x.n, x.label, starts, ends, strict=True)):
+            ok = np.flatnonzero((yl[s:e] != label) & (np.minimum(n, m[s:e]) * DEN >= np.maximum(n, m[s:e]) * NUM)) + s
+            apart = np.bitwise_count(p[i] ^ q[ok]).sum(axis=1).astype(np.int64)
+            near = apart <= bound(n, m[ok])
+            a += [sig] * int(near.sum())
+            b += ys[ok[near]].tolist()
+            times += (-apart[near]).tolist()
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "times": times}).drop_duplicates() if a else none
+
+    by = ["cell", "q", "r"]
     left, right = saved(left.select(*cols)), saved(right.select(*cols))
-    return left.select(*cols).groupBy("band", "q", "r").cogroup(right.select(*cols).groupBy("band", "q", "r")).applyInPandas(compare, "a bigint, b bigint").distinct()
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint, times long").distinct()
 
 
 def ngram_join(documents: DataFrame) -> DataFrame:
