@@ -1,42 +1,43 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-A state stands for the last word read. It has one arc for each frequent successor, weighted by its smoothed
-share, and a failure arc, weighted by the backoff mass, to the top state, which has an arc for every word by its
-smoothed frequency and one for unknown words. A text is read once from left to right: the state is carried and
-log10 probabilities add up. A text starts and ends in the state of the end token.
-
-Word and word-pair counts cover every training row, and every word and every pair that occurs twice or more takes
-part in every score. The weights along a text add up: each word gives its top-state weight and, as each word is also
-left once, the weight of its failure arc; each pair that has an arc gives what that arc weighs more than the way over
-the top state. So scores are sums of lookups. The ``MAX_WORDS`` most frequent words and ``MAX_ARCS`` most frequent
-arcs are looked up in place, which saves work and changes no result; all others by joins on 64-bit hashes.
+A state stands for the last two words read, for the last one, or (the top) for none; a state exists where training
+rows have its words. It has an arc for each word that follows it there, weighted by the word's probability smoothed
+towards the next shorter state, and a failure arc to that state, weighted by what its arcs leave. The top state has an
+arc for every word and one for unknown words (the base score). A text starts in the state of the end token and is read
+once from left to right: at each token the state's arc is taken if there is one, else failure arcs first; log10
+probabilities add up. With the count c of the state's words, the share of an n-gram seen n times is
+(n + PRIOR * lower) / (c + PRIOR), so arcs and failure arc add up to one in every state.
+
+Counts cover every training row and all n-grams, those seen once too; the automaton is never held whole. Texts are dealt
+into chunks of about CHUNK_BYTES, and each chunk asks for the counts of its distinct n-grams: their hashes go to buckets
+by range, each bucket adds up what the chunks count in training rows and answers each chunk in the order it asked. A
+chunk then has the part of the automaton that its texts can reach. So a frequent n-gram is one row of each chunk at most, no
+group grows with a word, and what is shuffled is the texts twice, the hashes once and small counts.
 
 Edge cases: a null text is empty and scores its end token alone; a null doc_id belongs to the training
 fold; repeated rows are scored one by one (and counted as often in training); with no training rows every
-token is unknown; other columns are ignored. Words and pairs are told apart by 64-bit hashes.
+token is unknown; other columns are ignored; any character but white space, U+0000 too, is part of a word. Words are
+told apart by 64 bits of hashes, longer n-grams by 48 bits and their bucket's range.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved
+from .common import fold
 
-MAX_WORDS = 300_000
-MAX_ARCS = 1_000_000
-DISCOUNT = 0.5
-PRIOR = 5.0
-BITS = 20
-_FLUSH = 500_000
-_PAIRS = 1_500_000
+ORDER = 3
+PRIOR = (0.0, 300.0, 10.0)  # of one-word and of two-word states; chosen by held-out score
+CHUNK_BYTES = 12_000_000
+BUCKET_BYTES = 4_000_000
+_WIDTH = (8, 6, 6)  # bytes of an n-gram's hash that are sent, by order
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -44,216 +45,169 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(documents: DataFrame) -> DataFrame:
-    """word and n over all given rows; the end token is the empty word."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words], "n": np.fromiter(words.values(), dtype=np.int64, count=len(words))})
-            words.clear()
-            return out
-
-        for b in batches:
-            for x in b.text:
-                words.update(tokens(x))
-            words[b""] += len(b)
-            if len(words) > _FLUSH:
-                yield flush()
-        if words:
-            yield flush()
-
-    return saved(documents.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-
-
-def numbered(texts: list[list[bytes]], known: dict[bytes, int], unknown: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all tokens, end tokens included, and how many each text has."""
-    end = known.get(b"", unknown)
-    found = [[known.get(w, unknown) for w in t] + [end] for t in texts]
-    sizes = np.array([len(x) for x in found], dtype=np.int64)
-    return np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(sizes.sum())), sizes
-
-
-def before(flat: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-    """The state each token is read in: the token before it, at a text's start the end token."""
-    out = np.empty_like(flat)
-    out[1:] = flat[:-1]
-    out[np.cumsum(sizes) - sizes] = end
-    return out
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    """The words' 64-bit hashes, as Spark's xxhash64 gives them."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-
-
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Names a pair by the hashes of its words; _PAIR_KEY is the same in SQL."""
-    return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
-
-
-_PAIR_KEY = "(shiftleft(first, 1) | shiftrightunsigned(first, 63)) ^ second"
-
-
-class Reader:
-    """Numbers and hashes of the tokens of many texts; words without a number share the last one."""
-
-    def __init__(self, names: list[bytes]):
-        self.known = {w: i for i, w in enumerate(names)}
-        self.unknown = len(names)
-        self.hashes = np.append(hashed(names), np.uint64(0))
-        self.end = self.known.get(b"", self.unknown)
-        self.end_hash = xxhash.xxh64_intdigest(b"", 42)
-
-    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, sizes = numbered(texts, self.known, self.unknown)
-        hashes = self.hashes[flat]
-        rare = np.flatnonzero(flat == self.unknown)
-        if len(rare):
-            words = [w for t in texts for w in (*t, b"")]
-            hashes[rare] = hashed([words[i] for i in rare.tolist()])
-        return flat, sizes, hashes
-
-
-def count_pairs(documents: DataFrame, words: list[str]) -> DataFrame:
-    """first and second (hashes of a pair's words) and n over all given rows, for pairs that occur twice or more."""
-    sent = documents.sparkSession.sparkContext.broadcast("\n".join(words))
-
-    # Two numbered words make one long in a; any other pair has its hashes in a and b.
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader([w.encode() for w in sent.value.split("\n")])
-        keys, counts = [], []
-        rare: Counter = Counter()
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-
-        def frame(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"numbered": b is None, "a": a, "b": np.zeros(len(a), dtype=np.int64) if b is None else b, "n": n})
-
-        def rare_frame() -> pd.DataFrame:
-            both = np.array(list(rare), dtype=np.int64).reshape(-1, 2)
-            out = frame(both[:, 0], both[:, 1], np.fromiter(rare.values(), dtype=np.int64, count=len(rare)))
-            rare.clear()
-            return out
-
-        for whole in batches:
-            for lo in range(0, len(whole), 4000):
-                flat, sizes, hashes = reader([tokens(x) for x in whole.text.iloc[lo : lo + 4000]])
-                prev, prev_hash = before(flat, sizes, reader.end), before(hashes, sizes, reader.end_hash)
-                ok = (flat != reader.unknown) & (prev != reader.unknown)
-                rare.update(zip(prev_hash[~ok].view(np.int64).tolist(), hashes[~ok].view(np.int64).tolist(), strict=True))
-                if len(rare) > _FLUSH:
-                    yield rare_frame()
-                k, n = np.unique((prev[ok] << BITS) | flat[ok], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                if sum(map(len, keys)) > 2 * _PAIRS:
-                    k, n = merged()
-                    keys, counts = [k], [n]
-                    if len(k) > _PAIRS:
-                        yield frame(k, None, n)
-                        keys, counts = [], []
-        if keys:
-            k, n = merged()
-            yield frame(k, None, n)
-        if rare:
-            yield rare_frame()
-
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = hashed([w.encode() for w in sent.value.split("\n")]).view(np.int64)
-        for b in batches:
-            packed, a, second = b.numbered.to_numpy(), b.a.to_numpy().copy(), b.b.to_numpy().copy()
-            second[packed] = own[a[packed] & ((1 << BITS) - 1)]
-            a[packed] = own[a[packed] >> BITS]
-            yield pd.DataFrame({"first": a, "second": second, "n": b.n.to_numpy()})
-
-    found = documents.select("text").mapInPandas(run, "numbered boolean, a long, b long, n long").groupBy("numbered", "a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-    return found.mapInPandas(unpacked, "first long, second long, n long")
-
-
-def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-    t = df.select(*names).toArrow()
-    return [t.column(n).to_numpy() for n in names]
-
-
-_ROWS = "row_id long, doc_id bigint, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, tail_n array<int>, pairs array<long>, pairs_n array<int>"
-
-
-def score(documents: DataFrame, held_out: int = 1, mod: int = 5) -> DataFrame:
+class _Hashes(dict):
+    """Hashes of words; the end token is the empty word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams that end at each token, by order, and how many tokens each text has.
+
+    The first token's word pair starts with the end token; it has no longer n-gram (its place holds a hash that no n-gram has).
+    """
+    own, parts, sizes = _Hashes(), [], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        h = [own[w] for w in tokens(text)]
+        h.append(own[b""])
+        sizes[i] = len(h)
+        parts.append(np.array(h, dtype=np.uint64))
+    word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    before = np.roll(word, 1)
+    before[first] = own[b""]
+    pair = _mix(before * _M + word)
+    out = [word, pair]
+    for k in range(2, ORDER):
+        longer = _mix(np.roll(out[-1], 1) * _M + word + np.uint64(k))
+        for skip in range(k - 1):  # no n-gram reaches over a text's start
+            longer[(first + skip)[skip < sizes]] = 0
+        out.append(longer)
+    return out, sizes
+
+
+def _small(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as bytes; those of 255 and more are 255 there and whole in the second part."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype("<i8").tobytes()
+
+
+def _whole(small: bytes, large: bytes) -> np.ndarray:
+    n = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(large, dtype="<i8")
+    return n
+
+
+def _ask(texts: pd.DataFrame, buckets: int) -> Iterator[tuple]:
+    """bucket, the distinct n-grams' hashes by order in ascending order, and their counts in the training rows."""
+    grams, sizes = ngrams(texts.text.tolist())
+    train = np.repeat(~texts.held_out.to_numpy(dtype=bool), sizes)
+    known, counts, cuts = [], [], []
+    for k in grams:
+        seen, n = np.unique(k[train], return_counts=True)
+        every = np.union1d(seen, k[~train])
+        count = np.zeros(len(every), dtype=np.int64)
+        count[np.searchsorted(every, seen)] = n
+        bucket = ((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        known.append(every)
+        counts.append(count)
+        cuts.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)))
+    for b in range(buckets):
+        parts = [slice(c[b], c[b + 1]) for c in cuts]
+        if any(p.start < p.stop for p in parts):
+            yield b, *[k[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].tobytes() for k, p, w in zip(known, parts, _WIDTH, strict=True)], *_small(np.concatenate([c[p] for c, p in zip(counts, parts, strict=True)]))
+
+
+def _hashes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+_ASKED = ["k1", "k2", "k3"]
+
+
+def _totals(asked: pd.DataFrame, orders: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """By order the counts over all chunks of a bucket's n-grams, as asked row after row; how many each row asks for; of order 1 the counts of distinct words."""
+    sizes = [np.array([len(x) // w for x in asked[c]], dtype=np.int64) for c, w in zip(_ASKED, _WIDTH, strict=True)]
+    counts = [_whole(a, b) for a, b in zip(asked.small, asked.large, strict=True)]
+    ends = np.cumsum(np.stack(sizes, axis=1), axis=1)
+    out, words = [], None
+    for k, (column, width) in enumerate(zip(_ASKED[:orders], _WIDTH, strict=False)):
+        n = np.concatenate([c[e[k] - s : e[k]] for c, e, s in zip(counts, ends, sizes[k], strict=True)])
+        _, at = np.unique(_hashes(b"".join(asked[column]), width), return_inverse=True)
+        total = np.bincount(at, weights=n).astype(np.int64)
+        out.append(total[at])
+        words = total if words is None else words
+    return out, sizes, words
+
+
+def probabilities(counts: list[np.ndarray], sizes: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's base probability and of its probability in the automaton."""
+    first = np.cumsum(sizes) - sizes
+    p = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
+    base = np.log10(p)
+    smooth, states = [p], []
+    for k in range(1, len(counts)):  # the state of the k tokens before; its arc is smoothed towards the state below
+        state = np.roll(counts[k - 1], 1)
+        if k == 1:
+            state[first] = counts[0][np.cumsum(sizes) - 1]  # a text starts in the end token's state
+        else:
+            for skip in range(k - 1):
+                state[(first + skip)[skip < sizes]] = 0
+        states.append(state)
+        smooth.append((counts[k] + PRIOR[k] * smooth[-1]) / (state + PRIOR[k]))
+    score, todo = np.zeros(len(p)), np.arange(len(p))
+    for k in range(len(counts) - 1, 0, -1):
+        arc = counts[k][todo] > 0
+        score[todo[arc]] += np.log10(smooth[k][todo[arc]])
+        todo = todo[~arc]
+        score[todo] += np.log10(PRIOR[k] / (states[k - 1][todo] + PRIOR[k]))  # the failure arc
+    score[todo] += base[todo]
+    return base, score
+
+
+_RESULT = "doc_id bigint, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(documents: DataFrame, held_out: int = 1, mod: int = 5, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Learn from the rows outside the held-out fold, then score every row."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text")
-    train = docs.where("not held_out")
-    words = count_words(train)
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = float(n + 0.5 * (v + 1))
-    share = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(size)
-    hashes = words.select("word", F.xxhash64("word").alias("h"), F.col("n").alias("c"))
-    names = _arrays(words.orderBy(F.desc("n"), "word").limit(MAX_WORDS), "word")[0].tolist() if n else []
-
-    # The arcs with their target's share, and of each word the weight of its failure arc.
-    arcs = count_pairs(train, names) if names else spark.createDataFrame([], "first long, second long, n long")
-    arcs = saved(arcs.join(hashes.select(F.col("h").alias("second"), share.alias("share")), "second").select("first", F.expr(_PAIR_KEY).alias("key"), "n", "share"))
-    left = arcs.groupBy(F.col("first").alias("h")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("share").alias("lower"))
-    backoff = F.log10((1 - F.col("taken") / (F.col("c") + PRIOR)) / F.greatest(1 - F.col("lower"), F.lit(1e-12)))
-    states = saved(hashes.join(left, "h", "left").select("word", "h", "c", F.coalesce(backoff, F.lit(0.0)).alias("backoff")))
-    more = F.log10(F.col("n") - DISCOUNT) - F.log10(F.col("c") + PRIOR) - F.log10("share") - F.col("backoff")
-    arcs = saved(arcs.join(states.select(F.col("h").alias("first"), "c", "backoff"), "first").select("key", "n", more.alias("more")))
-    keys, gains = _arrays(arcs.orderBy(F.desc("n"), "key").limit(MAX_ARCS), "key", "more")
-    order = np.argsort(keys)
-    counts, backoffs = _arrays(states.orderBy(F.desc("c"), "word").limit(MAX_WORDS), "c", "backoff")
-    sent = spark.sparkContext.broadcast(("\n".join(names), counts.astype(np.float64), backoffs.astype(np.float64), keys[order], gains[order].astype(np.float64)))
-    all_words, all_arcs = v <= MAX_WORDS, len(keys) < MAX_ARCS
-    floor = float(np.log10(0.5 / size))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts, backoffs, keys, gains = sent.value
-        reader = Reader([w.encode() for w in names.split("\n")] if len(counts) else [])
-        top = np.append(np.log10((counts + 0.5) / size), 0.0)
-        both = top + np.append(backoffs, 0.0)
-        row_id = TaskContext.get().partitionId() << 33
-
-        def distinct(hashes: np.ndarray, wanted: np.ndarray, ends: np.ndarray) -> tuple[list, list]:
-            """Of each text the different hashes that are wanted and how often each occurs."""
-            found = [np.unique(x[w], return_counts=True) for x, w in zip(np.split(hashes, ends), np.split(wanted, ends), strict=True)]
-            return [k for k, _ in found], [c for _, c in found]
-
-        for whole_batch in batches:
-            for lo in range(0, len(whole_batch), 2000):
-                b = whole_batch.iloc[lo : lo + 2000]
-                flat, sizes, hashes = reader([tokens(x) for x in b.text])
-                ends = np.cumsum(sizes)
-                first, hit = ends - sizes, flat != reader.unknown
-                pairs = pair_keys(before(hashes, sizes, reader.end_hash), hashes).view(np.int64)
-                gain, found = np.zeros(len(flat)), np.zeros(len(flat), dtype=bool)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                    found = keys[at] == pairs
-                    gain[found] = gains[at[found]]
-                frame = pd.DataFrame({"row_id": np.arange(row_id, row_id + len(b)), "doc_id": b.doc_id.to_numpy(), "held_out": b.held_out.to_numpy(), "n_tokens": sizes, "known": np.add.reduceat(hit.astype(np.int64), first), "base": np.add.reduceat(top[flat], first), "score": np.add.reduceat(both[flat] + gain, first)})
-                frame["tail"], frame["tail_n"] = distinct(hashes.view(np.int64), ~hit, ends[:-1])
-                frame["pairs"], frame["pairs_n"] = distinct(pairs, ~found & (not all_arcs), ends[:-1])
-                row_id += len(b)
-                yield frame
-
-    rows = saved(docs.mapInPandas(run, _ROWS))
-
-    def exploded(key: str) -> DataFrame:
-        return rows.select("row_id", F.explode(F.arrays_zip(F.col(key).alias("h"), F.col(f"{key}_n").alias("tf"))).alias("w")).select("row_id", "w.h", "w.tf")
-
-    # Words that are not broadcast: their counts and failure arcs come by a join.
-    tail, zero = exploded("tail"), F.lit(0.0)
-    if all_words:
-        tail = tail.groupBy("row_id").agg(F.sum("tf").alias("unknown")).select("row_id", F.lit(0).cast("long").alias("more"), (F.col("unknown") * F.lit(floor)).alias("add"), zero.alias("gain"))
-    else:
-        tail = tail.join(states.select("h", "c", "backoff"), "h", "left").groupBy("row_id").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10(share)).alias("add"), F.sum(F.col("tf") * F.coalesce("backoff", zero)).alias("gain"))
-    if not all_arcs:  # pairs that are not broadcast: a pair without an arc adds nothing
-        met = exploded("pairs").join(arcs.select(F.col("key").alias("h"), F.col("more").alias("arc")), "h").groupBy("row_id").agg(F.sum(F.col("tf") * F.col("arc")).alias("gain"))
-        tail = tail.unionByName(met, allowMissingColumns=True).groupBy("row_id").agg(*[F.sum(x).alias(x) for x in ("more", "add", "gain")])
-    return rows.drop("tail", "tail_n", "pairs", "pairs_n").join(tail, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", zero)).alias("base_score"), (F.col("score") + F.coalesce("add", zero) + F.coalesce("gain", zero)).alias("score"),
-    )
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, buckets = size // chunk_bytes + 1, size // bucket_bytes + 1
+    # rows are dealt in turn, so that copies of a row are dealt evenly too
+    texts = documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).alias("chunk")).repartition("chunk")
+
+    def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in _ask(group, buckets)], columns=["chunk", "bucket", *_ASKED, "small", "large"])
+
+    def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        found, sizes, _ = _totals(asked)
+        parts = [np.split(x, np.cumsum(s)[:-1]) for x, s in zip(found, sizes, strict=True)]
+        rows = [(chunk, key[0], *[y for x in row for y in _small(x)]) for chunk, *row in zip(asked.chunk, *parts, strict=True)]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "s1", "l1", "s2", "l2", "s3", "l3"])
+
+    def add_up(asked: pd.DataFrame) -> pd.DataFrame:
+        words = _totals(asked, 1)[2]
+        return pd.DataFrame({"n": [int(words.sum())], "v": [int((words > 0).sum())]})
+
+    def read(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        answers = answers.sort_values("bucket")
+        grams, sizes = ngrams(group.text.tolist())
+        counts = []
+        for k, x in enumerate(grams, 1):
+            known = np.concatenate([_whole(a, b) for a, b in zip(answers[f"s{k}"], answers[f"l{k}"], strict=True)])
+            counts.append(known[np.searchsorted(np.unique(x), x)])
+            if k == ORDER:
+                counts[-1][x == 0] = 0
+        n, v = int(answers.n.iat[0]), int(answers.v.iat[0])
+        base, full = probabilities(counts, sizes, n, v)
+        first = np.cumsum(sizes) - sizes
+        return pd.DataFrame({
+            "doc_id": group.doc_id.astype("Int64"), "held_out": group.held_out, "n_tokens": sizes, "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), first), "train_tokens": n,
+            "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(full, first),
+        })
+
+    asked = texts.groupBy("chunk").applyInPandas(ask, "chunk long, bucket long, k1 binary, k2 binary, k3 binary, small binary, large binary").repartition("bucket")
+    totals = asked.groupBy("bucket").applyInPandas(add_up, "n long, v long").agg(F.struct(F.sum("n").alias("n"), F.sum("v").alias("v")).alias("totals"))
+    answers = asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, s1 binary, l1 binary, s2 binary, l2 binary, s3 binary, l3 binary")
+    answers = answers.withColumn("totals", totals.scalar()).select("*", "totals.n", "totals.v").drop("totals")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(read, _RESULT)

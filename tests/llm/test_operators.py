@@ -111,46 +111,35 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
     assert got[0] > got[1]
 
 
-def test_lm_tail_words_take_their_counts_by_a_join(spark, monkeypatch):
-    rng = random.Random(3)
-    df = frame(spark, [sentence(rng, 20) for _ in range(40)])
-    want = {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in lm_score.score(df).collect()}
-    monkeypatch.setattr(lm_score, "MAX_WORDS", 5)
-    assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in lm_score.score(df).collect()} == want
-
-
 def test_automaton_equals_the_formula_and_sums_to_one(spark):
     rng = random.Random(5)
-    texts = [sentence(rng, rng.randint(0, 12)) for _ in range(120)] + ["so so so ka", None]
+    texts = [sentence(rng, rng.randint(0, 12)) for _ in range(120)] + ["so so so ka", None, "so\x00so so \x00", "so\x00so so \x00"]
     train = [WORD.findall(t or "") + [""] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["", *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    top = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    arcs = defaultdict(dict)
-    for (h, w), m in pairs.items():
-        if m > 1:
-            arcs[h][w] = (m - 0.5) / (c[h] + 5)
-
-    def p(h, w):
-        own = arcs.get(h, {})
-        return own[w] if w in own else (1 - sum(own.values())) / (1 - sum(map(top, own))) * top(w)
-
-    for h in [*list(c)[:20], "never"]:
-        assert sum(p(h, w) for w in [*c, "unseen"]) == pytest.approx(1)
-    for r in lm_score.score(frame(spark, texts)).collect():
-        t = WORD.findall(texts[r.doc_id] or "") + [""]
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["", *t], t, strict=False)))
-
-
-def test_lm_score_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
-    rng = random.Random(6)
-    texts = [sentence(rng, rng.randint(0, 30)) for _ in range(120)] + [None, "zzz unseen", "so so so ka"]
-    want = {r.doc_id: r for r in lm_score.score(frame(spark, texts)).collect()}
-    monkeypatch.setattr(lm_score, "MAX_WORDS", 3)
-    monkeypatch.setattr(lm_score, "MAX_ARCS", 2)
-    for r in lm_score.score(frame(spark, texts)).collect():
-        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
-        assert (r.base_score, r.score) == pytest.approx((want[r.doc_id].base_score, want[r.doc_id].score))
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip(["", *t], t, strict=False))
+    three = Counter(p for t in train for p in zip(["", *t], t, t[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def p(u, h, w):
+        top = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        low = (two[h, w] + lm_score.PRIOR[1] * top) / (one[h] + lm_score.PRIOR[1])
+        return low if u is None else (three[u, h, w] + lm_score.PRIOR[2] * low) / (two[u, h] + lm_score.PRIOR[2])
+
+    for u, h in [*list(two)[:20], (None, "so"), ("never", "so"), ("so", "never")]:
+        if h:
+            assert sum(p(u, h, w) for w in [*one, "unseen"]) == pytest.approx(1)
+    for settings in ({}, {"chunk_bytes": 300, "bucket_bytes": 100}):  # the same in one chunk and in many
+        for r in lm_score.score(frame(spark, texts), **settings).collect():
+            t = WORD.findall(texts[r.doc_id] or "") + [""]
+            want = sum(math.log10(p(u, h, w)) for u, h, w in zip([None, "", *t], ["", *t], t, strict=False))
+            assert r.score == pytest.approx(want)
+            assert r.n_known == sum(one[w] > 0 for w in t)
+
+
+def test_lm_counts_above_one_byte(spark):
+    rows = lm_score.score(frame(spark, ["aa bb " * 400, "aa bb", "cc"] * 9), chunk_bytes=2000).collect()
+    held = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(27))
+    assert rows[0].train_tokens > 255 and held and all(r.n_known == r.n_tokens for r in rows)
 
 
 def test_lm_edges(spark, edge):
