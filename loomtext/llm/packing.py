@@ -2,8 +2,9 @@
 
 Documents become token ids plus one separator; only those longer than a sequence are cut. Pieces are
 dealt into blocks of bounded size, and each block is packed by vector best-fit: pieces in decreasing
-size take, among the open sequences in which every capacity (tokens, documents, attention cost) still
-holds, the one whose normalized residual vector is smallest after the placement.
+size take, among the open sequences in which every capacity (tokens, documents, attention cost in whole
+tiles) still holds, the one whose residual vector after the placement, each part a share of its capacity,
+has the smallest weighted norm. A sequence holds MAX_DOCS pieces at most, and as many tiles as one full piece.
 
 Edge cases: a null or empty text is one piece of one token (the separator); a null doc_id keeps its rows;
 repeated rows are packed one by one; ties go to the sequence opened first; an empty table gives none.
@@ -25,6 +26,9 @@ from .common import saved
 
 MAX_TOKENS = 2048
 SEPARATOR = 0
+MAX_DOCS = 32
+TILE = 16
+WEIGHTS = (1.0, 0.1, 0.1)  # of the residual tokens, documents and attention tiles, as shares of their capacities
 BLOCK = 16_384
 _ENCODERS: dict = {}
 
@@ -81,40 +85,43 @@ def pieces(documents: DataFrame, path: str | None = None, most: int = MAX_TOKENS
     return documents.select("doc_id", "text").mapInPandas(run, PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def place(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: float) -> tuple[np.ndarray, np.ndarray]:
-    """Vector best-fit: the sequence and offset of each piece. A piece costs its length squared in attention."""
+def attention_cost(length: np.ndarray | int, tile: int = TILE) -> np.ndarray:
+    """Attention tiles of a piece: tiles are square and whole, so a short piece costs more than its share."""
+    return np.ceil(np.asarray(length) / tile) ** 2
+
+
+def place(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: float, tile: int = TILE, weights: tuple = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+    """Vector best-fit: the sequence and offset of each piece."""
     order = np.argsort(-lengths, kind="stable")
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    capacity = np.array([max_tokens, max_docs, max_cost], dtype=np.float64)
+    capacity, weights = np.array([max_tokens, max_docs, max_cost], dtype=np.float64), np.array(weights)
+    needs = np.stack([lengths, np.ones(len(lengths)), attention_cost(lengths, tile)], axis=1)
+    if (needs > capacity).any():
+        raise ValueError(f"a piece of {lengths.max()} tokens exceeds the capacities {capacity.tolist()}")
     left = np.zeros((len(lengths), 3))
     where = np.zeros(len(lengths), dtype=np.int64)  # open sequences, in order of opening
     n_open = opened = 0
-    smallest = int(lengths.min()) if len(lengths) else 0
+    smallest = needs.min(axis=0) if len(lengths) else capacity
     for i in order:
-        need = np.array([lengths[i], 1, float(lengths[i]) ** 2])
-        if (need > capacity).any():
-            raise ValueError(f"a piece of {lengths[i]} tokens exceeds the capacities {capacity.tolist()}")
-        rest = left[:n_open] - need
+        rest = left[:n_open] - needs[i]
         fits = (rest >= 0).all(axis=1)
         if fits.any():
-            # tokens lead: filling them is what leaves the fewest sequences; the other residuals break ties
-            norm = np.where(fits, ((rest / capacity) ** 2) @ np.array([1.0, 1e-6, 1e-6]), np.inf)
-            k = int(norm.argmin())
+            k = int(np.where(fits, ((rest / capacity) ** 2) @ weights, np.inf).argmin())
         else:
             k = n_open
             where[k], left[k] = opened, capacity
             opened, n_open = opened + 1, n_open + 1
         sequence[i], offset[i] = where[k], max_tokens - int(left[k, 0])
-        left[k] -= need
-        if left[k, 0] < smallest or left[k, 1] < 1:
+        left[k] -= needs[i]
+        if (left[k] < smallest).any():  # nothing fits any more
             where[k : n_open - 1], left[k : n_open - 1] = where[k + 1 : n_open].copy(), left[k + 1 : n_open].copy()
             n_open -= 1
     return sequence, offset
 
 
-def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_TOKENS, max_cost: float | None = None, block: int = BLOCK) -> DataFrame:
+def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_DOCS, max_cost: float | None = None, block: int = BLOCK) -> DataFrame:
     """Add sequence_id and offset to pieces. Full pieces take a sequence each; the rest is dealt evenly into blocks of about ``block``."""
-    max_cost = float(max_tokens) ** 2 if max_cost is None else max_cost
+    max_cost = float(attention_cost(max_tokens)) if max_cost is None else max_cost
     parts = saved(parts)
     n = parts.where(F.col("length") < max_tokens).count()
     blocks = max(1, round(n / block))

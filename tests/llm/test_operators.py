@@ -183,7 +183,7 @@ def test_packing_pieces_and_bins(spark):
 def test_vector_capacities_hold():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 700, 400)
-    seq, off = packing.place(lengths, 1000, 4, 600_000.0)
+    seq, off = packing.place(lengths, 1000, 4, 600_000.0, tile=1)
     for s in np.unique(seq):
         own, at = lengths[seq == s], off[seq == s]
         assert own.sum() <= 1000 and len(own) <= 4 and (own.astype(float) ** 2).sum() <= 600_000
@@ -191,6 +191,31 @@ def test_vector_capacities_hold():
         assert (at[order] == np.cumsum(own[order]) - own[order]).all()
 
 
+def test_each_production_capacity_binds(spark):
+    def sequences(lengths):
+        found = packing.pack(spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES))
+        return sorted(r["count"] for r in found.groupBy("sequence_id").count().collect())
+
+    assert sequences([1024, 1025]) == [1, 1]  # tokens
+    assert sequences([1] * 40) == [8, 32]  # documents
+    assert sequences([2040, 3]) == [1, 1]  # attention: 2040 tokens fill all tiles
+    assert sequences([2000, 3]) == [2]
+
+
+def test_ids_are_those_of_the_named_library(spark):
+    """The ids come from another library over the same vocabulary: hold them against the named one on texts of all kinds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    alphabets = ["ab ", "  \n\t\r\x0b\x0c\u00a0\u2003\u3000", "don't we'll I'M 'S 'd ", "0123456789 ,.", "éüßñçÀ ", "中文日本語한국어 ", "😀👍🏽\u200d\ufe0f ", "\x00\x01\x7f\x80\x85\ufffd\ufeff ", "e\u0301\u0327 ", "ⅧⅷⅠ²½٣९ ", "<|endoftext|> ", "אבג ابج हिन्दी ไทย "]
+    texts = ["".join(rng.choice("".join(rng.sample(alphabets, rng.randint(1, 3)))) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "a<|endoftext|>b <|endoftext|> <|endoftext", " <|endoftext|>\n\n"] + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    named, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.vocabulary_path())
+    for text, want in zip(texts, named.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text, allowed_special="all") == want.ids, repr(text)
+
+
 def test_vector_capacity_errors():
     with pytest.raises(ValueError):
         packing.place(np.array([900]), 1000, 4, 10.0)
