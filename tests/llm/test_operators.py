@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -404,6 +405,46 @@ def test_quality_on_labels(spark, sf):
     assert ids(quality.keep_good(docs, model)) == ids(quality.quality_rules(docs, model).where("kept"))
 
 
+def test_forward_backward_equals_all_paths():
+    rng = np.random.default_rng(4)
+    emit, trans = rng.normal(size=(2, 5, 2)), rng.normal(size=(2, 2))
+    mask = np.array([[1.0] * 5, [1.0] * 3 + [0.0] * 2])
+    node, edge, z = quality.forward_backward(emit * mask[:, :, None], mask, trans)
+    want_edge = np.zeros((2, 2))
+    for i, n in enumerate((5, 3)):
+        paths = list(itertools.product((0, 1), repeat=n))
+        weight = np.array([np.exp(sum(emit[i, k, y] for k, y in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p))) for p in paths])
+        assert z[i] == pytest.approx(math.log(weight.sum()))
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for a, b in itertools.pairwise(p):
+                want_edge[a, b] += w
+        for k in range(n):
+            assert node[i, k, 1] == pytest.approx(sum(w for p, w in zip(paths, weight, strict=True) if p[k]) / weight.sum())
+    assert edge == pytest.approx(want_edge)
+
+
+def test_labels_change_within_documents(spark, sf):
+    """Repeated lines and bad lines inside good documents are marked, and held-out documents are judged by their labels."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trained = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
+    model = quality.fit(docs, trained)
+    good = "The and attion of the ndere in a text. Thand erin to ontion the.\nAnother line of the andere text stands here, and is of some length."
+    bad = "BUY!! NOW!! CHEAP!! $$$ CLICK!! HERE!! ### *** NOW!!"
+    lines = f"{good}\n{bad}\n{bad} MORE!!\n{good} End."
+    rows = quality.line_features(lines.split("\n"), model["known"])
+    assert quality.viterbi(rows @ model["w"], model["trans"]).tolist() == [True, True, False, False, True, True]
+    got = quality.quality_rules(docs, model)
+    assert got.where("n_content_lines > 0 and n_content_lines < n_lines").count() > 50
+    held = got.join(lab, "doc_id").join(trained.select("doc_id"), "doc_id", "left_anti").where("not base_failed").collect()
+    assert len(held) > 100 and sum((r.quality == 1) == r.kept for r in held) / len(held) > 0.95
+
+
+def test_repeated_lines_of_copies_are_no_boilerplate():
+    copies = [np.arange(10 * i, 10 * i + 10) for i in range(3)] + [np.arange(100, 110)] * 5
+    notice = [np.append(d, 7777) for d in copies[:3]]
+    assert quality.repeated_lines(notice + copies[3:]) == {7777}
+
+
 def test_quality_edges(spark, edge, labels):
     model = quality.fit(edge, labels)
     assert ids(quality.quality_rules(edge, model)) == ALL_IDS and quality.keep_good(edge, model).columns == edge.columns
