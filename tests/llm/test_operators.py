@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -363,7 +364,39 @@ def test_secret_spans(spark, labels):
 def test_secret_edges(spark, edge, labels):
     model = secret_scan.fit(edge, labels)
     assert ids(secret_scan.scan(edge, model)) == ALL_IDS and secret_scan.scan(edge.limit(0), model).count() == 0
-    assert len(secret_scan.fit(edge.limit(0), labels.limit(0))) == len(secret_scan.ALPHABET) ** 2
+    assert secret_scan.fit(edge.limit(0), labels.limit(0))["threshold"] == secret_scan.THRESHOLD
+
+
+def test_secrets_beyond_the_patterns(spark):
+    """Held-out random keys of every length are found, held-out identifiers are not; the ratio is the models' sum over transitions."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = secret_scan.fit(docs, lab)
+    assert model["recall"] > 0.99 and model["false_alarms"] < 0.001
+    rng = random.Random(21)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for n in range(secret_scan.MIN_TOKEN, 60)]
+    plain = ["thenameofthisfield", "numberOfOpenConnections", "src/main/resources/config", "max_retry_count_2", "long-running-process", "2024-05-17-report", "HTTP_REQUEST_TIMEOUT"]
+    for group, share in ((keys, 0.95), (plain, 0.0)):
+        text = "start " + " . ".join(group) + " end"
+        spans = secret_scan.scan(frame(spark, [text]), model).first().spans
+        found = {text[int(s) : int(e)] for _, s, e in (x.split(":") for x in filter(None, spans.split(",")))}
+        assert found <= set(group) and len(found) >= share * len(group) and (share or not found)
+    token, ratios = keys[9], model["ratios"]
+    want = sum(ratios[ord(a) * 128 + ord(b)] for a, b in itertools.pairwise(token))
+    assert spark.range(1).select(F.expr(secret_scan._ratio(f"'{token}'", ratios))).first()[0] == pytest.approx(want)
+
+
+def test_a_wide_span_over_a_base_span_stays_and_a_covered_one_goes(spark, labels):
+    model = {"ratios": [1.0] * 128 * 128, "threshold": 4.0}
+    run = "0123456789abcdef" * 2
+    got = secret_scan.scan(frame(spark, [f"ZZZZ{run}ZZZZ", f"token={run}"]), model).orderBy("doc_id").collect()
+    assert got[0].spans == "markov:0:40,hex:4:36" and got[1].spans == "assign:0:38,hex:6:38"
+
+
+def test_long_tokens_and_many_matches_take_time_in_proportion(spark):
+    model = {"ratios": [1.0] * 128 * 128, "threshold": 4.0}
+    rows = secret_scan.scan(frame(spark, ["a1B2" * 50_000, "key_ab12CD34ef56 " * 20_000, "password=abcdef " * 20_000]), model).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.n_markov) for r in rows] == [(0, 1), (0, 20_000), (20_000, 0)]
+    assert rows[2].spans.endswith(f"assign:{16 * 19_999}:{16 * 20_000 - 1}")
 
 
 # --- op8 -------------------------------------------------------------------------------------------------------
