@@ -258,24 +258,24 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where("coalesce(la, a) <> coalesce(lb, b)").drop("la", "lb")
 
 
-def _picked(pairs: DataFrame) -> DataFrame:
-    """For each class of the pairs its partner with most agreements and its smallest one: at most two pairs a class."""
+def _picked(pairs: DataFrame, spread: int = 1) -> DataFrame:
+    """For each class of the pairs its partner with most agreements and its smallest one, in each of ``spread`` parts of its partners."""
     both = pairs.select("a", "b", "times").union(pairs.select("b", "a", "times"))
-    best = both.groupBy("a").agg(F.array_distinct(F.array(F.max_by("b", F.struct("times", "b")), F.min("b"))).alias("partners")).select("a", F.explode("partners").alias("b"))
+    best = both.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("part")).agg(F.array_distinct(F.array(F.max_by("b", F.struct("times", "b")), F.min("b"))).alias("partners")).select("a", F.explode("partners").alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _joined(pairs: DataFrame, edges: DataFrame, label: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges and labels with the links that join components: one or two pairs for each class join most groups, then what is left between groups is verified."""
-    pairs = saved(_across(pairs, label))
-    if pairs.limit(1).count() == 0:
-        return edges, label
+    """edges and labels with the links of pairs between different components: one or two pairs for each class join most groups, then what is left between groups is verified."""
     for chosen in (_picked, lambda left: left.select("a", "b")):
+        if pairs.limit(1).count() == 0:
+            break
         more = saved(_verified(chosen(pairs), sets))
         if more.limit(1).count():
             edges = saved(edges.union(more))
             label = components(edges)
-            pairs = saved(_across(pairs, label))
+            if chosen is _picked:
+                pairs = saved(_across(pairs, label))
     return edges, label
 
 
@@ -306,7 +306,7 @@ def linked_components(documents: DataFrame) -> DataFrame:
     met = met.join(hot_a, ["a", "low"], "left").join(hot_b, ["b", "low_b"], "left")
     met = met.where("times >= greatest(spare - coalesce(hot_a, 0), spare_b - coalesce(hot_b, 0))")
     pairs = saved(met.groupBy("a", "b").agg(F.max("times").alias("times")))
-    first = saved(_picked(pairs.unionByName(_picked(hot).withColumn("times", F.lit(0).cast("long")))))
+    first = saved(_picked(pairs).union(_picked(hot, 4)).distinct())
 
     # The sets of all classes in a pair, and of the unsafe ones, which also get whole sketches.
     names = pairs.select("a", "b").union(first).select(F.explode(F.array("a", "b")).alias("sig")).union(unsafe.select("sig")).distinct()
@@ -321,7 +321,8 @@ def linked_components(documents: DataFrame) -> DataFrame:
 
     sets = saved(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, bits array<long>"))
     edges = saved(_verified(first, sets))
-    edges, label = _joined(pairs, edges, components(edges), sets)
+    label = components(edges)
+    edges, label = _joined(saved(_across(pairs, label)), edges, label, sets)
     tagged = saved(unsafe.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     edges, label = _joined(saved(_unsafe_pairs(tagged, sets)), edges, label, sets)
 
