@@ -17,11 +17,12 @@ group grows with a word, and what is shuffled is the texts twice, the hashes onc
 Edge cases: a null text is empty and scores its end token alone; a null doc_id belongs to the training
 fold; repeated rows are scored one by one (and counted as often in training); with no training rows every
 token is unknown; other columns are ignored; any character but white space, U+0000 too, is part of a word. Words are
-told apart by 64 bits of hashes, longer n-grams by 48 bits and their bucket's range.
+told apart by 63 bits of hashes, longer n-grams by 40 bits within a bucket, which holds a million or so.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,6 @@ ORDER = 3
 PRIOR = (0.0, 300.0, 10.0)  # of one-word and of two-word states; chosen by held-out score
 CHUNK_BYTES = 12_000_000
 BUCKET_BYTES = 4_000_000
-_WIDTH = (8, 6, 6)  # bytes of an n-gram's hash that are sent, by order
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +61,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    return x & ~np.uint64(1)
+
+
 def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that end at each token, by order, and how many tokens each text has.
 
@@ -72,14 +76,14 @@ def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         h.append(own[b""])
         sizes[i] = len(h)
         parts.append(np.array(h, dtype=np.uint64))
-    word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    word = _even(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
     first = np.cumsum(sizes) - sizes
     before = np.roll(word, 1)
-    before[first] = own[b""]
-    pair = _mix(before * _M + word)
+    before[first] = np.uint64(own[b""] & ~1)
+    pair = _even(_mix(before * _M + word))
     out = [word, pair]
     for k in range(2, ORDER):
-        longer = _mix(np.roll(out[-1], 1) * _M + word + np.uint64(k))
+        longer = _even(_mix(np.roll(out[-1], 1) * _M + word + np.uint64(k)))
         for skip in range(k - 1):  # no n-gram reaches over a text's start
             longer[(first + skip)[skip < sizes]] = 0
         out.append(longer)
@@ -87,56 +91,82 @@ def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _small(n: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as bytes; those of 255 and more are 255 there and whole in the second part."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype("<i8").tobytes()
+    """Counts as packed bytes; those of 255 and more are 255 there and whole in the second part."""
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes(), 1), n[n >= 255].astype("<i8").tobytes()
 
 
 def _whole(small: bytes, large: bytes) -> np.ndarray:
-    n = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+    n = np.frombuffer(zlib.decompress(small), dtype=np.uint8).astype(np.int64)
     n[n == 255] = np.frombuffer(large, dtype="<i8")
     return n
 
 
+def _packed(place: np.ndarray) -> bytes:
+    """Ascending places of 40 bits as their 32-bit differences where these are small enough, else as 5 bytes each."""
+    step = np.diff(place, prepend=np.uint64(0))
+    if len(place) > 64 and step[1:].max() < 2**32:
+        return place[:1].tobytes() + step[1:].astype("<u4").tobytes()
+    return place.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    if len(blob) == 5 * n:
+        out = np.zeros((n, 8), dtype=np.uint8)
+        out[:, :5] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
+        return out.view("<u8").ravel()
+    return np.cumsum(np.concatenate((np.frombuffer(blob[:8], dtype="<u8"), np.frombuffer(blob[8:], dtype="<u4"))), dtype=np.uint64)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, dtype=np.int64)
+
+
 def _ask(texts: pd.DataFrame, buckets: int) -> Iterator[tuple]:
-    """bucket, the distinct n-grams' hashes by order in ascending order, and their counts in the training rows."""
+    """bucket, its distinct n-grams of each order (words by hash, longer ones by their 40-bit place in the bucket) and how many, and their counts in the training rows."""
     grams, sizes = ngrams(texts.text.tolist())
-    train = np.repeat(~texts.held_out.to_numpy(dtype=bool), sizes)
-    known, counts, cuts = [], [], []
-    for k in grams:
-        seen, n = np.unique(k[train], return_counts=True)
-        every = np.union1d(seen, k[~train])
-        count = np.zeros(len(every), dtype=np.int64)
-        count[np.searchsorted(every, seen)] = n
-        bucket = ((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        known.append(every)
-        counts.append(count)
-        cuts.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)))
+    train = np.repeat(~texts.held_out.to_numpy(dtype=bool), sizes).astype(np.uint64)
+    words, places, counts, cuts = None, [], [], []
+    for k, x in enumerate(grams):
+        if k:
+            live = x != 0
+            x, flag = x[live], train[live]
+        else:
+            flag = train
+        x = np.sort(x | flag)  # the lowest bit tells training rows
+        start = _starts(x >> np.uint64(1))
+        every = x[start] & ~np.uint64(1)
+        counts.append(np.add.reduceat((x & np.uint64(1)).astype(np.int64), start) if len(start) else np.zeros(0, dtype=np.int64))
+        high, low, n = every >> np.uint64(32), every & np.uint64(0xFFFFFFFF), np.uint64(buckets)
+        place = ((high * n) << np.uint64(8)) + ((low * n) >> np.uint64(24))  # the hash over all buckets of 40 bits each
+        cuts.append(np.searchsorted(place >> np.uint64(40), np.arange(buckets + 1, dtype=np.uint64)))
+        places.append(place & np.uint64(2**40 - 1))
+        words = every if k == 0 else words
     for b in range(buckets):
-        parts = [slice(c[b], c[b + 1]) for c in cuts]
-        if any(p.start < p.stop for p in parts):
-            yield b, *[k[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].tobytes() for k, p, w in zip(known, parts, _WIDTH, strict=True)], *_small(np.concatenate([c[p] for c, p in zip(counts, parts, strict=True)]))
-
-
-def _hashes(blob: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(blob) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+        one, two, three = (slice(c[b], c[b + 1]) for c in cuts)
+        if any(p.start < p.stop for p in (one, two, three)):
+            yield b, words[one].tobytes(), _packed(places[1][two]), _packed(places[2][three]), one.stop - one.start, two.stop - two.start, three.stop - three.start, *_small(np.concatenate((counts[0][one], counts[1][two], counts[2][three])))
 
 
-_ASKED = ["k1", "k2", "k3"]
+_ASKED = ["k1", "k2", "k3", "m1", "m2", "m3", "small", "large"]
 
 
 def _totals(asked: pd.DataFrame, orders: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """By order the counts over all chunks of a bucket's n-grams, as asked row after row; how many each row asks for; of order 1 the counts of distinct words."""
-    sizes = [np.array([len(x) // w for x in asked[c]], dtype=np.int64) for c, w in zip(_ASKED, _WIDTH, strict=True)]
+    sizes = [asked[f"m{k}"].to_numpy(dtype=np.int64) for k in range(1, ORDER + 1)]
     counts = [_whole(a, b) for a, b in zip(asked.small, asked.large, strict=True)]
     ends = np.cumsum(np.stack(sizes, axis=1), axis=1)
     out, words = [], None
-    for k, (column, width) in enumerate(zip(_ASKED[:orders], _WIDTH, strict=False)):
+    for k in range(orders):
         n = np.concatenate([c[e[k] - s : e[k]] for c, e, s in zip(counts, ends, sizes[k], strict=True)])
-        _, at = np.unique(_hashes(b"".join(asked[column]), width), return_inverse=True)
-        total = np.bincount(at, weights=n).astype(np.int64)
-        out.append(total[at])
+        blobs = asked[f"k{k + 1}"]
+        hashes = np.concatenate([_unpacked(x, m) for x, m in zip(blobs, sizes[k], strict=True)]) if k else np.frombuffer(b"".join(blobs), dtype="<u8")
+        order = np.argsort(hashes)
+        start = _starts(hashes[order])
+        total = np.add.reduceat(n[order], start) if len(start) else np.zeros(0, dtype=np.int64)
+        back = np.empty(len(n), dtype=np.int64)
+        back[order] = np.repeat(total, np.diff(np.append(start, len(n))))
+        out.append(back)
         words = total if words is None else words
     return out, sizes, words
 
@@ -177,7 +207,7 @@ def score(documents: DataFrame, held_out: int = 1, mod: int = 5, chunk_bytes: in
     texts = documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).alias("chunk")).repartition("chunk")
 
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in _ask(group, buckets)], columns=["chunk", "bucket", *_ASKED, "small", "large"])
+        return pd.DataFrame([(key[0], *x) for x in _ask(group, buckets)], columns=["chunk", "bucket", *_ASKED])
 
     def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
         found, sizes, _ = _totals(asked)
@@ -195,9 +225,13 @@ def score(documents: DataFrame, held_out: int = 1, mod: int = 5, chunk_bytes: in
         counts = []
         for k, x in enumerate(grams, 1):
             known = np.concatenate([_whole(a, b) for a, b in zip(answers[f"s{k}"], answers[f"l{k}"], strict=True)])
-            counts.append(known[np.searchsorted(np.unique(x), x)])
-            if k == ORDER:
-                counts[-1][x == 0] = 0
+            live = np.flatnonzero(x) if k > 1 else np.arange(len(x))
+            x = x[live]
+            order = np.argsort(x)
+            start = _starts(x[order])
+            count = np.zeros(int(sizes.sum()), dtype=np.int64)
+            count[live[order]] = np.repeat(known, np.diff(np.append(start, len(live))))
+            counts.append(count)
         n, v = int(answers.n.iat[0]), int(answers.v.iat[0])
         base, full = probabilities(counts, sizes, n, v)
         first = np.cumsum(sizes) - sizes
@@ -206,7 +240,7 @@ def score(documents: DataFrame, held_out: int = 1, mod: int = 5, chunk_bytes: in
             "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(full, first),
         })
 
-    asked = texts.groupBy("chunk").applyInPandas(ask, "chunk long, bucket long, k1 binary, k2 binary, k3 binary, small binary, large binary").repartition("bucket")
+    asked = texts.groupBy("chunk").applyInPandas(ask, "chunk long, bucket long, k1 binary, k2 binary, k3 binary, m1 int, m2 int, m3 int, small binary, large binary").repartition("bucket")
     totals = asked.groupBy("bucket").applyInPandas(add_up, "n long, v long").agg(F.struct(F.sum("n").alias("n"), F.sum("v").alias("v")).alias("totals"))
     answers = asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, s1 binary, l1 binary, s2 binary, l2 binary, s3 binary, l3 binary")
     answers = answers.withColumn("totals", totals.scalar()).select("*", "totals.n", "totals.v").drop("totals")
