@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, sized
 
 LENGTH = 400
 K = 32
 BLOCK_BYTES = 3_000_000
 HOT = 1500
+PASSAGE = 50
 _PART = 1_000_000
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -374,10 +375,19 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     return rows.select("dk", "ah", "sh", "a").join(spans, ["ah", "sh"]).select("dk", F.explode(F.transform("spans", lambda x: F.struct((x.s + F.col("a")).alias("s"), (x.e + F.col("a")).alias("e")))).alias("span"))
 
 
+def repeated_passages(keyed: DataFrame, min_words: int = PASSAGE) -> DataFrame:
+    """passage_dk and n_passages: how many lines of more than ``min_words`` words a row shares with rows of another id or text, whatever their length in bytes."""
+    lines = keyed.where("text is not null").select("dk", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.where(F.size(F.split(F.trim("line"), r"[\x20\x09-\x0D]+")) > min_words).select("dk", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
+    again = saved(lines.groupBy("k1", "k2").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).where("x <> y").select("k1", "k2"))
+    return lines.join(sized(again), ["k1", "k2"], "left_semi").groupBy(F.col("dk").alias("passage_dk")).agg(F.count("*").alias("n_passages"))
+
+
 def _cut(documents: DataFrame, length: int, **settings) -> DataFrame:
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
     lists = removed_spans(keyed, length, **settings).groupBy(F.col("dk").alias("span_dk")).agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    return keyed.join(lists, F.col("dk") == F.col("span_dk"), "left").select("doc_id", "text", "spans")
+    found = keyed.join(lists, F.col("dk") == F.col("span_dk"), "left").join(repeated_passages(keyed), F.col("dk") == F.col("passage_dk"), "left")
+    return found.select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -393,20 +403,23 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH, **settings) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, the spans as arrays and the kept bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, the spans as arrays, whether it repeats a passage, and the kept bytes.
+
+    repeats: bytes are removed, or a line of more than PASSAGE words stands in another document too (which may be shorter than ``length`` bytes and then stays).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc_id, text, spans in zip(b.doc_id, b.text, b.spans, strict=True):
+            for doc_id, text, spans, passages in zip(b.doc_id, b.text, b.spans, b.n_passages, strict=True):
                 raw, runs, at, kept = (text or "").encode(), merged(spans), 0, []
                 for s, e in runs:
                     kept.append(raw[at:s])
                     at = e
                 kept = b"".join([*kept, raw[at:]])
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [s for s, _ in runs], [e for _, e in runs], kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept"])
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [s for s, _ in runs], [e for _, e in runs], bool(runs or passages), kept))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "repeats", "kept"])
             frame["doc_id"] = frame.doc_id.astype("Int64")
             yield frame
 
-    return _cut(documents, length, **settings).mapInPandas(run, "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, kept binary")
+    return _cut(documents, length, **settings).mapInPandas(run, "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, repeats boolean, kept binary")

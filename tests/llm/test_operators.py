@@ -86,6 +86,13 @@ def test_suffix_dedup_is_exact(spark, hot):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.starts) == r.n_spans for r in got)
 
 
+def test_shared_passages_shorter_than_the_cut_are_told(spark):
+    passage = " ".join(["on"] * 51)
+    texts = [f"a\n{passage}\nb", f"c\n{passage}", f"{passage}\n{passage}x", "d\n" + " ".join(["on"] * 50), "e\n" + " ".join(["on"] * 50), None, ""]
+    rows = suffix_dedup.suffix_dedup(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.repeats for r in rows] == [True, True, True, False, False, False, False] and not any(r.n_removed for r in rows)
+
+
 def test_suffix_dedup_edges(spark, edge):
     assert ids(suffix_dedup.suffix_dedup(edge)) == ALL_IDS
     assert suffix_dedup.suffix_dedup(edge.limit(0)).count() == 0
