@@ -29,7 +29,9 @@ MAX_WORDS = 100_000
 MAX_GRAMS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 _FLUSH = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters by Unicode category: word characters that are no digits, numerals (such as \u00b2 or \u2167) or underscores.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words_of(text: str) -> list[str]:

@@ -77,7 +77,7 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     pairs = variants.join(groups, "key").select("k1", "k2", "first", witness.alias("w")).where("w is not null and w.first < first")
     pairs = pairs.select("k1", "k2", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2")).distinct()
     near = pairs.join(texts.select("k1", "k2", "line"), ["k1", "k2"]).join(texts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("line").alias("other")), ["w1", "w2"])
-    near = saved(near.where(F.levenshtein("line", "other") <= 1).select("k1", "k2", F.lit(True).alias("near")).distinct())
+    near = saved(near.where(F.levenshtein("line", "other", 1) >= 0).select("k1", "k2", F.lit(True).alias("near")).distinct())
 
     marked = firsts.select("k1", "k2", "first").join(near, ["k1", "k2"], "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     every = _lines(documents).select("doc_id", "dk", "ln", *_key()).join(marked, ["k1", "k2"])

@@ -297,6 +297,52 @@ def test_language_id_keeps_the_ngrams_of_a_rare_language(spark, monkeypatch):
     assert langid.identify(docs, langid.fit(docs)).where("doc_id = 1000").first().lang_pred == "qq"
 
 
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    for c in map(chr, range(0x110000)):
+        assert bool(langid.words_of(c)) == any(unicodedata.category(x)[0] == "L" for x in c.lower()), hex(ord(c))
+
+
+def test_unseen_words_back_off_to_shorter_ngrams(spark):
+    """The whole prediction against a plain version: known words by their shares, others by the longest known n-grams."""
+    rng = random.Random(9)
+    texts = {"xx": [" ".join(rng.choice(["kala", "milo", "sonu"]) for _ in range(6)) for _ in range(30)], "yy": [" ".join(rng.choice(["brot", "trug", "kalt"]) for _ in range(6)) for _ in range(30)]}
+    rows = [(i, t, lang, "s", 0) for i, (lang, t) in enumerate((x, t) for x in texts for t in texts[x])] + [(100, "kalami bro zz", None, "s", 0), (101, "trugbrot milos", None, "s", 0)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA), langid.fit(spark.createDataFrame(rows, SCHEMA))).collect()}
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for i, t, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            words[lang].update(t.split())
+    for lang, c in words.items():
+        for w, n in c.items():
+            for order in langid.ORDERS:
+                for g in langid.grams_of(w, order):
+                    grams[lang, order][g] += n
+    kinds = {o: len({g for x in words for g in grams[x, o]}) for o in langid.ORDERS}
+    every = {w for x in words for w in words[x]}
+
+    def share(n, total, kinds):
+        return math.log((n + 0.1) / (max(total, 1) + 0.1 * (kinds + 1)))
+
+    def value(w, lang):
+        if w in every:
+            return share(words[lang][w], sum(words[lang].values()), len(every))
+        marked, out = f"^{w}$", []
+        for i in range(len(marked)):
+            for o in langid.ORDERS:
+                g = marked[i : i + o]
+                if len(g) == o and any(g in grams[x, o] for x in words):
+                    out.append(share(grams[lang, o][g], sum(grams[lang, o].values()), kinds[o]))
+                    break
+        return sum(out) / len(out) if out else 0.0
+
+    for doc_id, text in ((100, "kalami bro zz"), (101, "trugbrot milos")):
+        s = {x: sum(value(w, x) for w in text.split()) for x in words}
+        best = max(s, key=s.get)
+        assert got[doc_id].lang_pred == best and got[doc_id].score == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s.values()))
+
+
 def test_language_id_edges(spark, edge):
     got = langid.identify(edge, langid.fit(edge))
     assert ids(got) == ALL_IDS
