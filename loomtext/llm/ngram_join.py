@@ -359,7 +359,7 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
     kept = saved(keys.join(counts, "key").withColumn("place", place).where("place <= take and members > 1").select("key", "sig", "label", "n"))
     groups = kept.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels"))
     kept = saved(kept.join(groups.where("labels > 1").drop("labels"), "key"))
-    buckets = kept.count() // CHUNK + 1
+    buckets = kept.count() // (16 * CHUNK) + 1  # few cells, so that a pair that meets in many blocks comes from few of them
     bits, chunks, cols = sets.select("sig", "bits"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits"]
     cell = F.when(F.col("members") <= CHUNK, F.pmod("key", F.lit(buckets))).otherwise(F.col("key"))  # small groups share a cell, a large one has a cell for each pair of chunks
     kept = kept.join(bits, "sig").select("*", cell.alias("cell"), F.pmod(F.xxhash64("sig"), chunks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
