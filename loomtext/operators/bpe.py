@@ -1,14 +1,18 @@
-"""Byte-pair encoding: as a fold of literal replacements, or as a helper over distinct pre-tokens that are joined back."""
+"""Byte-pair encoding: as a fold of literal replacements, or as a helper over the distinct pre-tokens of Arrow batches."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+
+from ..functions.text import LOWER_BAR
 
 OPEN, CLOSE = "⟨", "⟩"
 WORD_END = "</w>"
@@ -62,58 +66,66 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int], end: str = "") -> l
     return [s for s in symbols if s]
 
 
-def word_tokens(words: DataFrame, ranks: dict[tuple[str, str], int], end: str = "") -> DataFrame:
-    """word and tokens, for a column of distinct words; the merge table is a fixed vocabulary file, so it may be broadcast."""
-    sent = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value
-        for b in batches:
-            yield pd.DataFrame({"word": b.word, "tokens": [merge_word(w, table, end) for w in b.word]})
-
-    return words.select("word").mapInPandas(run, "word string, tokens array<string>")
-
+def subwords(words: Column, one: Callable[[str], list[str]], vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
+    """tokens, and with a vocabulary their ids, of arrays of pre-tokens: each row by itself, in one narrow pass.
 
-def tokens_by_distinct(df: DataFrame, key: Sequence[str], words: str, ranks: dict[tuple[str, str], int], end: str = "") -> DataFrame:
-    """key and the sub-words of an array of pre-tokens: each distinct pre-token is merged once and joined back.
-
-    Partial aggregation collapses the frequent words before the shuffle. On the way back the words stay one row per
-    position, so a very frequent word is a skewed join key, which adaptive execution splits.
+    An Arrow batch's pre-tokens are dictionary-encoded, so ``one`` splits each distinct one once, and a worker keeps its
+    results between batches. A null row stays null; an unknown token takes unk_id, without one it is an error.
     """
-    flat = df.select(*key, F.posexplode(words).alias("pos_", "word_"))
-    merged = word_tokens(flat.select(F.col("word_").alias("word")).distinct(), ranks, end).select(F.col("word").alias("word_"), F.col("tokens").alias("tokens_"))
-    back = flat.join(merged, "word_").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos_", "tokens_"))).alias("t_"))
-    out = back.select(*key, F.flatten(F.col("t_.tokens_")).alias("tokens"))
-    none = F.array().cast("array<string>")
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    return df.select(*key).alias("d").join(out.alias("o"), cond, "left").select(*[F.col(f"d.{k}") for k in key], F.coalesce("tokens", none).alias("tokens"))
-
-
-def tokens_in_place(words: Column, ranks: dict[tuple[str, str], int], end: str = ""):
-    """The same without a shuffle: a Pandas UDF over arrays of pre-tokens with a cache of merged words per worker."""
-    cache: dict[str, list[str]] = {}
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        out = []
-        for row in s:
-            tokens: list[str] = []
-            for w in row if row is not None else ():
-                t = cache.get(w)
-                if t is None:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    t = cache[w] = merge_word(w, ranks, end)
-                tokens += t
-            out.append(tokens if row is not None else None)
-        return pd.Series(out)
+    cache: dict[str, int] = {}
+    parts: list[np.ndarray] = []
+    names: dict[str, int] = {}
+    ids: list[int] = []
+
+    def number(token: str) -> int:
+        if token not in names:
+            names[token] = len(names)
+            if vocab is not None:
+                i = vocab.get(token, unk_id)
+                if i is None:
+                    raise ValueError(f"unknown token: {token}")
+                ids.append(i)
+        return names[token]
+
+    @F.arrow_udf("struct<tokens:array<string>, ids:array<int>>")
+    def run(rows: pa.Array) -> pa.Array:
+        if len(parts) > 500_000:
+            for kept in (cache, parts, names, ids):
+                kept.clear()
+        null = rows.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = rows.flatten().dictionary_encode()
+        place = np.empty(len(flat.dictionary), dtype=np.int64)
+        for i, word in enumerate(flat.dictionary.to_pylist()):
+            k = cache.get(word)
+            if k is None:
+                k = cache[word] = len(parts)
+                parts.append(np.array([number(t) for t in one(word)], dtype=np.int64))
+            place[i] = k
+        used, at = np.unique(place, return_inverse=True)
+        pieces = [parts[k] for k in used.tolist()]
+        lengths = np.array([len(x) for x in pieces], dtype=np.int64)
+        table, starts = (np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)), np.cumsum(lengths) - lengths
+        word = at[flat.indices.to_numpy()] if len(flat) else np.zeros(0, dtype=np.int64)
+        n = lengths[word]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        token = table[np.repeat(starts[word], n) + within]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
+        offsets, mask = pa.array(ends.astype(np.int32)), pa.array(null)
+        known, back = np.unique(token, return_inverse=True)
+        every = list(names)
+        strings = pa.DictionaryArray.from_arrays(pa.array(back.astype(np.int32)), pa.array([every[k] for k in known.tolist()], pa.string())).cast(pa.string())
+        numbers = pa.array(np.array(ids, dtype=np.int32)[token] if vocab is not None else np.zeros(len(token), dtype=np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, strings, mask=mask), pa.ListArray.from_arrays(offsets, numbers, mask=mask)], names=["tokens", "ids"])
 
     return run(words)
 
 
+def merged_words(words: Column, ranks: dict[tuple[str, str], int], end: str = "", vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
+    """tokens and ids of arrays of pre-tokens by a merge table."""
+    return subwords(words, lambda w: merge_word(w, ranks, end), vocab, unk_id)
+
+
 def piece_tokens(text: str, scores: dict[str, float], unknown: str = "<unk>") -> list[str]:
     """Scored pieces: the adjacent pair whose union scores highest merges first, leftmost on ties; unknown characters fall back to bytes."""
     symbols = list(text)
@@ -152,9 +164,13 @@ def piece_tokens(text: str, scores: dict[str, float], unknown: str = "<unk>") ->
     return out
 
 
-def piece_column(text: Column, scores: dict[str, float]) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else piece_tokens(x, scores))
+def piece_units(scores: dict[str, float]) -> re.Pattern:
+    """What a text can be cut into before merging: words with their lower bars in front, unless some piece goes on over a blank."""
+    crosses = any(re.search(f"[^{LOWER_BAR}]{LOWER_BAR}", x) for x in scores)
+    return re.compile("(?s).+" if crosses else f"{LOWER_BAR}+[^{LOWER_BAR}]*|[^{LOWER_BAR}]+")
+
 
-    return run(text)
+def piece_column(text: Column, scores: dict[str, float], vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
+    """tokens and ids of texts by scored pieces."""
+    pattern = piece_units(scores).pattern
+    return subwords(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: piece_tokens(w, scores), vocab, unk_id)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LOWER_BAR, byte_decode_lossy, cleanup_spaces
+from ..functions.text import LOWER_BAR, byte_alphabet, byte_decode_lossy, cleanup_spaces
 from ..plans.options import Family
 from .vocab import id_tokens
 
@@ -24,24 +26,40 @@ def tokens_text(tokens: Column, family: Family) -> Column:
     return F.array_join(tokens, " ")
 
 
+def run_text(tokens: Sequence[str], family: Family) -> str:
+    """The same of one run, for rows in which added tokens part the runs."""
+    joined = "".join(tokens)
+    if family in (Family.BYTE_LEVEL, Family.WORD_END):
+        text = bytes(_BYTES[c] for c in joined).decode("utf-8", "replace")
+        return text.replace("</w>", " ").strip(" ") if family == Family.WORD_END else text
+    if family == Family.PIECES:
+        return joined.replace(LOWER_BAR, " ").removeprefix(" ")
+    return " ".join(tokens)
+
+
+_BYTES = {c: b for b, c in enumerate(byte_alphabet())}
+
+
+def runs_text(tokens: Column, family: Family, added: Sequence[str], spaces_between: bool = True) -> Column:
+    """Runs of model tokens are detokenized together, added tokens stand alone."""
+    alone, blank = frozenset(added), " " if spaces_between else ""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            parts = [p for is_added, ts in itertools.groupby(row, alone.__contains__) for p in (ts if is_added else [run_text(list(ts), family)])]
+            out.append(blank.join(p for p in parts if p))
+        return pd.Series(out, dtype=object)
+
+    return run(tokens)
+
+
 def decode(
-    df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame, family: Family = Family.BYTE_LEVEL, skip_ids: Sequence[int] = (), added: Sequence[str] = (),
+    df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame | dict[str, int], family: Family = Family.BYTE_LEVEL, skip_ids: Sequence[int] = (), added: Sequence[str] = (),
     clean_up: bool = False, spaces_between: bool = True,
 ) -> DataFrame:
-    """key and text. Runs of model tokens are detokenized together; added tokens stand alone; parts are joined by a blank if asked."""
+    """key and text, one row for each row. Runs of model tokens are detokenized together; added tokens stand alone; parts are joined by a blank if asked."""
     tokens = id_tokens(df, key, ids, vocab, skip_ids)
-    if not added:
-        text = tokens_text(F.col("tokens"), family)
-        out = tokens.select(*key, text.alias("text"))
-    else:
-        flat = tokens.select(*key, F.posexplode_outer("tokens").alias("pos", "token")).withColumn("is_added", F.coalesce(F.col("token").isin(*added), F.lit(False)).cast("int"))
-        # a run ends at each added token; the running sum is within one sequence
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*key).orderBy("pos")
-        flat = flat.withColumn("run", F.sum("is_added").over(w) * 2 - F.col("is_added"))
-        runs = flat.groupBy(*key, "run").agg(F.max("is_added").alias("is_added"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))).alias("t"))
-        runs = runs.withColumn("part", F.when(F.col("is_added") == 1, F.array_join(F.col("t.token"), "")).otherwise(tokens_text(F.col("t.token"), family)))
-        parts = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run", "part"))).alias("p"))
-        out = parts.select(*key, F.array_join(F.filter(F.col("p.part"), lambda x: x != ""), " " if spaces_between else "").alias("text"))
-    return out.withColumn("text", cleanup_spaces(F.col("text"))) if clean_up else out
+    text = runs_text(F.col("tokens"), family, added, spaces_between) if added else tokens_text(F.col("tokens"), family)
+    return tokens.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))

@@ -127,7 +127,7 @@ def pad(df: DataFrame, options: EncodeOptions, pad_id: int, batch: str | None =
     elif batch is None:
         target = size
     else:
-        # sizes alone go through the exchange that finds the maxima; a batch is a bounded unit, its rows join back
+        # rows meet their batch, a bounded unit, once: taking the maxima apart from the rows would tokenize every text twice
         target = F.max(size).over(Window.partitionBy(batch))
     df = df.withColumn("pad_to", F.greatest(round_up(target, options.pad_to_multiple_of), size).cast("int"))
     fills = {"input_ids": pad_id, "attention_mask": 0, "token_type_ids": type_id, "special_tokens_mask": 1}

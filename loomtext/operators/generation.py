@@ -12,8 +12,12 @@ import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..plans.options import GenerationConfig, GenerationMode
 
@@ -72,9 +76,19 @@ def attention_mask(ids: Column, pad_id: int | None, eos_ids: Sequence[int] = ())
     return F.when(F.array_contains(ids, pad_id), F.transform(ids, lambda x: (x != pad_id).cast("int"))).otherwise(ones)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _running(masks: pa.Array) -> pa.Array:
+    null = masks.is_null().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)
+    seen = np.concatenate(([0], np.cumsum(flat)))
+    found = np.where(flat == 0, 1, seen[1:] - np.repeat(seen[ends - sizes], sizes) - 1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(found.astype(np.int32)), mask=pa.array(null))
+
+
 def position_ids(mask: Column) -> Column:
     """Running count of visible positions minus one; masked positions are 1."""
-    return F.transform(mask, lambda m, i: F.when(m == 0, F.lit(1)).otherwise(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1).cast("int"))
+    return _running(mask.cast("array<int>"))
 
 
 def cache_position(ids: Column, past: Column | int = 0) -> Column:

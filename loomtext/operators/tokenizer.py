@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..plans.options import AddedToken, EncodeOptions, Family, TokenizerConfig
 from ..sources.files import read_pieces, read_tokenizer_json
 from . import decode as D
 from . import vocab as V
-from .bpe import WORD_END, merge_word, piece_tokens
+from .bpe import WORD_END, merge_word, piece_tokens, piece_units, subwords
 from .encode import prepare
 
 
@@ -98,53 +96,37 @@ class Tokenizer:
             return text
         return F.array_join(T.basic_tokens(text, strip=False, never_split=[t.content for t in self.added]), " ")
 
-    def tokenize(self, df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
-        """df with the tokens of a text column: one narrow pass, with a cache of merged words per worker."""
+    def _subwords(self, text: str, ids: bool) -> Column:
         ranks, scores, end, family = self.ranks, self.scores, self.word_end, self.family
-        cache: dict[str, list[str]] = {}
+        pattern = piece_units(scores) if family == Family.PIECES else None
 
         def one(word: str) -> list[str]:
             if word.startswith(T.MARK):
                 return [word[1:]]
             if family == Family.PIECES:
-                return piece_tokens(T.LOWER_BAR + word.replace(T.LOWER_BAR, " ").replace(" ", T.LOWER_BAR), scores)
+                whole = T.LOWER_BAR + word.replace(T.LOWER_BAR, " ").replace(" ", T.LOWER_BAR)
+                return [t for unit in pattern.findall(whole) for t in piece_tokens(unit, scores)]
             return merge_word(word, ranks, end)
 
-        @F.pandas_udf(ArrayType(StringType()))
-        def merged(rows: pd.Series) -> pd.Series:
-            result = []
-            for row in rows:
-                if row is None:
-                    result.append(None)
-                    continue
-                tokens: list[str] = []
-                for w in row:
-                    t = cache.get(w)
-                    if t is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        t = cache[w] = one(w)
-                    tokens += t
-                result.append(tokens)
-            return pd.Series(result)
-
-        return df.withColumn(out, merged(self.words(self._basic(F.col(text)))))
+        return subwords(self.words(self._basic(F.col(text))), one, self.whole_vocab() if ids else None, self.token_id(self.config.unk_token) if ids else None)
+
+    def tokenize(self, df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
+        """df with the tokens of a text column: one narrow pass."""
+        return df.withColumn(out, self._subwords(text, False)["tokens"])
+
+    def ids_of(self, text: str) -> Column:
+        """The ids of a text column, in the same pass; a null text has none. Without an unknown token, a token that has no id is an error."""
+        return F.coalesce(self._subwords(text, True)["ids"], F.array().cast("array<int>"))
 
     def ids(self, df: DataFrame, key: Sequence[str], text: str = "text", out: str = "ids") -> DataFrame:
-        """key and the ids of a text column; without an unknown token, a token that has no id is an error."""
-        tokens = self.tokenize(df.select(*key, text), text).select(*key, "tokens")
-        vocab = V.vocab_frame(df.sparkSession, self.whole_vocab())
-        return V.token_ids(tokens, key, "tokens", vocab, self.token_id(self.config.unk_token)).withColumnRenamed("ids", out)
+        """key and the ids of a text column, one row for each row."""
+        return df.select(*key, self.ids_of(text).alias(out))
 
     def encode(self, df: DataFrame, key: Sequence[str], text: str = "text", pair: str | None = None, target: str | None = None, options: EncodeOptions | None = None, batch: str | None = None) -> DataFrame:
-        """Model-ready rows by key; a target column adds its ids as labels."""
+        """Model-ready rows, one for each row; a target column adds its ids as labels."""
         options = options or EncodeOptions(padding_side=self.config.padding_side, truncation_side=self.config.truncation_side, model_max_length=self.config.model_max_length, model_input_names=self.config.model_input_names)
-        out = self.ids(df, key, text, "first_")
-        for column, name in ((pair, "second_"), (target, "labels")):
-            if column:
-                out = out.join(self.ids(df, key, column, name), list(key))
-        if batch:
-            out = out.join(df.select(*key, batch).distinct(), list(key)) if batch not in key else out
+        more = [self.ids_of(column).alias(name) for column, name in ((text, "first_"), (pair, "second_"), (target, "labels")) if column]
+        out = df.select(*key, *([batch] if batch and batch not in key else []), *more)
         ids = {"bos_id": self.token_id(self.config.bos_token) or 0, "eos_id": self.token_id(self.config.eos_token) or 0, "pad_id": self.token_id(self.config.pad_token) or 0}
         flags = {} if self.family == Family.WORD_END else {"bos": self.config.add_bos_token, "eos": self.config.add_eos_token}
         return prepare(out, "first_", options, self.family, "second_" if pair else None, batch=batch, **ids, **flags)
@@ -153,7 +135,7 @@ class Tokenizer:
         special = self.config.special_tokens()
         alone = [t.content for t in self.added if t.content not in special]
         clean = self.config.clean_up_tokenization_spaces if clean_up is None else clean_up
-        return D.decode(df, key, ids, V.vocab_frame(df.sparkSession, self.whole_vocab()), self.family, self.special_ids() if skip_special else (), alone, clean, spaces_between)
+        return D.decode(df, key, ids, self.whole_vocab(), self.family, self.special_ids() if skip_special else (), alone, clean, spaces_between)
 
 
 #: Tokenizer classes of configuration files and their families.

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.options import AddedToken
+from .bpe import subwords
 
 
 def vocab_frame(spark: SparkSession, vocab: dict[str, int]) -> DataFrame:
@@ -48,27 +52,54 @@ def require(vocab: dict[str, int], token: str) -> int:
     return vocab[token]
 
 
-def token_ids(df: DataFrame, key: Sequence[str], tokens: str, vocab: DataFrame, unk_id: int | None) -> DataFrame:
-    """key and ids of an array of tokens: one join with the vocabulary, which the planner broadcasts while its size allows.
+def token_ids(df: DataFrame, key: Sequence[str], tokens: str, vocab: DataFrame | dict[str, int], unk_id: int | None) -> DataFrame:
+    """key and ids of an array of tokens, one row for each row, whatever its key. An unknown token takes unk_id; without one it is an error.
 
-    An unknown token takes unk_id; without one it is an error.
+    A vocabulary file's dictionary is looked up in place. A vocabulary table of any size is joined, and rows are put together by a number of their own.
     """
-    flat = df.select(*key, F.posexplode_outer(tokens).alias("pos_", "token_"))
+    if isinstance(vocab, dict):
+        found = subwords(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: [t], vocab, unk_id)
+        return df.select(*key, found["ids"].alias("ids"))
+    flat = df.select(*key, F.monotonically_increasing_id().alias("row_"), tokens).select(*key, "row_", F.posexplode_outer(tokens).alias("pos_", "token_"))
     fallback = F.lit(unk_id) if unk_id is not None else F.raise_error(F.concat(F.lit("unknown token: "), F.col("token_"))).cast("int")
     found = flat.join(vocab.select(F.col("token").alias("token_"), F.col("id").alias("id_")), "token_", "left")
     known = F.when(F.col("pos_").isNotNull(), F.struct("pos_", F.coalesce("id_", fallback).alias("id_")))
-    return found.groupBy(*key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.id_").alias("ids"))
-
-
-def id_tokens(df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
-    """key and tokens of an array of ids; ids in skip are left out, a missing id is an error."""
-    flat = df.select(*key, F.posexplode_outer(ids).alias("pos_", "id_"))
+    return found.groupBy("row_", *key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.id_").alias("ids"))
+
+
+def tokens_of(ids: Column, vocab: dict[str, int], skip: Sequence[int] = ()) -> Column:
+    """Tokens of arrays of ids, in place; ids in skip are left out, a missing id is an error."""
+    known = np.array(sorted(vocab.values()), dtype=np.int64)
+    names = [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])]
+    left_out = np.array(sorted(skip), dtype=np.int64)
+
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = ~np.isin(flat, left_out)
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        if (bad := kept & (known[at] != flat)).any():
+            raise ValueError(f"no token has id {flat[bad][0]}")
+        ends = np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], np.cumsum(sizes)))]
+        used, back = np.unique(at[kept], return_inverse=True)
+        strings = pa.DictionaryArray.from_arrays(pa.array(back.astype(np.int32)), pa.array([names[k] for k in used.tolist()], pa.string())).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), strings)
+
+    return run(ids)
+
+
+def id_tokens(df: DataFrame, key: Sequence[str], ids: str, vocab: DataFrame | dict[str, int], skip: Sequence[int] = ()) -> DataFrame:
+    """key and tokens of an array of ids, one row for each row; ids in skip are left out, a missing id is an error."""
+    if isinstance(vocab, dict):
+        return df.select(*key, tokens_of(F.coalesce(ids, F.array()).cast("array<int>"), vocab, skip).alias("tokens"))
+    flat = df.select(*key, F.monotonically_increasing_id().alias("row_"), ids).select(*key, "row_", F.posexplode_outer(ids).alias("pos_", "id_"))
     if skip:
         flat = flat.withColumn("pos_", F.when(~F.col("id_").isin(*skip), F.col("pos_")))
     found = flat.join(vocab.select(F.col("token").alias("token_"), F.col("id").alias("id_")), "id_", "left")
     missing = F.raise_error(F.concat(F.lit("no token has id "), F.col("id_").cast("string")))
     known = F.when(F.col("pos_").isNotNull(), F.struct("pos_", F.coalesce("token_", missing).alias("token_")))
-    return found.groupBy(*key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.token_").alias("tokens"))
+    return found.groupBy("row_", *key).agg(F.array_sort(F.collect_list(known)).alias("t_")).select(*key, F.col("t_.token_").alias("tokens"))
 
 
 def ids_of(tokens: Column, vocab: dict[str, int], unk_id: int) -> Column:

@@ -123,19 +123,19 @@ def oracle_sql() -> dict[str, str]:
     out["mask_finished"] = f"WITH {D} SELECT doc_id, {_join(f'[1] || {_rep(0, "len(ids)")} || [1]')} AS mask FROM d"
     out["decoded"] = "SELECT doc_id, text FROM documents"
     out["decoded_skip_special"] = out["cleanup_spaces"]
-    out["decoded_added"] = f"WITH {D} SELECT doc_id, concat_ws(' ', {q(BOS)}, nullif(array_to_string(tokens[1:20], ' '), ''), {q(EOS)}, nullif(array_to_string(tokens[1:5], ' '), '')) AS text FROM d"
+    out["decoded_added"] = f"WITH {D} SELECT doc_id, concat_ws(' ', {q(BOS)}, nullif(array_to_string(tokens, ' '), ''), {q(EOS)}, nullif(array_to_string(tokens, ' '), '')) AS text FROM d"
     out["input_json_roundtrip"] = f"SELECT conv_id, 'BatchInput' AS type, count(*) AS n, string_agg(text, {US} ORDER BY turn) AS texts FROM conversations GROUP BY conv_id"
     out["generation_mode"] = """WITH g AS (SELECT id, id % 2 = 1 AS constrained, id // 2 % 3 + 1 AS beams, id // 6 % 2 + 1 AS groups, id // 12 % 2 = 1 AS sample, id // 24 % 2 * 49 + 1 AS top_k, id // 48 % 2 * 0.5 AS alpha, id // 96 % 2 = 1 AS assisted FROM range(192) t(id)),
         m AS (SELECT id, assisted, CASE WHEN constrained THEN 'constrained_beam_search' WHEN beams = 1 AND sample THEN 'sample' WHEN beams = 1 AND top_k > 1 AND alpha > 0 THEN 'contrastive_search' WHEN beams = 1 THEN 'greedy_search' WHEN groups > 1 THEN 'group_beam_search' WHEN sample THEN 'beam_sample' ELSE 'beam_search' END AS mode FROM g)
         SELECT id, CASE WHEN NOT assisted THEN mode WHEN mode IN ('greedy_search', 'sample') THEN 'assisted_generation' END AS mode FROM m"""
     out["stop_flags"] = f"WITH {D} SELECT doc_id, coalesce(ids[len(ids)] IN (13, 14), false) AS eos, len(ids) >= 200 AS max_length, len(ids) >= 400 AS max_new_tokens, coalesce(ids[len(ids)] IN (13, 14), false) OR len(ids) >= 200 AS stopped FROM d"
-    short = f"{D}, o AS (SELECT doc_id, least(len(ids), 48) AS n FROM d)"
-    out["generation_mask"] = f"WITH {short} SELECT doc_id, {_join(f'{_rep(0, "48 - n")} || {_rep(1, "n")}')} AS mask FROM o"
-    out["position_ids"] = f"WITH {short} SELECT doc_id, {_join(f'{_rep(1, "48 - n")} || range(n)')} AS position_ids, {_join('range(40, 48)')} AS cache_position FROM o"
+    short = f"{D}, o AS (SELECT doc_id, len(ids) AS n, (len(ids) + 63) // 64 * 64 AS most FROM d)"
+    out["generation_mask"] = f"WITH {short} SELECT doc_id, {_join(f'{_rep(0, "most - n")} || {_rep(1, "n")}')} AS mask FROM o"
+    out["position_ids"] = f"WITH {short} SELECT doc_id, {_join(f'{_rep(1, "most - n")} || range(n)')} AS position_ids, {_join('range(40, CAST(most AS BIGINT))')} AS cache_position FROM o"
     out["repeat_interleave"] = "SELECT item_id, copy FROM benchmark, range(3) t(copy)"
     out["batch_lengths"] = f"WITH {D} SELECT doc_id // 32 AS batch_id, count(*) AS rows, CAST(max(len(ids)) AS BIGINT) AS longest FROM d GROUP BY doc_id // 32"
-    C = _ids("c", "conversations", "conv_id", "WHERE turn = 0")
-    G = f"""{D},{C}, s AS (SELECT conv_id AS seq_id, CASE WHEN len(ids) = 0 THEN [{bos}] ELSE ids[1:8] END AS ids FROM c), bg AS (SELECT prev, nxt AS token_id, count(*) AS n FROM (SELECT ids[i] AS prev, ids[i + 1] AS nxt FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM d)) GROUP BY prev, nxt),
+    C = _ids("c", "(SELECT conv_id || ':' || turn AS prompt, text FROM conversations)", "prompt")
+    G = f"""{D},{C}, s AS (SELECT prompt AS seq_id, CASE WHEN len(ids) = 0 THEN [{bos}] ELSE ids END AS ids FROM c), bg AS (SELECT prev, nxt AS token_id, count(*) AS n FROM (SELECT ids[i] AS prev, ids[i + 1] AS nxt FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM d)) GROUP BY prev, nxt),
         r AS (SELECT seq_id, ids, CAST(token_id AS BIGINT) AS token_id, ln(n) AS score FROM s JOIN bg ON bg.prev = ids[len(ids)])"""
     E = f"{G}, e AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY seq_id) AS p, max(score) OVER (PARTITION BY seq_id) AS top FROM r)"
     sel = "seq_id, token_id, round({}, 6) AS score"
@@ -152,5 +152,5 @@ def oracle_sql() -> dict[str, str]:
     out["logits_bias"] = f"WITH {G} SELECT {sel.format('score + CASE WHEN token_id = 13 THEN 2.0 ELSE 0.0 END')} FROM r"
     out["greedy_bigram"] = f"""WITH RECURSIVE {G}, nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
         w(seq_id, ids, step) AS (SELECT seq_id, ids, 0 FROM s UNION ALL SELECT seq_id, list_append(ids, nx.token_id), step + 1 FROM w JOIN nx ON nx.prev = ids[len(ids)] WHERE step < 12)
-        SELECT seq_id AS conv_id, {_join('arg_max(ids, step)')} AS ids FROM w GROUP BY seq_id"""
+        SELECT seq_id AS prompt, {_join('arg_max(ids, step)')} AS ids FROM w GROUP BY seq_id"""
     return out

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bpe, decode, encode, generation, vocab
-from ..sources.files import input_json, parse_input_json, read_table
+from ..sources.files import input_json, parse_input_json, read_pieces, read_table
 from ..sources.shared import saved
 from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, Truncation
-from .vocabulary import BOS, EOS, PAD, UNK, public_vocabulary, small_merges, small_vocab
+from .vocabulary import BOS, EOS, PAD, UNK, public_file, public_vocabulary, small_merges, small_vocab
 
 SEP = "\x1f"
 BATCH = 32
@@ -34,15 +34,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def small_ids(df: DataFrame, key: str, words: str = "words") -> DataFrame:
-    """key, tokens and ids of arrays of byte-encoded pre-tokens: each distinct one is folded and looked up once."""
-    spark = df.sparkSession
-    flat = df.select(key, F.posexplode_outer(words).alias("pos", "word"))
-    distinct = flat.where("word is not null").select("word").distinct().select("word", F.posexplode(bpe.fold_tokens(F.col("word"), small_merges())).alias("k", "token"))
-    found = distinct.join(vocab.vocab_frame(spark, small_vocab()), "token", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "token", F.coalesce("id", F.lit(small_vocab()[UNK])).alias("id")))).alias("w"))
-    table = found.select("word", F.col("w.token").alias("tokens"), F.col("w.id").alias("ids"))
-    rows = flat.join(table, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "tokens", "ids")))).alias("t"))
-    return rows.select(key, F.flatten(F.col("t.tokens")).alias("tokens"), F.flatten(F.col("t.ids")).alias("ids"))
+def small_ids(df: DataFrame, *key: str, words: str = "words") -> DataFrame:
+    """key, tokens and ids of arrays of byte-encoded pre-tokens, row by row."""
+    ranks = {m: r for r, m in enumerate(small_merges())}
+    found = df.select(*key, bpe.merged_words(F.col(words), ranks, vocab=small_vocab(), unk_id=small_vocab()[UNK]).alias("t"))
+    none = F.array()
+    return found.select(*key, F.coalesce("t.tokens", none.cast("array<string>")).alias("tokens"), F.coalesce("t.ids", none.cast("array<int>")).alias("ids"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,38 +173,33 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unknown_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words looked up whole in the small vocabulary: most are unknown."""
     words = documents(spark, sf_dir).select("doc_id", T.whitespace_tokens(F.lower("text")).alias("words"))
-    ids = vocab.token_ids(words, ["doc_id"], "words", vocab.vocab_frame(spark, small_vocab()), small_vocab()[UNK])
+    ids = vocab.token_ids(words, ["doc_id"], "words", small_vocab(), small_vocab()[UNK])
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x == small_vocab()[UNK])).cast("long").alias("n_unknown"))
 
 
 @query
 def public_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole public vocabulary of 50,257 tokens: distinct pre-tokens are merged once and joined back."""
+    """The whole public vocabulary of 50,257 tokens."""
     v, ranks = public_vocabulary()
-    words = documents(spark, sf_dir).select("doc_id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
-    tokens = bpe.tokens_by_distinct(words, ["doc_id"], "words", ranks)
-    return vocab.token_ids(tokens, ["doc_id"], "tokens", vocab.vocab_frame(spark, v), None).select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
+    words = F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode)
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(words, ranks, vocab=v)["ids"].alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
 @query
 def word_end_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word-end family over the public vocabulary of 49,408 tokens, merged in place without a shuffle."""
-    from .vocabulary import public_file
-
+    """The word-end family over the public vocabulary of 49,408 tokens."""
     v, ranks = public_vocabulary(public_file("word_bpe_49k.json"))
     pre = T.word_end_pretokens(F.array_join(T.basic_tokens(F.col("text"), strip=False), " "))
-    tokens = documents(spark, sf_dir).select("doc_id", F.transform(pre, T.byte_encode).alias("words")).select("doc_id", bpe.tokens_in_place(F.col("words"), ranks, bpe.WORD_END).alias("tokens"))
-    return vocab.token_ids(tokens, ["doc_id"], "tokens", vocab.vocab_frame(spark, v), v.get("<|endoftext|>", len(v) + 1)).select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(F.transform(pre, T.byte_encode), ranks, bpe.WORD_END, v, v.get("<|endoftext|>", len(v) + 1))["ids"].alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
 @query
 def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece family over the public model of 32,000 pieces."""
-    from ..sources.files import read_pieces
-    from .vocabulary import public_file
-
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", T.piece_text(F.col("text")).alias("text"))
-    return items.select("item_id", shown(bpe.piece_column(F.col("text"), read_pieces(public_file("piece_bpe_32k.model")))).alias("pieces"))
+    scores = read_pieces(public_file("piece_bpe_32k.model"))
+    return documents(spark, sf_dir).select("doc_id", shown(bpe.piece_column(T.piece_text(F.col("text")), scores)["tokens"]).alias("pieces"))
 
 
 # --- sequence preparation --------------------------------------------------------------------------------------
@@ -304,7 +296,6 @@ def public_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path with the public vocabulary of 50,257 tokens and an end token that doubles as padding."""
     from ..operators.tokenizer import Tokenizer
     from .options import AddedToken, TokenizerConfig
-    from .vocabulary import public_file
 
     end = AddedToken(EOS, special=True)
     t = Tokenizer.from_json(public_file(), Family.BYTE_LEVEL, TokenizerConfig(eos_token=end, pad_token=end))
@@ -324,20 +315,20 @@ def mask_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.decode(document_ids(spark, sf_dir), ["doc_id"], "ids", vocab.vocab_frame(spark, small_vocab()))
+    return decode.decode(document_ids(spark, sf_dir), ["doc_id"], "ids", small_vocab())
 
 
 @query
 def decoded_skip_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_ids(spark, sf_dir).select("doc_id", encode.with_special(Family.WORD_END, F.col("ids"), None, **SPECIAL).alias("ids"))
-    return decode.decode(rows, ["doc_id"], "ids", vocab.vocab_frame(spark, small_vocab()), skip_ids=list(SPECIAL.values()), clean_up=True)
+    return decode.decode(rows, ["doc_id"], "ids", small_vocab(), skip_ids=list(SPECIAL.values()), clean_up=True)
 
 
 @query
 def decoded_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added tokens stand alone between runs of model tokens."""
-    rows = document_ids(spark, sf_dir).select("doc_id", F.concat(F.array(F.lit(SPECIAL["bos_id"])), F.slice("ids", 1, 20), F.array(F.lit(SPECIAL["eos_id"])), F.slice("ids", 1, 5)).alias("ids"))
-    return decode.decode(rows, ["doc_id"], "ids", vocab.vocab_frame(spark, small_vocab()), family=Family.PLAIN, added=(BOS, EOS))
+    rows = document_ids(spark, sf_dir).select("doc_id", F.concat(F.array(F.lit(SPECIAL["bos_id"])), "ids", F.array(F.lit(SPECIAL["eos_id"])), "ids").alias("ids"))
+    return decode.decode(rows, ["doc_id"], "ids", small_vocab(), family=Family.PLAIN, added=(BOS, EOS))
 
 
 @query
@@ -362,8 +353,9 @@ def generation_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read_table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
-    return small_ids(first, "conv_id").select("conv_id", F.slice("ids", 1, 8).alias("ids"))
+    """Every turn as a prompt of its own, named conv_id:turn, with all its ids."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("prompt"), F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
+    return small_ids(turns, "prompt").select("prompt", "ids")
 
 
 @query
@@ -376,7 +368,8 @@ def stop_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _left_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_ids(spark, sf_dir).select("doc_id", encode.padded(F.slice("ids", 1, 48), F.lit(48), PAD_ID, Side.LEFT).alias("ids"))
+    """Whole documents, padded on the left to a multiple of 64 ids."""
+    return document_ids(spark, sf_dir).select("doc_id", encode.padded(F.col("ids"), encode.round_up(F.size("ids"), 64), PAD_ID, Side.LEFT).alias("ids"))
 
 
 @query
@@ -396,7 +389,7 @@ def repeat_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "conv_id", SPECIAL["bos_id"])
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score"))
     state = saved(state)
     return generation.bigram_scorer(saved(table))(state), state
@@ -421,27 +414,27 @@ for _name, _rule in {
 
 @query
 def greedy_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy decoding of 12 new ids after each conversation's first 8, scored by id bigrams of all documents."""
-    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "conv_id", SPECIAL["bos_id"])
+    """Greedy decoding of 12 new ids after each turn, scored by id bigrams of all documents."""
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
     out = generation.generate(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=12), save=saved)
-    return out.select(F.col("seq_id").alias("conv_id"), shown("ids").alias("ids"))
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
 @query
 def sampled_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "conv_id", SPECIAL["bos_id"])
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score")))
     out = generation.generate(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=4, do_sample=True, top_k=20, top_p=0.9), seed=7, save=saved)
-    return out.select(F.col("seq_id").alias("conv_id"), shown("ids").alias("ids"))
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
 @query
 def beam_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "conv_id", SPECIAL["bos_id"])
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score")))
     out = generation.beam_search(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=4, num_beams=3), save=saved)
-    return out.select(F.col("seq_id").alias("conv_id"), shown("ids").alias("ids"), F.round("score", 6).alias("score"))
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"), F.round("score", 6).alias("score"))
 
 
 @query

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
@@ -21,9 +22,7 @@ GOLDEN = {
 def golden_rows(spark):
     df = spark.createDataFrame([(k,) for k in GOLDEN], "case string")
     pre = df.select("case", F.transform(T.word_end_pretokens(F.array_join(T.basic_tokens(F.col("case")), " ")), T.byte_encode).alias("words"))
-    tokens = bpe.tokens_by_distinct(pre, ["case"], "words", RANKS, bpe.WORD_END)
-    ids = vocab.token_ids(tokens, ["case"], "tokens", vocab.vocab_frame(spark, VOCAB), VOCAB["<unk>"])
-    return tokens.join(ids, "case")
+    return pre.select("case", bpe.merged_words(F.col("words"), RANKS, bpe.WORD_END, VOCAB, VOCAB["<unk>"]).alias("t")).select("case", "t.*")
 
 
 def test_golden_tokens_and_ids(spark):
@@ -94,12 +93,36 @@ def test_public_vocabulary_equals_the_library(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     v, ranks = public_vocabulary()
     words = df.select("id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
-    ids = vocab.token_ids(bpe.tokens_by_distinct(words, ["id"], "words", ranks), ["id"], "tokens", vocab.vocab_frame(spark, v), None)
+    ids = words.select("id", bpe.merged_words(F.col("words"), ranks, vocab=v)["ids"].alias("ids"))
     got = {r.id: r.ids for r in ids.collect()}
     lib = Tokenizer.from_file(public_file())
     assert got == {i: lib.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
-    place = words.select("id", bpe.tokens_in_place(F.col("words"), ranks).alias("tokens"))
-    assert {r.id: r.ids for r in vocab.token_ids(place, ["id"], "tokens", vocab.vocab_frame(spark, v), None).collect()} == got
+    tokens = words.select("id", bpe.merged_words(F.col("words"), ranks)["tokens"].alias("tokens"))
+    for table in (v, vocab.vocab_frame(spark, v)):
+        assert {r.id: r.ids for r in vocab.token_ids(tokens, ["id"], "tokens", table, None).collect()} == got
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_each_row_keeps_its_own_result_whatever_its_key(spark, as_table):
+    rows = [(7, ["lo", "w"]), (7, ["e"]), (7, ["lo", "w"]), (None, ["r", "never"]), (None, None), (None, []), (7, ["e"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    table = vocab.vocab_frame(spark, VOCAB) if as_table else VOCAB
+    ids = vocab.token_ids(df, ["id"], "tokens", table, VOCAB["<unk>"])
+    want = sorted(str((k, [VOCAB.get(t, VOCAB["<unk>"]) for t in ts or []])) for k, ts in rows)
+    assert sorted(str((r.id, r.ids)) for r in ids.collect()) == want
+    back = vocab.id_tokens(ids, ["id"], "ids", table, skip=[VOCAB["e"]])
+    assert sorted(str((r.id, r.tokens)) for r in back.collect()) == sorted(str((k, [t if t in VOCAB else "<unk>" for t in ts or [] if t != "e"])) for k, ts in rows)
+    text = decode.decode(ids, ["id"], "ids", table, Family.PLAIN, added=["<unk>"])
+    assert sorted(str((r.id, r.text)) for r in text.collect()) == sorted(str((k, " ".join(t if t in VOCAB else "<unk>" for t in ts or []))) for k, ts in rows)
+
+
+def test_missing_tokens_and_ids_are_errors(spark):
+    df = spark.createDataFrame([(1, ["never"], [99])], "id int, tokens array<string>, ids array<int>")
+    for table in (VOCAB, vocab.vocab_frame(spark, VOCAB)):
+        with pytest.raises(Exception, match="unknown token"):
+            vocab.token_ids(df, ["id"], "tokens", table, None).collect()
+        with pytest.raises(Exception, match="no token has id"):
+            vocab.id_tokens(df, ["id"], "ids", table).collect()
 
 
 def test_pieces_equal_the_library():
@@ -113,6 +136,17 @@ def test_pieces_equal_the_library():
         assert bpe.piece_tokens("▁" + s.replace(" ", "▁"), scores) == lib.encode(s, out_type=str)
 
 
+def test_pieces_by_units_equal_pieces_of_whole_texts(spark, sf):
+    from loomtext.sources.files import read_pieces
+
+    scores = read_pieces(public_file("piece_bpe_32k.model"))
+    texts = [r.text[:400] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect()] + ["a  b   c", " ", "▁ ▁x▁", "中文 😀\n\ttab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in df.select("id", bpe.piece_column(T.piece_text(F.col("text")), scores)["tokens"].alias("t")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == bpe.piece_tokens("▁" + x.replace("▁", " ").replace(" ", "▁"), scores)
+
+
 def test_pairs(spark):
     got = spark.createDataFrame([(list("abab"),), (["a"],), ([],)], "s array<string>").select(bpe.pairs(F.col("s")).alias("p")).collect()
     assert [[tuple(x) for x in r.p] for r in got] == [[("a", "b"), ("b", "a")], [], []]
