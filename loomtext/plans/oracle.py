@@ -79,6 +79,14 @@ def oracle_sql() -> dict[str, str]:
     out["added_token_strip"] = rf"""WITH s AS (SELECT conv_id, turn, {added} AS p FROM ({turns})), e AS (SELECT conv_id, turn, i, p[i] AS x, p[i - 1] AS before, p[i + 1] AS after FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)),
         r AS (SELECT conv_id, turn, i, CASE WHEN before IN ('<|assistant|>', '<|system|>', '<|user|>', '<|end|>') THEN ltrim(x, ' ' || chr(10)) ELSE x END AS x, after FROM e), t AS (SELECT conv_id, turn, i, CASE WHEN after = '<|end|>' THEN rtrim(x, ' ' || chr(10)) ELSE x END AS x FROM r)
         SELECT conv_id, turn, string_agg(x, {US} ORDER BY i) FILTER (WHERE x <> '') AS parts FROM t GROUP BY conv_id, turn"""
+    # a single-word token goes back onto a left part that ends in a blank, else it takes a right part that starts with one
+    out["single_word_tokens"] = f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(the)', {S} || '\\1' || {S}, 'g'), {S}), lambda x: x <> '') AS p FROM documents),
+        e AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM s),
+        a AS (SELECT *, x = 'the' AS single, lag(x) OVER w AS before, lag(x, 2) OVER w AS before2 FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        b AS (SELECT *, single AND coalesce(ends_with(before, ' '), false) AS onto_left FROM a),
+        g AS (SELECT *, lag(single AND NOT onto_left, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AND starts_with(x, ' ') AS onto_right FROM b),
+        n AS (SELECT *, sum(CASE WHEN onto_left OR onto_right THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM g),
+        t AS (SELECT doc_id, part, string_agg(x, '' ORDER BY i) AS x FROM n GROUP BY doc_id, part) SELECT doc_id, string_agg(x, {US} ORDER BY part) AS parts FROM t GROUP BY doc_id"""
     out["protected_lower"] = "SELECT conv_id, turn, '<|END|> ' || lower(text) || ' <|END|>' AS text FROM conversations"
     out["piece_text"] = f"SELECT doc_id, '{LOWER_BAR}' || replace(text, ' ', '{LOWER_BAR}') AS text FROM documents"
     out["symbol_pairs"] = f"WITH {D} SELECT word, CAST(len(list_distinct(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)))) AS BIGINT) AS n_pairs FROM (SELECT DISTINCT word FROM d_pre)"
@@ -148,8 +156,37 @@ def oracle_sql() -> dict[str, str]:
     out["logits_normalize"] = f"WITH {G} SELECT {sel.format('score - ln(sum(exp(score)) OVER (PARTITION BY seq_id))')} FROM r"
     out["logits_suppress"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id >= 256"
     out["logits_no_repeat"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE NOT list_contains(list_transform(list_filter(range(1, len(ids)), lambda i: ids[i] = ids[len(ids)]), lambda i: ids[i + 1]), token_id)"
-    out["logits_min_length"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE len(ids) >= 9 OR token_id NOT IN (13, 14)"
-    out["logits_bias"] = f"WITH {G} SELECT {sel.format('score + CASE WHEN token_id = 13 THEN 2.0 ELSE 0.0 END')} FROM r"
+    out["logits_min_length"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE len(ids) >= 40 OR token_id NOT IN (37, 35)"
+    out["logits_bias"] = f"WITH {G} SELECT {sel.format('score + CASE WHEN token_id = 37 THEN 2.0 WHEN token_id = 35 AND ids[len(ids)] = 46 THEN -1.0 WHEN token_id = 42 AND ids[len(ids)] = 14 THEN 3.0 ELSE 0.0 END')} FROM r"
+    upto = lambda mass, order: f"sum(p) OVER (PARTITION BY seq_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < {mass} OR row_number() OVER (PARTITION BY seq_id ORDER BY {order}) = 1"
+    H = f"{E}, h AS (SELECT *, sum(-p * ln(p)) OVER (PARTITION BY seq_id) AS h FROM e)"
+    out["logits_top_p"] = f"WITH {E} SELECT {sel.format('score')} FROM e QUALIFY {upto(0.8, 'score DESC, token_id')}"
+    out["logits_typical"] = f"WITH {H} SELECT {sel.format('score')} FROM h QUALIFY {upto(0.7, 'abs(-ln(p) - h), token_id')}"
+    out["logits_eta"] = f"WITH {H} SELECT {sel.format('score')} FROM h WHERE p >= least(0.05, sqrt(0.05) * exp(-h)) OR score = top"
+    out["logits_min_new_tokens"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id NOT IN (37, 35)"
+    out["logits_encoder_no_repeat"] = out["logits_no_repeat"]
+    out["logits_no_bad_words"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id <> 37 AND NOT (token_id = 35 AND ids[len(ids)] = 46) AND NOT (token_id = 42 AND ids[len(ids)] = 14)"
+    out["logits_prefix_constrained"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id % 3 = 0"
+    out["logits_hamming_diversity"] = f"WITH {G} SELECT {sel.format('score - 0.5 * len(list_filter(ids, lambda x: x = token_id))')} FROM r"
+    forced = lambda n, t: f"CASE WHEN len(ids) = {n} THEN 0.0 ELSE score END FROM_ WHERE len(ids) <> {n} OR token_id = {t}"
+    for name, (n, t) in {"logits_forced_bos": (1, 220), "logits_forced_eos": (84, 37)}.items():
+        value, where = forced(n, t).split(" FROM_ ")
+        out[name] = f"WITH {G} SELECT {sel.format(value)} FROM r {where}"
+    out["logits_force_tokens"] = f"WITH {G} SELECT {sel.format('CASE WHEN len(ids) IN (84, 112, 127) THEN 0.0 ELSE score END')} FROM r WHERE len(ids) NOT IN (84, 112, 127) OR token_id = CASE len(ids) WHEN 84 THEN 35 WHEN 112 THEN 37 ELSE 42 END"
+    out["logits_remove_invalid"] = f"WITH {G} SELECT {sel.format('CASE token_id % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4028234663852886e38 ELSE score END')} FROM r"
+    out["logits_exponential_decay"] = f"WITH {G} SELECT {sel.format('CASE WHEN token_id IN (37, 35) THEN score + abs(score) * (1.2 * 1.2 * 1.2 - 1) ELSE score END')} FROM r"
+    out["logits_suppress_at_begin"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE len(ids) <> 84 OR token_id >= 100"
+    soft = lambda x: f"({x} - ln(sum(exp({x})) OVER (PARTITION BY seq_id)))"
+    out["logits_guidance"] = f"WITH {G}, n AS (SELECT seq_id, token_id, {soft('score')} AS a, {soft('score / 2')} AS b FROM r) SELECT {sel.format('(a - b) * 1.5 + b')} FROM n"
+    out["stop_strings"] = "SELECT doc_id, contains(text, 'the end') OR contains(text, 'erly.') AS stopped FROM documents"
+    out["vocabulary_file"] = f"SELECT token, CAST(id AS BIGINT) AS id FROM (VALUES {', '.join(f'({q(t)}, {i})' for t, i in v.items())}) t(token, id)"
+    out["merges_file"] = f"""SELECT CAST(rank AS BIGINT) AS rank, "left", "right" FROM (VALUES {', '.join(f'({i}, {q(a)}, {q(b)})' for i, (a, b) in enumerate(small_merges()))}) t(rank, "left", "right")"""
+    out["tokenizer_configs"] = f"""SELECT * FROM (VALUES ('word_end', 'CLIPTokenizer', true, false, CAST(77 AS BIGINT), 'right', 'right', {q(f'{BOS} {EOS} {PAD}')}), ('byte_level', 'GPT2Tokenizer', false, true, 1024, 'right', 'left', {q(f'{EOS} {UNK}')}),
+        ('pieces', 'LlamaTokenizer', false, false, 4096, 'left', 'right', {q(f'<s> </s> {UNK}')})) t(name, tokenizer_class, do_lower_case, add_prefix_space, model_max_length, padding_side, truncation_side, special)"""
+    ends = f"({v['e']}, {v['n']})"
+    out["greedy_until_end"] = f"""WITH RECURSIVE {G}, nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
+        w(seq_id, ids, step, done) AS (SELECT seq_id, ids, 0, false FROM s UNION ALL SELECT seq_id, list_append(ids, CASE WHEN done THEN {pad} ELSE nx.token_id END), step + 1, done OR nx.token_id IN {ends} FROM w LEFT JOIN nx ON nx.prev = ids[len(ids)] WHERE step < 6 AND (done OR nx.token_id IS NOT NULL)),
+        l AS (SELECT seq_id, arg_max(ids, step) AS ids FROM w GROUP BY seq_id) SELECT seq_id AS prompt, {_join('ids')} AS ids FROM l"""
     out["greedy_bigram"] = f"""WITH RECURSIVE {G}, nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
         w(seq_id, ids, step) AS (SELECT seq_id, ids, 0 FROM s UNION ALL SELECT seq_id, list_append(ids, nx.token_id), step + 1 FROM w JOIN nx ON nx.prev = ids[len(ids)] WHERE step < 12)
         SELECT seq_id AS prompt, {_join('arg_max(ids, step)')} AS ids FROM w GROUP BY seq_id"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bpe, decode, encode, generation, vocab
-from ..sources.files import input_json, parse_input_json, read_pieces, read_table
-from ..sources.shared import saved
-from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, Truncation
+from ..sources.files import input_json, parse_input_json, read_merges, read_pieces, read_table, read_vocab, write_vocab
+from ..sources.shared import saved, shared_dir
+from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, TokenizerConfig, Truncation
 from .vocabulary import BOS, EOS, PAD, UNK, public_file, public_vocabulary, small_merges, small_vocab
 
 SEP = "\x1f"
@@ -202,6 +204,40 @@ def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", shown(bpe.piece_column(T.piece_text(F.col("text")), scores)["tokens"]).alias("pieces"))
 
 
+@query
+def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary written as a file of the published format and read back."""
+    path = f"{shared_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
+    write_vocab(vocab.vocab_frame(spark, small_vocab()), path)
+    return read_vocab(spark, path).select("token", F.col("id").cast("long").alias("id"))
+
+
+@query
+def merges_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge table written as a file of the published format and read back: a header, then a merge on each line."""
+    path = f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}"
+    lines = "\n".join(["#version: 0.2", *(f"{a} {b}" for a, b in small_merges()), ""])
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    return read_merges(spark, path).select(F.col("rank").cast("long").alias("rank"), "left", "right")
+
+
+@query
+def tokenizer_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration files of each tokenizer class: what is set, what is left at its default, and the special tokens in order."""
+    rows = []
+    for name, given in CONFIGS.items():
+        c = TokenizerConfig.from_json(json.dumps(given))
+        rows.append((name, c.tokenizer_class, c.do_lower_case, c.add_prefix_space, c.model_max_length, c.padding_side.value, c.truncation_side.value, " ".join(c.special_tokens())))
+    return spark.createDataFrame(rows, "name string, tokenizer_class string, do_lower_case boolean, add_prefix_space boolean, model_max_length bigint, padding_side string, truncation_side string, special string")
+
+
+CONFIGS = {
+    "word_end": {"tokenizer_class": "CLIPTokenizer", "do_lower_case": True, "model_max_length": 77, "bos_token": {"content": BOS, "lstrip": False, "rstrip": False, "normalized": True, "single_word": False}, "eos_token": EOS, "unk_token": EOS, "pad_token": PAD},
+    "byte_level": {"tokenizer_class": "GPT2Tokenizer", "add_prefix_space": True, "model_max_length": 1024, "bos_token": EOS, "eos_token": EOS, "unk_token": UNK, "truncation_side": "left"},
+    "pieces": {"tokenizer_class": "LlamaTokenizer", "model_max_length": 4096, "padding_side": "left", "bos_token": "<s>", "eos_token": "</s>", "unk_token": UNK},
+}
+
+
 # --- sequence preparation --------------------------------------------------------------------------------------
 
 def _special(family: Family, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +331,7 @@ def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def public_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path with the public vocabulary of 50,257 tokens and an end token that doubles as padding."""
     from ..operators.tokenizer import Tokenizer
-    from .options import AddedToken, TokenizerConfig
+    from .options import AddedToken
 
     end = AddedToken(EOS, special=True)
     t = Tokenizer.from_json(public_file(), Family.BYTE_LEVEL, TokenizerConfig(eos_token=end, pad_token=end))
@@ -367,6 +403,13 @@ def stop_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stop_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops at a string of the decoded text, whichever tokens it is made of."""
+    text = decode.decode(document_ids(spark, sf_dir), ["doc_id"], "ids", small_vocab())
+    return text.select("doc_id", generation.stop_string(F.col("text"), ["the end", "erly."]).alias("stopped"))
+
+
 def _left_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, padded on the left to a multiple of 64 ids."""
     return document_ids(spark, sf_dir).select("doc_id", encode.padded(F.col("ids"), encode.round_up(F.size("ids"), 64), PAD_ID, Side.LEFT).alias("ids"))
@@ -403,11 +446,25 @@ def _processed(rule: generation.Processor) -> Query:
     return run
 
 
+def _odd_scores(s: DataFrame) -> DataFrame:
+    """Some scores that are no finite numbers, for the rule that mends them."""
+    return s.withColumn("score", F.when(F.col("token_id") % 7 == 0, float("nan")).when(F.col("token_id") % 7 == 1, float("inf")).otherwise(F.col("score")))
+
+
+def _ids_of(st: DataFrame) -> DataFrame:
+    return st.select("seq_id", F.explode("ids").alias("token_id"))
+
+
 for _name, _rule in {
     "logits_temperature": generation.temperature(0.7), "logits_repetition_penalty": generation.repetition_penalty(1.3), "logits_encoder_repetition_penalty": generation.encoder_repetition_penalty(1.3),
     "logits_top_k": generation.top_k(10), "logits_top_p": generation.top_p(0.8), "logits_min_p": generation.min_p(0.05), "logits_typical": generation.typical_p(0.7), "logits_epsilon": generation.epsilon_cutoff(0.01),
     "logits_eta": generation.eta_cutoff(0.05), "logits_normalize": generation.log_normalize(), "logits_suppress": generation.suppress(range(256)), "logits_no_repeat": generation.no_repeat_ngram(2),
-    "logits_min_length": generation.min_length(9, (13, 14)), "logits_bias": generation.sequence_bias({(13,): 2.0}),
+    "logits_min_length": generation.min_length(40, (37, 35)), "logits_bias": generation.sequence_bias({(37,): 2.0, (46, 35): -1.0, (14, 42): 3.0}),
+    "logits_min_new_tokens": generation.min_new_tokens(5, (37, 35)), "logits_encoder_no_repeat": generation.encoder_no_repeat_ngram(2), "logits_no_bad_words": generation.no_bad_words([[37], [46, 35], [14, 42], [11]], (11,)),
+    "logits_prefix_constrained": lambda s, st: generation.prefix_constrained(s.where("token_id % 3 = 0"))(s, st), "logits_hamming_diversity": lambda s, st: generation.hamming_diversity(_ids_of(st), 0.5)(s, st),
+    "logits_forced_bos": generation.forced_bos(220), "logits_forced_eos": generation.forced_eos(37, 85), "logits_force_tokens": generation.force_tokens({84: 35, 112: 37, 127: 42}), "logits_remove_invalid": lambda s, st: generation.remove_invalid()(_odd_scores(s), st),
+    "logits_exponential_decay": generation.exponential_decay(-3, 1.2, (37, 35)), "logits_suppress_at_begin": generation.suppress_at_begin(range(100), 84),
+    "logits_guidance": lambda s, st: generation.guidance(generation.temperature(2.0)(s, st), 1.5)(s, st), "logits_watermark": generation.watermark(2.0),
 }.items():
     QUERIES[_name] = _processed(_rule)
 
@@ -421,6 +478,16 @@ def greedy_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
+@query
+def greedy_until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy decoding with end ids: rows that have ended take the pad id while others go on."""
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
+    table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
+    config = GenerationConfig(max_new_tokens=6, eos_token_id=[small_vocab()["e"], small_vocab()["n"]], pad_token_id=PAD_ID)
+    out = generation.generate(state, generation.bigram_scorer(table), config, save=saved)
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
 @query
 def sampled_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..plans.options import GenerationConfig, TokenizerConfig
 
-HEADED_MERGES = 49152 - 256 - 2 + 1
-
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)

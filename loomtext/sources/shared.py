@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder for a local run, which is set there. On a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='loomtext-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
