@@ -67,7 +67,7 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int], end: str = "") -> l
 
 
 def subwords(words: Column, one: Callable[[str], list[str]], vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
-    """tokens, and with a vocabulary their ids, of arrays of pre-tokens: each row by itself, in one narrow pass.
+    """The tokens of arrays of pre-tokens, or with a vocabulary their ids: each row by itself, in one narrow pass.
 
     An Arrow batch's pre-tokens are dictionary-encoded, so ``one`` splits each distinct one once, and a worker keeps its
     results between batches. A null row stays null; an unknown token takes unk_id, without one it is an error.
@@ -75,54 +75,45 @@ def subwords(words: Column, one: Callable[[str], list[str]], vocab: dict[str, in
     cache: dict[str, int] = {}
     parts: list[np.ndarray] = []
     names: dict[str, int] = {}
-    ids: list[int] = []
 
     def number(token: str) -> int:
-        if token not in names:
-            names[token] = len(names)
-            if vocab is not None:
-                i = vocab.get(token, unk_id)
-                if i is None:
-                    raise ValueError(f"unknown token: {token}")
-                ids.append(i)
-        return names[token]
-
-    @F.arrow_udf("struct<tokens:array<string>, ids:array<int>>")
+        if vocab is None:
+            return names.setdefault(token, len(names))
+        i = vocab.get(token, unk_id)
+        if i is None:
+            raise ValueError(f"unknown token: {token}")
+        return i
+
+    @F.arrow_udf("array<string>" if vocab is None else "array<int>")
     def run(rows: pa.Array) -> pa.Array:
         if len(parts) > 500_000:
-            for kept in (cache, parts, names, ids):
+            for kept in (cache, parts, names):
                 kept.clear()
         null = rows.is_null().to_numpy(zero_copy_only=False)
-        sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = rows.flatten().dictionary_encode()
         place = np.empty(len(flat.dictionary), dtype=np.int64)
         for i, word in enumerate(flat.dictionary.to_pylist()):
             k = cache.get(word)
             if k is None:
                 k = cache[word] = len(parts)
-                parts.append(np.array([number(t) for t in one(word)], dtype=np.int64))
+                parts.append(np.array([number(t) for t in one(word)], dtype=np.int32))
             place[i] = k
-        used, at = np.unique(place, return_inverse=True)
-        pieces = [parts[k] for k in used.tolist()]
+        pieces = [parts[k] for k in place.tolist()]
         lengths = np.array([len(x) for x in pieces], dtype=np.int64)
-        table, starts = (np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)), np.cumsum(lengths) - lengths
-        word = at[flat.indices.to_numpy()] if len(flat) else np.zeros(0, dtype=np.int64)
+        table, starts = (np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32)), np.cumsum(lengths) - lengths
+        word = flat.indices.to_numpy() if len(flat) else np.zeros(0, dtype=np.int64)
         n = lengths[word]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        token = table[np.repeat(starts[word], n) + within]
+        token = table[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
-        offsets, mask = pa.array(ends.astype(np.int32)), pa.array(null)
-        known, back = np.unique(token, return_inverse=True)
-        every = list(names)
-        strings = pa.DictionaryArray.from_arrays(pa.array(back.astype(np.int32)), pa.array([every[k] for k in known.tolist()], pa.string())).cast(pa.string())
-        numbers = pa.array(np.array(ids, dtype=np.int32)[token] if vocab is not None else np.zeros(len(token), dtype=np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, strings, mask=mask), pa.ListArray.from_arrays(offsets, numbers, mask=mask)], names=["tokens", "ids"])
+        values = pa.array(token) if vocab is not None else pa.array(list(names), pa.string()).take(pa.array(token))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array(null))
 
     return run(words)
 
 
 def merged_words(words: Column, ranks: dict[tuple[str, str], int], end: str = "", vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
-    """tokens and ids of arrays of pre-tokens by a merge table."""
+    """The tokens, or ids, of arrays of pre-tokens by a merge table."""
     return subwords(words, lambda w: merge_word(w, ranks, end), vocab, unk_id)
 
 
@@ -171,6 +162,6 @@ def piece_units(scores: dict[str, float]) -> re.Pattern:
 
 
 def piece_column(text: Column, scores: dict[str, float], vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
-    """tokens and ids of texts by scored pieces."""
+    """The tokens, or ids, of texts by scored pieces."""
     pattern = piece_units(scores).pattern
     return subwords(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: piece_tokens(w, scores), vocab, unk_id)

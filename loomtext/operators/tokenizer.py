@@ -112,11 +112,11 @@ class Tokenizer:
 
     def tokenize(self, df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
         """df with the tokens of a text column: one narrow pass."""
-        return df.withColumn(out, self._subwords(text, False)["tokens"])
+        return df.withColumn(out, self._subwords(text, False))
 
     def ids_of(self, text: str) -> Column:
         """The ids of a text column, in the same pass; a null text has none. Without an unknown token, a token that has no id is an error."""
-        return F.coalesce(self._subwords(text, True)["ids"], F.array().cast("array<int>"))
+        return F.coalesce(self._subwords(text, True), F.array().cast("array<int>"))
 
     def ids(self, df: DataFrame, key: Sequence[str], text: str = "text", out: str = "ids") -> DataFrame:
         """key and the ids of a text column, one row for each row."""

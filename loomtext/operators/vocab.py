@@ -58,8 +58,7 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: str, vocab: DataFrame |
     A vocabulary file's dictionary is looked up in place. A vocabulary table of any size is joined, and rows are put together by a number of their own.
     """
     if isinstance(vocab, dict):
-        found = subwords(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: [t], vocab, unk_id)
-        return df.select(*key, found["ids"].alias("ids"))
+        return df.select(*key, subwords(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: [t], vocab, unk_id).alias("ids"))
     flat = df.select(*key, F.monotonically_increasing_id().alias("row_"), tokens).select(*key, "row_", F.posexplode_outer(tokens).alias("pos_", "token_"))
     fallback = F.lit(unk_id) if unk_id is not None else F.raise_error(F.concat(F.lit("unknown token: "), F.col("token_"))).cast("int")
     found = flat.join(vocab.select(F.col("token").alias("token_"), F.col("id").alias("id_")), "token_", "left")

@@ -39,9 +39,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_ids(df: DataFrame, *key: str, words: str = "words") -> DataFrame:
     """key, tokens and ids of arrays of byte-encoded pre-tokens, row by row."""
     ranks = {m: r for r, m in enumerate(small_merges())}
-    found = df.select(*key, bpe.merged_words(F.col(words), ranks, vocab=small_vocab(), unk_id=small_vocab()[UNK]).alias("t"))
-    none = F.array()
-    return found.select(*key, F.coalesce("t.tokens", none.cast("array<string>")).alias("tokens"), F.coalesce("t.ids", none.cast("array<int>")).alias("ids"))
+    own = F.coalesce(words, F.array().cast("array<string>"))
+    return df.select(*key, bpe.merged_words(own, ranks).alias("tokens"), bpe.merged_words(own, ranks, vocab=small_vocab(), unk_id=small_vocab()[UNK]).alias("ids"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +183,7 @@ def public_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole public vocabulary of 50,257 tokens."""
     v, ranks = public_vocabulary()
     words = F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode)
-    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(words, ranks, vocab=v)["ids"].alias("ids"))
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(words, ranks, vocab=v).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
@@ -193,7 +192,7 @@ def word_end_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word-end family over the public vocabulary of 49,408 tokens."""
     v, ranks = public_vocabulary(public_file("word_bpe_49k.json"))
     pre = T.word_end_pretokens(F.array_join(T.basic_tokens(F.col("text"), strip=False), " "))
-    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(F.transform(pre, T.byte_encode), ranks, bpe.WORD_END, v, v.get("<|endoftext|>", len(v) + 1))["ids"].alias("ids"))
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(F.transform(pre, T.byte_encode), ranks, bpe.WORD_END, v, v.get("<|endoftext|>", len(v) + 1)).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
@@ -201,7 +200,7 @@ def word_end_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece family over the public model of 32,000 pieces."""
     scores = read_pieces(public_file("piece_bpe_32k.model"))
-    return documents(spark, sf_dir).select("doc_id", shown(bpe.piece_column(T.piece_text(F.col("text")), scores)["tokens"]).alias("pieces"))
+    return documents(spark, sf_dir).select("doc_id", shown(bpe.piece_column(T.piece_text(F.col("text")), scores)).alias("pieces"))
 
 
 @query

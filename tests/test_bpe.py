@@ -22,7 +22,7 @@ GOLDEN = {
 def golden_rows(spark):
     df = spark.createDataFrame([(k,) for k in GOLDEN], "case string")
     pre = df.select("case", F.transform(T.word_end_pretokens(F.array_join(T.basic_tokens(F.col("case")), " ")), T.byte_encode).alias("words"))
-    return pre.select("case", bpe.merged_words(F.col("words"), RANKS, bpe.WORD_END, VOCAB, VOCAB["<unk>"]).alias("t")).select("case", "t.*")
+    return pre.select("case", bpe.merged_words(F.col("words"), RANKS, bpe.WORD_END).alias("tokens"), bpe.merged_words(F.col("words"), RANKS, bpe.WORD_END, VOCAB, VOCAB["<unk>"]).alias("ids"))
 
 
 def test_golden_tokens_and_ids(spark):
@@ -93,11 +93,11 @@ def test_public_vocabulary_equals_the_library(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     v, ranks = public_vocabulary()
     words = df.select("id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
-    ids = words.select("id", bpe.merged_words(F.col("words"), ranks, vocab=v)["ids"].alias("ids"))
+    ids = words.select("id", bpe.merged_words(F.col("words"), ranks, vocab=v).alias("ids"))
     got = {r.id: r.ids for r in ids.collect()}
     lib = Tokenizer.from_file(public_file())
     assert got == {i: lib.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
-    tokens = words.select("id", bpe.merged_words(F.col("words"), ranks)["tokens"].alias("tokens"))
+    tokens = words.select("id", bpe.merged_words(F.col("words"), ranks).alias("tokens"))
     for table in (v, vocab.vocab_frame(spark, v)):
         assert {r.id: r.ids for r in vocab.token_ids(tokens, ["id"], "tokens", table, None).collect()} == got
 
@@ -142,7 +142,7 @@ def test_pieces_by_units_equal_pieces_of_whole_texts(spark, sf):
     scores = read_pieces(public_file("piece_bpe_32k.model"))
     texts = [r.text[:400] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect()] + ["a  b   c", " ", "▁ ▁x▁", "中文 😀\n\ttab"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = {r.id: r.t for r in df.select("id", bpe.piece_column(T.piece_text(F.col("text")), scores)["tokens"].alias("t")).collect()}
+    got = {r.id: r.t for r in df.select("id", bpe.piece_column(T.piece_text(F.col("text")), scores).alias("t")).collect()}
     for i, x in enumerate(texts):
         assert got[i] == bpe.piece_tokens("▁" + x.replace("▁", " ").replace(" ", "▁"), scores)
 
