@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import saved, shared_dir
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "fold", "saved", "shared_dir", "sized", "table", "text_key", "wrapped"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "fold", "saved", "shared_dir", "sized", "table", "wrapped"]
 
 #: Words of several contracts: runs of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,11 +33,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Names a row by its id and text, so that rows that share an id but not a text stay apart."""
-    return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))), 256)
-
-
 def fold(doc_id: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo mod; a null id is in no held-out fold (-1)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod, F.lit(-1))
