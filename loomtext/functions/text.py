@@ -103,10 +103,18 @@ def byte_level_pretokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(BYTE_LEVEL_PATTERN), F.lit(0))
 
 
+_BYTE_TABLE = dict(enumerate(byte_alphabet()))
+
+
 def byte_encode(c: Column) -> Column:
     return F.translate(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), _FROM, _TO)
 
 
+def byte_encoded(word: str) -> str:
+    """byte_encode for helpers that see single words."""
+    return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_TABLE)
+
+
 def _bytes_of(c: Column) -> Column:
     """The alphabet's characters back as bytes; translate() reads a NUL as a deletion, so that byte goes by itself."""
     return F.replace(F.translate(c, _TO[1:], _FROM[1:]), F.lit(_TO[0]), F.lit(_FROM[0]))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import LOWER_BAR
+from ..functions.text import LOWER_BAR, byte_encoded
 
 OPEN, CLOSE = "⟨", "⟩"
 WORD_END = "</w>"
@@ -112,9 +112,9 @@ def subwords(words: Column, one: Callable[[str], list[str]], vocab: dict[str, in
     return run(words)
 
 
-def merged_words(words: Column, ranks: dict[tuple[str, str], int], end: str = "", vocab: dict[str, int] | None = None, unk_id: int | None = None) -> Column:
-    """The tokens, or ids, of arrays of pre-tokens by a merge table."""
-    return subwords(words, lambda w: merge_word(w, ranks, end), vocab, unk_id)
+def merged_words(words: Column, ranks: dict[tuple[str, str], int], end: str = "", vocab: dict[str, int] | None = None, unk_id: int | None = None, raw: bool = False) -> Column:
+    """The tokens, or ids, of arrays of pre-tokens by a merge table; raw ones are put in the byte alphabet first, each distinct one once."""
+    return subwords(words, lambda w: merge_word(byte_encoded(w) if raw else w, ranks, end), vocab, unk_id)
 
 
 def piece_tokens(text: str, scores: dict[str, float], unknown: str = "<unk>") -> list[str]:

@@ -66,7 +66,7 @@ class Tokenizer:
         return [v[t] for t in self.config.special_tokens() if t in v]
 
     def words(self, text: Column) -> Column:
-        """The units of merging: pre-tokens in their byte alphabet; an added token is one unit, marked as such."""
+        """The units of merging: pre-tokens; an added token is one unit, marked as such."""
         if self.family == Family.BYTE_LEVEL:
             text = T.prefix_space(text, self.config.add_prefix_space)
         contents = [t.content for t in self.added]
@@ -80,9 +80,9 @@ class Tokenizer:
 
         def units(part: Column) -> Column:
             if self.family == Family.WORD_END:
-                return F.transform(T.word_end_pretokens(part), T.byte_encode)
+                return T.word_end_pretokens(part)
             if self.family == Family.BYTE_LEVEL:
-                return F.transform(T.byte_level_pretokens(part), T.byte_encode)
+                return T.byte_level_pretokens(part)
             return F.array(part)
 
         if not contents:
@@ -106,7 +106,7 @@ class Tokenizer:
             if family == Family.PIECES:
                 whole = T.LOWER_BAR + word.replace(T.LOWER_BAR, " ").replace(" ", T.LOWER_BAR)
                 return [t for unit in pattern.findall(whole) for t in piece_tokens(unit, scores)]
-            return merge_word(word, ranks, end)
+            return merge_word(T.byte_encoded(word), ranks, end)
 
         return subwords(self.words(self._basic(F.col(text))), one, self.whole_vocab() if ids else None, self.token_id(self.config.unk_token) if ids else None)
 

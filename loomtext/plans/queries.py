@@ -37,18 +37,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_ids(df: DataFrame, *key: str, words: str = "words") -> DataFrame:
-    """key, tokens and ids of arrays of byte-encoded pre-tokens, row by row."""
+    """key, tokens and ids of arrays of pre-tokens, row by row."""
     ranks = {m: r for r, m in enumerate(small_merges())}
     own = F.coalesce(words, F.array().cast("array<string>"))
-    return df.select(*key, bpe.merged_words(own, ranks).alias("tokens"), bpe.merged_words(own, ranks, vocab=small_vocab(), unk_id=small_vocab()[UNK]).alias("ids"))
+    return df.select(*key, bpe.merged_words(own, ranks, raw=True).alias("tokens"), bpe.merged_words(own, ranks, vocab=small_vocab(), unk_id=small_vocab()[UNK], raw=True).alias("ids"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_ids(documents(spark, sf_dir).select("doc_id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words")), "doc_id")
+    return small_ids(documents(spark, sf_dir).select("doc_id", T.byte_level_pretokens(F.col("text")).alias("words")), "doc_id")
 
 
 def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", T.byte_level_pretokens(F.col("text")).alias("words"))
     return small_ids(items, "item_id").select("item_id", F.col("ids").alias("pair_ids"))
 
 
@@ -182,8 +182,7 @@ def unknown_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def public_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole public vocabulary of 50,257 tokens."""
     v, ranks = public_vocabulary()
-    words = F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode)
-    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(words, ranks, vocab=v).alias("ids"))
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(T.byte_level_pretokens(F.col("text")), ranks, vocab=v, raw=True).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
@@ -192,7 +191,7 @@ def word_end_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word-end family over the public vocabulary of 49,408 tokens."""
     v, ranks = public_vocabulary(public_file("word_bpe_49k.json"))
     pre = T.word_end_pretokens(F.array_join(T.basic_tokens(F.col("text"), strip=False), " "))
-    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(F.transform(pre, T.byte_encode), ranks, bpe.WORD_END, v, v.get("<|endoftext|>", len(v) + 1)).alias("ids"))
+    ids = documents(spark, sf_dir).select("doc_id", bpe.merged_words(pre, ranks, bpe.WORD_END, v, v.get("<|endoftext|>", len(v) + 1), True).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), shown("ids").alias("ids"))
 
 
@@ -389,7 +388,7 @@ def generation_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a prompt of its own, named conv_id:turn, with all its ids."""
-    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("prompt"), F.transform(T.byte_level_pretokens(F.col("text")), T.byte_encode).alias("words"))
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("prompt"), T.byte_level_pretokens(F.col("text")).alias("words"))
     return small_ids(turns, "prompt").select("prompt", "ids")
 
 
