@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup
+from . import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup, token_count
 from .common import table
 
 
@@ -53,7 +53,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_suffix_dedup, op2_lm_score, op3_best_fit_packing, op4_html_extraction, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join)
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_suffix_dedup, op2_lm_score, op3_best_fit_packing, op4_html_extraction, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join, op12_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup
+from loomtext.llm import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup, token_count
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -667,3 +667,44 @@ def test_one_row_of_each_component_stays_whatever_its_ids(spark):
     linked = [x for x in got if x in ((None, b), (None, b + " zz"))]
     assert len(linked) == 1
     assert got == sorted([(None, a), *linked, (5, c), (5, d), (6, e), (8, None), (8, None), (None, " ")], key=str)
+
+
+# --- op12 ------------------------------------------------------------------------------------------------------
+
+ODD = ["a", "b", "the", "ing", "'s", "'", "!!", "!", "?", ".", "\u00e9", "e\u0301", "\u4e2d", "\u6587", "\U0001f600", "\u0327\u0301", "\u1100", "\u1161", "7", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "Q", "\u0130", "\u00a0", "\x1c", "|>", "'re", "ve"]
+
+
+def library_counts(texts):
+    own, _ = token_count.encoder(token_count.vocabulary_path())
+    return [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(300, 100), (49_152, 1024)])
+def test_token_counts_equal_the_library(spark, chunk, overlap):
+    """Texts of odd pieces in every order; many chunks share no token, so their overlaps widen, some to the whole text."""
+    rng = random.Random(12)
+    texts = [None, "", " ", "x" * 5000, "ab" * 3000, "\u4e2d\u6587" * 2000]
+    for n, k in [(150, None)] * 400 + [(3000, None)] * 60 + [(3000, 3)] * 60:
+        some = rng.sample(ODD, k or rng.randint(2, len(ODD)))
+        texts.append("".join(rng.choice(some) for _ in range(rng.randint(0, n))))
+    rows = frame(spark, texts).unionByName(frame(spark, texts[-3:] * 2))
+    got = defaultdict(list)
+    for r in token_count.token_counts(rows, chunk=chunk, overlap=overlap, most=700).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_tokens, r.over_limit))
+    for i, (t, n) in enumerate(zip(texts, library_counts(texts), strict=True)):
+        assert (len((t or "").encode()), n, n > 700) in got[i], (i, t)
+    assert sum(map(len, got.values())) == len(texts) + 6
+
+
+def test_token_counts_of_a_table_and_of_odd_rows(spark, sf, edge):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in rows], library_counts([r.text for r in rows]), strict=True))
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, chunk=4000, overlap=400).collect()} == want
+    assert ids(token_count.token_counts(edge, chunk=200, overlap=80)) == ALL_IDS
+    assert token_count.token_counts(edge.limit(0)).collect() == []
+
+
+def test_a_text_of_a_million_characters(spark):
+    text = ("Words and more of them, " * 500 + "longwordwithoutend" * 20) * 80
+    assert [r.n_tokens for r in token_count.token_counts(frame(spark, [text, text])).collect()] == library_counts([text, text])
