@@ -16,7 +16,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, quality, secret_scan, suffix_dedup, token_count
+from loomtext.llm import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -708,3 +708,68 @@ def test_token_counts_of_a_table_and_of_odd_rows(spark, sf, edge):
 def test_a_text_of_a_million_characters(spark):
     text = ("Words and more of them, " * 500 + "longwordwithoutend" * 20) * 80
     assert [r.n_tokens for r in token_count.token_counts(frame(spark, [text, text])).collect()] == library_counts([text, text])
+
+
+# --- op11 ------------------------------------------------------------------------------------------------------
+
+def brute_collocations(rows, least, most, top, cover=50):
+    """All phrases of all pieces, counted in memory."""
+    table = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(table)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(words)
+            for k in range(1, most + 1):
+                counts[lang or "und"].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in found.items():
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    longest[p[i : i + n]] = max(longest[p[i : i + n]], a)
+        scored = []
+        for p, a in found.items():
+            if 100 * longest[p] < cover * a or not longest[p]:
+                score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(scored)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least", "most", "top", "hot"), [(10, 3, 2000, 1_000_000), (3, 5, 7, 5), (2, 2, 40, 1_000_000)])
+def test_collocations_equal_brute_force(spark, monkeypatch, least, most, top, hot):
+    """Random texts in three languages with odd breaks, frequent phrases and ties; hot prefixes split; small chunks and slices in one case."""
+    rng = random.Random(11 + most)
+    word = ["ka", "Lo", "mi", "NE", "ru", "\u00c9t", "\u0416", "a-b", "x\u00a0y", "so"]
+    rows = [(None, None), ("en", ""), ("en", " \t\n"), ("en", "lone"), ("en", ".,;\x0b!?")]
+    for i in range(160):
+        text = "".join(rng.choice(word[: 3 + i % 8]) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0c"]) for _ in range(rng.randint(0, 90)))
+        rows += [(rng.choice(["en", "de", None, "und"]), text + " ka Lo mi ne ka lo mi")] * (1 + (i % 9 == 0))
+    docs = spark.createDataFrame([(t, lang, "clash", 1) for lang, t in rows], "text string, lang string, h string, a int")
+    got = sorted(tuple(r) for r in phrases_of(docs, least, most, top, hot).collect())
+    assert got == brute_collocations(rows, least, most, top)
+
+
+def phrases_of(docs, least, most, top, hot):
+    return phrases.collocations(docs, least=least, words=(2, most), top=top, hot_from=hot)
+
+
+def test_collocations_of_odd_tables(spark, edge):
+    assert phrases.collocations(edge.limit(0)).collect() == []
+    assert phrases.collocations(edge).count() == 0
+    same = edge.where("text is not null").crossJoin(spark.range(12)).drop("id")
+    assert {r.a for r in phrases.collocations(same).where("phrase = 'same row'").collect()} == {24}
+
+
+def test_chunks_cut_long_texts_at_breaks():
+    text = "Ab cd, " * 5 + "ef\tgh"
+    assert b"".join(phrases._slices(text)) == text.lower().replace(",", "\udcff").replace("\t", " ").encode("utf-8", "surrogateescape")
+    small, phrases.SLICE = phrases.SLICE, 3
+    try:
+        parts = list(phrases._slices(text))
+    finally:
+        phrases.SLICE = small
+    assert len(parts) == 6 and all(p.startswith(b"\xff") for p in parts[1:])
