@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
+from . import decontam, hard_negatives, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_suffix_dedup, op2_lm_score, op3_best_fit_packing, op4_html_extraction, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join, op11_phrase_mining, op12_token_counts)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_suffix_dedup, op2_lm_score, op3_best_fit_packing, op4_html_extraction, op5_language_id, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_ngram_join, op11_phrase_mining, op12_token_counts, op13_hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontam.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_phrase_mining": phrases.ORACLE}
+    return {"op6_decontamination": decontam.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -16,7 +16,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontam, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
+from loomtext.llm import decontam, hard_negatives, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -773,3 +773,63 @@ def test_chunks_cut_long_texts_at_breaks():
     finally:
         phrases.SLICE = small
     assert len(parts) == 6 and all(p.startswith(b"\xff") for p in parts[1:])
+
+
+# --- op13 ------------------------------------------------------------------------------------------------------
+
+def brute_negatives(rows, anchor, positives=5, negatives=3):
+    """All pairs, in Python's whole numbers."""
+    own = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            row = label, [math.floor(256 * float(np.float32(x))) for x in v]
+            own[i] = min(own.get(i, row), row)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for a, (label, v) in own.items():
+        if anchor(a):
+            scores = sorted((-dot(v, w), i, other == label) for i, (other, w) in own.items() if i != a)
+            for s, p, _ in [x for x in scores if x[2]][:positives]:
+                fit = [(t, i) for t, i, same in scores if not same and 50 * -s <= 100 * -t <= 95 * -s][:negatives]
+                out += [(a, p, k + 1, i, -s, -t) for k, (t, i) in enumerate(fit)]
+    return sorted(out)
+
+
+VECTORS = "vec_id bigint, label int, embedding array<float>, v int, qid int, cell int, wants string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, label, v, 0, 0, 0, "clash") for i, label, v in rows], VECTORS)
+
+
+@pytest.mark.parametrize(("labels_", "grid"), [(3, 2), (40, 1), (2, 50)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, labels_, grid):
+    """Clustered vectors with many ties and copies, small labels, odd rows; small cells, splits and probes, so that several scans are needed."""
+    for name, value in (("CELL_ROWS", 16), ("SIDE", 7), ("PROBE", 8), ("WIDEN", 2)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(13)
+    centres = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for i in range(300):
+        c = rng.choice(centres)
+        v = [round((x + rng.uniform(-0.2, 0.2)) * grid) / grid for x in c][: rng.choice([6, 6, 6, 4])]
+        rows.append((i, rng.randrange(labels_), [0.5, 0.25] if i % 3 == 0 else v))
+    rows += [(None, 1, [1.0]), (900, None, [1.0]), (901, 1, None), (902, 1, [1.0, None]), (903, 1, [float("nan")]), (904, 1, [float("inf")]), (5, 0, [0.1]), (905, 1, []), (906, 77, [1.0])]
+    anchor = lambda i: i % 4 == 0
+    got = hard_negatives.hard_negatives(hard_negatives.usable(vectors(spark, rows)), F.col("vec_id") % 4 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute_negatives(rows, anchor)
+
+
+def test_hard_negatives_of_odd_tables(spark):
+    assert hard_negatives.mine(vectors(spark, [])).collect() == []
+    assert hard_negatives.mine(vectors(spark, [(50, 1, [1.0])])).collect() == []
+    assert hard_negatives.mine(vectors(spark, [(50, 1, [1.0]), (51, 1, [1.0])])).collect() == []
+    rows = [(50, 1, [1.0]), (51, 1, [1.0]), (52, 2, [0.9]), (56, 1, [0.8])]
+    assert sorted(tuple(r) for r in hard_negatives.mine(vectors(spark, rows)).collect()) == [(50, 51, 1, 52, 65536, 58880), (50, 51, 2, 56, 65536, 52224)]
+
+
+def test_inner_products_of_large_components_are_exact():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-(2**30), 2**30, (5, 3)), rng.integers(-(2**30), 2**30, (7, 3))
+    want = [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in b] for r in a]
+    assert hard_negatives.inner(a.astype(float), b.astype(float), 2.0**62 - 1).tolist() == want
