@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +147,18 @@ class MaxTime:
 
 # --- logits: each takes (scores, state) and returns scores -----------------------------------------------------
 
+def rule(factory: Callable[..., Processor]) -> Callable[..., Processor]:
+    """Processors carry the name of what made them, so that lists of them can be merged by kind."""
+
+    @wraps(factory)
+    def made(*args, **options) -> Processor:
+        run = factory(*args, **options)
+        run.kind = factory.__name__
+        return run
+
+    return made
+
+
 def _seq(*order: Column) -> Window:
     w = Window.partitionBy("seq_id")
     return w.orderBy(*order) if order else w
@@ -166,14 +178,17 @@ def _with_state(scores: DataFrame, state: DataFrame, **cols: Column) -> DataFram
     return scores.join(state.select("seq_id", *[v.alias(k) for k, v in cols.items()]), "seq_id")
 
 
+@rule
 def min_length(n: int, eos_ids: Sequence[int]) -> Processor:
     return lambda s, st: _drop(_with_state(s, st, len=F.size("ids")), (F.col("len") < n) & F.col("token_id").isin(*eos_ids)).drop("len")
 
 
+@rule
 def min_new_tokens(n: int, eos_ids: Sequence[int]) -> Processor:
     return lambda s, st: _drop(_with_state(s, st, new=F.size("ids") - F.col("prompt_len")), (F.col("new") < n) & F.col("token_id").isin(*eos_ids)).drop("new")
 
 
+@rule
 def temperature(t: float) -> Processor:
     if t <= 0:
         raise ValueError("the temperature must be positive")
@@ -186,15 +201,18 @@ def _penalized(s: DataFrame, seen: DataFrame, p: float) -> DataFrame:
     return hit.withColumn("score", F.when(F.col("seen"), F.when(x < 0, x * p).otherwise(x / p)).otherwise(x)).drop("seen")
 
 
+@rule
 def repetition_penalty(p: float) -> Processor:
     return lambda s, st: _penalized(s, st.select("seq_id", F.explode("ids").alias("token_id")).distinct(), p)
 
 
+@rule
 def encoder_repetition_penalty(p: float) -> Processor:
     """Rewards ids of the prompt: the inverse penalty."""
     return lambda s, st: _penalized(s, st.select("seq_id", F.explode(F.slice("ids", F.lit(1), F.col("prompt_len"))).alias("token_id")).distinct(), 1 / p)
 
 
+@rule
 def top_k(k: int, min_keep: int = 1) -> Processor:
     def run(s: DataFrame, st: DataFrame) -> DataFrame:
         rank = F.rank().over(_seq(F.desc("score")))  # ties with the last kept one stay
@@ -203,6 +221,7 @@ def top_k(k: int, min_keep: int = 1) -> Processor:
     return run
 
 
+@rule
 def top_p(p: float, min_keep: int = 1) -> Processor:
     """Keeps the smallest set of most probable ids whose mass reaches p."""
 
@@ -214,10 +233,12 @@ def top_p(p: float, min_keep: int = 1) -> Processor:
     return run
 
 
-def min_p(p: float) -> Processor:
-    return lambda s, st: _drop(s, F.col("score") < F.max("score").over(_seq()) + math.log(p))
+@rule
+def min_p(p: float, min_keep: int = 1) -> Processor:
+    return lambda s, st: _keep_best(s, F.col("score") < F.max("score").over(_seq()) + math.log(p), min_keep)
 
 
+@rule
 def typical_p(mass: float, min_keep: int = 1) -> Processor:
     """Keeps the ids whose surprise is nearest the entropy, up to the mass."""
 
@@ -232,19 +253,24 @@ def typical_p(mass: float, min_keep: int = 1) -> Processor:
     return run
 
 
-def _keep_best(s: DataFrame, bad: Column) -> DataFrame:
-    return _drop(s, bad & (F.col("score") < F.max("score").over(_seq())))
+def _keep_best(s: DataFrame, bad: Column, min_keep: int = 1) -> DataFrame:
+    """Drop what is bad, but never the best min_keep scores and their ties."""
+    if min_keep == 1:
+        return _drop(s, bad & (F.col("score") < F.max("score").over(_seq())))
+    return _drop(s.withColumns({"bad": bad, "rank": F.rank().over(_seq(F.desc("score")))}), F.col("bad") & (F.col("rank") > min_keep)).drop("bad", "rank")
 
 
-def epsilon_cutoff(eps: float) -> Processor:
-    return lambda s, st: _keep_best(s.withColumn("p", _probability()), F.col("p") < eps).drop("p")
+@rule
+def epsilon_cutoff(eps: float, min_keep: int = 1) -> Processor:
+    return lambda s, st: _keep_best(s.withColumn("p", _probability()), F.col("p") < eps, min_keep).drop("p")
 
 
-def eta_cutoff(eps: float) -> Processor:
+@rule
+def eta_cutoff(eps: float, min_keep: int = 1) -> Processor:
     def run(s: DataFrame, st: DataFrame) -> DataFrame:
         s = s.withColumn("p", _probability())
         s = s.withColumn("h", F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p")).otherwise(0.0)).over(_seq()))
-        return _keep_best(s, F.col("p") < F.least(F.lit(eps), math.sqrt(eps) * F.exp(-F.col("h")))).drop("p", "h")
+        return _keep_best(s, F.col("p") < F.least(F.lit(eps), math.sqrt(eps) * F.exp(-F.col("h"))), min_keep).drop("p", "h")
 
     return run
 
@@ -262,14 +288,17 @@ def _repeats(source: DataFrame, state: DataFrame, n: int) -> DataFrame:
     return grams.join(ends, ["seq_id", "head"])
 
 
+@rule
 def no_repeat_ngram(n: int) -> Processor:
     return lambda s, st: _banned(s, _repeats(st, st, n))
 
 
+@rule
 def encoder_no_repeat_ngram(n: int) -> Processor:
     return lambda s, st: _banned(s, _repeats(st.select("seq_id", F.slice("ids", F.lit(1), F.col("prompt_len")).alias("ids")), st, n))
 
 
+@rule
 def sequence_bias(bias: dict[tuple[int, ...], float]) -> Processor:
     """Adds a bias to the last id of a sequence when the ids before it are there already; single ids always."""
 
@@ -285,15 +314,18 @@ def sequence_bias(bias: dict[tuple[int, ...], float]) -> Processor:
     return run
 
 
+@rule
 def no_bad_words(words: Sequence[Sequence[int]], eos_ids: Sequence[int] = ()) -> Processor:
     return sequence_bias({tuple(w): NEVER for w in words if list(w) not in [[e] for e in eos_ids]})
 
 
+@rule
 def prefix_constrained(allowed: DataFrame) -> Processor:
     """allowed(seq_id, token_id): all other ids are banned."""
     return lambda s, st: _drop(s.join(allowed.select("seq_id", "token_id").distinct().withColumn("ok", F.lit(True)), ["seq_id", "token_id"], "left"), F.col("ok").isNull()).drop("ok")
 
 
+@rule
 def hamming_diversity(current: DataFrame, penalty: float) -> Processor:
     """current(seq_id, token_id): what earlier beam groups chose in this step; each choice costs the penalty."""
     counts = current.groupBy("seq_id", "token_id").agg(F.count("*").alias("times"))
@@ -304,14 +336,17 @@ def _forced(s: DataFrame, now: Column, token_id: int) -> DataFrame:
     return s.withColumn("score", F.when(now, F.when(F.col("token_id") == token_id, 0.0).otherwise(NEVER)).otherwise(F.col("score")))
 
 
+@rule
 def forced_bos(token_id: int) -> Processor:
     return lambda s, st: _forced(_with_state(s, st, len=F.size("ids")), F.col("len") == 1, token_id).drop("len")
 
 
+@rule
 def forced_eos(token_id: int, max_length: int) -> Processor:
     return lambda s, st: _forced(_with_state(s, st, len=F.size("ids")), F.col("len") == max_length - 1, token_id).drop("len")
 
 
+@rule
 def force_tokens(at: dict[int, int]) -> Processor:
     def run(s: DataFrame, st: DataFrame) -> DataFrame:
         s = _with_state(s, st, len=F.size("ids"))
@@ -322,12 +357,14 @@ def force_tokens(at: dict[int, int]) -> Processor:
     return run
 
 
+@rule
 def remove_invalid() -> Processor:
     """NaN becomes 0, infinities the largest finite values."""
     big = 3.4028234663852886e38
     return lambda s, st: s.withColumn("score", F.greatest(F.least(F.nanvl("score", F.lit(0.0)), F.lit(big)), F.lit(-big)))
 
 
+@rule
 def exponential_decay(start: int, factor: float, eos_ids: Sequence[int]) -> Processor:
     def run(s: DataFrame, st: DataFrame) -> DataFrame:
         s = _with_state(s, st, over=F.size("ids") - F.col("prompt_len") - start)
@@ -337,6 +374,7 @@ def exponential_decay(start: int, factor: float, eos_ids: Sequence[int]) -> Proc
     return run
 
 
+@rule
 def log_normalize() -> Processor:
     def run(s: DataFrame, st: DataFrame) -> DataFrame:
         top = F.max("score").over(_seq())
@@ -345,14 +383,17 @@ def log_normalize() -> Processor:
     return run
 
 
+@rule
 def suppress(ids: Sequence[int]) -> Processor:
     return lambda s, st: _drop(s, F.col("token_id").isin(*ids))
 
 
+@rule
 def suppress_at_begin(ids: Sequence[int], begin: int) -> Processor:
     return lambda s, st: _drop(_with_state(s, st, len=F.size("ids")), (F.col("len") == begin) & F.col("token_id").isin(*ids)).drop("len")
 
 
+@rule
 def guidance(unconditional: DataFrame, scale: float) -> Processor:
     """Blends log-normalized scores with those of an unconditional scorer."""
 
@@ -363,6 +404,7 @@ def guidance(unconditional: DataFrame, scale: float) -> Processor:
     return run
 
 
+@rule
 def watermark(bias: float, greenlist_ratio: float = 0.25, key: int = 15485863) -> Processor:
     """Adds the bias to a hash-seeded green share of the vocabulary; the seed is the last id."""
 
@@ -374,12 +416,34 @@ def watermark(bias: float, greenlist_ratio: float = 0.25, key: int = 15485863) -
     return run
 
 
-def processors(c: GenerationConfig, prompt_len: int = 1) -> list[Processor]:
-    """The processors a configuration asks for, in their published order."""
+@rule
+def prefix_allowed(allowed: Callable[[DataFrame], DataFrame]) -> Processor:
+    """As prefix_constrained, with the allowed (seq_id, token_id) made from the state of each step."""
+    return lambda s, st: prefix_constrained(allowed(st))(s, st)
+
+
+@rule
+def guided(unconditional: Scorer, scale: float) -> Processor:
+    """As guidance, with the unconditional scores made from the state of each step."""
+    return lambda s, st: guidance(unconditional(st), scale)(s, st)
+
+
+def processors(c: GenerationConfig, prompt_len: int = 1, unconditional: Scorer | None = None, current: DataFrame | None = None, allowed: Callable[[DataFrame], DataFrame] | None = None) -> list[Processor]:
+    """The processors a configuration asks for, in their published order. unconditional: the scorer that guidance_scale needs;
+    current: what earlier beam groups chose in this step; allowed: from a state to the ids that may follow."""
     out: list[Processor] = []
     eos = c.eos_token_id or ()
+    if c.guidance_scale not in (None, 1, 1.0):
+        if unconditional is None:
+            raise ValueError("guidance_scale needs an unconditional scorer")
+        out.append(guided(unconditional, c.guidance_scale))
     if c.sequence_bias:
         out.append(sequence_bias({tuple(map(int, k)) if not isinstance(k, str) else tuple(map(int, k.split(","))): v for k, v in c.sequence_bias.items()}))
+    if c.diversity_penalty and c.diversity_penalty > 0:
+        if c.num_beam_groups < 2:
+            raise ValueError("diversity_penalty needs beam groups")
+        if current is not None:
+            out.append(hamming_diversity(current, c.diversity_penalty))
     if c.encoder_repetition_penalty not in (None, 1.0):
         out.append(encoder_repetition_penalty(c.encoder_repetition_penalty))
     if c.repetition_penalty not in (None, 1.0):
@@ -394,6 +458,8 @@ def processors(c: GenerationConfig, prompt_len: int = 1) -> list[Processor]:
         out.append(min_length(c.min_length, eos))
     if c.min_new_tokens and eos:
         out.append(min_new_tokens(c.min_new_tokens, eos))
+    if allowed is not None:
+        out.append(prefix_allowed(allowed))
     if c.forced_bos_token_id is not None:
         out.append(forced_bos(c.forced_bos_token_id))
     if c.forced_eos_token_id is not None and c.max_length is not None:
@@ -415,8 +481,8 @@ def processors(c: GenerationConfig, prompt_len: int = 1) -> list[Processor]:
 
 
 def warpers(c: GenerationConfig) -> list[Processor]:
-    """Warpers for sampling, in order; beams keep two ids at least."""
-    keep = 2 if c.num_beams > 1 else 1
+    """Warpers for sampling, in order; beams keep one id more than there are end ids, so that one of them goes on."""
+    keep = len(c.eos_token_id or (0,)) + 1 if c.num_beams > 1 else 1
     out: list[Processor] = []
     if c.temperature not in (None, 1.0):
         out.append(temperature(c.temperature))
@@ -425,27 +491,85 @@ def warpers(c: GenerationConfig) -> list[Processor]:
     if c.top_p is not None and c.top_p < 1:
         out.append(top_p(c.top_p, keep))
     if c.min_p is not None:
-        out.append(min_p(c.min_p))
+        out.append(min_p(c.min_p, keep))
     if c.typical_p is not None and c.typical_p < 1:
         out.append(typical_p(c.typical_p, keep))
     if c.epsilon_cutoff and 0 < c.epsilon_cutoff < 1:
-        out.append(epsilon_cutoff(c.epsilon_cutoff))
+        out.append(epsilon_cutoff(c.epsilon_cutoff, keep))
     if c.eta_cutoff and 0 < c.eta_cutoff < 1:
-        out.append(eta_cutoff(c.eta_cutoff))
+        out.append(eta_cutoff(c.eta_cutoff, keep))
     if c.renormalize_logits:
         out.append(log_normalize())
     return out
 
 
-def merged_list(own: list, custom: Sequence) -> list:
-    """Own elements, then custom ones; a kind that is there already is an error."""
-    kinds = {type(x) for x in own if not callable(x) or isinstance(x, type(MaxTime(0)))}
+def merged_list(own: Sequence, custom: Sequence) -> list:
+    """Own rules or stops, then custom ones; a kind that the configuration has made already is an error. Plain functions have no kind."""
+    kind = lambda x: getattr(x, "kind", None if callable(x) else type(x).__name__)
+    kinds = {kind(x) for x in own} - {None}
     for x in custom:
-        if type(x) in kinds:
-            raise ValueError(f"{type(x).__name__} is set by the configuration already")
+        if kind(x) in kinds:
+            raise ValueError(f"{kind(x)} is set by the configuration already")
     return [*own, *custom]
 
 
+class StopStrings:
+    """An automaton over characters that all stop strings share. A sequence carries its state, each chosen token's text advances it, and a
+    string is found wherever it ends, cut across tokens or not; nothing is decoded again.
+
+    tokens has token_id and text; strings and texts are in the same alphabet (for byte-level vocabularies that of bytes).
+    """
+
+    kind = "StopStrings"
+
+    def __init__(self, strings: Sequence[str], tokens: DataFrame):
+        if not strings or not all(strings):
+            raise ValueError("stop strings must not be empty")
+        self.tokens, self.longest = tokens.select("token_id", F.col("text").alias("stop_text")), max(map(len, strings))
+        heads = sorted({s[:k] for s in strings for k in range(len(s) + 1)}, key=lambda h: (len(h), h))
+        place = {h: i for i, h in enumerate(heads)}
+        self.ends = [i for h, i in place.items() if h.endswith(tuple(strings))]
+        self.moves: dict[str, int] = {}
+        for h in heads:  # the longest end of what is read that begins a string
+            for ch in sorted(set("".join(strings))):
+                to = next(place[(h + ch)[k:]] for k in range(len(h) + 2) if (h + ch)[k:] in place)
+                if to:
+                    self.moves[f"{place[h]}:{ch}"] = to
+
+    def after(self, at: Column, text: Column) -> Column:
+        """struct(at, hit) once the text has been read in state ``at``."""
+        moves = F.create_map(*[F.lit(x) for kv in self.moves.items() for x in kv])
+
+        def step(acc: Column, ch: Column) -> Column:
+            to = F.coalesce(F.try_element_at(moves, F.concat_ws(":", acc["at"], ch)), F.lit(0))
+            return F.struct(to.alias("at"), (acc["hit"] | to.isin(*self.ends)).alias("hit"))
+
+        return F.aggregate(F.filter(F.split(text, ""), lambda ch: ch != ""), F.struct(at.cast("int").alias("at"), F.lit(False).alias("hit")), step)
+
+    def start(self, state: DataFrame) -> DataFrame:
+        """seq_id and stop_at after the prompt: a string may begin there, but one that ends there does not count."""
+        tail = state.select("seq_id", F.posexplode(F.slice("ids", F.greatest(F.size("ids") - self.longest + 1, F.lit(1)), self.longest)).alias("pos", "token_id"))
+        text = tail.join(F.broadcast(self.tokens), "token_id").groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stop_text"))), lambda x: x.stop_text), "").alias("text"))
+        return state.join(text.select("seq_id", self.after(F.lit(0), F.col("text"))["at"].alias("stop_at")), "seq_id", "left").withColumn("stop_at", F.coalesce("stop_at", F.lit(0)))
+
+    def read(self, chosen: DataFrame) -> DataFrame:
+        """Rows with stop_at and token_id: stop_at behind the token, and stop_hit."""
+        found = chosen.join(F.broadcast(self.tokens), "token_id", "left").withColumn("stop_", self.after(F.col("stop_at"), F.coalesce("stop_text", F.lit(""))))
+        return found.withColumns({"stop_at": F.col("stop_.at"), "stop_hit": F.col("stop_.hit")}).drop("stop_", "stop_text")
+
+
+def stops(c: GenerationConfig, tokens: DataFrame | None = None, form: Callable[[str], str] = str, custom: Sequence = ()) -> list:
+    """The stops of a configuration that are objects: a time budget and stop strings. form turns a string into the alphabet of tokens."""
+    own: list = []
+    if c.max_time is not None:
+        own.append(MaxTime(c.max_time))
+    if c.stop_strings:
+        if tokens is None:
+            raise ValueError("stop_strings need the vocabulary's token texts")
+        own.append(StopStrings([form(s) for s in c.stop_strings], tokens))
+    return merged_list(own, custom)
+
+
 # --- loops -----------------------------------------------------------------------------------------------------
 
 def bigram_table(sequences: DataFrame, ids: str) -> DataFrame:
@@ -479,52 +603,44 @@ def _stop(c: GenerationConfig) -> Column:
     return any_of(flags)
 
 
-def generate(state: DataFrame, scorer: Scorer, c: GenerationConfig, seed: int = 0, custom: Sequence[Processor] = (), save: Callable[[DataFrame], DataFrame] | None = None, every: int = 4) -> DataFrame:
+def generate(
+    state: DataFrame, scorer: Scorer, c: GenerationConfig, seed: int = 0, custom: Sequence[Processor] = (), save: Callable[[DataFrame], DataFrame] | None = None, every: int = 1,
+    unconditional: Scorer | None = None, allowed: Callable[[DataFrame], DataFrame] | None = None, stopping: Sequence = (),
+) -> DataFrame:
     """Greedy search or sampling: seq_id and ids. Finished rows take the pad id while others go on; a context without a score ends.
 
-    The number of steps is bounded by the configuration; the loop ends early once no row is open.
+    stopping: what stops() gives. The number of steps is bounded by the configuration; the loop ends early once no row is open.
+    State is saved after every ``every`` steps; a step reads it twice, so steps that are not saved are computed again.
     """
     mode = generation_mode(c)
     if mode not in (GenerationMode.GREEDY_SEARCH, GenerationMode.SAMPLE):
         raise NotImplementedError(mode)
+    if c.stop_strings and not any(isinstance(x, StopStrings) for x in stopping):
+        raise ValueError("stop_strings are asked for: pass stops(config, tokens) as stopping")
     save = save or (lambda df: df.checkpoint())
     pad = c.pad_token_id if c.pad_token_id is not None else (c.eos_token_id or (0,))[0]
-    rules = [*processors(c), *custom, *(warpers(c) if mode == GenerationMode.SAMPLE else [])]
-    limit = MaxTime(c.max_time) if c.max_time else None
+    rules = [*merged_list(processors(c, unconditional=unconditional, allowed=allowed), custom), *(warpers(c) if mode == GenerationMode.SAMPLE else [])]
+    limit = next((x for x in stopping if isinstance(x, MaxTime)), MaxTime(c.max_time) if c.max_time else None)
+    strings = next((x for x in stopping if isinstance(x, StopStrings)), None)
     steps = c.max_new_tokens if c.max_new_tokens is not None else c.max_length or 20
-    state = save(state.withColumn("done", F.col("done") | too_long(c, F.col("prompt_len"))))
+    state = state.withColumn("done", F.col("done") | too_long(c, F.col("prompt_len")))
+    state = save(strings.start(state) if strings else state)
+    kept = ["stop_at"] if strings else []
     for step in range(steps):
         live = state.where("not done")
         scores = scorer(live)
-        for rule in rules:
-            scores = rule(scores, live)
+        for own in rules:
+            scores = own(scores, live)
         chosen = sampled_token(scores, seed + step) if mode == GenerationMode.SAMPLE else best_token(scores)
         both = state.join(chosen, "seq_id", "left")
-        grown = F.when(F.col("done"), F.when(F.lit(bool(c.eos_token_id)), F.concat("ids", F.array(F.lit(pad)))).otherwise(F.col("ids")))
+        both = strings.read(both) if strings else both.withColumn("stop_hit", F.lit(False))
+        grown = F.when(F.col("done"), F.when(F.lit(bool(c.eos_token_id or strings)), F.concat("ids", F.array(F.lit(pad)))).otherwise(F.col("ids")))
         grown = grown.when(F.col("token_id").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array(F.col("token_id").cast("int"))))
-        ended = F.col("done") | F.col("token_id").isNull()
-        state = both.select("seq_id", "prompt_len", grown.alias("ids"), ended.alias("done"))
+        ended = F.col("done") | F.col("token_id").isNull() | F.col("stop_hit")
+        state = both.select("seq_id", "prompt_len", grown.alias("ids"), ended.alias("done"), *kept)
         state = state.withColumn("done", F.col("done") | _stop(c))
         if (step + 1) % every == 0 or step + 1 == steps or limit:
             state = save(state)
             if (limit and limit.over()) or state.where("not done").limit(1).count() == 0:
                 break
     return state.select("seq_id", "ids")
-
-
-def beam_search(state: DataFrame, scorer: Scorer, c: GenerationConfig, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """seq_id, ids and score of the best beam: per step the num_beams best continuations of each sequence by summed log scores."""
-    save = save or (lambda df: df.checkpoint())
-    steps = c.max_new_tokens if c.max_new_tokens is not None else c.max_length or 20
-    beams = save(state.select("seq_id", "prompt_len", "ids", F.lit(0.0).alias("total"), F.lit(False).alias("done"), F.lit(0).alias("beam")))
-    w = Window.partitionBy("seq_id").orderBy(F.desc("total"), "ids")
-    for _ in range(steps):
-        live = beams.where("not done").withColumn("own", F.concat_ws(":", "seq_id", "beam"))
-        scores = log_normalize()(scorer(live.select(F.col("own").alias("seq_id"), "ids", "prompt_len")), live).select(F.col("seq_id").alias("own"), "token_id", "score")
-        longer = live.join(scores, "own", "left").select("seq_id", "prompt_len", F.when(F.col("token_id").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array(F.col("token_id").cast("int")))).alias("ids"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"), F.col("token_id").isNull().alias("done"))
-        both = longer.unionByName(beams.where("done").drop("beam")).withColumn("beam", F.row_number().over(w) - 1).where(F.col("beam") < c.num_beams)
-        beams = save(both.withColumn("done", F.col("done") | _stop(c)))
-        if beams.where("not done").limit(1).count() == 0:
-            break
-    value = F.col("total") / F.pow(F.greatest(F.size("ids") - F.col("prompt_len"), F.lit(1)), F.lit(c.length_penalty or 0.0))
-    return beams.withColumn("value", value).groupBy("seq_id").agg(F.max_by(F.struct("ids", "value"), F.struct("value", -F.col("beam"))).alias("best")).select("seq_id", "best.ids", F.col("best.value").alias("score"))

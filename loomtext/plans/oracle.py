@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import CLEANUP, LOWER_BAR, byte_alphabet
+from ..functions.text import CLEANUP, LOWER_BAR, byte_alphabet, byte_encoded
 from .vocabulary import BOS, EOS, PAD, UNK, small_merges, small_vocab
 
 
@@ -133,9 +133,9 @@ def oracle_sql() -> dict[str, str]:
     out["decoded_skip_special"] = out["cleanup_spaces"]
     out["decoded_added"] = f"WITH {D} SELECT doc_id, concat_ws(' ', {q(BOS)}, nullif(array_to_string(tokens, ' '), ''), {q(EOS)}, nullif(array_to_string(tokens, ' '), '')) AS text FROM d"
     out["input_json_roundtrip"] = f"SELECT conv_id, 'BatchInput' AS type, count(*) AS n, string_agg(text, {US} ORDER BY turn) AS texts FROM conversations GROUP BY conv_id"
-    out["generation_mode"] = """WITH g AS (SELECT id, id % 2 = 1 AS constrained, id // 2 % 3 + 1 AS beams, id // 6 % 2 + 1 AS groups, id // 12 % 2 = 1 AS sample, id // 24 % 2 * 49 + 1 AS top_k, id // 48 % 2 * 0.5 AS alpha, id // 96 % 2 = 1 AS assisted FROM range(192) t(id)),
-        m AS (SELECT id, assisted, CASE WHEN constrained THEN 'constrained_beam_search' WHEN beams = 1 AND sample THEN 'sample' WHEN beams = 1 AND top_k > 1 AND alpha > 0 THEN 'contrastive_search' WHEN beams = 1 THEN 'greedy_search' WHEN groups > 1 THEN 'group_beam_search' WHEN sample THEN 'beam_sample' ELSE 'beam_search' END AS mode FROM g)
-        SELECT id, CASE WHEN NOT assisted THEN mode WHEN mode IN ('greedy_search', 'sample') THEN 'assisted_generation' END AS mode FROM m"""
+    out["generation_mode"] = """WITH r AS (SELECT doc_id, doc_id % 192 AS id FROM documents), g AS (SELECT doc_id, id % 2 = 1 AS constrained, id // 2 % 3 + 1 AS beams, id // 6 % 2 + 1 AS groups, id // 12 % 2 = 1 AS sample, id // 24 % 2 * 49 + 1 AS top_k, id // 48 % 2 * 0.5 AS alpha, id // 96 % 2 = 1 AS assisted FROM r),
+        m AS (SELECT doc_id, assisted, CASE WHEN constrained THEN 'constrained_beam_search' WHEN beams = 1 AND sample THEN 'sample' WHEN beams = 1 AND top_k > 1 AND alpha > 0 THEN 'contrastive_search' WHEN beams = 1 THEN 'greedy_search' WHEN groups > 1 THEN 'group_beam_search' WHEN sample THEN 'beam_sample' ELSE 'beam_search' END AS mode FROM g)
+        SELECT doc_id, CASE WHEN NOT assisted THEN mode WHEN mode IN ('greedy_search', 'sample') THEN 'assisted_generation' END AS mode FROM m"""
     out["stop_flags"] = f"WITH {D} SELECT doc_id, coalesce(ids[len(ids)] IN (13, 14), false) AS eos, len(ids) >= 200 AS max_length, len(ids) >= 400 AS max_new_tokens, coalesce(ids[len(ids)] IN (13, 14), false) OR len(ids) >= 200 AS stopped FROM d"
     short = f"{D}, o AS (SELECT doc_id, len(ids) AS n, (len(ids) + 63) // 64 * 64 AS most FROM d)"
     out["generation_mask"] = f"WITH {short} SELECT doc_id, {_join(f'{_rep(0, "most - n")} || {_rep(1, "n")}')} AS mask FROM o"
@@ -179,10 +179,14 @@ def oracle_sql() -> dict[str, str]:
     soft = lambda x: f"({x} - ln(sum(exp({x})) OVER (PARTITION BY seq_id)))"
     out["logits_guidance"] = f"WITH {G}, n AS (SELECT seq_id, token_id, {soft('score')} AS a, {soft('score / 2')} AS b FROM r) SELECT {sel.format('(a - b) * 1.5 + b')} FROM n"
     out["stop_strings"] = "SELECT doc_id, contains(text, 'the end') OR contains(text, 'erly.') AS stopped FROM documents"
-    out["vocabulary_file"] = f"SELECT token, CAST(id AS BIGINT) AS id FROM (VALUES {', '.join(f'({q(t)}, {i})' for t, i in v.items())}) t(token, id)"
-    out["merges_file"] = f"""SELECT CAST(rank AS BIGINT) AS rank, "left", "right" FROM (VALUES {', '.join(f'({i}, {q(a)}, {q(b)})' for i, (a, b) in enumerate(small_merges()))}) t(rank, "left", "right")"""
-    out["tokenizer_configs"] = f"""SELECT * FROM (VALUES ('word_end', 'CLIPTokenizer', true, false, CAST(77 AS BIGINT), 'right', 'right', {q(f'{BOS} {EOS} {PAD}')}), ('byte_level', 'GPT2Tokenizer', false, true, 1024, 'right', 'left', {q(f'{EOS} {UNK}')}),
-        ('pieces', 'LlamaTokenizer', false, false, 4096, 'left', 'right', {q(f'<s> </s> {UNK}')})) t(name, tokenizer_class, do_lower_case, add_prefix_space, model_max_length, padding_side, truncation_side, special)"""
+    low = ws.replace("text", "lower(text)")
+    out["vocabulary_file"] = f"""WITH w AS (SELECT doc_id, unnest({low}) AS token FROM documents), k AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token QUALIFY id < 2000)
+        SELECT d.doc_id, count(k.token) AS n_known, CAST(coalesce(sum(k.id), 0) AS BIGINT) AS id_sum FROM documents AS d LEFT JOIN w USING (doc_id) LEFT JOIN k USING (token) GROUP BY d.doc_id"""
+    out["merges_file"] = f"""WITH {D}, m(rank, l, r) AS (VALUES {', '.join(f'({i}, {q(a)}, {q(b)})' for i, (a, b) in enumerate(small_merges()))}), n AS (SELECT l, r, count(*) AS n FROM (SELECT tokens[i] AS l, tokens[i + 1] AS r FROM (SELECT tokens, unnest(range(1, len(tokens))) AS i FROM d)) GROUP BY l, r)
+        SELECT CAST(rank AS BIGINT) AS rank, m.l AS "left", m.r AS "right", coalesce(n, 0) AS n FROM m LEFT JOIN n USING (l, r)"""
+    out["tokenizer_configs"] = f"""WITH c(k, tokenizer_class, lowered, most, side, special) AS (VALUES (0, 'CLIPTokenizer', true, 77, 'right', {q(f'{BOS} {EOS} {PAD}')}), (1, 'GPT2Tokenizer', false, 1024, 'left', {q(f'{EOS} {UNK}')}), (2, 'LlamaTokenizer', false, 4096, 'right', {q(f'<s> </s> {UNK}')})),
+        w AS (SELECT doc_id, tokenizer_class, special, most, side, CASE WHEN lowered THEN {low} ELSE {ws} END AS w FROM documents JOIN c ON c.k = doc_id % 3), x AS (SELECT *, CASE WHEN side = 'left' THEN w[greatest(len(w) - most + 1, 1):] ELSE w[1:most] END AS x FROM w)
+        SELECT doc_id, tokenizer_class, special, CAST(len(x) AS BIGINT) AS n, x[1] AS first, x[-1] AS last FROM x"""
     ends = f"({v['e']}, {v['n']})"
     out["greedy_until_end"] = f"""WITH RECURSIVE {G}, nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
         w(seq_id, ids, step, done) AS (SELECT seq_id, ids, 0, false FROM s UNION ALL SELECT seq_id, list_append(ids, CASE WHEN done THEN {pad} ELSE nx.token_id END), step + 1, done OR nx.token_id IN {ends} FROM w LEFT JOIN nx ON nx.prev = ids[len(ids)] WHERE step < 6 AND (done OR nx.token_id IS NOT NULL)),
@@ -190,4 +194,20 @@ def oracle_sql() -> dict[str, str]:
     out["greedy_bigram"] = f"""WITH RECURSIVE {G}, nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
         w(seq_id, ids, step) AS (SELECT seq_id, ids, 0 FROM s UNION ALL SELECT seq_id, list_append(ids, nx.token_id), step + 1 FROM w JOIN nx ON nx.prev = ids[len(ids)] WHERE step < 12)
         SELECT seq_id AS prompt, {_join('arg_max(ids, step)')} AS ids FROM w GROUP BY seq_id"""
+    out["prompt_lookup"] = out["greedy_plan"] = out["greedy_bigram"]
+    H2 = f"{G}, h AS (SELECT seq_id, ids[1:greatest(1, len(ids) // 2)] AS ids FROM s), lg AS (SELECT prev, token_id, sc - top - ln(sum(exp(sc - top)) OVER (PARTITION BY prev)) AS lp, exp(sc - top) / sum(exp(sc - top)) OVER (PARTITION BY prev) AS p FROM (SELECT *, ln(n) AS sc, max(ln(n)) OVER (PARTITION BY prev) AS top FROM bg))"
+    steps = ", ".join(f"""b{k + 1} AS (SELECT seq_id, list_append(ids, token_id) AS ids, total + CASE WHEN list_contains(ids, token_id) THEN lp * 1.3 ELSE lp END AS total FROM b{k} JOIN lg ON prev = ids[len(ids)]
+        QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY total + CASE WHEN list_contains(ids, token_id) THEN lp * 1.3 ELSE lp END DESC, list_append(ids, token_id)) <= 3)""" for k in range(4))
+    out["beam_bigram"] = f"WITH {H2}, b0 AS (SELECT seq_id, ids, CAST(0 AS DOUBLE) AS total FROM h), {steps} SELECT seq_id AS prompt, {_join('ids')} AS ids, round(total / 4, 6) AS score FROM b4 QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY total / 4 DESC, total DESC, ids) = 1"
+    steps = ", ".join(f"""c{k} AS (SELECT seq_id, ids, token_id, p FROM c{k}s JOIN lg ON prev = ids[len(ids)] QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY p DESC, token_id) <= 4),
+        d{k} AS (SELECT c.seq_id, c.ids, c.token_id, c.p, coalesce(max(list_inner_product(x.v, y.v) / (x.norm * y.norm)), 0) AS near FROM c{k} AS c LEFT JOIN vec AS x ON x.token_id = c.token_id LEFT JOIN (SELECT DISTINCT seq_id, unnest(ids) AS token_id FROM c{k}s) AS u ON u.seq_id = c.seq_id LEFT JOIN vec AS y ON y.token_id = u.token_id GROUP BY ALL),
+        c{k + 1}s AS (SELECT seq_id, list_append(ids, token_id) AS ids FROM d{k} QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY 0.4 * p - 0.6 * near DESC, token_id) = 1)""" for k in range(5))
+    out["contrastive_search"] = f"WITH {H2}, vec AS (SELECT token_id, v, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT vec_id AS token_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id < {len(v)})), c0s AS (SELECT seq_id, ids FROM h), {steps} SELECT seq_id AS prompt, {_join('ids')} AS ids FROM c5s"
+    hit = " OR ".join(f"contains(substr(w.txt, greatest(1, len(w.txt) - {len(byte_encoded(x)) - 2})) || tk.txt, {q(byte_encoded(x))})" for x in ("er", " th", "est"))
+    texts = ", ".join(f"({i}, {q(t)})" for t, i in v.items())
+    out["stop_in_loop"] = f"""WITH RECURSIVE {H2}, tk(id, txt) AS (VALUES {texts}), nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),
+        st AS (SELECT seq_id, string_agg(txt, '' ORDER BY i) AS txt FROM (SELECT seq_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM h) JOIN tk USING (id) GROUP BY seq_id),
+        w(seq_id, ids, last, txt, step, done) AS (SELECT seq_id, ids, ids[len(ids)], txt, 0, false FROM h JOIN st USING (seq_id) UNION ALL
+          SELECT seq_id, list_append(ids, CASE WHEN done THEN {pad} ELSE nx.token_id END), nx.token_id, w.txt || tk.txt, step + 1, done OR {hit} FROM w JOIN nx ON nx.prev = w.last JOIN tk ON tk.id = nx.token_id WHERE step < 10)
+        SELECT seq_id AS prompt, {_join('arg_max(ids, step)')} AS ids FROM w GROUP BY seq_id"""
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, decode, encode, generation, vocab
+from ..operators import beams, bpe, decode, encode, generation, lookahead, vocab
 from ..sources.files import input_json, parse_input_json, read_merges, read_pieces, read_table, read_vocab, write_vocab
 from ..sources.shared import saved, shared_dir
 from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, TokenizerConfig, Truncation
@@ -204,29 +204,39 @@ def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary written as a file of the published format and read back."""
+    """The 2,000 most frequent words of all documents as a vocabulary, written as a file of the published format, read back, and used for ids."""
+    words = documents(spark, sf_dir).select("doc_id", T.whitespace_tokens(F.lower("text")).alias("words"))
+    counts = words.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(2000)
     path = f"{shared_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
-    write_vocab(vocab.vocab_frame(spark, small_vocab()), path)
-    return read_vocab(spark, path).select("token", F.col("id").cast("long").alias("id"))
+    write_vocab(counts.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("id")), path)
+    known = read_vocab(spark, path)
+    found = words.select("doc_id", F.explode("words").alias("token")).join(F.broadcast(known), "token").groupBy("doc_id").agg(F.count("*").alias("n_known"), F.sum("id").alias("id_sum"))
+    return words.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.coalesce("id_sum", F.lit(0)).alias("id_sum"))
 
 
 @query
 def merges_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A merge table written as a file of the published format and read back: a header, then a merge on each line."""
+    """A merge table written as a file of the published format and read back, with how often each merge's two symbols stand side by side in the documents' tokens."""
     path = f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}"
     lines = "\n".join(["#version: 0.2", *(f"{a} {b}" for a, b in small_merges()), ""])
     spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
-    return read_merges(spark, path).select(F.col("rank").cast("long").alias("rank"), "left", "right")
+    own = saved(document_ids(spark, sf_dir).select("tokens")).select(F.explode(bpe.pairs(F.col("tokens"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return F.broadcast(read_merges(spark, path)).join(own.select("p.left", "p.right", "n"), ["left", "right"], "left").select(F.col("rank").cast("long").alias("rank"), "left", "right", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
 def tokenizer_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configuration files of each tokenizer class: what is set, what is left at its default, and the special tokens in order."""
+    """Configuration files of three tokenizer classes, and what each does with the documents dealt to it: case, side and length."""
     rows = []
-    for name, given in CONFIGS.items():
+    for k, given in enumerate(CONFIGS.values()):
         c = TokenizerConfig.from_json(json.dumps(given))
-        rows.append((name, c.tokenizer_class, c.do_lower_case, c.add_prefix_space, c.model_max_length, c.padding_side.value, c.truncation_side.value, " ".join(c.special_tokens())))
-    return spark.createDataFrame(rows, "name string, tokenizer_class string, do_lower_case boolean, add_prefix_space boolean, model_max_length bigint, padding_side string, truncation_side string, special string")
+        rows.append((k, c.tokenizer_class, c.do_lower_case, c.model_max_length, c.truncation_side.value, " ".join(c.special_tokens())))
+    known = spark.createDataFrame(rows, "k int, tokenizer_class string, lower boolean, most int, side string, special string")
+    own = documents(spark, sf_dir).withColumn("k", (F.col("doc_id") % 3).cast("int")).join(F.broadcast(known), "k")
+    words = T.whitespace_tokens(F.when(F.col("lower"), F.lower("text")).otherwise(F.col("text")))
+    own = own.select("doc_id", "tokenizer_class", "special", "most", "side", words.alias("w"))
+    cut = F.when(F.col("side") == "left", F.slice("w", F.greatest(F.size("w") - F.col("most") + 1, F.lit(1)), F.greatest(F.size("w"), F.lit(0)))).otherwise(F.slice("w", F.lit(1), F.col("most")))
+    return own.select("doc_id", "tokenizer_class", "special", F.size(cut).cast("long").alias("n"), F.try_element_at(cut, F.lit(1)).alias("first"), F.try_element_at(cut, F.lit(-1)).alias("last"))
 
 
 CONFIGS = {
@@ -377,13 +387,13 @@ def input_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def generation_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mode of every combination of a grid of options."""
-    grid = spark.range(2 * 3 * 2 * 2 * 2 * 2 * 2).select(
-        "id", (F.col("id") % 2 == 1).alias("constrained"), (F.floor(F.col("id") / 2) % 3 + 1).alias("beams"), (F.floor(F.col("id") / 6) % 2 + 1).alias("groups"), (F.floor(F.col("id") / 12) % 2 == 1).alias("sample"),
+    """The mode of the options that each document's id spells: all combinations of a grid."""
+    grid = read_table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(192)).alias("id")).select(
+        "doc_id", (F.col("id") % 2 == 1).alias("constrained"), (F.floor(F.col("id") / 2) % 3 + 1).alias("beams"), (F.floor(F.col("id") / 6) % 2 + 1).alias("groups"), (F.floor(F.col("id") / 12) % 2 == 1).alias("sample"),
         (F.floor(F.col("id") / 24) % 2 * 49 + 1).alias("top_k"), (F.floor(F.col("id") / 48) % 2 * 0.5).alias("alpha"), (F.floor(F.col("id") / 96) % 2 == 1).alias("assisted"),
     )
     cols = [F.col(c) for c in ("constrained", "beams", "groups", "sample", "top_k", "alpha", "assisted")]
-    return grid.select("id", generation.generation_mode_column(*cols, F.lit(False)).alias("mode"))
+    return grid.select("doc_id", generation.generation_mode_column(*cols, F.lit(False)).alias("mode"))
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,14 +504,85 @@ def sampled_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's first half as a prompt: these end in many different ids."""
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
+    return state.withColumn("ids", F.slice("ids", F.lit(1), F.greatest(F.floor(F.size("ids") / 2).cast("int"), F.lit(1)))).withColumn("prompt_len", F.size("ids"))
+
+
+def _log_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score")))
+
+
 @query
 def beam_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
-    table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score")))
-    out = generation.beam_search(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=4, num_beams=3), save=saved)
+    """Three beams with a penalty for repeated ids."""
+    config = GenerationConfig(max_new_tokens=4, num_beams=3, repetition_penalty=1.3)
+    out = beams.beam_search(_halves(spark, sf_dir), generation.bigram_scorer(_log_bigrams(spark, sf_dir)), config, save=saved)
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"), F.round("score", 6).alias("score"))
 
 
+@query
+def group_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six beams in three groups; what earlier groups choose costs later ones."""
+    config = GenerationConfig(max_new_tokens=3, num_beams=6, num_beam_groups=3, diversity_penalty=0.5)
+    out = beams.beam_search(_halves(spark, sf_dir), generation.bigram_scorer(_log_bigrams(spark, sf_dir)), config, save=saved)
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"), F.round("score", 6).alias("score"))
+
+
+@query
+def constrained_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuations that hold the first word of a benchmark item, and its second or third one (words of two to four ids)."""
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.byte_level_pretokens(F.col("text"))).alias("pos", "word"))
+    words = small_ids(items.withColumn("words", F.array("word")), "item_id", "pos").where(F.size("ids").between(2, 4))
+    first = words.groupBy("item_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x.ids), 1, 3).alias("w")).where(F.size("w") == 3)
+    wanted = first.select("item_id", F.array(F.slice("w", 1, 1), F.slice("w", 2, 2)).alias("wanted"))
+    own = _halves(spark, sf_dir).withColumn("item_id", F.split("seq_id", ":")[0].cast("long") % 40).join(F.broadcast(wanted), "item_id", "left").drop("item_id")
+    out = beams.beam_search(own, generation.bigram_scorer(_log_bigrams(spark, sf_dir)), GenerationConfig(max_new_tokens=9, num_beams=3), save=saved, constraints="wanted")
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"), F.round("score", 6).alias("score"), "met")
+
+
+@query
+def contrastive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probable ids that are unlike what stands there already, by the vectors of the table of embeddings."""
+    vectors = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") < len(small_vocab())).select(F.col("vec_id").cast("int").alias("token_id"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("vector"))
+    config = GenerationConfig(max_new_tokens=5, top_k=4, penalty_alpha=0.6)
+    out = lookahead.contrastive_search(_halves(spark, sf_dir), generation.bigram_scorer(_log_bigrams(spark, sf_dir)), vectors, config, save=saved)
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
+@query
+def prompt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As greedy_bigram, with up to six ids at a time proposed from the sequence itself."""
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
+    table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
+    out = lookahead.prompt_lookup(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=12, prompt_lookup_num_tokens=6), save=saved)
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
+@query
+def greedy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As greedy_bigram, as one recursive plan."""
+    state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
+    table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
+    out = lookahead.greedy_plan(saved(state), table, GenerationConfig(max_new_tokens=12))
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
+STOPS = ("er", " th", "est")
+
+
+@query
+def stop_in_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy decoding that ends where a string ends in the text, cut across ids or not."""
+    config = GenerationConfig(max_new_tokens=10, stop_strings=STOPS, pad_token_id=PAD_ID)
+    texts = spark.createDataFrame([(i, t) for t, i in small_vocab().items()], "token_id int, text string")
+    stopping = generation.stops(config, texts, T.byte_encoded)
+    table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
+    out = generation.generate(_halves(spark, sf_dir), generation.bigram_scorer(table), config, save=saved, stopping=stopping)
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
 @query
 def batch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and longest row of each batch, as padding sees them."""

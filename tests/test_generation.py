@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.operators import beams as B
 from loomtext.operators import generation as G
 from loomtext.plans.options import GenerationConfig, GenerationMode
 from loomtext.sources.shared import saved
@@ -126,4 +127,4 @@ def test_sampling_is_repeatable_and_beams_beat_greedy(spark):
     c = GenerationConfig(max_new_tokens=2, do_sample=True, top_k=5)
     a, b = (G.generate(start, G.bigram_scorer(table), c, seed=5, save=saved).first().ids for _ in range(2))
     assert a == b and len(a) == 3
-    assert G.beam_search(start, G.bigram_scorer(table), GenerationConfig(max_new_tokens=2, num_beams=2), save=saved).first().ids == [1, 3, 6]
+    assert B.beam_search(start, G.bigram_scorer(table), GenerationConfig(max_new_tokens=2, num_beams=2), save=saved).first().ids == [1, 3, 6]

@@ -6,7 +6,7 @@ import pytest
 from loomtext.plans.oracle import oracle_sql
 from loomtext.plans.queries import QUERIES
 
-TABLES = ("documents", "benchmark", "pages", "conversations", "labels")
+TABLES = ("documents", "benchmark", "pages", "conversations", "labels", "embeddings")
 SQL = oracle_sql()
 
 
