@@ -35,7 +35,7 @@ from .common import saved, sized
 LEAST = 10
 WORDS = (2, 3)
 TOP = 2000
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_200_000
 SLICE = 4_000_000  # bytes of a long text taken at a time
 WORD_BITS, PAIR_BITS = 22, 24
 BUCKET_WORDS = 1_000_000  # of the corpus for each bucket of prefixes
