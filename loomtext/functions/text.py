@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,7 @@ BYTE_LEVEL_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: What the clean-up of decoded text replaces, in this order.
 CLEANUP = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
 MARK = "\ue000"
+MANY = 100  # words up to which one alternation finds them
 LOWER_BAR = "▁"
 
 
@@ -148,12 +150,51 @@ def alternation(words: Sequence[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
-def split_added(c: Column, words: Sequence[str]) -> Column:
-    """Text and added tokens in order: leftmost, longest match; empty parts are dropped."""
+def _split_few(c: Column, words: Sequence[str]) -> Column:
+    """By one alternation. The marker may occur in texts and words: two characters that no word has tell an own one from a mark."""
+    used = set("".join(words))
+    own, mark = itertools.islice((MARK + chr(i) for i in range(0xE001, 0xF8FF) if chr(i) not in used), 2)
+    escaped = F.replace(c, F.lit(MARK), F.lit(own))
+    found = F.split(F.regexp_replace(escaped, f"({alternation([w.replace(MARK, own) for w in words])})", f"{mark}$1{mark}"), mark, -1)
+    return F.transform(found, lambda x, i: F.struct(F.replace(x, F.lit(own), F.lit(MARK)).alias("text"), (i % 2 == 1).alias("added")))
+
+
+def _split_many(c: Column, words: Sequence[str]) -> Column:
+    """By an automaton over all words, in time proportional to the text whatever their number."""
+
+    @F.pandas_udf("array<struct<text:string,added:boolean>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for w in words:
+            known.add_word(w, len(w))
+        known.make_automaton()
+        for texts in batches:
+            out = []
+            for text in texts:
+                parts, at = [], 0
+                for end, n in known.iter_long(text) if text else ():
+                    parts += [{"text": text[at : end + 1 - n], "added": False}, {"text": text[end + 1 - n : end + 1], "added": True}]
+                    at = end + 1
+                out.append(None if text is None else [*parts, {"text": text[at:], "added": False}])
+            yield pd.Series(out, dtype=object)
+
+    return run(c)
+
+
+def split_parts(c: Column, words: Sequence[str]) -> Column:
+    """struct(text, added) of text and added tokens in order: leftmost, longest match; empty parts are dropped. Every character of the text is kept."""
+    words = sorted({w for w in words if w})
     if not words:
-        return F.filter(F.array(c), lambda x: x != "")
-    marked = F.regexp_replace(c, f"({alternation(words)})", f"{MARK}$1{MARK}")
-    return F.filter(F.split(marked, MARK, -1), lambda x: x != "")
+        parts = F.array(F.struct(c.alias("text"), F.lit(False).alias("added")))
+        return F.when(c.isNotNull(), F.filter(parts, lambda x: x["text"] != ""))
+    return F.filter((_split_few if len(words) <= MANY else _split_many)(c, words), lambda x: x["text"] != "")
+
+
+def split_added(c: Column, words: Sequence[str]) -> Column:
+    """The texts of split_parts."""
+    return F.transform(split_parts(c, words), lambda x: x["text"])
 
 
 def strip_neighbours(parts: Column, rstrip: Sequence[str] = (), lstrip: Sequence[str] = ()) -> Column:
@@ -190,8 +231,7 @@ def protected_lower(c: Column, protected: Sequence[str]) -> Column:
     """Lower-case everything but the protected tokens."""
     if not protected:
         return F.lower(c)
-    keep = [F.lit(x) for x in protected]
-    return F.array_join(F.transform(split_added(c, protected), lambda x: F.when(x.isin(*keep), x).otherwise(F.lower(x))), "")
+    return F.array_join(F.transform(split_parts(c, protected), lambda x: F.when(x["added"], x["text"]).otherwise(F.lower(x["text"]))), "")
 
 
 def piece_text(c: Column) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,30 +18,67 @@ from ..plans.options import Family
 from .vocab import id_tokens
 
 
+_BYTES = {c: b for b, c in enumerate(byte_alphabet())}
+_ONE_BYTE = re.compile("<0x([0-9A-F]{2})>")
+
+
+def token_bytes(token: str, family: Family) -> bytes:
+    """What a token adds to its run's text: bytes of the byte alphabet, or text in which <0xNN> alone is one byte."""
+    if family == Family.PIECES:
+        one = _ONE_BYTE.fullmatch(token)
+        return bytes([int(one[1], 16)]) if one else token.replace(LOWER_BAR, " ").encode("utf-8", "surrogatepass")
+    if family == Family.WORD_END and token.endswith("</w>"):
+        return token_bytes(token[:-4], Family.BYTE_LEVEL) + b" "
+    return bytes(_BYTES[c] for c in token) if all(c in _BYTES for c in token) else token.encode("utf-8", "surrogatepass")
+
+
+def _finished(text: Column, family: Family) -> Column:
+    return F.trim(text) if family == Family.WORD_END else F.regexp_replace(text, "^ ", "") if family == Family.PIECES else text
+
+
+def text_of(ids: Column, vocab: dict[str, int], family: Family, skip: Sequence[int] = ()) -> Column:
+    """Text of arrays of ids: each id's bytes once, side by side, in one Arrow pass; broken UTF-8 becomes U+FFFD. Ids in skip are left out, a missing id is an error."""
+    pairs = sorted(vocab.items(), key=lambda x: x[1])
+    known, blobs = np.array([i for _, i in pairs], dtype=np.int64), [token_bytes(t, family) for t, _ in pairs]
+    length = np.array([len(b) for b in blobs], dtype=np.int64)
+    table, begin = np.frombuffer(b"".join(blobs), dtype=np.uint8), np.cumsum(length) - length
+    left_out = np.array(sorted(skip), dtype=np.int64)
+
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = ~np.isin(flat, left_out)
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        if (bad := kept & (known[at] != flat)).any():
+            raise ValueError(f"no token has id {flat[bad][0]}")
+        n = np.where(kept, length[at], 0)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        data = table[np.repeat(begin[at] - ends[:-1], n) + np.arange(int(ends[-1]))]
+        offsets = ends[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+    return _finished(F.make_valid_utf8(run(F.coalesce(ids, F.array()).cast("array<int>")).cast("string")), family)
+
+
 def tokens_text(tokens: Column, family: Family) -> Column:
     """Text of a run of model tokens."""
-    joined = F.array_join(tokens, "")
     if family == Family.BYTE_LEVEL:
-        return byte_decode_lossy(joined)
+        return byte_decode_lossy(F.array_join(tokens, ""))
     if family == Family.WORD_END:
-        return F.trim(F.replace(byte_decode_lossy(joined), F.lit("</w>"), F.lit(" ")))
+        return F.trim(F.replace(byte_decode_lossy(F.array_join(tokens, "")), F.lit("</w>"), F.lit(" ")))
     if family == Family.PIECES:
-        return F.regexp_replace(F.replace(joined, F.lit(LOWER_BAR), F.lit(" ")), "^ ", "")
+        byte = lambda t: F.when(t.rlike("^<0x[0-9A-F]{2}>$"), F.substring(t, 4, 2)).otherwise(F.hex(F.encode(F.replace(t, F.lit(LOWER_BAR), F.lit(" ")), "UTF-8")))
+        return _finished(F.make_valid_utf8(F.unhex(F.array_join(F.transform(tokens, byte), "")).cast("string")), family)
     return F.array_join(tokens, " ")
 
 
 def run_text(tokens: Sequence[str], family: Family) -> str:
     """The same of one run, for rows in which added tokens part the runs."""
-    joined = "".join(tokens)
-    if family in (Family.BYTE_LEVEL, Family.WORD_END):
-        text = bytes(_BYTES[c] for c in joined).decode("utf-8", "replace")
-        return text.replace("</w>", " ").strip(" ") if family == Family.WORD_END else text
-    if family == Family.PIECES:
-        return joined.replace(LOWER_BAR, " ").removeprefix(" ")
-    return " ".join(tokens)
-
-
-_BYTES = {c: b for b, c in enumerate(byte_alphabet())}
+    if family not in (Family.BYTE_LEVEL, Family.WORD_END, Family.PIECES):
+        return " ".join(tokens)
+    text = b"".join(token_bytes(t, family) for t in tokens).decode("utf-8", "replace")
+    return text.strip(" ") if family == Family.WORD_END else text.removeprefix(" ") if family == Family.PIECES else text
 
 
 def runs_text(tokens: Column, family: Family, added: Sequence[str], spaces_between: bool = True) -> Column:
@@ -60,6 +101,9 @@ def decode(
     clean_up: bool = False, spaces_between: bool = True,
 ) -> DataFrame:
     """key and text, one row for each row. Runs of model tokens are detokenized together; added tokens stand alone; parts are joined by a blank if asked."""
+    if isinstance(vocab, dict) and not added and family in (Family.BYTE_LEVEL, Family.WORD_END, Family.PIECES):
+        text = text_of(F.col(ids), vocab, family, skip_ids)
+        return df.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))
     tokens = id_tokens(df, key, ids, vocab, skip_ids)
     text = runs_text(F.col("tokens"), family, added, spaces_between) if added else tokens_text(F.col("tokens"), family)
     return tokens.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +172,17 @@ def prepare(
         out = out.withColumn("attention_mask", fill(1, F.size("input_ids")))
     out = pad(out, options, pad_id, batch)
     return out.withColumn("length", F.size("input_ids")) if options.return_length else out
+
+
+def windows(df: DataFrame, key: Sequence[str], ids: str, size: int, stride: int, before: Sequence[int] = (), after: Sequence[int] = ()) -> DataFrame:
+    """key, window, start and ids: every id of a row is in a window of at most ``size`` ids, the special ones before and after included;
+    neighbours share ``stride`` ids. window counts from 0 and start is the window's first id in the row, so results map back; a row without ids has one window.
+    """
+    room = size - len(before) - len(after)
+    if not 0 <= stride < room:
+        raise ValueError("the stride must be smaller than what a window has room for")
+    step, n = room - stride, F.coalesce(F.size(ids), F.lit(0))
+    last = F.greatest(F.ceil((n - stride) / step) - 1, F.lit(0)).cast("int")
+    rows = df.select(*key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    fixed = lambda x: F.array(*map(F.lit, x)).cast("array<int>")
+    return rows.select(*key, "window", (F.col("window") * step).alias("start"), F.concat(fixed(before), F.slice("ids", F.col("window") * step + 1, room), fixed(after)).alias("ids"))

@@ -66,7 +66,7 @@ class Tokenizer:
         return [v[t] for t in self.config.special_tokens() if t in v]
 
     def words(self, text: Column) -> Column:
-        """The units of merging: pre-tokens; an added token is one unit, marked as such."""
+        """The units of merging: pre-tokens; an added token is one unit, marked by a sign in front; so is a unit that begins with the marker itself."""
         if self.family == Family.BYTE_LEVEL:
             text = T.prefix_space(text, self.config.add_prefix_space)
         contents = [t.content for t in self.added]
@@ -85,10 +85,10 @@ class Tokenizer:
                 return T.byte_level_pretokens(part)
             return F.array(part)
 
+        own = lambda p: F.transform(units(p), lambda u: F.when(u.startswith(T.MARK), F.concat(F.lit(f"{T.MARK}-"), u)).otherwise(u))
         if not contents:
-            return F.flatten(F.transform(parts, units))
-        keep = [F.lit(c) for c in contents]
-        return F.flatten(F.transform(parts, lambda p: F.when(p.isin(*keep), F.array(F.concat(F.lit(T.MARK), p))).otherwise(units(p))))
+            return F.flatten(F.transform(parts, own))
+        return F.flatten(F.transform(parts, lambda p: F.when(F.array_contains(F.lit(contents), p), F.array(F.concat(F.lit(f"{T.MARK}+"), p))).otherwise(own(p))))
 
     def _basic(self, text: Column) -> Column:
         """The word-end family works on cleaned, lower-cased words; added tokens are kept whole."""
@@ -102,7 +102,9 @@ class Tokenizer:
 
         def one(word: str) -> list[str]:
             if word.startswith(T.MARK):
-                return [word[1:]]
+                if word[1] == "+":
+                    return [word[2:]]
+                word = word[2:]
             if family == Family.PIECES:
                 whole = T.LOWER_BAR + word.replace(T.LOWER_BAR, " ").replace(" ", T.LOWER_BAR)
                 return [t for unit in pattern.findall(whole) for t in piece_tokens(unit, scores)]

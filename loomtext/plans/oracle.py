@@ -129,6 +129,9 @@ def oracle_sql() -> dict[str, str]:
     out["encode_pair"] = f"""WITH {Y2} SELECT doc_id, {_join(f"{ids} || {_rep(pad, f'128 - ({n})')}")} AS input_ids, {_join(_rep(0, f'greatest(128, {n})'))} AS token_type_ids, {_join(f"{_rep(1, n)} || {_rep(0, f'128 - ({n})')}")} AS attention_mask,
         {_join(f"[1] || {_rep(0, 'len(a)')} || [1, 1] || {_rep(0, 'len(b)')} || [1] || {_rep(1, f'128 - ({n})')}")} AS special_tokens_mask FROM k"""
     out["mask_finished"] = f"WITH {D} SELECT doc_id, {_join(f'[1] || {_rep(0, "len(ids)")} || [1]')} AS mask FROM d"
+    out["windows"] = f"""WITH {D}, w AS (SELECT doc_id, ids, unnest(range(greatest(1, (len(ids) - 32 + 93) // 94))) AS w FROM d)
+        SELECT doc_id, w AS window, w * 94 AS start, {_join(f'[{bos}] || ids[w * 94 + 1:w * 94 + 126] || [{eos}]')} AS ids FROM w"""
+    out["piece_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     out["decoded"] = "SELECT doc_id, text FROM documents"
     out["decoded_skip_special"] = out["cleanup_spaces"]
     out["decoded_added"] = f"WITH {D} SELECT doc_id, concat_ws(' ', {q(BOS)}, nullif(array_to_string(tokens, ' '), ''), {q(EOS)}, nullif(array_to_string(tokens, ' '), '')) AS text FROM d"
@@ -182,8 +185,8 @@ def oracle_sql() -> dict[str, str]:
     low = ws.replace("text", "lower(text)")
     out["vocabulary_file"] = f"""WITH w AS (SELECT doc_id, unnest({low}) AS token FROM documents), k AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token QUALIFY id < 2000)
         SELECT d.doc_id, count(k.token) AS n_known, CAST(coalesce(sum(k.id), 0) AS BIGINT) AS id_sum FROM documents AS d LEFT JOIN w USING (doc_id) LEFT JOIN k USING (token) GROUP BY d.doc_id"""
-    out["merges_file"] = f"""WITH {D}, m(rank, l, r) AS (VALUES {', '.join(f'({i}, {q(a)}, {q(b)})' for i, (a, b) in enumerate(small_merges()))}), n AS (SELECT l, r, count(*) AS n FROM (SELECT tokens[i] AS l, tokens[i + 1] AS r FROM (SELECT tokens, unnest(range(1, len(tokens))) AS i FROM d)) GROUP BY l, r)
-        SELECT CAST(rank AS BIGINT) AS rank, m.l AS "left", m.r AS "right", coalesce(n, 0) AS n FROM m LEFT JOIN n USING (l, r)"""
+    out["merges_file"] = f"""WITH {D}, m(rank, l, r) AS (VALUES {', '.join(f'({i}, {q(a)}, {q(b)})' for i, (a, b) in enumerate(small_merges()))}), n AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM d) GROUP BY token)
+        SELECT CAST(rank AS BIGINT) AS rank, m.l AS "left", m.r AS "right", coalesce(n, 0) AS n FROM m LEFT JOIN n ON n.token = m.l || m.r"""
     out["tokenizer_configs"] = f"""WITH c(k, tokenizer_class, lowered, most, side, special) AS (VALUES (0, 'CLIPTokenizer', true, 77, 'right', {q(f'{BOS} {EOS} {PAD}')}), (1, 'GPT2Tokenizer', false, 1024, 'left', {q(f'{EOS} {UNK}')}), (2, 'LlamaTokenizer', false, 4096, 'right', {q(f'<s> </s> {UNK}')})),
         w AS (SELECT doc_id, tokenizer_class, special, most, side, CASE WHEN lowered THEN {low} ELSE {ws} END AS w FROM documents JOIN c ON c.k = doc_id % 3), x AS (SELECT *, CASE WHEN side = 'left' THEN w[greatest(len(w) - most + 1, 1):] ELSE w[1:most] END AS x FROM w)
         SELECT doc_id, tokenizer_class, special, CAST(len(x) AS BIGINT) AS n, x[1] AS first, x[-1] AS last FROM x"""

@@ -202,6 +202,25 @@ def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", shown(bpe.piece_column(T.piece_text(F.col("text")), scores)).alias("pieces"))
 
 
+@query
+def piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to ids of the public piece model and back; characters that no piece has go through bytes."""
+    scores = read_pieces(public_file("piece_bpe_32k.model"))
+    v = {p: i for i, p in enumerate(scores)}
+    ids = documents(spark, sf_dir).select("doc_id", bpe.piece_column(T.piece_text(F.coalesce("text", F.lit(""))), scores, v, v["<unk>"]).alias("ids"))
+    return decode.decode(ids, ["doc_id"], "ids", v, Family.PIECES)
+
+
+@query
+def many_added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split at the 5,000 most frequent words of six letters and more as added tokens, found by one automaton."""
+    words = documents(spark, sf_dir).select(F.explode(T.whitespace_tokens(F.lower("text"))).alias("w")).where(F.col("w").rlike("^[a-z]{6,}$"))
+    known = [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(5000).collect()]
+    parts = saved(documents(spark, sf_dir).select("doc_id", T.split_parts(F.coalesce(F.lower("text"), F.lit("")), known).alias("p")))
+    found = F.filter("p", lambda x: x.added)
+    return parts.select("doc_id", F.size(found).cast("long").alias("n_added"), F.get(found, F.lit(0)).text.alias("first"), F.array_join(F.transform("p", lambda x: x.text), "").alias("text"))
+
+
 @query
 def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 most frequent words of all documents as a vocabulary, written as a file of the published format, read back, and used for ids."""
@@ -216,12 +235,13 @@ def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merges_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A merge table written as a file of the published format and read back, with how often each merge's two symbols stand side by side in the documents' tokens."""
+    """A merge table written as a file of the published format and read back, with how many of the documents' tokens each merge has made."""
     path = f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}"
     lines = "\n".join(["#version: 0.2", *(f"{a} {b}" for a, b in small_merges()), ""])
     spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
-    own = saved(document_ids(spark, sf_dir).select("tokens")).select(F.explode(bpe.pairs(F.col("tokens"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    return F.broadcast(read_merges(spark, path)).join(own.select("p.left", "p.right", "n"), ["left", "right"], "left").select(F.col("rank").cast("long").alias("rank"), "left", "right", F.coalesce("n", F.lit(0)).alias("n"))
+    made = document_ids(spark, sf_dir).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    merges = F.broadcast(read_merges(spark, path)).withColumn("token", F.concat("left", "right"))
+    return merges.join(made, "token", "left").select(F.col("rank").cast("long").alias("rank"), "left", "right", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
@@ -348,6 +368,13 @@ def public_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", shown("input_ids").alias("input_ids"), shown("attention_mask").alias("attention_mask"))
 
 
+@query
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of 128 ids of every document, special tokens included, that share 32 ids with the one before."""
+    out = encode.windows(document_ids(spark, sf_dir), ["doc_id"], "ids", 128, 32, [SPECIAL["bos_id"]], [SPECIAL["eos_id"]])
+    return out.select("doc_id", F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), shown("ids").alias("ids"))
+
+
 @query
 def mask_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Special-token mask of sequences that have their special tokens already."""

@@ -93,3 +93,21 @@ def test_padding(spark):
 def test_mask_of_finished_ids(spark):
     r = rows(spark).where("id = 1").select(E.mask_of_ids(F.col("a"), [6]).alias("m")).first()
     assert r.m == [0, 1, 0]
+
+
+@pytest.mark.parametrize(("size", "stride"), [(5, 1), (4, 0), (6, 3)])
+def test_windows_cover_every_id_and_overlap(spark, size, stride):
+    rows = [(n, list(range(n))) for n in range(0, 25)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>")
+    found = {}
+    for r in E.windows(df, ["k"], "ids", size, stride, [-1], [-2]).orderBy("k", "window").collect():
+        assert r.ids[0] == -1 and r.ids[-1] == -2 and len(r.ids) <= size
+        found.setdefault(r.k, []).append((r.start, r.ids[1:-1]))
+    for k, ids in rows:
+        own, step = ids or [], size - 2 - stride
+        want = [(0, own[: size - 2])]
+        while want[-1][0] + size - 2 < len(own):
+            want.append((want[-1][0] + step, own[want[-1][0] + step :][: size - 2]))
+        assert found[k] == want, k
+    with pytest.raises(ValueError):
+        E.windows(df, ["k"], "ids", 4, 2, [-1], [-2])

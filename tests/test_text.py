@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 import pytest
@@ -91,3 +93,33 @@ def test_cleanup(spark):
 
 def test_piece_text(spark):
     assert one(spark, "a b", T.piece_text) == "▁a▁b"
+
+
+def test_split_keeps_every_character(spark):
+    """The marker of the split may stand in texts and in words."""
+    words = ["<a>", "x", "ab"]
+    for text in ("abcd", "", "xab", "ab<a>a", "babb", "ab" * 3):
+        got = one(spark, text, lambda c: T.split_parts(c, words))
+        assert "".join(p.text for p in got) == text and all(p.added == (p.text in words) for p in got), text
+    assert one(spark, "xab", lambda c: T.split_added(c, words)) == ["", "x", "ab"]
+    assert one(spark, "xy", lambda c: T.split_added(c, [])) == ["xy"]
+
+
+def test_ten_thousand_added_tokens_split_as_one_pattern_does(spark):
+    """Leftmost, longest: the automaton against a pattern in Python, over words that begin and end alike."""
+    rng = random.Random(17)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(14_000)} | {"", "a", "<|end|>"}
+    words -= {"a", "b", "c"}
+    pattern = re.compile("|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w)))))
+    texts = ["".join(rng.choice("abcd é😀") for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|end|>", "<|en"]) for _ in range(150)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", T.split_parts(F.col("text"), words).alias("p")).collect():
+        text = texts[r.i]
+        if text is None:
+            assert r.p is None
+            continue
+        want, at = [], 0
+        for m in pattern.finditer(text):
+            want += [(text[at : m.start()], False), (m[0], True)]
+            at = m.end()
+        assert [(p.text, p.added) for p in r.p] == [x for x in [*want, (text[at:], False)] if x[0]], text

@@ -54,3 +54,31 @@ def test_load(spark):
     assert row.input_ids[0] == 1 and len(row.attention_mask) == len(row.input_ids)
     with pytest.raises(ValueError):
         load(public_file(), TokenizerConfig(tokenizer_class="Other"))
+
+
+SCRIPTS = ["hi \u0c85\U0001f9a9 x", "plain words, twice  spaced", " leading", "", "\u0416\u0438\u0432 \u4e2d\u6587 \u0e44\u0e17\u0e22", "<0x41> <0xZZ>", "tab\tand\nline", "\ue000 private \U00010ffd", "e\u0301 \u00e9"]
+
+
+def test_pieces_decode_their_bytes(spark):
+    """Piece ids back to text, through bytes where no piece has a character: the library's text, and broken bytes replaced as Python does."""
+    import sentencepiece
+
+    path = public_file("piece_bpe_32k.model")
+    own, lib = Tokenizer.from_pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(i, lib.encode(t)) for i, t in enumerate(SCRIPTS)]
+    ids = spark.createDataFrame([*rows, (100, [3 + 0xE4, 3 + 0xB8, 3 + 0x41, 3 + 0xFF]), (101, None)], "id int, input_ids array<int>")
+    got = {r.id: r.text for r in own.decode(ids, ["id"]).collect()}
+    for i, x in rows:
+        assert got[i] == lib.decode(x), SCRIPTS[i]
+    assert got[100] == bytes([0xE4, 0xB8, 0x41, 0xFF]).decode("utf-8", "replace") and got[101] == ""
+    more = own.add_tokens(["[NEW]"])  # runs between added tokens go another way
+    again = {r.id: r.text for r in more.decode(ids, ["id"]).collect()}
+    assert all(again[i] == got[i] for i in got)
+
+
+def test_units_that_begin_with_the_marker(spark):
+    for added in ([], ["cd"], ["\ue000"]):
+        own = Tokenizer.from_json(public_file(), Family.BYTE_LEVEL).add_tokens(added)
+        for text in ("ab\ue000cd", "\ue000ab", "\ue000", "\ue000+x"):
+            ids = own.ids(texts(spark, text), ["id"])
+            assert own.decode(ids.withColumnRenamed("ids", "input_ids"), ["id"], spaces_between=False).first().text == text, (added, text)
