@@ -146,41 +146,43 @@ def oracle_sql() -> dict[str, str]:
     out["repeat_interleave"] = "SELECT item_id, copy FROM benchmark, range(3) t(copy)"
     out["batch_lengths"] = f"WITH {D} SELECT doc_id // 32 AS batch_id, count(*) AS rows, CAST(max(len(ids)) AS BIGINT) AS longest FROM d GROUP BY doc_id // 32"
     C = _ids("c", "(SELECT conv_id || ':' || turn AS prompt, text FROM conversations)", "prompt")
-    G = f"""{D},{C}, s AS (SELECT prompt AS seq_id, CASE WHEN len(ids) = 0 THEN [{bos}] ELSE ids END AS ids FROM c), bg AS (SELECT prev, nxt AS token_id, count(*) AS n FROM (SELECT ids[i] AS prev, ids[i + 1] AS nxt FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM d)) GROUP BY prev, nxt),
-        r AS (SELECT seq_id, ids, CAST(token_id AS BIGINT) AS token_id, ln(n) AS score FROM s JOIN bg ON bg.prev = ids[len(ids)])"""
-    E = f"{G}, e AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY seq_id) AS p, max(score) OVER (PARTITION BY seq_id) AS top FROM r)"
+    G = f"""{D},{C}, s AS (SELECT prompt AS seq_id, CASE WHEN len(ids) = 0 THEN [{bos}] ELSE ids END AS ids FROM c), bg AS (SELECT prev, nxt AS token_id, count(*) AS n FROM (SELECT ids[i] AS prev, ids[i + 1] AS nxt FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM d)) GROUP BY prev, nxt)"""
+    GL = f"""{G}, s2 AS (SELECT seq_id, ids[1:CASE WHEN m = 0 THEN 1 ELSE 8 * m END] AS ids FROM (SELECT *, (CAST(split_part(seq_id, ':', 1) AS BIGINT) * 3 + CAST(split_part(seq_id, ':', 2) AS BIGINT)) % 8 AS m FROM s)),
+        r AS (SELECT seq_id, ids, ids[len(ids)] AS last, len(ids) AS n_ids, greatest(len(ids) - 2, 1) AS plen, CAST(token_id AS BIGINT) AS token_id, ln(n) AS score FROM s2 JOIN bg ON bg.prev = ids[len(ids)])"""
+    e_, n_, s_ = v["e"], v["n"], v["s"]
+    E = f"{GL}, e AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY seq_id) AS p, max(score) OVER (PARTITION BY seq_id) AS top FROM r)"
     sel = "seq_id, token_id, round({}, 6) AS score"
-    out["logits_temperature"] = f"WITH {G} SELECT {sel.format('score / 0.7')} FROM r"
-    out["logits_repetition_penalty"] = f"WITH {G} SELECT {sel.format('CASE WHEN list_contains(ids, token_id) THEN CASE WHEN score < 0 THEN score * 1.3 ELSE score / 1.3 END ELSE score END')} FROM r"
-    out["logits_encoder_repetition_penalty"] = f"WITH {G} SELECT {sel.format('CASE WHEN list_contains(ids, token_id) THEN CASE WHEN score < 0 THEN score * (1 / 1.3) ELSE score / (1 / 1.3) END ELSE score END')} FROM r"
-    out["logits_top_k"] = f"WITH {G} SELECT {sel.format('score')} FROM r QUALIFY rank() OVER (PARTITION BY seq_id ORDER BY score DESC) <= 10"
+    out["logits_temperature"] = f"WITH {GL} SELECT {sel.format('score / 0.7')} FROM r"
+    out["logits_repetition_penalty"] = f"WITH {GL} SELECT {sel.format('CASE WHEN list_contains(ids, token_id) THEN CASE WHEN score < 0 THEN score * 1.3 ELSE score / 1.3 END ELSE score END')} FROM r"
+    out["logits_encoder_repetition_penalty"] = f"WITH {GL} SELECT {sel.format('CASE WHEN list_contains(ids[1:plen], token_id) THEN CASE WHEN score < 0 THEN score * (1 / 1.3) ELSE score / (1 / 1.3) END ELSE score END')} FROM r"
+    out["logits_top_k"] = f"WITH {GL} SELECT {sel.format('score')} FROM r QUALIFY rank() OVER (PARTITION BY seq_id ORDER BY score DESC) <= 10"
     out["logits_min_p"] = f"WITH {E} SELECT {sel.format('score')} FROM e WHERE score >= top + ln(0.05)"
     out["logits_epsilon"] = f"WITH {E} SELECT {sel.format('score')} FROM e WHERE p >= 0.01 OR score = top"
-    out["logits_normalize"] = f"WITH {G} SELECT {sel.format('score - ln(sum(exp(score)) OVER (PARTITION BY seq_id))')} FROM r"
-    out["logits_suppress"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id >= 256"
-    out["logits_no_repeat"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE NOT list_contains(list_transform(list_filter(range(1, len(ids)), lambda i: ids[i] = ids[len(ids)]), lambda i: ids[i + 1]), token_id)"
-    out["logits_min_length"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE len(ids) >= 40 OR token_id NOT IN (37, 35)"
-    out["logits_bias"] = f"WITH {G} SELECT {sel.format('score + CASE WHEN token_id = 37 THEN 2.0 WHEN token_id = 35 AND ids[len(ids)] = 46 THEN -1.0 WHEN token_id = 42 AND ids[len(ids)] = 14 THEN 3.0 ELSE 0.0 END')} FROM r"
+    out["logits_normalize"] = f"WITH {GL} SELECT {sel.format('score - ln(sum(exp(score)) OVER (PARTITION BY seq_id))')} FROM r"
+    out["logits_suppress"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE token_id >= 256"
+    out["logits_no_repeat"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE NOT list_contains(list_transform(list_filter(range(1, len(ids)), lambda i: ids[i] = ids[len(ids)]), lambda i: ids[i + 1]), token_id)"
+    out["logits_min_length"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE n_ids >= 40 OR token_id NOT IN ({e_}, {n_})"
+    out["logits_bias"] = f"WITH {GL} SELECT {sel.format('score + CASE WHEN token_id = ' + str(e_) + ' THEN 2.0 ELSE 0.0 END + CASE WHEN token_id = ' + str(s_) + ' AND last = ' + str(e_) + ' THEN -1.0 ELSE 0.0 END + CASE WHEN token_id = ' + str(e_) + ' AND last = ' + str(n_) + ' THEN 3.0 ELSE 0.0 END')} FROM r"
     upto = lambda mass, order: f"sum(p) OVER (PARTITION BY seq_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < {mass} OR row_number() OVER (PARTITION BY seq_id ORDER BY {order}) = 1"
     H = f"{E}, h AS (SELECT *, sum(-p * ln(p)) OVER (PARTITION BY seq_id) AS h FROM e)"
     out["logits_top_p"] = f"WITH {E} SELECT {sel.format('score')} FROM e QUALIFY {upto(0.8, 'score DESC, token_id')}"
     out["logits_typical"] = f"WITH {H} SELECT {sel.format('score')} FROM h QUALIFY {upto(0.7, 'abs(-ln(p) - h), token_id')}"
     out["logits_eta"] = f"WITH {H} SELECT {sel.format('score')} FROM h WHERE p >= least(0.05, sqrt(0.05) * exp(-h)) OR score = top"
-    out["logits_min_new_tokens"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id NOT IN (37, 35)"
-    out["logits_encoder_no_repeat"] = out["logits_no_repeat"]
-    out["logits_no_bad_words"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id <> 37 AND NOT (token_id = 35 AND ids[len(ids)] = 46) AND NOT (token_id = 42 AND ids[len(ids)] = 14)"
-    out["logits_prefix_constrained"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE token_id % 3 = 0"
-    out["logits_hamming_diversity"] = f"WITH {G} SELECT {sel.format('score - 0.5 * len(list_filter(ids, lambda x: x = token_id))')} FROM r"
+    out["logits_min_new_tokens"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE n_ids - plen >= 2 OR token_id NOT IN ({e_}, {n_})"
+    out["logits_encoder_no_repeat"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE NOT list_contains(list_transform(list_filter(range(1, plen), lambda i: ids[i] = last), lambda i: ids[i + 1]), token_id)"
+    out["logits_no_bad_words"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE token_id <> {s_} AND NOT (token_id = {n_} AND last = {e_}) AND NOT (token_id = {e_} AND last = {n_})"
+    out["logits_prefix_constrained"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE token_id % 3 = 0"
+    out["logits_hamming_diversity"] = f"WITH {GL} SELECT {sel.format('score - 0.5 * len(list_filter(ids, lambda x: x = token_id))')} FROM r"
     forced = lambda n, t: f"CASE WHEN len(ids) = {n} THEN 0.0 ELSE score END FROM_ WHERE len(ids) <> {n} OR token_id = {t}"
-    for name, (n, t) in {"logits_forced_bos": (1, 220), "logits_forced_eos": (84, 37)}.items():
+    for name, (n, t) in {"logits_forced_bos": (1, e_), "logits_forced_eos": (24, e_)}.items():
         value, where = forced(n, t).split(" FROM_ ")
-        out[name] = f"WITH {G} SELECT {sel.format(value)} FROM r {where}"
-    out["logits_force_tokens"] = f"WITH {G} SELECT {sel.format('CASE WHEN len(ids) IN (84, 112, 127) THEN 0.0 ELSE score END')} FROM r WHERE len(ids) NOT IN (84, 112, 127) OR token_id = CASE len(ids) WHEN 84 THEN 35 WHEN 112 THEN 37 ELSE 42 END"
-    out["logits_remove_invalid"] = f"WITH {G} SELECT {sel.format('CASE token_id % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4028234663852886e38 ELSE score END')} FROM r"
-    out["logits_exponential_decay"] = f"WITH {G} SELECT {sel.format('CASE WHEN token_id IN (37, 35) THEN score + abs(score) * (1.2 * 1.2 * 1.2 - 1) ELSE score END')} FROM r"
-    out["logits_suppress_at_begin"] = f"WITH {G} SELECT {sel.format('score')} FROM r WHERE len(ids) <> 84 OR token_id >= 100"
+        out[name] = f"WITH {GL} SELECT {sel.format(value)} FROM r {where}"
+    out["logits_force_tokens"] = f"WITH {GL} SELECT {sel.format('CASE WHEN n_ids IN (8, 16, 40) THEN 0.0 ELSE score END')} FROM r WHERE n_ids NOT IN (8, 16, 40) OR token_id = CASE n_ids WHEN 8 THEN {e_} WHEN 16 THEN {n_} ELSE {s_} END"
+    out["logits_remove_invalid"] = f"WITH {GL} SELECT {sel.format('CASE token_id % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4028234663852886e38 ELSE score END')} FROM r"
+    out["logits_exponential_decay"] = f"WITH {GL} SELECT {sel.format('CASE WHEN token_id IN (' + f'{e_}, {n_}' + ') THEN score + abs(score) * (pow(1.2, n_ids - plen + 1) - 1) ELSE score END')} FROM r"
+    out["logits_suppress_at_begin"] = f"WITH {GL} SELECT {sel.format('score')} FROM r WHERE n_ids <> 32 OR token_id >= 100"
     soft = lambda x: f"({x} - ln(sum(exp({x})) OVER (PARTITION BY seq_id)))"
-    out["logits_guidance"] = f"WITH {G}, n AS (SELECT seq_id, token_id, {soft('score')} AS a, {soft('score / 2')} AS b FROM r) SELECT {sel.format('(a - b) * 1.5 + b')} FROM n"
+    out["logits_guidance"] = f"WITH {GL}, n AS (SELECT seq_id, token_id, {soft('score')} AS a, {soft('score / 2')} AS b FROM r) SELECT {sel.format('(a - b) * 1.5 + b')} FROM n"
     out["stop_strings"] = "SELECT doc_id, contains(text, 'the end') OR contains(text, 'erly.') AS stopped FROM documents"
     low = ws.replace("text", "lower(text)")
     out["vocabulary_file"] = f"""WITH w AS (SELECT doc_id, unnest({low}) AS token FROM documents), k AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token QUALIFY id < 2000)

@@ -467,10 +467,13 @@ def repeat_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns cut to their first 1, 8, 16 .. 56 ids, of which the last two count as generated, and the scores of what may follow."""
     state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
-    table = generation.bigram_table(document_ids(spark, sf_dir), "ids").withColumn("score", F.log("score"))
+    conv, turn = (F.split("seq_id", ":")[i].cast("long") for i in (0, 1))
+    m = ((conv * 3 + turn) % 8).cast("int")
+    state = state.withColumn("ids", F.slice("ids", F.lit(1), F.when(m == 0, 1).otherwise(8 * m))).withColumn("prompt_len", F.greatest(F.size("ids") - 2, F.lit(1)))
     state = saved(state)
-    return generation.bigram_scorer(saved(table))(state), state
+    return generation.bigram_scorer(_log_bigrams(spark, sf_dir))(state), state
 
 
 def _processed(rule: generation.Processor) -> Query:
@@ -490,15 +493,17 @@ def _ids_of(st: DataFrame) -> DataFrame:
     return st.select("seq_id", F.explode("ids").alias("token_id"))
 
 
+_E, _N, _S = (small_vocab()[x] for x in "ens")
+
 for _name, _rule in {
     "logits_temperature": generation.temperature(0.7), "logits_repetition_penalty": generation.repetition_penalty(1.3), "logits_encoder_repetition_penalty": generation.encoder_repetition_penalty(1.3),
     "logits_top_k": generation.top_k(10), "logits_top_p": generation.top_p(0.8), "logits_min_p": generation.min_p(0.05), "logits_typical": generation.typical_p(0.7), "logits_epsilon": generation.epsilon_cutoff(0.01),
     "logits_eta": generation.eta_cutoff(0.05), "logits_normalize": generation.log_normalize(), "logits_suppress": generation.suppress(range(256)), "logits_no_repeat": generation.no_repeat_ngram(2),
-    "logits_min_length": generation.min_length(40, (37, 35)), "logits_bias": generation.sequence_bias({(37,): 2.0, (46, 35): -1.0, (14, 42): 3.0}),
-    "logits_min_new_tokens": generation.min_new_tokens(5, (37, 35)), "logits_encoder_no_repeat": generation.encoder_no_repeat_ngram(2), "logits_no_bad_words": generation.no_bad_words([[37], [46, 35], [14, 42], [11]], (11,)),
+    "logits_min_length": generation.min_length(40, (_E, _N)), "logits_bias": generation.sequence_bias({(_E,): 2.0, (_E, _S): -1.0, (_N, _E): 3.0}),
+    "logits_min_new_tokens": generation.min_new_tokens(2, (_E, _N)), "logits_encoder_no_repeat": generation.encoder_no_repeat_ngram(2), "logits_no_bad_words": generation.no_bad_words([[_S], [_E, _N], [_N, _E], [11]], (11,)),
     "logits_prefix_constrained": lambda s, st: generation.prefix_constrained(s.where("token_id % 3 = 0"))(s, st), "logits_hamming_diversity": lambda s, st: generation.hamming_diversity(_ids_of(st), 0.5)(s, st),
-    "logits_forced_bos": generation.forced_bos(220), "logits_forced_eos": generation.forced_eos(37, 85), "logits_force_tokens": generation.force_tokens({84: 35, 112: 37, 127: 42}), "logits_remove_invalid": lambda s, st: generation.remove_invalid()(_odd_scores(s), st),
-    "logits_exponential_decay": generation.exponential_decay(-3, 1.2, (37, 35)), "logits_suppress_at_begin": generation.suppress_at_begin(range(100), 84),
+    "logits_forced_bos": generation.forced_bos(_E), "logits_forced_eos": generation.forced_eos(_E, 25), "logits_force_tokens": generation.force_tokens({8: _E, 16: _N, 40: _S}), "logits_remove_invalid": lambda s, st: generation.remove_invalid()(_odd_scores(s), st),
+    "logits_exponential_decay": generation.exponential_decay(-1, 1.2, (_E, _N)), "logits_suppress_at_begin": generation.suppress_at_begin(range(100), 32),
     "logits_guidance": lambda s, st: generation.guidance(generation.temperature(2.0)(s, st), 1.5)(s, st), "logits_watermark": generation.watermark(2.0),
 }.items():
     QUERIES[_name] = _processed(_rule)
