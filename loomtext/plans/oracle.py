@@ -208,6 +208,12 @@ def oracle_sql() -> dict[str, str]:
         d{k} AS (SELECT c.seq_id, c.ids, c.token_id, c.p, coalesce(max(list_inner_product(x.v, y.v) / (x.norm * y.norm)), 0) AS near FROM c{k} AS c LEFT JOIN vec AS x ON x.token_id = c.token_id LEFT JOIN (SELECT DISTINCT seq_id, unnest(ids) AS token_id FROM c{k}s) AS u ON u.seq_id = c.seq_id LEFT JOIN vec AS y ON y.token_id = u.token_id GROUP BY ALL),
         c{k + 1}s AS (SELECT seq_id, list_append(ids, token_id) AS ids FROM d{k} QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY 0.4 * p - 0.6 * near DESC, token_id) = 1)""" for k in range(5))
     out["contrastive_search"] = f"WITH {H2}, vec AS (SELECT token_id, v, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT vec_id AS token_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id < {len(v)})), c0s AS (SELECT seq_id, ids FROM h), {steps} SELECT seq_id AS prompt, {_join('ids')} AS ids FROM c5s"
+    toks = ", ".join(f"({i}, {q(t)})" for t, i in v.items())
+    out["token_healing"] = f"""WITH {H2}, tk(id, txt) AS (VALUES {toks}), k AS (SELECT seq_id, ids, CASE WHEN len(ids) = 1 THEN [{bos}] ELSE ids[1:len(ids) - 1] END AS cut, ids[len(ids)] AS tail, t.txt AS tail_txt FROM h JOIN tk AS t ON t.id = ids[len(ids)]),
+        b AS (SELECT k.seq_id, k.cut, lg.token_id FROM k JOIN lg ON lg.prev = k.cut[len(k.cut)] JOIN tk ON tk.id = lg.token_id WHERE (SELECT count(*) FROM tk AS o WHERE starts_with(o.txt, k.tail_txt)) > 1
+          QUALIFY row_number() OVER (PARTITION BY k.seq_id ORDER BY lg.lp + CASE WHEN starts_with(tk.txt, k.tail_txt) THEN 10.0 ELSE 0.0 END + CASE WHEN lg.token_id = k.tail THEN 1.0 ELSE 0.0 END DESC, lg.token_id) = 1)
+        SELECT h.seq_id AS prompt, {_join('CASE WHEN b.token_id IS NULL THEN h.ids ELSE list_append(b.cut, b.token_id) END')} AS ids FROM h LEFT JOIN b USING (seq_id)"""
+    out["token_offsets"] = "SELECT doc_id, coalesce(text, '') AS text, coalesce(length(text), 0) AS last_end FROM documents"
     hit = " OR ".join(f"contains(substr(w.txt, greatest(1, len(w.txt) - {len(byte_encoded(x)) - 2})) || tk.txt, {q(byte_encoded(x))})" for x in ("er", " th", "est"))
     texts = ", ".join(f"({i}, {q(t)})" for t, i in v.items())
     out["stop_in_loop"] = f"""WITH RECURSIVE {H2}, tk(id, txt) AS (VALUES {texts}), nx AS (SELECT prev, token_id FROM bg QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, token_id) = 1),

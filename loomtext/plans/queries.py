@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import beams, bpe, decode, encode, generation, lookahead, vocab
+from ..operators import beams, bpe, decode, encode, generation, lookahead, offsets, vocab
 from ..sources.files import input_json, parse_input_json, read_merges, read_pieces, read_table, read_vocab, write_vocab
 from ..sources.shared import saved, shared_dir
 from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, TokenizerConfig, Truncation
@@ -601,6 +601,26 @@ def greedy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
+@query
+def token_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last id of every half turn chosen anew among those that begin as it does."""
+    table = _log_bigrams(spark, sf_dir)
+    normal = generation.log_normalize()(table.withColumnRenamed("prev", "seq_id"), None).withColumnRenamed("seq_id", "prev")
+    out = lookahead.heal(_halves(spark, sf_dir), generation.bigram_scorer(saved(normal)), lookahead.prefix_index(spark, small_vocab()), SPECIAL["bos_id"])
+    return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
+
+
+@query
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's tokens of the whole public vocabulary begin and end in its text: how many, the sum of both, and the text put together from them."""
+    v, ranks = public_vocabulary()
+    rows = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = saved(rows.select("doc_id", "text", bpe.merged_words(T.byte_level_pretokens(F.col("text")), ranks, raw=True).alias("tokens")))
+    at = rows.select("doc_id", "text", offsets.byte_level_offsets(F.col("text"), F.col("tokens")).alias("at"))
+    pieces = F.transform(F.filter(F.transform("at", lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get("at", i - 1)["end"]).alias("from"), x["end"].alias("to"))), lambda x: x["to"] > x["from"]), lambda x: F.substring(F.col("text"), x["from"] + 1, x["to"] - x["from"]))
+    return at.select("doc_id", F.array_join(pieces, "").alias("text"), F.coalesce(F.get("at", F.size("at") - 1)["end"], F.lit(0)).cast("long").alias("last_end"))
+
+
 STOPS = ("er", " th", "est")
 
 

@@ -262,3 +262,56 @@ def test_warpers_keep_one_id_more_than_end_ids(spark):
         assert {r.token_id for r in rule(s, None).where(F.col("score") > G.NEVER).collect()} == {1, 2, 3}
     made = G.warpers(GenerationConfig(num_beams=2, eos_token_id=(7, 8), top_k=1, top_p=1.0))
     assert {r.token_id for r in made[0](s, None).where(F.col("score") > G.NEVER).collect()} == {1, 2, 3}
+
+
+def test_prefix_index_and_healing(spark):
+    """The index against every pair of tokens of a public vocabulary's share, and healing against its definition."""
+    from loomtext.plans.vocabulary import public_vocabulary
+
+    vocab = {t: i for t, i in public_vocabulary()[0].items() if i % 7 == 0 or len(t) < 3}
+    rows = {r.token_id: r for r in L.prefix_index(spark, vocab).collect()}
+    for t in random.Random(1).sample(sorted(vocab), 150):
+        own = rows[vocab[t]]
+        assert {u for u, i in vocab.items() if own.place <= rows[i].place < own.upto} == {u for u in vocab if u.startswith(t)}
+    small = {"a": 0, "ab": 1, "abc": 2, "b": 3, "bc": 4, "c": 5, "d": 6, "<s>": 7}
+    t = {i: {j: round(random.Random(i * 9 + j).uniform(-4, 0), 3) for j in range(7) if j % 3 != i % 3} for i in range(8)}
+    p = prompts(18, n=7, k=20) | {70: [0], 71: []}
+    got = {r.seq_id: (r.ids, r.prompt_len) for r in L.heal(states(spark, p), G.bigram_scorer(frame_of(spark, t)), L.prefix_index(spark, small), 7).collect()}
+    names = {i: x for x, i in small.items()}
+    for k, ids in p.items():
+        want = ids
+        if ids and sum(x.startswith(names[ids[-1]]) for x in small) > 1:
+            cut = ids[:-1] or [7]
+            score = {j: x + 10.0 * names[j].startswith(names[ids[-1]]) + 1.0 * (j == ids[-1]) for j, x in t[cut[-1]].items()}
+            want = [*cut, max(score, key=lambda j: (score[j], -j))]
+        assert got[k] == (want, len(want)), k
+
+
+def frame_of(spark, t):
+    return saved(spark.createDataFrame([(a, b, x) for a, row in t.items() for b, x in row.items()], "prev int, token_id int, score double"))
+
+
+def test_offsets_equal_the_library(spark):
+    """Starts and ends of tokens in characters, with characters cut between tokens, against the named library, raw and trimmed."""
+    from tokenizers import Tokenizer as Library
+    from tokenizers import pre_tokenizers, processors
+
+    from loomtext.functions import text as T
+    from loomtext.operators import bpe
+    from loomtext.operators.offsets import byte_level_offsets, trimmed
+    from loomtext.plans.vocabulary import public_file, public_vocabulary
+
+    rng = random.Random(19)
+    texts = ["", " ", "a", "  two  blanks ", "\u4e2d\u6587 \U0001f600\U0001f600 \u00e9", *["".join(rng.choice(["ab", " ", "  ", "\u00e9", "\u4e2d", "\U0001f680", "\n", ".", "'s", "7"]) for _ in range(rng.randint(1, 40))) for _ in range(150)]]
+    lib = Library.from_file(public_file())
+    lib.pre_tokenizer, lib.post_processor = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False), processors.ByteLevel(trim_offsets=False)
+    _, ranks = public_vocabulary()
+    df = saved(spark.createDataFrame([*enumerate(texts), (999, None)], "i int, text string").select("i", "text", bpe.merged_words(T.byte_level_pretokens(F.col("text")), ranks, raw=True).alias("t")))
+    out = df.select("i", "text", byte_level_offsets(F.col("text"), F.col("t")).alias("at")).select("i", "at", trimmed(F.col("text"), F.col("at")).alias("cut"))
+    for r in out.collect():
+        text = texts[r.i] if r.i < 999 else ""
+        want = lib.encode(text, add_special_tokens=False).offsets
+        assert [(x.start, x.end) for x in r.at] == want, text
+        for x, y in zip(r.at, r.cut or [], strict=True):
+            own = text[x.start : x.end]
+            assert text[y.start : y.end] == (own.lstrip() or own), text
