@@ -40,6 +40,7 @@ BUCKET_KEYS = 1_000_000
 SUB = 1500
 SKETCH_LONGS = 32
 CHUNK = 1024
+FIRST, NO_KEY = 16, 2**63 - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -340,7 +341,9 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
 
     A linked pair agrees in all filled blocks of either end but as many as the bound, so in one of the bound + 1 rarest
     of either (a class with too few filled blocks takes all it emits). Classes meet in those blocks; in each, the members
-    outside its largest component are compared with all of other components, in chunks where it is large.
+    outside its largest component are compared with all of other components, in chunks where it is large. A pair that meets in
+    many blocks is told by the one with the least key: each member carries the FIRST least keys of its blocks, and the least key
+    that is in both lists is the least one they share; only a pair without one in both lists is told by every block.
     """
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,7 +363,9 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
     groups = kept.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels"))
     kept = saved(kept.join(groups.where("labels > 1").drop("labels"), "key"))
     buckets = kept.count() // (16 * CHUNK) + 1  # few cells, so that a pair that meets in many blocks comes from few of them
-    bits, chunks, cols = sets.select("sig", "bits"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits"]
+    order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
+    firsts = kept.select("sig", "key").distinct().withColumn("at", order).where(F.col("at") <= FIRST).groupBy("sig").agg(F.collect_list("key").alias("firsts"))
+    bits, chunks, cols = sets.select("sig", "bits").join(firsts, "sig"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits", "firsts"]
     cell = F.when(F.col("members") <= CHUNK, F.pmod("key", F.lit(buckets))).otherwise(F.col("key"))  # small groups share a cell, a large one has a cell for each pair of chunks
     kept = kept.join(bits, "sig").select("*", cell.alias("cell"), F.pmod(F.xxhash64("sig"), chunks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
     left = kept.where("label <> main").select(F.col("own").alias("q"), F.col("other").alias("r"), "*")
@@ -368,18 +373,27 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
 
     none = pd.DataFrame({"a": [], "b": [], "times": []})
 
+    def listed(firsts: pd.Series) -> np.ndarray:
+        out = np.full((len(firsts), FIRST), NO_KEY)
+        for i, x in enumerate(firsts):
+            out[i, : len(x)] = x
+        return out
+
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return none
         y = y.sort_values("key", kind="stable")
         p, q = np.stack(x.bits).astype(np.int64).view(np.uint64), np.stack(y.bits).astype(np.int64).view(np.uint64)
+        own, others = listed(x.firsts), listed(y.firsts)
         m, ys, yl, yk = y.n.to_numpy(), y.sig.to_numpy(), y.label.to_numpy(), y.key.to_numpy()
         starts, ends = np.searchsorted(yk, x.key, side="left"), np.searchsorted(yk, x.key, side="right")
         a, b, times = [], [], []
-        for i, (sig, n, label, s, e) in enumerate(zip(x.sig, x.n, x.label, starts, ends, strict=True)):
+        for i, (sig, n, label, key, s, e) in enumerate(zip(x.sig, x.n, x.label, x.key, starts, ends, strict=True)):
             ok = np.flatnonzero((yl[s:e] != label) & (np.minimum(n, m[s:e]) * DEN >= np.maximum(n, m[s:e]) * NUM)) + s
             apart = np.bitwise_count(p[i] ^ q[ok]).sum(axis=1).astype(np.int64)
             near = apart <= bound(n, m[ok])
+            shared = np.where(np.isin(others[ok], own[i]), others[ok], NO_KEY).min(axis=1)
+            near &= (shared == NO_KEY) | (shared == key)
             a += [sig] * int(near.sum())
             b += ys[ok[near]].tolist()
             times += (-apart[near]).tolist()
