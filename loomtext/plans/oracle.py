@@ -208,6 +208,9 @@ def oracle_sql() -> dict[str, str]:
         d{k} AS (SELECT c.seq_id, c.ids, c.token_id, c.p, coalesce(max(list_inner_product(x.v, y.v) / (x.norm * y.norm)), 0) AS near FROM c{k} AS c LEFT JOIN vec AS x ON x.token_id = c.token_id LEFT JOIN (SELECT DISTINCT seq_id, unnest(ids) AS token_id FROM c{k}s) AS u ON u.seq_id = c.seq_id LEFT JOIN vec AS y ON y.token_id = u.token_id GROUP BY ALL),
         c{k + 1}s AS (SELECT seq_id, list_append(ids, token_id) AS ids FROM d{k} QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY 0.4 * p - 0.6 * near DESC, token_id) = 1)""" for k in range(5))
     out["contrastive_search"] = f"WITH {H2}, vec AS (SELECT token_id, v, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT vec_id AS token_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id < {len(v)})), c0s AS (SELECT seq_id, ids FROM h), {steps} SELECT seq_id AS prompt, {_join('ids')} AS ids FROM c5s"
+    out["stream_batches"] = f"""WITH {C}, k AS (SELECT conv_id % 8 AS lane, conv_id * 1000 + turn AS t, lpad(CAST(conv_id AS VARCHAR), 12, '0') || ':' || lpad(CAST(turn AS VARCHAR), 6, '0') AS row, ids FROM conversations JOIN c ON c.prompt = conv_id || ':' || turn),
+        b AS (SELECT *, (row_number() OVER (PARTITION BY lane ORDER BY t, row) - 1) // 16 AS batch, max(t) OVER () AS latest FROM k), l AS (SELECT *, max(len(ids)) OVER w AS most, count(*) OVER w AS n, min(t) OVER w AS first FROM b WINDOW w AS (PARTITION BY lane, batch))
+        SELECT lane, batch, row, {_join(f"ids || {_rep(pad, 'most - len(ids)')}")} AS input_ids, {_join(f"{_rep(1, 'len(ids)')} || {_rep(0, 'most - len(ids)')}")} AS attention_mask FROM l WHERE n = 16 OR first < latest"""
     toks = ", ".join(f"({i}, {q(t)})" for t, i in v.items())
     out["token_healing"] = f"""WITH {H2}, tk(id, txt) AS (VALUES {toks}), k AS (SELECT seq_id, ids, CASE WHEN len(ids) = 1 THEN [{bos}] ELSE ids[1:len(ids) - 1] END AS cut, ids[len(ids)] AS tail, t.txt AS tail_txt FROM h JOIN tk AS t ON t.id = ids[len(ids)]),
         b AS (SELECT k.seq_id, k.cut, lg.token_id FROM k JOIN lg ON lg.prev = k.cut[len(k.cut)] JOIN tk ON tk.id = lg.token_id WHERE (SELECT count(*) FROM tk AS o WHERE starts_with(o.txt, k.tail_txt)) > 1

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import beams, bpe, decode, encode, generation, lookahead, offsets, vocab
 from ..sources.files import input_json, parse_input_json, read_merges, read_pieces, read_table, read_vocab, write_vocab
 from ..sources.shared import saved, shared_dir
+from ..streaming.encode import batch_stream
 from .options import EncodeOptions, Family, GenerationConfig, Padding, Side, TokenizerConfig, Truncation
 from .vocabulary import BOS, EOS, PAD, UNK, public_file, public_vocabulary, small_merges, small_vocab
 
@@ -635,6 +636,19 @@ def stop_in_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
+@query
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as a stream: eight lanes fill batches of sixteen rows in the state store; what is left goes out by the watermark."""
+    source = f"{sf_dir}/conversations.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source[:-1] + "[t]")  # a pattern, so that the table may be one file or a folder
+    rows = stream.select("conv_id", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("row"), F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn") + 1).alias("time"), T.byte_level_pretokens(F.col("text")).alias("words"))
+    ready = small_ids(rows, "conv_id", "row", "time")
+    out, name = shared_dir(spark), uuid.uuid4().hex
+    filled = batch_stream(ready, F.col("conv_id") % 8, "row", "ids", "time", 16, pad_id=PAD_ID)
+    filled.writeStream.format("parquet").option("path", f"{out}/batches-{name}").option("checkpointLocation", f"{out}/batches-state-{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(filled.schema).parquet(f"{out}/batches-{name}").select("lane", "batch", "row", shown("input_ids").alias("input_ids"), shown("attention_mask").alias("attention_mask"))
+
+
 @query
 def batch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and longest row of each batch, as padding sees them."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import byte_level_pretokens
 from ..operators.encode import pad, prepare
@@ -27,4 +29,43 @@ def encode_stream(stream: DataFrame, ids: str, options: EncodeOptions, family: F
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["encode_stream", "pad", "pretoken_stream"]
+STATE = "batch long, rows array<string>, ids array<array<int>>, times array<long>"
+BATCH = "lane long, batch long, row string, input_ids array<int>, attention_mask array<int>"
+
+
+def batch_stream(stream: DataFrame, lane: Column, row: str, ids: str, time: str, size: int, wait: float = 0.0, delay: str = "0 seconds", pad_id: int = 0) -> DataFrame:
+    """Batches of ``size`` rows that fill over as many micro-batches as it takes: lane, batch, row, input_ids and attention_mask, padded to the longest of the batch.
+
+    Each lane (a number; lanes share the work) fills its batches one after the other, by time and then row within a micro-batch. Rows that wait are kept in the
+    state store, so a restarted stream goes on where it stopped, and a lane holds fewer than ``size`` of them. A batch that is not full goes out once the
+    watermark (the latest time less ``delay``) is more than ``wait`` seconds past its first row. A row that comes when the watermark (at first the epoch)
+    has passed its time is late, and Spark drops it: delay must cover what may come late. A null row of ids is empty.
+    """
+
+    def fill(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, rows, own, times = (0, [], [], [])
+        if state.exists:
+            batch, rows, own, times = state.get
+            rows, own, times = list(rows), [list(x) for x in own], list(times)
+        late = state.hasTimedOut
+        if not late:
+            new = pd.concat(list(parts))
+            new = new.assign(at=new.time_.astype("datetime64[us]").astype("int64") // 1000).sort_values(["at", "row_"], kind="stable")
+            rows, times = rows + new.row_.tolist(), times + new["at"].tolist()
+            own += [[] if x is None else [int(i) for i in x] for x in new.ids_]
+        out = []
+        while len(rows) >= size or (late and rows):
+            longest = max(map(len, own[:size]))
+            out += [(key[0], batch, r, x + [pad_id] * (longest - len(x)), [1] * len(x) + [0] * (longest - len(x))) for r, x in zip(rows[:size], own[:size], strict=True)]
+            batch, rows, own, times = batch + 1, rows[size:], own[size:], times[size:]
+        state.update((batch, rows, own, times))
+        if rows:
+            state.setTimeoutTimestamp(max(int(times[0] + 1000 * wait), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["lane", "batch", "row", "input_ids", "attention_mask"])
+
+    rows = stream.select(lane.cast("long").alias("lane_"), F.col(row).cast("string").alias("row_"), F.col(ids).cast("array<int>").alias("ids_"), F.col(time).cast("timestamp").alias("time_"))
+    return rows.withWatermark("time_", delay).groupBy("lane_").applyInPandasWithState(fill, BATCH, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+__all__ = ["batch_stream", "encode_stream", "pad", "pretoken_stream"]
