@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -62,18 +63,45 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
+    """Open elements are a stack; where each tag stands in it is known, so that no step depends on its depth."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+        self.endless = False  # no comment ends any more
+
+    def read(self, html: str) -> None:
+        """Behind the last > no tag ends, so what stands there is text as a whole; the parser would look for an end again at every <."""
+        last = html.rfind(">") + 1
+        self.feed(html[:last])
+        self.close()
+        if tail := html[last:]:
+            self.handle_data(tail if self.cdata_elem else unescape(tail))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = -1 if self.endless else super().parse_comment(i, report)
+        self.endless = found < 0
+        return found
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, k: int) -> None:
+        """Close what is open from place k on."""
+        while len(self.open) > k:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
     def _close(self, tags: frozenset, scope: frozenset) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in scope:
-                return
+        k = self._last(tags)
+        if k and k >= self._last(scope):
+            self._cut(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES_P:
@@ -85,27 +113,28 @@ class TreeBuilder(HTMLParser):
                 before = len(self.open)
                 self._close(names, scope)
         if tag not in ("head", "title", "meta", "link", "style", "script", "base", "html", "noscript", "template") and self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        foreign = next((x.tag for x in reversed(self.open) if x.tag in ("svg", "math", "foreignobject")), "")
+        foreign = max(("svg", "math", "foreignobject"), key=lambda t: self._last((t,)))
+        foreign = foreign if self._last((foreign,)) else ""
         self.handle_starttag(tag, attrs)
         if (tag in ("svg", "math") or foreign in ("svg", "math")) and self.open[-1].tag == tag:
-            self.open.pop()  # only in svg and math does the slash close an element
+            self._cut(len(self.open) - 1)  # only in svg and math does the slash close an element
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and all(x.tag != "p" for x in self.open):
+        if tag == "p" and not self.places.get("p"):
             self.handle_starttag("p", [])
         scope = frozenset() if tag in ("table", "body", "html") else _SCOPE - {tag}
         self._close(frozenset((tag,)), scope)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -286,8 +315,7 @@ def extract(html: str | None) -> str | None:
     if html is None:
         return None
     builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    builder.read(html)
     return render(builder.root)
 
 

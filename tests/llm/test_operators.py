@@ -8,6 +8,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -833,3 +834,19 @@ def test_inner_products_of_large_components_are_exact():
     a, b = rng.integers(-(2**30), 2**30, (5, 3)), rng.integers(-(2**30), 2**30, (7, 3))
     want = [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in b] for r in a]
     assert hard_negatives.inner(a.astype(float), b.astype(float), 2.0**62 - 1).tolist() == want
+
+
+# --- op4, hostile pages ----------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<b>" * 60_000 + "</i>" * 60_000, "<a " * 300_000, "<!--" * 200_000 + ">", '<a x="' * 100_000, "<svg>" + "<g>" * 50_000 + "<a/>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "</a " * 200_000 + ">", "<script>" + "</scrip " * 100_000])
+def test_html_of_hundreds_of_kilobytes_of_broken_markup_takes_seconds(page):
+    began = time.process_time()
+    html_text.extract("<p>first</p>" + page)
+    assert time.process_time() - began < 20
+
+
+def test_html_keeps_what_stands_behind_the_last_end_of_a_tag():
+    assert html_text.extract("<p>a &amp; b <c d") == "a & b <c d"
+    assert html_text.extract("<p>a<script>x < y") == "a"
+    assert html_text.extract("no markup &lt;") == "no markup <"
+    assert html_text.extract("<p>a<!-- b <!-- c") == "a<!-- b <!-- c"
