@@ -362,7 +362,7 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
     kept = saved(keys.join(counts, "key").withColumn("place", place).where("place <= take and members > 1").select("key", "sig", "label", "n"))
     groups = kept.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels"))
     kept = saved(kept.join(groups.where("labels > 1").drop("labels"), "key"))
-    buckets = kept.count() // (16 * CHUNK) + 1  # few cells, so that a pair that meets in many blocks comes from few of them
+    buckets = kept.count() // (2 * CHUNK) + 1
     order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
     firsts = kept.select("sig", "key").distinct().withColumn("at", order).where(F.col("at") <= FIRST).groupBy("sig").agg(F.collect_list("key").alias("firsts"))
     bits, chunks, cols = sets.select("sig", "bits").join(firsts, "sig"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits", "firsts"]
@@ -391,10 +391,10 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
         for i, (sig, n, label, key, s, e) in enumerate(zip(x.sig, x.n, x.label, x.key, starts, ends, strict=True)):
             ok = np.flatnonzero((yl[s:e] != label) & (np.minimum(n, m[s:e]) * DEN >= np.maximum(n, m[s:e]) * NUM)) + s
             apart = np.bitwise_count(p[i] ^ q[ok]).sum(axis=1).astype(np.int64)
-            near = apart <= bound(n, m[ok])
-            shared = np.where(np.isin(others[ok], own[i]), others[ok], NO_KEY).min(axis=1)
-            near &= (shared == NO_KEY) | (shared == key)
-            a += [sig] * int(near.sum())
+            near = np.flatnonzero(apart <= bound(n, m[ok]))
+            shared = np.where(np.isin(others[ok[near]], own[i]), others[ok[near]], NO_KEY).min(axis=1, initial=NO_KEY)
+            near = near[(shared == NO_KEY) | (shared == key)]
+            a += [sig] * len(near)
             b += ys[ok[near]].tolist()
             times += (-apart[near]).tolist()
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "times": times}).drop_duplicates() if a else none
