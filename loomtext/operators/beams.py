@@ -111,13 +111,17 @@ def _selected(mine: DataFrame, live: DataFrame, scores: DataFrame, c: Generation
     """The rows a group keeps: continuations of live beams, and beams that have ended. fresh: has grown in this step."""
     scores = scores.select(F.col("seq_id").alias("own"), "token_id", "score")
     if constrained:
-        asked = live.select("own", F.explode(leading_on(open_alternatives(F.col("wanted"), F.col("met")), F.col("path"))).alias("token_id"))
+        live = live.withColumn("alts", open_alternatives(F.col("wanted"), F.col("met")))
+        asked = live.select("own", F.explode(leading_on(F.col("alts"), F.col("path"))).alias("token_id"))
+        live = live.withColumn("alt_ids", F.array_distinct(F.flatten(F.transform("alts", lambda a: a["ids"]))))
         scores = scores.join(asked.withColumn("asked", F.lit(True)), ["own", "token_id"], "full").withColumn("score", F.coalesce("score", F.lit(absent))).drop("asked")
     grown = live.join(scores.where(F.col("score") > NEVER), "own", "left").withColumn("fresh", F.col("token_id").isNotNull())
     grown = strings.read(grown) if strings else grown.withColumn("stop_hit", F.lit(False))
     if constrained:
-        grown = grown.withColumn("at", F.when(F.col("fresh"), after_token(open_alternatives(F.col("wanted"), F.col("met")), F.col("met"), F.col("path"), F.col("token_id"))))
-        grown = grown.withColumns({"met": F.when(F.col("fresh"), F.col("at.met")).otherwise(F.col("met")), "path": F.when(F.col("fresh"), F.col("at.path")).otherwise(F.col("path"))})
+        # an id of no alternative leads back to the top; few ids are in one
+        within = F.col("fresh") & F.array_contains("alt_ids", F.col("token_id").cast("int"))
+        grown = grown.withColumn("at", F.when(within, after_token(F.col("alts"), F.col("met"), F.col("path"), F.col("token_id"))).when(F.col("fresh"), F.struct("met", F.array().cast(INTS).alias("path"))).otherwise(F.struct("met", "path")))
+        grown = grown.withColumns({"met": F.col("at.met"), "path": F.col("at.path")})
         if c.eos_token_id:  # no end before all is met
             grown = grown.where(~F.col("fresh") | (F.size("met") == F.size("wanted")) | ~F.col("token_id").isin(*c.eos_token_id))
     noise = gumbel(seed, "own", "token_id") if seed is not None else F.lit(0.0)
