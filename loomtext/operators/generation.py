@@ -604,7 +604,7 @@ def _stop(c: GenerationConfig) -> Column:
 
 
 def generate(
-    state: DataFrame, scorer: Scorer, c: GenerationConfig, seed: int = 0, custom: Sequence[Processor] = (), save: Callable[[DataFrame], DataFrame] | None = None, every: int = 1,
+    state: DataFrame, scorer: Scorer, c: GenerationConfig, seed: int = 0, custom: Sequence[Processor] = (), save: Callable[[DataFrame], DataFrame] | None = None, every: int = 4,
     unconditional: Scorer | None = None, allowed: Callable[[DataFrame], DataFrame] | None = None, stopping: Sequence = (),
 ) -> DataFrame:
     """Greedy search or sampling: seq_id and ids. Finished rows take the pad id while others go on; a context without a score ends.

@@ -515,7 +515,7 @@ def greedy_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy decoding of 12 new ids after each turn, scored by id bigrams of all documents."""
     state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
-    out = generation.generate(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=12), save=saved)
+    out = generation.generate(state, generation.bigram_scorer(table), GenerationConfig(max_new_tokens=12), save=saved, every=1)
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
@@ -525,7 +525,7 @@ def greedy_until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = generation.initial_state(_prompts(spark, sf_dir), "ids", "prompt", SPECIAL["bos_id"])
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
     config = GenerationConfig(max_new_tokens=6, eos_token_id=[small_vocab()["e"], small_vocab()["n"]], pad_token_id=PAD_ID)
-    out = generation.generate(state, generation.bigram_scorer(table), config, save=saved)
+    out = generation.generate(state, generation.bigram_scorer(table), config, save=saved, every=1)
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 
@@ -632,7 +632,7 @@ def stop_in_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.createDataFrame([(i, t) for t, i in small_vocab().items()], "token_id int, text string")
     stopping = generation.stops(config, texts, T.byte_encoded)
     table = saved(generation.bigram_table(document_ids(spark, sf_dir), "ids"))
-    out = generation.generate(_halves(spark, sf_dir), generation.bigram_scorer(table), config, save=saved, stopping=stopping)
+    out = generation.generate(_halves(spark, sf_dir), generation.bigram_scorer(table), config, save=saved, stopping=stopping, every=1)
     return out.select(F.col("seq_id").alias("prompt"), shown("ids").alias("ids"))
 
 

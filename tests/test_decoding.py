@@ -164,7 +164,7 @@ def test_prompt_lookup_equals_greedy_search_in_fewer_rounds(spark):
         assert got[k].ids == greedy(ids, t, 9), k
     assert got[50].rounds <= 3 and got[51].rounds <= 5 and got[53].rounds == 1
     ends = GenerationConfig(max_new_tokens=9, prompt_lookup_num_tokens=4, eos_token_id=(7, 2), pad_token_id=-1, repetition_penalty=1.5)
-    want = {r.seq_id: r.ids for r in G.generate(states(spark, p), G.bigram_scorer(f), GenerationConfig(max_new_tokens=9, eos_token_id=(7, 2), pad_token_id=-1, repetition_penalty=1.5), save=saved).collect()}
+    want = {r.seq_id: r.ids for r in G.generate(states(spark, p), G.bigram_scorer(f), GenerationConfig(max_new_tokens=9, eos_token_id=(7, 2), pad_token_id=-1, repetition_penalty=1.5), save=saved, every=1).collect()}
     assert {r.seq_id: r.ids for r in L.prompt_lookup(states(spark, p), G.bigram_scorer(f), ends, save=saved).collect()} == want
 
 
