@@ -1,20 +1,22 @@
 """Language identification by word-first backoff.
 
-Known words score by their per-language log frequency; for a word not in the model, its character
+Known words score by their per-language log frequency; for a word that no training row has, its character
 n-grams do, from the longest length downwards, each position falling back to shorter ones.
-The counts cover all training rows, and every word of them is known: the ``MAX_WORDS`` most frequent words are looked
-up in place, which saves work and changes no result, all others by a join of the texts' distinct words with the counts.
-Only words that no training row has take the n-gram path. Of each length it knows the ``MAX_GRAMS`` most frequent
-n-grams of every language (ties: by text), so that a language with many rows pushes out none of another.
+The counts cover all training rows, all their words and all n-grams of those, in all languages; the model is two tables and is never
+held whole. Texts are read in chunks with numbered distinct words, and a chunk asks for each of its words once, by a
+join with the counts. Unseen words ask for their n-grams in batches, each distinct n-gram of a batch once. What comes back
+for a word is sparse: a share of each kind of base value (of a language that lacks the word or n-gram), and what
+the languages that have it add.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; without any training row
-everything is ``und``; a null doc_id is not held out; repeated rows each get a row.
+everything is ``und``; a null doc_id is not held out; repeated rows each get a row; equal scores go to the first language by
+name; very long texts are read in slices, so that only their distinct words are held; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import fold, saved
 
-MAX_WORDS = 100_000
-MAX_GRAMS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
+CHUNK_WORDS = 60_000
+CHUNK_PAIRS = 1_500_000
+BATCH_WORDS = 20_000
 _FLUSH = 400_000
-# Letters by Unicode category: word characters that are no digits, numerals (such as \u00b2 or \u2167) or underscores.
+_SLICE = 1_000_000
+_SPACE = re.compile(r"\s")
+# Letters by Unicode category: word characters that are no digits, numerals (such as ² or Ⅷ) or underscores.
 _NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Kinds of values by number: 0 a known word, 1 to 5 an n-gram of that length, from 6 on what a language adds.
+_KINDS = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -43,157 +50,209 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _counted(counts: Counter, names: list[str]) -> pd.DataFrame:
-    keys = pd.DataFrame(list(counts), columns=names)
-    keys["n"] = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    return keys
+class _Words(dict):
+    """Words of each run between white space; short runs are remembered."""
+
+    def __missing__(self, run: str) -> list[str]:
+        words = _LETTERS.findall(run)
+        if len(run) <= 40:
+            if len(self) > 200_000:
+                self.clear()
+            self[run] = words
+        return words
+
+
+def _runs(text: str) -> Counter:
+    """Lower-cased runs between white space and how often they occur; long texts are split by slices that end at white space."""
+    text, runs, at = text.lower(), Counter(), 0
+    while len(text) - at > _SLICE and (cut := _SPACE.search(text, at + _SLICE)):
+        runs.update(text[at : cut.start()].split())
+        at = cut.end()
+    runs.update(text[at:].split())
+    return runs
+
+
+def _flushed(counts: dict[str, Counter], key: str) -> Iterator[pd.DataFrame]:
+    for lang, one in ((lang, one) for lang, one in counts.items() if one):
+        yield pd.DataFrame({key: list(one), "lang": lang, "n": np.fromiter(one.values(), dtype=np.int64, count=len(one))})
+    counts.clear()
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts, words = defaultdict(Counter), _Words()
+    for b in batches:
+        for lang, texts in b.groupby("lang", sort=False).text:
+            one = counts[lang]
+            for text in texts:
+                for run, n in _runs(text).items():
+                    for w in words[run]:
+                        one[w] += n
+        if sum(map(len, counts.values())) > _FLUSH:
+            yield from _flushed(counts, "word")
+    yield from _flushed(counts, "word")
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for b in batches:
+        for (lang, n), words in b.groupby(["lang", "n"], sort=False).word:
+            one = counts[lang]
+            if n == 1:
+                for w in words:
+                    for order in ORDERS:
+                        one.update(grams_of(w, order))
+            else:
+                for w in words:
+                    for order in ORDERS:
+                        for g in grams_of(w, order):
+                            one[g] += n
+        if sum(map(len, counts.values())) > _FLUSH:
+            yield from _flushed(counts, "gram")
+    yield from _flushed(counts, "gram")
 
 
 def fit(documents: DataFrame, held_out: int = 1, mod: int = 3) -> dict:
-    """Count words and character n-grams per language over all training rows; collect the most frequent ones, keep all words as a table."""
+    """The model: tables of words and of n-grams with their counts by language, the languages, and the base values of each kind and language."""
     train = documents.where((fold("doc_id", mod) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for b in batches:
-            for lang, texts in b.groupby("lang", sort=False).text:
-                one: Counter = Counter()
-                for t in texts:
-                    one.update(words_of(t))
-                for w, n in one.items():
-                    counts[w, lang] += n
-            if len(counts) > _FLUSH:
-                yield _counted(counts, ["word", "lang"])
-                counts.clear()
-        if counts:
-            yield _counted(counts, ["word", "lang"])
-
-    def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for b in batches:
-            for word, lang, n in zip(b.word, b.lang, b.n, strict=True):
-                for order in ORDERS:
-                    for g in grams_of(word, order):
-                        counts[g, lang] += n
-            if len(counts) > _FLUSH:
-                yield _counted(counts, ["gram", "lang"])
-                counts.clear()
-        if counts:
-            yield _counted(counts, ["gram", "lang"])
-
-    words = saved(train.mapInPandas(count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    words = saved(train.mapInPandas(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    model: dict = {"langs": langs}
     if not langs:
-        return model
-    wide = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    grams = words.mapInPandas(count_grams, "gram string, lang string, n long").groupBy(F.col("gram").alias("key")).agg(*wide)
-    grams = saved(grams.withColumn("size", F.length("key")))
-    words = saved(words.groupBy(F.col("word").alias("key")).agg(*wide))
-    columns = [f"n{i}" for i in range(len(langs))]
-
-    def logs(table: DataFrame, sums: np.ndarray, kinds: int) -> tuple[list[str], np.ndarray]:
-        t = table.select("key", *columns).toArrow()
-        return t.column("key").to_pylist(), log_shares(np.stack([t.column(c).to_numpy() for c in columns], axis=1), sums, kinds)
-
-    sums, kinds = np.array([totals[x] for x in langs], dtype=np.float64), words.count()
-    model |= {"counts": words, "sums": sums, "kinds": kinds, "grams": []}
-    model["words"] = logs(words.orderBy(F.desc(sum(map(F.col, columns))), "key").limit(MAX_WORDS), sums, kinds)
-    of_size = {r["size"]: r for r in grams.groupBy("size").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(c) for c in columns], *[F.count_if(F.col(c) > 0).alias(f"k{c}") for c in columns]).collect()}
-    for order in ORDERS:
-        r = of_size.get(order)
-        if r is None:
-            continue
-        of, kept = grams.where(F.col("size") == order), F.lit(False)
-        for c in columns:
-            if r[f"k{c}"] <= MAX_GRAMS:
-                kept = kept | (F.col(c) > 0)
-            else:  # the last of a language's most frequent
-                last = of.select(c, "key").orderBy(F.desc(c), "key").limit(MAX_GRAMS).orderBy(c, F.desc("key")).first()
-                kept = kept | (F.col(c) > last[0]) | ((F.col(c) == last[0]) & (F.col("key") <= last[1]))
-        model["grams"].append(logs(of.where(kept), np.array([r[c] for c in columns], dtype=np.float64), r["kinds"]))
-    return model
-
-
-def log_shares(counts: np.ndarray, sums: np.ndarray, kinds: int) -> np.ndarray:
-    return np.log((counts + 0.1) / (np.maximum(sums, 1.0) + 0.1 * (kinds + 1)))
-
-
-class Unseen:
-    """Per-language log frequencies of a word that no training row has, from its n-grams."""
-
-    def __init__(self, tables: list[tuple[list[str], np.ndarray]], langs: int):
-        self.langs, self.grams = langs, {}
-        for keys, _ in tables:
-            for g in keys:
-                self.grams[g] = len(self.grams)
-        self.rows = np.concatenate([rows for _, rows in tables]) if tables else np.zeros((0, langs))
-
-    def __call__(self, word: str) -> np.ndarray:
-        """At each position the longest known n-gram, shorter ones where it is unknown; the mean keeps one word one vote."""
-        w, get, found = f"^{word}$", self.grams.get, []
+        return {"langs": langs}
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    hits = F.collect_list(F.struct(number[F.col("lang")].alias("lang"), "n")).alias("hits")
+    grams = words.mapInPandas(_count_grams, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    grams = saved(grams.groupBy("gram").agg(hits))
+    counts = saved(words.groupBy("word").agg(hits))
+    size = F.length("gram").alias("size")
+    kinds = {0: counts.count()} | {r["size"]: r["kinds"] for r in grams.groupBy(size).agg(F.count("*").alias("kinds")).collect()}
+    sums = {(0, i): totals[lang] for i, lang in enumerate(langs)}
+    sums |= {(r["size"], r["lang"]): r["n"] for r in grams.select(size, F.inline("hits")).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    base = [[np.log(0.1 / (max(sums.get((k, i), 0), 1) + 0.1 * (kinds.get(k, 0) + 1))) for i in range(len(langs))] for k in range(_KINDS)]
+    return {"langs": langs, "counts": counts, "grams": grams, "base": np.array(base)}
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest of them needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _large(blobs: pd.Series, sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=f"<u{len(x) // n}").astype(np.int64) for x, n in zip(blobs, sizes, strict=True) if n]])
+
+
+_READ = "chunk long, words array<string>, doc_id string, held_out boolean, size int, at binary, tf binary"
+
+
+def _reader(chunk_words: int, chunk_pairs: int):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks: a row with the distinct words, and a row for each text with the places of its words there and how often it has them."""
+        words, chunk, numbers, rows, pairs = _Words(), TaskContext.get().partitionId() << 33, {}, [], 0
+
+        def done() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame([(chunk, list(numbers), None, None, None, None, None)], columns=["chunk", "words", "doc_id", "held_out", "size", "at", "tf"])
+            out = pd.DataFrame(rows, columns=["doc_id", "held_out", "size", "at", "tf"])
+            yield out.assign(chunk=chunk, words=None)[["chunk", "words", "doc_id", "held_out", "size", "at", "tf"]]
+
+        for b in batches:
+            for doc_id, held_out, text in zip(b.doc_id, b.held_out, b.text, strict=True):
+                found: dict[int, int] = {}
+                for run, n in _runs(text or "").items():
+                    for w in words[run]:
+                        k = numbers.setdefault(w, len(numbers))
+                        found[k] = found.get(k, 0) + n
+                size = len(found)
+                rows.append((doc_id, held_out, size, _small(np.fromiter(found, dtype=np.int64, count=size)), _small(np.fromiter(found.values(), dtype=np.int64, count=size))))
+                pairs += size
+                if len(numbers) > chunk_words or pairs > chunk_pairs or len(rows) >= 20_000:
+                    yield from done()
+                    numbers, rows, pairs, chunk = {}, [], 0, chunk + 1
+        if rows:
+            yield from done()
+
+    return read
+
+
+def _ask(words: pd.DataFrame) -> pd.DataFrame:
+    """The distinct n-grams of a batch of words."""
+    grams = {g for w in words.word for n in ORDERS for g in grams_of(w, n)}
+    return pd.DataFrame({"batch": words.batch.iat[0], "gram": list(grams)})
+
+
+def _back_off(words: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Entries (kind, value) of unseen words: at each position the longest known n-gram; the mean keeps one word one vote."""
+    answers = answers.sort_values("gram")
+    gram, lang = answers.gram.to_numpy(), answers.lang.to_numpy(dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, dtype=np.int64)
+    known = dict(zip(gram[first].tolist(), range(len(first)), strict=True))
+    many = np.diff(np.append(first, len(gram)))
+    sizes = np.fromiter((len(g) for g in known), dtype=np.int64, count=len(known))
+    at, votes = [], []
+    for w in words.word:
+        w, before = f"^{w}$", len(at)
         for i in range(len(w)):
             for n in ORDERS:
-                k = get(w[i : i + n])
+                k = known.get(w[i : i + n])
                 if k is not None:
-                    found.append(k)
+                    at.append(k)
                     break
-        return self.rows[found].mean(axis=0) if found else np.zeros(self.langs)
-
-
-def identify(documents: DataFrame, model: dict, held_out: int = 1, mod: int = 3) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the winner's posterior) of every whole text; less frequent words by a join."""
+        votes.append(len(at) - before)
+    at, votes = np.array(at, dtype=np.int64), np.array(votes, dtype=np.int64)
+    word, weight = np.repeat(np.arange(len(votes)), votes), np.repeat(1.0 / np.maximum(votes, 1), votes)
+    row, of = _spread(first[at], many[at])
+    kinds = _KINDS + int(lang.max(initial=0)) + 1
+    keys = np.concatenate((word * kinds + sizes[at], word[of] * kinds + _KINDS + lang[row]))
+    added = np.log((answers.n.to_numpy(dtype=np.float64)[row] + 0.1) / 0.1)
+    keys, back = np.unique(keys, return_inverse=True)
+    values = np.bincount(back, weights=np.concatenate((weight, weight[of] * added)), minlength=len(keys))
+    return pd.DataFrame({"word": words.word.to_numpy()[keys // kinds], "kind": (keys % kinds).astype(np.int32), "value": values})
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows first[i] to first[i] + many[i] - 1 for every i, and that i beside each."""
+    of = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of], of
+
+
+def _values(kinds: DataFrame, model: dict, batch_words: int) -> DataFrame:
+    """word, kind, value: the entries of each distinct word; kinds has the words and, for known ones, their counts."""
+    known = kinds.where("hits is not null").select("word", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.lit(1.0).alias("value"))), F.transform("hits", lambda h: F.struct((h["lang"] + _KINDS).alias("kind"), F.log((h["n"] + 0.1) / 0.1).alias("value"))))))
+    unseen = kinds.where("hits is null").select("word")
+    batches = unseen.count() // batch_words + 1
+    unseen = unseen.withColumn("batch", F.pmod(F.xxhash64("word"), F.lit(batches)))
+    asked = unseen.groupBy("batch").applyInPandas(_ask, "batch long, gram string")
+    answers = asked.join(model["grams"], "gram").select("batch", "gram", F.inline("hits"))
+    return known.union(unseen.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_back_off, "word string, kind int, value double"))
+
+
+def identify(documents: DataFrame, model: dict, held_out: int = 1, mod: int = 3, chunk_words: int = CHUNK_WORDS, chunk_pairs: int = CHUNK_PAIRS, batch_words: int = BATCH_WORDS) -> DataFrame:
+    """doc_id, held_out, lang_pred and score (the winner's posterior) of every whole text."""
     docs = documents.select("doc_id", (fold("doc_id", mod) == held_out).alias("held_out"), "text")
     if not model["langs"]:
         return docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    context, langs = documents.sparkSession.sparkContext, len(model["langs"])
-    head = context.broadcast(model["words"])
-    unseen = context.broadcast((model["grams"], model["sums"], model["kinds"]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, rows = head.value
-        known = dict(zip(keys, range(len(keys)), strict=True))
-        row_id = TaskContext.get().partitionId() << 33
-        for b in batches:
-            sums, tails, tails_n, lettered = [], [], [], []
-            for text in b.text:
-                counts = Counter(words_of(text)) if text else Counter()
-                at, n, tail = [], [], {}
-                for w, c in counts.items():
-                    k = known.get(w)
-                    if k is None:
-                        tail[w] = c
-                    else:
-                        at.append(k)
-                        n.append(c)
-                sums.append(np.array(n, dtype=np.float64) @ rows[at] if at else np.zeros(langs))
-                tails.append(list(tail))
-                tails_n.append(list(tail.values()))
-                lettered.append(bool(counts))
-            yield pd.DataFrame({"row_id": np.arange(row_id, row_id + len(b)), "doc_id": b.doc_id.to_numpy(), "held_out": b.held_out.to_numpy(), "lettered": lettered, "sums": sums, "tail": tails, "tail_n": tails_n})
-            row_id += len(b)
-
-    columns = [f"n{i}" for i in range(langs)]
-
-    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, sums, kinds = unseen.value
-        score = Unseen(tables, langs)
-        for b in batches:
-            counts = b[columns].to_numpy(dtype=np.float64)
-            out = log_shares(counts, sums, kinds)
-            for i in np.flatnonzero(np.isnan(counts[:, 0])).tolist():
-                out[i] = score(b.key.iat[i])
-            yield pd.DataFrame({"key": b.key.to_numpy(), **{f"v{i}": out[:, i] for i in range(langs)}})
-
-    rows = saved(docs.mapInPandas(run, "row_id long, doc_id bigint, held_out boolean, lettered boolean, sums array<double>, tail array<string>, tail_n array<int>"))
-    tail = rows.select("row_id", F.explode(F.arrays_zip(F.col("tail").alias("key"), F.col("tail_n").alias("tf"))).alias("w")).select("row_id", "w.key", "w.tf")
-    values = tail.select("key").distinct().join(model["counts"], "key", "left").select("key", *columns)
-    values = saved(values.mapInPandas(valued, "key string, " + ", ".join(f"v{i} double" for i in range(langs))))
-    more = tail.join(values, "key").groupBy("row_id").agg(*[F.sum(F.col("tf") * F.col(f"v{i}")).alias(f"v{i}") for i in range(langs)])
-    scores = F.array(*[F.col("sums")[i] + F.coalesce(f"v{i}", F.lit(0.0)) for i in range(langs)])
-    found = rows.select("row_id", "doc_id", "held_out", "lettered", "sums").join(more, "row_id", "left").select("doc_id", "held_out", "lettered", scores.alias("s")).withColumn("top", F.array_max("s"))
-    names = F.array(*map(F.lit, model["langs"]))
-    best = names[F.array_position("s", F.col("top")).cast("int") - 1]
-    posterior = 1.0 / F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
-    return found.select("doc_id", "held_out", F.when(F.col("lettered"), best).otherwise("und").alias("lang_pred"), F.when(F.col("lettered"), posterior).otherwise(0.0).alias("score"))
+    langs, base = model["langs"], model["base"]
+    rows = saved(docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_reader(chunk_words, chunk_pairs), _READ))
+    asked = rows.where("words is not null").select(F.col("chunk").alias("part"), F.posexplode("words").alias("at", "word"))
+    kinds = saved(asked.select("word").distinct().join(model["counts"], "word", "left"))
+    entries = asked.join(saved(_values(kinds, model, batch_words)), "word").select("part", "at", "kind", "value")
+
+    def add_up(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("at", kind="stable")
+        place, kind, value = found["at"].to_numpy(), found.kind.to_numpy(dtype=np.int64), found.value.to_numpy()
+        sizes = texts["size"].to_numpy(dtype=np.int64)
+        at, tf = _large(texts["at"], sizes), _large(texts.tf, sizes)
+        first = np.searchsorted(place, at)
+        row, of = _spread(first, np.searchsorted(place, at, side="right") - first)
+        wide = _KINDS + len(langs)
+        text = np.repeat(np.arange(len(sizes)), sizes)[of]
+        sums = np.bincount(text * wide + kind[row], weights=tf[of] * value[row], minlength=len(sizes) * wide).reshape(len(sizes), wide)
+        scores = sums[:, _KINDS:] + sums[:, :_KINDS] @ base
+        top = scores.argmax(axis=1)
+        share = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+        pred = np.array(langs, dtype=object)[top]
+        pred[sizes == 0] = "und"
+        return pd.DataFrame({"doc_id": texts.doc_id, "held_out": texts.held_out.astype(bool), "lang_pred": pred, "score": np.where(sizes == 0, 0.0, share)})
+
+    texts = rows.where("words is null").drop("words")
+    found = texts.groupBy("chunk").cogroup(entries.groupBy("part")).applyInPandas(add_up, "doc_id string, held_out boolean, lang_pred string, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))

@@ -280,17 +280,28 @@ def test_language_id_held_out(spark, sf):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
-def test_language_id_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
+def test_language_id_does_not_depend_on_chunks(spark):
     rng = random.Random(8)
     rows = [(i, sentence(rng, 12) + (" el gato" if i % 2 else " the cat"), ("en", "es")[i % 2], "s", 0) for i in range(60)] + [(60, "gato unseen", None, "s", 0), (61, None, "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = {r.doc_id: (r.lang_pred, pytest.approx(r.score)) for r in langid.identify(docs, langid.fit(docs)).collect()}
-    monkeypatch.setattr(langid, "MAX_WORDS", 2)
-    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()} == want
+    for settings in ({"chunk_words": 2}, {"chunk_pairs": 40, "batch_words": 2}):
+        assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs), **settings).collect()} == want
 
 
-def test_language_id_keeps_the_ngrams_of_a_rare_language(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_GRAMS", 40)
+def test_language_id_of_long_texts(spark, monkeypatch):
+    """A text read in slices, one word of many letters, and counts that need more than a byte give what short ones give."""
+    rows = [(i, t, x, "s", 0) for i, (t, x) in enumerate([("the cat sat", "en"), ("el gato come", "es")] * 20)]
+    rows += [(100, "the cat " * 5000 + "gato", None, "s", 0), (101, "gato " * 200_000, None, "s", 0), (102, "x" * 200_000 + "gat", None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert [want[i][0] for i in (100, 101)] == ["en", "es"] and want[101][1] == pytest.approx(1)
+    assert langid._runs("Ab cd\x1cé  " * 9) == Counter({"ab": 9, "cd": 9, "é": 9})
+    monkeypatch.setattr(langid, "_SLICE", 7)
+    assert langid._runs("Ab cd\x1cé  " * 9 + "y" * 30) == Counter({"ab": 9, "cd": 9, "é": 9, "y" * 30: 1})
+
+
+def test_language_id_keeps_the_ngrams_of_a_rare_language(spark):
     rng = random.Random(9)
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
     rows = [(i, sentence(rng, 30), "en", "s", 0) for i in train[:-2]] + [(i, "qxqxq wyqyw", "qq", "s", 0) for i in train[-2:]] + [(1000, "xqxqxqx", None, "s", 0)]
