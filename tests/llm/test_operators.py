@@ -285,8 +285,10 @@ def test_language_id_does_not_depend_on_chunks(spark):
     rows = [(i, sentence(rng, 12) + (" el gato" if i % 2 else " the cat"), ("en", "es")[i % 2], "s", 0) for i in range(60)] + [(60, "gato unseen", None, "s", 0), (61, None, "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = {r.doc_id: (r.lang_pred, pytest.approx(r.score)) for r in langid.identify(docs, langid.fit(docs)).collect()}
-    for settings in ({"chunk_words": 2}, {"chunk_pairs": 40, "batch_words": 2}):
-        assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs), **settings).collect()} == want
+    cut = langid.fit(docs, chunk_chars=300, bucket_chars=500)
+    other = docs.select("*")  # read again, beside the model's chunks
+    for got in (langid.identify(docs, cut), langid.identify(other, cut, chunk_chars=700)):
+        assert {r.doc_id: (r.lang_pred, r.score) for r in got.collect()} == want
 
 
 def test_language_id_of_long_texts(spark, monkeypatch):
@@ -296,9 +298,13 @@ def test_language_id_of_long_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     want = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()}
     assert [want[i][0] for i in (100, 101)] == ["en", "es"] and want[101][1] == pytest.approx(1)
-    assert langid._runs("Ab cd\x1cé  " * 9) == Counter({"ab": 9, "cd": 9, "é": 9})
-    monkeypatch.setattr(langid, "_SLICE", 7)
-    assert langid._runs("Ab cd\x1cé  " * 9 + "y" * 30) == Counter({"ab": 9, "cd": 9, "é": 9, "y" * 30: 1})
+    texts = ["Ab cd\x1cé  " * 9 + "y" * 30, "", " ", "ab ab-cd7y", "7"]
+    for size in (3_000_000, 7):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        words, text, word, n = langid._pairs(texts)
+        assert Counter({(i, words[w]): c for i, w, c in zip(text, word, n, strict=True)}) == {(i, w): c for i, t in enumerate(texts) for w, c in Counter(langid.words_of(t)).items()}
+    for x in (np.zeros(0, dtype=np.int64), np.array([0, 255]), np.array([70_000, 1]), np.array([2**40]), np.array([0.5, -1e300]), np.zeros(0)):
+        assert (langid._unpack(langid._pack(x)) == x).all()
 
 
 def test_language_id_keeps_the_ngrams_of_a_rare_language(spark):
