@@ -6,7 +6,7 @@ The counts cover all training rows, all their words and all n-grams of those, in
 Texts are read once, in chunks: a chunk keeps its texts as places in its list of distinct words, and sends the list, with the
 training rows' counts, to buckets by hash. A bucket adds up and numbers its words; unseen ones ask for their n-grams,
 each distinct n-gram of a bucket once. What a bucket answers for a word is sparse: a share of each kind of base value (of a
-language that lacks the word or n-gram), and what the languages that have it add; a chunk gets it in the order it asked.
+language that lacks the word or n-gram), and what the languages that have it add, in single precision; a chunk gets it in the order it asked.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; without any training row
 everything is ``und``; a null doc_id is not held out; repeated rows each get a row; equal scores go to the first language by
@@ -83,14 +83,14 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers by planes of bytes, compressed; whole ones in as few bytes as the largest needs."""
-    x = x if x.dtype == np.float64 else x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    x = x if x.dtype.kind == "f" else x.astype(np.min_scalar_type(int(x.max(initial=0))))
     return x.dtype.str.encode() + zlib.compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     kind, planes = np.dtype(blob[:3].decode()), zlib.decompress(blob[3:])
     x = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-    return x if kind == np.float64 else x.astype(np.int64)
+    return x.astype(np.float64 if kind.kind == "f" else np.int64)
 
 
 def _pairs(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def _answer(tally: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         if chunk >= 0:
             asked = _unpack(blob)
             row, _ = _spread(first[asked], many[asked])
-            out.append((chunk, own.bucket, _pack(many[asked]), _pack(kind[row]), _pack(value[row])))
+            out.append((chunk, own.bucket, _pack(many[asked]), _pack(kind[row]), _pack(value[row].astype(np.float32))))
     return pd.DataFrame(out, columns=["chunk", "bucket", "a", "b", "c"])
 
 
