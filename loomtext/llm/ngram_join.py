@@ -336,11 +336,28 @@ def linked_components(documents: DataFrame) -> DataFrame:
     return rows.join(alone, "sig", "left").select("doc_id", "dk", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
+def _meetings(keys: DataFrame) -> DataFrame:
+    """The rows of keys that classes of different components share, with how many share them (members) and the component that has most of those (main); one exchange, no join."""
+    by_key = Window.partitionBy("key")
+    own = keys.withColumn("own", F.count("*").over(Window.partitionBy("key", "label")))
+    found = own.withColumns({"members": F.count("*").over(by_key), "main": F.max_by("label", F.struct("own", "label")).over(by_key), "least": F.min("label").over(by_key), "most": F.max("label").over(by_key)})
+    return found.where("least <> most").drop("own", "least", "most")
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """Each class's shared keys among the ``take`` first of all it emits; first come those that it shares with no other component, then the rarest."""
+    one = Window.partitionBy("sig", "step")
+    found = shared.withColumns({"shared": F.count("*").over(one), "place": F.row_number().over(one.orderBy("members", "key"))})
+    return found.where("emitted - shared + place <= take")
+
+
 def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of unsafe classes of different components whose sketches differ in no more bits than the bound; times is less the more they differ.
 
     A linked pair agrees in all filled blocks of either end but as many as the bound, so in one of the bound + 1 rarest
-    of either (a class with too few filled blocks takes all it emits). Classes meet in those blocks; in each, the members
+    of either (a class with too few filled blocks takes all it emits). Any order of blocks that all classes share will do:
+    blocks of one component come first, since no pair meets there, and a class with more of those than the bound meets
+    nobody. Classes meet in the blocks that are left; in each, the members
     outside its largest component are compared with all of other components, in chunks where it is large. A pair that meets in
     many blocks is told by the one with the least key: each member carries the FIRST least keys of its blocks, and the least key
     that is in both lists is the least one they share; only a pair without one in both lists is told by every block.
@@ -351,17 +368,13 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
             for lo in range(0, len(whole), SUB):
                 b = whole.iloc[lo : lo + SUB]
                 owner, key, step, spare = block_keys([np.asarray(x, dtype=np.int64).view(np.uint64) for x in b["items"]])
-                filled = np.bincount(owner * 2 + step, minlength=2 * len(b)).reshape(-1, 2)
-                take = np.where(spare > 0, filled - spare + 1, filled)
-                yield pd.DataFrame({"sig": b.sig.to_numpy()[owner], "label": b.label.to_numpy()[owner], "n": b.n.to_numpy()[owner], "key": key.view(np.int64), "step": step.astype(np.int32), "take": take[owner, step].astype(np.int64)})
+                emitted = np.bincount(owner * 2 + step, minlength=2 * len(b)).reshape(-1, 2)
+                take = np.where(spare > 0, emitted - spare + 1, emitted)
+                yield pd.DataFrame({"sig": b.sig.to_numpy()[owner], "label": b.label.to_numpy()[owner], "n": b.n.to_numpy()[owner], "key": key.view(np.int64), "step": step.astype(np.int32), "emitted": emitted[owner, step].astype(np.int64), "take": take[owner, step].astype(np.int64)})
 
     members = tagged.groupBy("sig").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(sets.select("sig", "items"), "sig")
-    keys = saved(members.select("sig", "label", "n", "items").mapInPandas(rarest, "sig bigint, label bigint, n long, key bigint, step int, take long"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("members"))
-    place = F.row_number().over(Window.partitionBy("sig", "step").orderBy("members", "key"))
-    kept = saved(keys.join(counts, "key").withColumn("place", place).where("place <= take and members > 1").select("key", "sig", "label", "n"))
-    groups = kept.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels"))
-    kept = saved(kept.join(groups.where("labels > 1").drop("labels"), "key"))
+    keys = saved(members.select("sig", "label", "n", "items").mapInPandas(rarest, "sig bigint, label bigint, n long, key bigint, step int, emitted long, take long"))
+    kept = saved(_meetings(saved(_rarest(_meetings(keys)).select("key", "sig", "label", "n"))))
     buckets = kept.count() // (2 * CHUNK) + 1
     order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
     firsts = kept.select("sig", "key").distinct().withColumn("at", order).where(F.col("at") <= FIRST).groupBy("sig").agg(F.collect_list("key").alias("firsts"))

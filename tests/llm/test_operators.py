@@ -666,6 +666,16 @@ def test_blocks_of_linked_sets_agree():
             assert np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
 
 
+def test_blocks_of_one_component_come_first_and_what_is_joined_by_block_grows_in_proportion(spark):
+    """Class 1 shares two blocks with others, but has more blocks of its own component than the bound, so it meets nobody; class 2 meets in its rarer block."""
+    rows = [(1, 1, 9, k, 0, 5, 3) for k in (10, 11, 12, 50, 51)] + [(2, 2, 9, k, 0, 3, 2) for k in (20, 50, 51)] + [(3, 3, 9, 51, 0, 1, 1)] + [(4, 1, 9, k, 0, 1, 1) for k in (12,)]
+    keys = spark.createDataFrame(rows, "sig bigint, label bigint, n long, key bigint, step int, emitted long, take long")
+    shared = ngram_join._meetings(keys)
+    assert sorted((r.sig, r.key, r.members) for r in shared.collect()) == [(1, 50, 2), (1, 51, 3), (2, 50, 2), (2, 51, 3), (3, 51, 3)]
+    assert sorted((r.sig, r.key) for r in ngram_join._rarest(shared).collect()) == [(2, 50), (3, 51)]
+    assert "Join" not in shared._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ngram_join_edges(spark, edge):
     got = ngram_join.ngram_join(edge)
     assert ids(got) == ALL_IDS
