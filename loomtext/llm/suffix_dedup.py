@@ -119,7 +119,11 @@ def anchors(text: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndar
     h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    span = length - k + 1
+    return _lowest(h, length - k + 1), h
+
+
+def _lowest(h: np.ndarray, span: int) -> np.ndarray:
+    """The place of the smallest of each ``span`` consecutive hashes, the first one of equals."""
     low, pos, step = h, np.arange(len(h), dtype=np.int32), 1
     while step * 2 <= span:
         take = low[:-step] <= low[step:]
@@ -130,7 +134,7 @@ def anchors(text: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndar
     if rest:
         take = low[:-rest] <= low[rest:]
         pos = np.where(take, pos[:-rest], pos[rest:])
-    return pos, h
+    return pos
 
 
 def _anchor_rows(texts: list[bytes], keys: np.ndarray, length: int, k: int) -> dict | None:
@@ -375,19 +379,94 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     return rows.select("dk", "ah", "sh", "a").join(spans, ["ah", "sh"]).select("dk", F.explode(F.transform("spans", lambda x: F.struct((x.s + F.col("a")).alias("s"), (x.e + F.col("a")).alias("e")))).alias("span"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def passage_windows(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of ``words`` words (between ASCII white space) within a text: the text's number, the run's hash, and hash and place of its anchor, its smallest gram of a fourth as many words."""
+    lists = [t.split() for t in texts]
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    code, distinct = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
+    if len(code) < words:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))[code]
+    power, step, k = np.uint64(_MULT), 1, max(1, words // 4)
+    grams = {}
+
+    def joined(left: np.ndarray, right: np.ndarray, of: int, more: int) -> np.ndarray:
+        n = len(h) - of - more + 1
+        return _mixed(left[:n] * power + right[of : of + n])
+
+    grams[1] = h
+    while step * 2 <= words:
+        grams[step * 2] = joined(grams[step], grams[step], step, step)
+        step *= 2
+
+    def gram(n: int) -> np.ndarray:
+        have = out = None
+        for size in sorted(grams, reverse=True):
+            if n & size:
+                out, have = (grams[size], size) if have is None else (joined(out, grams[size], have, size), have + size)
+        return out
+
+    window, low = gram(words), gram(k)
+    ends = np.cumsum(sizes)
+    at = np.flatnonzero(np.repeat(ends, sizes)[: len(window)] - np.arange(len(window)) >= words)
+    place = _lowest(low, words - k + 1)[at]
+    return np.searchsorted(ends, at, side="right"), window[at], low[place], place
+
+
 def repeated_passages(keyed: DataFrame, min_words: int = PASSAGE) -> DataFrame:
-    """passage_dk and n_passages: how many lines of more than ``min_words`` words a row shares with rows of another id or text, whatever their length in bytes."""
-    lines = keyed.where("text is not null").select("dk", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.where(F.size(F.split(F.trim("line"), r"[\x20\x09-\x0D]+")) > min_words).select("dk", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
-    again = saved(lines.groupBy("k1", "k2").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).where("x <> y").select("k1", "k2"))
-    return lines.join(sized(again), ["k1", "k2"], "left_semi").groupBy(F.col("dk").alias("passage_dk")).agg(F.count("*").alias("n_passages"))
+    """passage_dk: the rows that share a run of min_words + 1 words with a row of another id or text, whatever its length in bytes and the white space between.
+
+    Equal runs have equal anchors. Rows that share all neighbouring runs of an anchor (a segment) are told by one hash; runs are
+    compared one by one only for anchors of rows that share no whole segment. Hashes have 64 bits.
+    """
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = b.text.str.len().cumsum() // _PART
+            for _, part in b.groupby(size):
+                yield part
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(batches):
+            of, window, anchor, place = passage_windows([t.encode() for t in part.text], min_words + 1)
+            first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
+            last = np.append(first[1:], len(of)) - 1 if len(of) else first
+            segment = _mixed(window[first] * np.uint64(_MULT) + window[last]) + (last - first).astype(np.uint64)
+            yield pd.DataFrame({"dk": part.dk.to_numpy()[of[first]], "ah": anchor[first].view(np.int64), "sh": segment.view(np.int64)}).drop_duplicates()
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(batches):
+            of, window, anchor, _ = passage_windows([t.encode() for t in part.text], min_words + 1)
+            lists = [np.asarray(x, dtype=np.int64) for x in part.anchors]
+            asked = pd.DataFrame({"of": np.repeat(np.arange(len(lists)), [len(x) for x in lists]), "ah": np.concatenate(lists)})
+            found = pd.DataFrame({"of": of, "ah": anchor.view(np.int64), "w": window.view(np.int64)}).drop_duplicates().merge(asked, on=["of", "ah"])
+            yield pd.DataFrame({"dk": part.dk.to_numpy()[found.of], "w": found.w})
+
+    def several(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("dk").alias("x"), F.max("dk").alias("y")).where("x <> y").select(*by)
+
+    texts = keyed.where(F.octet_length("text") > 2 * min_words).select("dk", "text")
+    rows = saved(texts.mapInPandas(ask, "dk long, ah long, sh long"))
+    rows = saved(rows.join(several(rows, "ah"), "ah", "left_semi"))
+    told = saved(rows.join(several(rows, "ah", "sh"), ["ah", "sh"], "left_semi").select("dk").distinct())
+    unsure = saved(rows.join(told, "dk", "left_anti").select("ah").distinct())
+    reps = rows.join(sized(unsure), "ah", "left_semi").groupBy("ah", "sh").agg(F.min("dk").alias("asked_dk"))
+    lists = saved(reps.groupBy("asked_dk").agg(F.collect_set("ah").alias("anchors")))
+    windows = saved(texts.join(sized(lists, 20_000), F.col("dk") == F.col("asked_dk")).select("dk", "text", "anchors").mapInPandas(tell, "dk long, w long"))
+    return told.union(windows.join(several(windows, "w"), "w", "left_semi").select("dk")).distinct().withColumnRenamed("dk", "passage_dk")
 
 
 def _cut(documents: DataFrame, length: int, **settings) -> DataFrame:
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
     lists = removed_spans(keyed, length, **settings).groupBy(F.col("dk").alias("span_dk")).agg(F.array_sort(F.collect_set("span")).alias("spans"))
     found = keyed.join(lists, F.col("dk") == F.col("span_dk"), "left").join(repeated_passages(keyed), F.col("dk") == F.col("passage_dk"), "left")
-    return found.select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
+    return found.select("doc_id", "text", "spans", F.col("passage_dk").isNotNull().alias("passage"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -405,19 +484,19 @@ def merged(spans) -> list[tuple[int, int]]:
 def suffix_dedup(documents: DataFrame, length: int = LENGTH, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, the spans as arrays, whether it repeats a passage, and the kept bytes.
 
-    repeats: bytes are removed, or a line of more than PASSAGE words stands in another document too (which may be shorter than ``length`` bytes and then stays).
+    repeats: bytes are removed, or a run of more than PASSAGE words stands in another document too (which may be shorter than ``length`` bytes and then stays).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc_id, text, spans, passages in zip(b.doc_id, b.text, b.spans, b.n_passages, strict=True):
+            for doc_id, text, spans, passage in zip(b.doc_id, b.text, b.spans, b.passage, strict=True):
                 raw, runs, at, kept = (text or "").encode(), merged(spans), 0, []
                 for s, e in runs:
                     kept.append(raw[at:s])
                     at = e
                 kept = b"".join([*kept, raw[at:]])
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [s for s, _ in runs], [e for _, e in runs], bool(runs or passages), kept))
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [s for s, _ in runs], [e for _, e in runs], bool(runs or passage), kept))
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "repeats", "kept"])
             frame["doc_id"] = frame.doc_id.astype("Int64")
             yield frame

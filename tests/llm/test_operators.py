@@ -94,6 +94,30 @@ def test_shared_passages_shorter_than_the_cut_are_told(spark):
     assert [r.repeats for r in rows] == [True, True, True, False, False, False, False] and not any(r.n_removed for r in rows)
 
 
+def test_shared_passages_within_lines_are_told(spark):
+    """A passage of 51 words that is no line of its own, over a line break in one text and doubled spaces in another, counts; 50 words do not, nor does a text's own repetition."""
+    rng = random.Random(51)
+    words = [f"w{i}" for i in range(51)]
+    fill = ["".join(rng.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(600)]
+    p, a = " ".join(words), lambda i: " ".join(fill[i * 60 : i * 60 + 60])
+    own = " ".join(fill[540:595])
+    texts = [f"{a(0)} {p} tail", f"{a(1)} " + "\n".join(words), f"{a(2)} {'  '.join(words[1:])} x", f"{own}\n{own}", (4, f"{a(4)} row"), (4, f"{a(4)} row"), None]
+    rows = suffix_dedup.suffix_dedup(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.repeats for r in rows] == [True, True, False, False, False, False, False]
+    assert not any(r.n_removed for r in rows)
+
+
+def test_shared_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    pool = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(40, 70))] for _ in range(30)]
+    texts = [" ".join(w for _ in range(rng.randint(1, 2)) for w in [*rng.choice(pool)[rng.randint(0, 30) :], f"own{i}"]) for i in range(60)]
+    runs = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in map(str.split, texts)]
+    want = {i for i, own in enumerate(runs) if any(own & runs[j] for j in range(60) if j != i)}
+    keyed = frame(spark, texts).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
+    got = suffix_dedup.repeated_passages(keyed).join(keyed, F.col("passage_dk") == F.col("dk"))
+    assert 0 < len(want) < 60 and ids(got) == sorted(want, key=str)
+
+
 def test_suffix_dedup_edges(spark, edge):
     assert ids(suffix_dedup.suffix_dedup(edge)) == ALL_IDS
     assert suffix_dedup.suffix_dedup(edge.limit(0)).count() == 0
