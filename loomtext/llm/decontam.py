@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, wrapped
+from .common import ascii_lower, gathered, saved, wrapped
 
 WINDOW = 10
 K = 5
@@ -59,11 +59,12 @@ def _hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int) -> tu
     prints = items.withColumn("h", _hashes("w", k)).select(F.explode(_winnowed("h", window - k + 1)).alias("f"))
     for n in short:
         prints = prints.unionByName(items.where(f"n = {n}").select(F.explode(_hashes("w", n)).alias("f")))
-    prints = saved(prints.distinct())
+    most = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    prints = gathered(prints.distinct(), most)
     windows = items.where(f"n = {window}").select("item_id", F.explode(_grams("w", window)).alias("g"))
     for n in short:
         windows = windows.unionByName(items.where(f"n = {n}").select("item_id", F.explode(_grams("w", n)).alias("g")))
-    windows = saved(windows.select("item_id", F.col("g.len").alias("len"), F.col("g.gram").alias("gram")).distinct())
+    windows = gathered(windows.select("item_id", F.col("g.len").alias("len"), F.col("g.gram").alias("gram")).distinct(), most)
 
     keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
     own = keyed.select("doc_id", "dk", words_of(F.col("text")).alias("w")).withColumn("h", _hashes("w", k))
@@ -73,7 +74,7 @@ def _hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int) -> tu
     sketch = saved(own.select("doc_id", "dk", F.size("w").cast("long").alias("n_words"), marks.alias("f")))
 
     # The planner broadcasts the saved fingerprints if their files are small, and shuffles both sides if not.
-    suspects = saved(sketch.select("doc_id", "dk", F.explode("f").alias("f")).join(prints, "f", "left_semi").select("doc_id", "dk").distinct())
+    suspects = gathered(sketch.select("doc_id", "dk", F.explode("f").alias("f")).join(prints, "f", "left_semi").select("doc_id", "dk").distinct(), sketch.count())
     again = keyed.alias("d").join(suspects.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.dk") == F.col("s.dk")), "left_semi")
     again = again.dropDuplicates(["doc_id", "dk"]).select("doc_id", "dk", words_of(F.col("text")).alias("w"))
     grams = F.concat(*[_grams("w", n) for n in [window, *short]])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized, wrapped
+from .common import gathered, saved, sized, wrapped
 
 MIN_NEAR = 20
 
@@ -54,22 +54,23 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     # Distinct lines that share an exact half with another one, and which half.
     sides = F.array(*[F.struct(F.lit(c[0] == "p").alias("is_prefix"), F.col(c).alias("half")) for c in ("p0", "s0", "p1", "s1")])
     halves = firsts.where("p0 is not null").select("k1", "k2", "first", F.explode(sides).alias("h")).select("k1", "k2", "first", "h.is_prefix", "h.half")
-    shared = saved(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"))
-    suspects = saved(halves.join(sized(shared), "half", "left_semi").groupBy("k1", "k2", "first").agg(F.bool_or("is_prefix").alias("prefix"), F.bool_or(~F.col("is_prefix")).alias("suffix")))
+    most = firsts.count()
+    shared = gathered(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), most)
+    suspects = gathered(halves.join(sized(shared), "half", "left_semi").groupBy("k1", "k2", "first").agg(F.bool_or("is_prefix").alias("prefix"), F.bool_or(~F.col("is_prefix")).alias("suffix")), most)
 
     # The suspects' texts, read again where each line stands first.
     texts = _lines(documents).select("doc_id", "dk", "ln", "line", *_key()).join(sized(suspects), ["k1", "k2"])
     texts = texts.where(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (F.col("first.ln") == F.col("ln")))
-    texts = saved(texts.select("k1", "k2", "first", "prefix", "suffix", "line").dropDuplicates(["k1", "k2"]).withColumn("n", F.length("line")))
+    texts = gathered(texts.select("k1", "k2", "first", "prefix", "suffix", "line").dropDuplicates(["k1", "k2"]).withColumn("n", F.length("line")), most)
 
     # A line emits the deletions in the half that is not shared. side: 0 same length, 1 the longer one, 2 the whole shorter one.
     where = "sequence(IF(suffix, 1, greatest(1, (n - 1) div 2)), IF(prefix, n, least(n, n div 2 + 2)))"
     without = "concat(substr(line, 1, int(i) - 1), substr(line, int(i) + 1))"
     keys = F.expr(f"""concat(transform({where}, i -> named_struct('key', xxhash64('at', i, n, {without}), 'side', 0)),
         transform({where}, i -> named_struct('key', xxhash64('in', {without}), 'side', 1)), array(named_struct('key', xxhash64('in', line), 'side', 2)))""")
-    equal = saved(texts.select("k1", F.explode(keys).alias("v")).groupBy("v.key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key"))
+    equal = gathered(texts.select("k1", F.explode(keys).alias("v")).groupBy("v.key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key"), most)
     variants = texts.select("k1", "k2", "first", F.explode(keys).alias("v")).select("k1", "k2", "first", "v.key", "v.side")
-    variants = saved(variants.join(sized(equal), "key"))
+    variants = gathered(variants.join(sized(equal), "key"), most)
     # Members of a side-0 group are near each other; in the others the whole line is near each longer one. The earliest is the witness.
     who = F.struct("first", "k1", "k2")
     groups = variants.groupBy("key").agg(F.min(F.when(F.col("side") == 2, who)).alias("whole"), F.min(F.when(F.col("side") != 2, who)).alias("rest"))
@@ -77,7 +78,7 @@ def dropped_lines(documents: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     pairs = variants.join(groups, "key").select("k1", "k2", "first", witness.alias("w")).where("w is not null and w.first < first")
     pairs = pairs.select("k1", "k2", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2")).distinct()
     near = pairs.join(texts.select("k1", "k2", "line"), ["k1", "k2"]).join(texts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("line").alias("other")), ["w1", "w2"])
-    near = saved(near.where(F.levenshtein("line", "other", 1) >= 0).select("k1", "k2", F.lit(True).alias("near")).distinct())
+    near = gathered(near.where(F.levenshtein("line", "other", 1) >= 0).select("k1", "k2", F.lit(True).alias("near")).distinct(), most)
 
     marked = firsts.select("k1", "k2", "first").join(near, ["k1", "k2"], "left").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     every = _lines(documents).select("doc_id", "dk", "ln", *_key()).join(marked, ["k1", "k2"])

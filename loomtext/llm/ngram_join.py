@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized, wrapped
+from .common import gathered, saved, sized, wrapped
 
 WORDS = 5
 NUM, DEN = 3, 4  # the similarity, 0.75
@@ -41,6 +41,7 @@ SUB = 1500
 SKETCH_LONGS = 32
 CHUNK = 1024
 FIRST, NO_KEY = 16, 2**63 - 1
+SET_ITEMS, CELL_ROWS = 200_000, 10_000  # of a file: shingles of sets, rows with whole sketches
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,14 +231,15 @@ def _candidates(documents: DataFrame, buckets: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node it reaches, by label propagation with pointer jumping; lineage is cut in every round."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    most = 2 * edges.count()
+    both = gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), most)
+    labels = gathered(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), most)
     while True:
         labels = sized(labels)  # small graphs need one exchange a round
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = labels.join(near, "node").join(jump, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "further").alias("label"))
-        step = saved(step)
+        step = gathered(step, most)
         if step.where("old <> label").limit(1).count() == 0:
             return step.select("node", "label")
         labels = step.select("node", "label")
@@ -269,14 +271,15 @@ def _picked(pairs: DataFrame, spread: int = 1) -> DataFrame:
 def _joined(pairs: DataFrame, edges: DataFrame, label: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges and labels with the links of pairs between different components: one or two pairs for each class join most groups, then what is left between groups is verified."""
     for chosen in (_picked, lambda left: left.select("a", "b")):
-        if pairs.limit(1).count() == 0:
+        most = pairs.count()
+        if most == 0:
             break
-        more = saved(_verified(chosen(pairs), sets))
+        more = gathered(_verified(chosen(pairs), sets), most)
         if more.limit(1).count():
-            edges = saved(edges.union(more))
+            edges = gathered(edges.union(more), edges.count() + most)
             label = components(edges)
             if chosen is _picked:
-                pairs = saved(_across(pairs, label))
+                pairs = gathered(_across(pairs, label), most)
     return edges, label
 
 
@@ -293,25 +296,26 @@ def linked_components(documents: DataFrame) -> DataFrame:
     keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
     rows = saved(_sets(keyed))
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "dk")).alias("rep"), F.min("doc_id").alias("least"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    every, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = saved(_candidates(keyed, max(64, -(-total // BUCKET_KEYS))))
-    unsafe = saved(_unsafe(found.where("b is null")))
+    most = found.count()
+    unsafe = gathered(_unsafe(found.where("b is null")), most)
     # Hot blocks offer their unsafe members one partner each; safe members meet their partners in cold blocks.
-    weak = sized(saved(unsafe.select("sig").distinct()))
+    weak = sized(gathered(unsafe.select("sig").distinct(), most))
     hot = found.where("b is not null and not cold").groupBy("a", "b").agg(F.sum("times").alias("times"))
     hot = hot.join(weak.withColumnRenamed("sig", "a"), "a", "left_semi").join(weak.withColumnRenamed("sig", "b"), "b", "left_semi")
     # A linked pair agrees in all filled blocks of either end but as many as the bound: fewer cold agreements rule it out.
-    warm = saved(found.where("b is null").groupBy(F.col("a").alias("sig"), "low").agg(F.sum("hot").alias("hot")))
+    warm = gathered(found.where("b is null").groupBy(F.col("a").alias("sig"), "low").agg(F.sum("hot").alias("hot")), most)
     met = found.where("cold").groupBy("a", "b", "low", "low_b", "spare", "spare_b").agg(F.sum("times").alias("times"))
     hot_a, hot_b = warm.select(F.col("sig").alias("a"), "low", F.col("hot").alias("hot_a")), warm.select(F.col("sig").alias("b"), F.col("low").alias("low_b"), F.col("hot").alias("hot_b"))
     met = met.join(hot_a, ["a", "low"], "left").join(hot_b, ["b", "low_b"], "left")
     met = met.where("times >= greatest(spare - coalesce(hot_a, 0), spare_b - coalesce(hot_b, 0))")
-    pairs = saved(met.groupBy("a", "b").agg(F.max("times").alias("times")))
-    first = saved(_picked(pairs).union(_picked(hot, 4)).distinct())
+    pairs = gathered(met.groupBy("a", "b").agg(F.max("times").alias("times")), most)
+    first = gathered(_picked(pairs).union(_picked(hot, 4)).distinct(), most)
 
     # The sets of all classes in a pair, and of the unsafe ones, which also get whole sketches.
     names = pairs.select("a", "b").union(first).select(F.explode(F.array("a", "b")).alias("sig")).union(unsafe.select("sig")).distinct()
-    reps = saved(names.join(classes, "sig").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.dk").alias("rep_dk")))
+    reps = gathered(names.join(classes, "sig").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.dk").alias("rep_dk")), every)
     texts = keyed.join(sized(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("dk") == F.col("rep_dk")), "left_semi").dropDuplicates(["doc_id", "dk"])
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,17 +324,17 @@ def linked_components(documents: DataFrame) -> DataFrame:
             sets = [own(x) for x in b.text]
             yield pd.DataFrame({"sig": [class_of(s) for s in sets], "items": [s.view(np.int64) for s in sets], "bits": [sketch(s) for s in sets]})
 
-    sets = saved(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, bits array<long>"))
-    edges = saved(_verified(first, sets))
+    sets = gathered(texts.select("text").mapInPandas(sets_of, "sig bigint, items array<long>, bits array<long>"), total, SET_ITEMS)
+    edges = gathered(_verified(first, sets), first.count())
     label = components(edges)
-    edges, label = _joined(saved(_across(pairs, label)), edges, label, sets)
-    tagged = saved(unsafe.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
-    edges, label = _joined(saved(_unsafe_pairs(tagged, sets)), edges, label, sets)
+    edges, label = _joined(gathered(_across(pairs, label), most), edges, label, sets)
+    tagged = gathered(unsafe.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), most)
+    edges, label = _joined(_unsafe_pairs(tagged, sets), edges, label, sets)
 
     least = classes.select(F.col("sig").alias("node"), "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = least.groupBy("label").agg(F.min("least").alias("component_id"))
     member = least.where("node <> label").select("node", "label").join(named, "label").select(F.col("node").alias("sig"), "component_id", F.col("label").alias("main"))
-    member = saved(member)
+    member = gathered(member, every)
     # Most classes are alone: only those in a component of several need the join to find another class's id.
     alone = classes.select("sig", "least").join(named.withColumnRenamed("label", "sig"), "sig", "left").join(member.withColumnRenamed("component_id", "other"), "sig", "left").select("sig", F.coalesce("main", "sig").alias("label"), F.coalesce("other", "component_id", "least").alias("component_id"))
     return rows.join(alone, "sig", "left").select("doc_id", "dk", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
@@ -374,8 +378,10 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
 
     members = tagged.groupBy("sig").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(sets.select("sig", "items"), "sig")
     keys = saved(members.select("sig", "label", "n", "items").mapInPandas(rarest, "sig bigint, label bigint, n long, key bigint, step int, emitted long, take long"))
-    kept = saved(_meetings(saved(_rarest(_meetings(keys)).select("key", "sig", "label", "n"))))
-    buckets = kept.count() // (2 * CHUNK) + 1
+    most = keys.count()
+    kept = gathered(_meetings(gathered(_rarest(_meetings(keys)).select("key", "sig", "label", "n"), most)), most)
+    most = kept.count()
+    buckets = most // (2 * CHUNK) + 1
     order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
     firsts = kept.select("sig", "key").distinct().withColumn("at", order).where(F.col("at") <= FIRST).groupBy("sig").agg(F.collect_list("key").alias("firsts"))
     bits, chunks, cols = sets.select("sig", "bits").join(firsts, "sig"), F.ceil(F.col("members") / CHUNK), ["cell", "q", "r", "key", "sig", "n", "label", "bits", "firsts"]
@@ -413,8 +419,8 @@ def _unsafe_pairs(tagged: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "times": times}).drop_duplicates() if a else none
 
     by = ["cell", "q", "r"]
-    left, right = saved(left.select(*cols)), saved(right.select(*cols))
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint, times long").distinct()
+    left, right = gathered(left.select(*cols), most, CELL_ROWS), gathered(right.select(*cols), most, CELL_ROWS)
+    return gathered(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint, times long").distinct(), most)
 
 
 def ngram_join(documents: DataFrame) -> DataFrame:
@@ -426,7 +432,7 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     found = linked_components(documents.select("doc_id", "text")).where("label is not null")
     rows = found.groupBy("label", "doc_id", "dk").agg(F.count("*").alias("copies"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dk", "copies")
-    keep = saved(rows.groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.dk").alias("keep_dk"), F.col("k.copies").alias("copies")))
+    keep = gathered(rows.groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.dk").alias("keep_dk"), F.col("k.copies").alias("copies")), documents.count())
     every = wrapped(documents)
     has_word = F.coalesce(F.col("row_.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     same = F.col("id_").eqNullSafe(F.col("keep_id")) & (F.col("dk_") == F.col("keep_dk"))

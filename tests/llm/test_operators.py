@@ -11,6 +11,7 @@ import string
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,21 @@ def frame(spark, texts, lang="en"):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def written(spark, make):
+    """The part files of each table that make() leaves in the shared folder, on a session whose shuffles keep all their partitions."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, had = set(root.iterdir()), {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = make()
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return out, [len(list(p.glob("part-*.parquet"))) for p in set(root.iterdir()) - before]
+
+
 def sentence(rng, n):
     return " ".join("".join(rng.choice(["ka", "lo", "mi", "ne", "ru", "ta", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
@@ -721,6 +737,20 @@ def test_one_row_of_each_component_stays_whatever_its_ids(spark):
     assert got == sorted([(None, a), *linked, (5, c), (5, d), (6, e), (8, None), (8, None), (None, " ")], key=str)
 
 
+def test_small_tables_of_the_join_have_few_files_whatever_the_partitions(spark):
+    """A label table of some hundred rows had a file for each partition of a shuffle, in every round."""
+    edges = ngram_join.saved(spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 10 != 9], "a bigint, b bigint"))
+    out, files = written(spark, lambda: ngram_join.components(edges).collect())
+    assert {(r.node, r.label) for r in out} == {(i, i - i % 10) for i in range(300)}
+    assert max(files) <= 8
+    rng = random.Random(5)
+    texts = [sentence(rng, 40) for _ in range(200)]
+    texts += [f"{t} more" for t in texts]
+    rows, files = written(spark, lambda: ngram_join.ngram_join(frame(spark, texts).repartition(40)).collect())
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, i % 200) for i in range(400)}
+    assert sum(n > 8 for n in files) <= 2  # the sets' sizes follow the input's partitions, the pairs their buckets
+
+
 # --- op12 ------------------------------------------------------------------------------------------------------
 
 ODD = ["a", "b", "the", "ing", "'s", "'", "!!", "!", "?", ".", "\u00e9", "e\u0301", "\u4e2d", "\u6587", "\U0001f600", "\u0327\u0301", "\u1100", "\u1161", "7", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "Q", "\u0130", "\u00a0", "\x1c", "|>", "'re", "ve"]
