@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import gathered, saved, sized
 
 LENGTH = 400
 K = 32
@@ -195,12 +195,15 @@ def _bodies(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for text, cuts in zip(b.text, b.cuts, strict=True):
+            out, size = [], 0
+            for text, cuts in [*zip(b.text, b.cuts, strict=True), ("", ())]:
                 raw = text.encode()
                 for c in cuts:
                     out.append((c["ah"], c["ah"], c["sh"], c["n"], raw[c["lo"] : c["hi"] + length], c["a"] - c["lo"], c["a"] - c["hi"], c["a"] - c["lo"]))
-            yield pd.DataFrame(out, columns=["key", "ah", "sh", "n", "body", "a", "dlo", "dhi"])
+                    size += len(out[-1][4])
+                if size > _PART or len(cuts) == 0:
+                    yield pd.DataFrame(out, columns=["key", "ah", "sh", "n", "body", "a", "dlo", "dhi"])
+                    out, size = [], 0
 
     return texts.mapInPandas(run, _SEG)
 
@@ -333,14 +336,15 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def removed_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK_BYTES) -> DataFrame:
     """dk and the byte spans (s, e) to remove; spans may overlap."""
     rows = saved(_all_anchors(keyed, length, k))
-    again = saved(rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("c > 1").select("ah", (F.col("x") != F.col("y")).alias("mixed")))
-    rows = saved(rows.join(again, "ah"))
-    segments = saved(rows.groupBy("ah", "sh", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("dk", "a", "lo", "hi")).alias("rep")))
+    most = rows.count()
+    again = gathered(rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("c > 1").select("ah", (F.col("x") != F.col("y")).alias("mixed")), most)
+    rows = gathered(rows.join(again, "ah"), most)
+    segments = gathered(rows.groupBy("ah", "sh", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("dk", "a", "lo", "hi")).alias("rep")), most)
     bodies = saved(_bodies(keyed, segments.where("mixed"), length).withColumns({"llo": F.lit(0), "lhi": F.lit(length - k)}).dropDuplicates(["ah", "sh"]))
 
     cold, counted = [], []
     while True:
-        groups = saved(bodies.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"))
+        groups = gathered(bodies.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), most)
         if groups.limit(1).count() == 0:
             cold.append(bodies)
             break
@@ -453,11 +457,12 @@ def repeated_passages(keyed: DataFrame, min_words: int = PASSAGE) -> DataFrame:
 
     texts = keyed.where(F.octet_length("text") > 2 * min_words).select("dk", "text")
     rows = saved(texts.mapInPandas(ask, "dk long, ah long, sh long"))
-    rows = saved(rows.join(several(rows, "ah"), "ah", "left_semi"))
-    told = saved(rows.join(several(rows, "ah", "sh"), ["ah", "sh"], "left_semi").select("dk").distinct())
-    unsure = saved(rows.join(told, "dk", "left_anti").select("ah").distinct())
+    most = rows.count()
+    rows = gathered(rows.join(several(rows, "ah"), "ah", "left_semi"), most)
+    told = gathered(rows.join(several(rows, "ah", "sh"), ["ah", "sh"], "left_semi").select("dk").distinct(), most)
+    unsure = gathered(rows.join(told, "dk", "left_anti").select("ah").distinct(), most)
     reps = rows.join(sized(unsure), "ah", "left_semi").groupBy("ah", "sh").agg(F.min("dk").alias("asked_dk"))
-    lists = saved(reps.groupBy("asked_dk").agg(F.collect_set("ah").alias("anchors")))
+    lists = gathered(reps.groupBy("asked_dk").agg(F.collect_set("ah").alias("anchors")), most)
     windows = saved(texts.join(sized(lists, 20_000), F.col("dk") == F.col("asked_dk")).select("dk", "text", "anchors").mapInPandas(tell, "dk long, w long"))
     return told.union(windows.join(several(windows, "w"), "w", "left_semi").select("dk")).distinct().withColumnRenamed("dk", "passage_dk")
 
@@ -469,11 +474,10 @@ def _cut(documents: DataFrame, length: int, **settings) -> DataFrame:
     return found.select("doc_id", "text", "spans", F.col("passage_dk").isNotNull().alias("passage"))
 
 
-def merged(spans) -> list[tuple[int, int]]:
+def merged(starts: np.ndarray | None, ends: np.ndarray | None) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans; runs that touch are one."""
     out: list[list[int]] = []
-    for x in spans if spans is not None else ():
-        s, e = x["s"], x["e"]
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if starts is not None else ():
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -487,18 +491,26 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, **settings) -> Data
     repeats: bytes are removed, or a run of more than PASSAGE words stands in another document too (which may be shorter than ``length`` bytes and then stays).
     """
 
+    def framed(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "repeats", "kept"])
+        frame["doc_id"] = frame.doc_id.astype("Int64")
+        return frame
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc_id, text, spans, passage in zip(b.doc_id, b.text, b.spans, b.passage, strict=True):
-                raw, runs, at, kept = (text or "").encode(), merged(spans), 0, []
+            out, size = [], 0
+            for doc_id, text, starts, ends, passage in zip(b.doc_id, b.text, b.starts, b.ends, b.passage, strict=True):
+                if size > _PART:
+                    yield framed(out)
+                    out, size = [], 0
+                raw, runs, at, kept = (text or "").encode(), merged(starts, ends), 0, []
+                size += len(raw)
                 for s, e in runs:
                     kept.append(raw[at:s])
                     at = e
                 kept = b"".join([*kept, raw[at:]])
                 out.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [s for s, _ in runs], [e for _, e in runs], bool(runs or passage), kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "repeats", "kept"])
-            frame["doc_id"] = frame.doc_id.astype("Int64")
-            yield frame
+            yield framed(out)
 
-    return _cut(documents, length, **settings).mapInPandas(run, "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, repeats boolean, kept binary")
+    found = _cut(documents, length, **settings).select("doc_id", "text", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"), "passage")
+    return found.mapInPandas(run, "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, repeats boolean, kept binary")

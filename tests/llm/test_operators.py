@@ -134,6 +134,17 @@ def test_shared_passages_equal_brute_force(spark):
     assert 0 < len(want) < 60 and ids(got) == sorted(want, key=str)
 
 
+def test_narrow_tables_of_suffix_dedup_have_few_files_whatever_the_partitions(spark):
+    """Anchors, segments and lists of some hundred rows had a file for each partition of a shuffle; several frames of a batch keep every row."""
+    rng = random.Random(40)
+    shared = sentence(rng, 200)
+    texts = [sentence(rng, 300) + shared + sentence(rng, 300) for _ in range(400)] + [None, ""]
+    rows, files = written(spark, lambda: suffix_dedup.suffix_dedup(frame(spark, texts).coalesce(1)).orderBy("doc_id").collect())
+    assert [r.doc_id for r in rows] == list(range(402)) and [r.n_bytes for r in rows] == [len(t or "") for t in texts]
+    assert all(r.repeats and r.n_removed >= len(shared) and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows[:400])
+    assert sum(n > 8 for n in files) <= 2  # bodies and spans, which hold bytes and whole suffix arrays
+
+
 def test_suffix_dedup_edges(spark, edge):
     assert ids(suffix_dedup.suffix_dedup(edge)) == ALL_IDS
     assert suffix_dedup.suffix_dedup(edge.limit(0)).count() == 0
