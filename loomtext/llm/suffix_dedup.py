@@ -33,10 +33,12 @@ K = 32
 BLOCK_BYTES = 3_000_000
 HOT = 1500
 PASSAGE = 50
-_PART = 1_000_000
+#: Bytes of text behind a frame of results, and behind arrays that a core's cache holds.
+_PART, _CACHED = 1_000_000, 60_000
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = 0x9E3779B97F4A7C15
+_SPACES = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -123,18 +125,14 @@ def anchors(text: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndar
 
 
 def _lowest(h: np.ndarray, span: int) -> np.ndarray:
-    """The place of the smallest of each ``span`` consecutive hashes, the first one of equals."""
-    low, pos, step = h, np.arange(len(h), dtype=np.int32), 1
+    """The place of the smallest of each ``span`` consecutive hashes, by their upper 32 bits, the first one of equals; fewer than 2**32 hashes."""
+    low, step = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while step * 2 <= span:
-        take = low[:-step] <= low[step:]
-        pos = np.where(take, pos[:-step], pos[step:])
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    rest = span - step
-    if rest:
-        take = low[:-rest] <= low[rest:]
-        pos = np.where(take, pos[:-rest], pos[rest:])
-    return pos
+    if rest := span - step:
+        low = np.minimum(low[:-rest], low[rest:])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _anchor_rows(texts: list[bytes], keys: np.ndarray, length: int, k: int) -> dict | None:
@@ -156,7 +154,7 @@ def _anchor_rows(texts: list[bytes], keys: np.ndarray, length: int, k: int) -> d
     p = pos[at]
     first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1))))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    lo, hi, a = at[first], at[last], p[first].astype(np.int64)
+    lo, hi, a = at[first], at[last], p[first]
     doc = np.searchsorted(ends, lo, side="right")
     digest = xxhash.xxh3_64_intdigest
     sh = np.array([digest(joined[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
@@ -170,13 +168,16 @@ _A = "dk long, ah long, sh long, a long, lo long, hi long"
 def _all_anchors(keyed: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            part, keys, size = [], [], 0
+            found, part, keys, size, done = [], [], [], 0, 0
             for dk, text in [*zip(b.dk, b.text, strict=True), (None, None)]:
                 raw = (text or "").encode() if dk is not None else b""
-                if part and (dk is None or size + len(raw) > _PART):
+                if part and (dk is None or size + len(raw) > _CACHED):
                     if (rows := _anchor_rows(part, np.array(keys, dtype=np.int64), length, k)) is not None:
-                        yield pd.DataFrame(rows)
-                    part, keys, size = [], [], 0
+                        found.append(rows)
+                    part, keys, size, done = [], [], 0, done + size
+                if found and (dk is None or done > _PART):
+                    yield pd.DataFrame({c: np.concatenate([x[c] for x in found]) for c in found[0]})
+                    found, done = [], 0
                 if dk is not None and len(raw) >= length:
                     part.append(raw)
                     keys.append(dk)
@@ -188,24 +189,40 @@ def _all_anchors(keyed: DataFrame, length: int, k: int) -> DataFrame:
 _SEG = "key long, ah long, sh long, n long, body binary, a int, dlo int, dhi int"
 
 
-def _bodies(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """The segments' bytes, cut from the texts; keyed by their anchors' hash."""
-    lists = reps.groupBy(F.col("rep.dk").alias("rep_dk")).agg(F.collect_list(F.struct("ah", "sh", "n", "rep.a", "rep.lo", "rep.hi")).alias("cuts"))
-    texts = keyed.join(saved(lists), F.col("dk") == F.col("rep_dk")).select("text", "cuts")
+def _answers(keyed: DataFrame, cuts: DataFrame, anchored: DataFrame, length: int, min_words: int) -> DataFrame:
+    """What rows asked_dk are asked for, in one pass over the texts: the bytes of their cuts (_SEG, keyed by anchor; dk is null) and the runs of words, w, at their anchors."""
+    asked = gathered(cuts.join(anchored, "asked_dk", "full"), cuts.count() + anchored.count(), 5_000)
+    texts = keyed.join(asked, F.col("dk") == F.col("asked_dk")).select("dk", "text", "cuts", "anchors").dropDuplicates(["dk"])
+    names = [x.split()[0] for x in _SEG.split(", ")] + ["dk", "w"]
+
+    def bodies(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for text, own in [*zip(b.text, b.cuts, strict=True), ("", None)]:
+            raw = text.encode()
+            for c in own if own is not None else ():
+                out.append((c["ah"], c["ah"], c["sh"], c["n"], raw[c["lo"] : c["hi"] + length], c["a"] - c["lo"], c["a"] - c["hi"], c["a"] - c["lo"]))
+                size += len(out[-1][4])
+            if size > _PART:
+                yield pd.DataFrame(out, columns=names[:-2])
+                out, size = [], 0
+        yield pd.DataFrame(out, columns=names[:-2])
+
+    def windows(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for part in _parts(b[b.anchors.notna()]):
+            of, window, anchor, _ = passage_windows([t.encode() for t in part.text], min_words + 1)
+            lists = [np.asarray(x, dtype=np.int64) for x in part.anchors]
+            asked = pd.DataFrame({"of": np.repeat(np.arange(len(lists)), [len(x) for x in lists]), "ah": np.concatenate(lists)})
+            found = pd.DataFrame({"of": of, "ah": anchor.view(np.int64), "w": window.view(np.int64)}).drop_duplicates().merge(asked, on=["of", "ah"])
+            yield pd.DataFrame({"dk": part.dk.to_numpy()[found.of], "w": found.w})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, size = [], 0
-            for text, cuts in [*zip(b.text, b.cuts, strict=True), ("", ())]:
-                raw = text.encode()
-                for c in cuts:
-                    out.append((c["ah"], c["ah"], c["sh"], c["n"], raw[c["lo"] : c["hi"] + length], c["a"] - c["lo"], c["a"] - c["hi"], c["a"] - c["lo"]))
-                    size += len(out[-1][4])
-                if size > _PART or len(cuts) == 0:
-                    yield pd.DataFrame(out, columns=["key", "ah", "sh", "n", "body", "a", "dlo", "dhi"])
-                    out, size = [], 0
+            for frames in (bodies(b), windows(b)):
+                for x in frames:
+                    if len(x):
+                        yield x.assign(**{c: None for c in names if c not in x})[names]
 
-    return texts.mapInPandas(run, _SEG)
+    return saved(texts.mapInPandas(run, _SEG + ", dk long, w long"))
 
 
 def _halves(rows: DataFrame, level_lo: int, level_hi: int, length: int) -> DataFrame:
@@ -333,14 +350,20 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + length) for p in np.split(starts, cut)]
 
 
-def removed_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK_BYTES) -> DataFrame:
-    """dk and the byte spans (s, e) to remove; spans may overlap."""
+def repeated_segments(keyed: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of anchors found more than once; their segments with count and one of the rows; asked_dk and the cuts of the segments that are to be compared."""
     rows = saved(_all_anchors(keyed, length, k))
     most = rows.count()
     again = gathered(rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("c > 1").select("ah", (F.col("x") != F.col("y")).alias("mixed")), most)
     rows = gathered(rows.join(again, "ah"), most)
     segments = gathered(rows.groupBy("ah", "sh", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("dk", "a", "lo", "hi")).alias("rep")), most)
-    bodies = saved(_bodies(keyed, segments.where("mixed"), length).withColumns({"llo": F.lit(0), "lhi": F.lit(length - k)}).dropDuplicates(["ah", "sh"]))
+    return rows, segments, gathered(segments.where("mixed").groupBy(F.col("rep.dk").alias("asked_dk")).agg(F.collect_list(F.struct("ah", "sh", "n", "rep.a", "rep.lo", "rep.hi")).alias("cuts")), most)
+
+
+def removed_spans(rows: DataFrame, segments: DataFrame, bodies: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK_BYTES) -> DataFrame:
+    """dk and the byte spans (s, e) to remove; spans may overlap."""
+    most = rows.count()
+    bodies = bodies.withColumns({"llo": F.lit(0), "lhi": F.lit(length - k)})
 
     cold, counted = [], []
     while True:
@@ -388,15 +411,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _MULT and of its inverse, modulo 2**64."""
+    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n - 1, m, dtype=np.uint64)))) for m in (_MULT, pow(_MULT, -1, 2**64)))
+
+
+_POWERS = _powers(2 * _CACHED)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words (between ASCII white space) of each text, and all words' hashes: polynomials taken from sums over all bytes before."""
+    joined = b" " + b" ".join(texts) + b" "
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACES[raw].view(np.int8))) + 1
+    start, end = edges[::2], edges[1::2]
+    up, down = _POWERS if len(raw) <= len(_POWERS[0]) else _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    h = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > 500).tolist():  # where a polynomial modulo 2**64 has known collisions
+        h[i] = xxhash.xxh3_64_intdigest(joined[start[i] : end[i]])
+    begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return np.diff(np.searchsorted(start, begin)), h
+
+
 def passage_windows(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all runs of ``words`` words (between ASCII white space) within a text: the text's number, the run's hash, and hash and place of its anchor, its smallest gram of a fourth as many words."""
-    lists = [t.split() for t in texts]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    code, distinct = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-    if len(code) < words:
+    sizes, h = word_hashes(texts)
+    if len(h) < words:
         none = np.zeros(0, dtype=np.int64)
         return none, none.view(np.uint64), none.view(np.uint64), none
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))[code]
     power, step, k = np.uint64(_MULT), 1, max(1, words // 4)
     grams = {}
 
@@ -423,54 +467,62 @@ def passage_windows(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(ends, at, side="right"), window[at], low[place], place
 
 
-def repeated_passages(keyed: DataFrame, min_words: int = PASSAGE) -> DataFrame:
-    """passage_dk: the rows that share a run of min_words + 1 words with a row of another id or text, whatever its length in bytes and the white space between.
+def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    if len(b):
+        for _, part in b.groupby(b.text.str.len().cumsum() // _CACHED):
+            yield part
 
-    Equal runs have equal anchors. Rows that share all neighbouring runs of an anchor (a segment) are told by one hash; runs are
-    compared one by one only for anchors of rows that share no whole segment. Hashes have 64 bits.
-    """
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            size = b.text.str.len().cumsum() // _PART
-            for _, part in b.groupby(size):
-                yield part
+def shared_segments(keyed: DataFrame, min_words: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """dk of the rows that share all neighbouring runs of an anchor (a segment) with another row, told by one hash; asked_dk and the anchors to compare run by run, those of rows that share no whole segment."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts(batches):
-            of, window, anchor, place = passage_windows([t.encode() for t in part.text], min_words + 1)
-            first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
-            last = np.append(first[1:], len(of)) - 1 if len(of) else first
-            segment = _mixed(window[first] * np.uint64(_MULT) + window[last]) + (last - first).astype(np.uint64)
-            yield pd.DataFrame({"dk": part.dk.to_numpy()[of[first]], "ah": anchor[first].view(np.int64), "sh": segment.view(np.int64)}).drop_duplicates()
-
-    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts(batches):
-            of, window, anchor, _ = passage_windows([t.encode() for t in part.text], min_words + 1)
-            lists = [np.asarray(x, dtype=np.int64) for x in part.anchors]
-            asked = pd.DataFrame({"of": np.repeat(np.arange(len(lists)), [len(x) for x in lists]), "ah": np.concatenate(lists)})
-            found = pd.DataFrame({"of": of, "ah": anchor.view(np.int64), "w": window.view(np.int64)}).drop_duplicates().merge(asked, on=["of", "ah"])
-            yield pd.DataFrame({"dk": part.dk.to_numpy()[found.of], "w": found.w})
-
-    def several(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min("dk").alias("x"), F.max("dk").alias("y")).where("x <> y").select(*by)
-
-    texts = keyed.where(F.octet_length("text") > 2 * min_words).select("dk", "text")
-    rows = saved(texts.mapInPandas(ask, "dk long, ah long, sh long"))
+        for b in batches:
+            out = []
+            for part in _parts(b):
+                of, window, anchor, place = passage_windows([t.encode() for t in part.text], min_words + 1)
+                first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])))) if len(of) else np.zeros(0, dtype=np.int64)
+                last = np.append(first[1:], len(of)) - 1 if len(of) else first
+                segment = _mixed(window[first] * np.uint64(_MULT) + window[last]) + (last - first).astype(np.uint64)
+                out.append(pd.DataFrame({"dk": part.dk.to_numpy()[of[first]], "ah": anchor[first].view(np.int64), "sh": segment.view(np.int64)}))
+            if out:
+                yield pd.concat(out).drop_duplicates()
+
+    rows = saved(keyed.where(F.octet_length("text") > 2 * min_words).select("dk", "text").mapInPandas(ask, "dk long, ah long, sh long"))
     most = rows.count()
-    rows = gathered(rows.join(several(rows, "ah"), "ah", "left_semi"), most)
-    told = gathered(rows.join(several(rows, "ah", "sh"), ["ah", "sh"], "left_semi").select("dk").distinct(), most)
+    rows = gathered(rows.join(_several(rows, "ah"), "ah", "left_semi"), most)
+    told = gathered(rows.join(_several(rows, "ah", "sh"), ["ah", "sh"], "left_semi").select("dk").distinct(), most)
     unsure = gathered(rows.join(told, "dk", "left_anti").select("ah").distinct(), most)
     reps = rows.join(sized(unsure), "ah", "left_semi").groupBy("ah", "sh").agg(F.min("dk").alias("asked_dk"))
-    lists = gathered(reps.groupBy("asked_dk").agg(F.collect_set("ah").alias("anchors")), most)
-    windows = saved(texts.join(sized(lists, 20_000), F.col("dk") == F.col("asked_dk")).select("dk", "text", "anchors").mapInPandas(tell, "dk long, w long"))
-    return told.union(windows.join(several(windows, "w"), "w", "left_semi").select("dk")).distinct().withColumnRenamed("dk", "passage_dk")
+    return told, gathered(reps.groupBy("asked_dk").agg(F.collect_set("ah").alias("anchors")), most)
+
+
+def _several(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.min("dk").alias("x"), F.max("dk").alias("y")).where("x <> y").select(*by)
+
+
+def _passages(told: DataFrame, windows: DataFrame) -> DataFrame:
+    return told.union(windows.join(_several(windows, "w"), "w", "left_semi").select("dk")).distinct().withColumnRenamed("dk", "passage_dk")
+
+
+def repeated_passages(keyed: DataFrame, min_words: int = PASSAGE) -> DataFrame:
+    """passage_dk: the rows that share a run of min_words + 1 words with a row of another id or text, whatever its length in bytes and the white space between.
+
+    Equal runs have equal anchors. Runs are compared one by one only for anchors of rows that share no whole segment. Hashes have 64 bits.
+    """
+    told, anchored = shared_segments(keyed, min_words)
+    none = keyed.sparkSession.createDataFrame([], "asked_dk long, cuts array<struct<ah:long,sh:long,n:long,a:long,lo:long,hi:long>>")
+    return _passages(told, _answers(keyed, none, anchored, LENGTH, min_words).where("w is not null").select("dk", "w"))
 
 
-def _cut(documents: DataFrame, length: int, **settings) -> DataFrame:
+def _cut(documents: DataFrame, length: int, k: int = K, **settings) -> DataFrame:
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
-    lists = removed_spans(keyed, length, **settings).groupBy(F.col("dk").alias("span_dk")).agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    found = keyed.join(lists, F.col("dk") == F.col("span_dk"), "left").join(repeated_passages(keyed), F.col("dk") == F.col("passage_dk"), "left")
+    rows, segments, cuts = repeated_segments(keyed, length, k)
+    told, anchored = shared_segments(keyed)
+    answers = _answers(keyed, cuts, anchored, length, PASSAGE)
+    bodies, windows = answers.where("w is null").drop("dk", "w"), answers.where("w is not null").select("dk", "w")
+    lists = removed_spans(rows, segments, bodies, length, k, **settings).groupBy(F.col("dk").alias("span_dk")).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    found = keyed.join(lists, F.col("dk") == F.col("span_dk"), "left").join(_passages(told, windows), F.col("dk") == F.col("passage_dk"), "left")
     return found.select("doc_id", "text", "spans", F.col("passage_dk").isNotNull().alias("passage"))
 
 

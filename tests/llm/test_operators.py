@@ -18,7 +18,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontam, hard_negatives, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
+from loomtext.llm import common, decontam, hard_negatives, html_text, langid, line_dedup, lm_score, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_count
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,6 +145,46 @@ def test_narrow_tables_of_suffix_dedup_have_few_files_whatever_the_partitions(sp
     assert sum(n > 8 for n in files) <= 2  # bodies and spans, which hold bytes and whole suffix arrays
 
 
+def test_suffix_dedup_joins_texts_once_for_all_it_asks_of_them(spark, monkeypatch):
+    """Segments' bytes and runs of words were asked for by two joins with the texts, the second one in a shuffle on large tables alone, so that disk outgrew the input."""
+    plans = []
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.saved(df))
+    rng = random.Random(23)
+    shared, passage = sentence(rng, 90), " ".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = [f"{sentence(rng, 70)} {shared} {sentence(rng, 9)}", f"{sentence(rng, 80)} {shared}", f"x {passage} y", f"{sentence(rng, 30)} {passage[8:]}", None, ""]
+    twice = (1, texts[1])  # a row that stands twice with its id
+    rows = suffix_dedup.suffix_dedup(frame(spark, [*texts, twice])).orderBy("doc_id").collect()
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
+    assert got == sorted(brute_repeats([*texts, texts[1]], 400)) and [r.repeats for r in rows] == [True] * 5 + [False] * 2
+    assert sum("Join" in p and "text#" in p for p in plans) == 1
+
+
+def test_words_of_bytes_have_hashes_by_their_content():
+    rng = random.Random(77)
+    texts = ["".join(rng.choice(["a", "b", "é", "中", " ", "\n", "\v", "\x85", "\u00a0", "\t "]) for _ in range(rng.randint(0, 60))).encode() for _ in range(300)] + [b"", b" ", b"z" * 700, b"z" * 700 + b" ", b"a" * 200_000]
+    sizes, h = suffix_dedup.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts] and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    of, window, anchor, _ = suffix_dedup.passage_windows(texts, 5)
+    runs = [(n, tuple(w[i : i + 5])) for n, w in enumerate(map(bytes.split, texts)) for i in range(len(w) - 4)]
+    assert of.tolist() == [n for n, _ in runs]
+    distinct = {r for _, r in runs}
+    assert len({(r, w, a) for (_, r), w, a in zip(runs, window.tolist(), anchor.tolist(), strict=True)}) == len(distinct) == len(set(window.tolist()))
+
+
+def test_equal_windows_have_equal_anchors_wherever_they_stand():
+    rng = random.Random(32)
+    window = "".join(rng.choice("ab") for _ in range(600)).encode()
+    places = set()
+    for lead in (0, 1, 999, 70_000):
+        text = "".join(rng.choice("ab") for _ in range(lead)).encode() + window + b"tail" * rng.randint(0, 9)
+        pos, h = suffix_dedup.anchors(np.frombuffer(text, dtype=np.uint8))
+        at = pos[lead : lead + 201]
+        assert all(i <= p <= i + 368 for i, p in zip(range(lead, lead + 201), at.tolist(), strict=True))
+        places.add((*(at - lead).tolist(), *h[at].tolist()))
+    assert len(places) == 1
+
+
 def test_suffix_dedup_edges(spark, edge):
     assert ids(suffix_dedup.suffix_dedup(edge)) == ALL_IDS
     assert suffix_dedup.suffix_dedup(edge.limit(0)).count() == 0
