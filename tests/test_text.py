@@ -83,6 +83,26 @@ def test_single_words(spark):
     assert one(spark, "other", f) == ["o", "the", "r"]
 
 
+def test_single_words_at_the_start_and_by_the_thousand(spark):
+    def plain(parts: list[str]) -> list[str]:
+        out, glue = [], False
+        for x in parts:
+            onto_left = x == "the" and bool(out) and out[-1].endswith(" ")
+            if onto_left or (glue and x.startswith(" ")):
+                out[-1] += x
+            else:
+                out.append(x)
+            glue = x == "the" and not onto_left
+        return out
+
+    rng = random.Random(3)
+    texts = ["the", "the end", "thethe the the", "  the", "", None, "the x " * 5000, *("".join(rng.choices(["the", " ", "x", "the ", " y "], k=40)) for _ in range(300))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", "t", T.split_added(F.col("t"), ["the"]).alias("p"))
+    rows = df.select("t", T.rejoin_single_words(F.col("p"), ["the"]).alias("got")).collect()
+    for t, got in rows:
+        assert got == (None if t is None else plain([x for x in re.split("(the)", t) if x]))
+
+
 def test_protected_lower(spark):
     assert one(spark, "AB <S> Cd", lambda c: T.protected_lower(c, ["<S>"])) == "ab <S> cd"
 
