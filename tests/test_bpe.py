@@ -155,3 +155,14 @@ def test_pairs(spark):
 def test_add_tokens():
     added, n = vocab.add_tokens(VOCAB, [], ["new1", "low</w>", "", "new1", "NEW2"], lower=True)
     assert n == 2 and {t.content: t.id for t in added} == {"new1": 23, "low</w>": 15, "new2": 24}
+
+
+def test_stretches_of_a_batch_give_what_the_whole_batch_gives(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, None if i % 11 == 0 else ["".join(rng.choices("then ", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 12))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    ranks = {m: r for r, m in enumerate(small_merges())}
+    made = lambda: [(r.t, r.n) for r in df.select("i", bpe.merged_words(F.col("w"), ranks, raw=True).alias("t"), bpe.merged_words(F.col("w"), ranks, vocab=public_vocabulary()[0], raw=True).alias("n")).orderBy("i").collect()]
+    whole = made()
+    monkeypatch.setattr(bpe, "STRETCH", 5)
+    assert made() == whole and whole[0] == (None, None) and sum(len(t) for t, _ in whole if t) > 200

@@ -177,6 +177,25 @@ def test_greedy_plan_equals_greedy_search(spark):
         assert got == {k: greedy(ids, t, 6, eos) for k, ids in p.items()}
 
 
+def test_greedy_plan_recurs_over_last_ids_whatever_the_number_of_prompts(spark):
+    rng = random.Random(6)
+    table = {(a, b): rng.randrange(1, 9) for a in range(5) for b in range(5)}
+    f = spark.createDataFrame([(a, b, float(n)) for (a, b), n in table.items()], "prev int, token_id int, score double")
+    best = {a: min(range(5), key=lambda b: (-table[a, b], b)) for a in range(5)}
+    p = spark.range(3000).selectExpr("cast(id as string) as seq_id", "array(9, cast(id % 5 as int)) as ids", "2 as prompt_len", "false as done")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        got = {r.seq_id: list(r.ids) for r in L.greedy_plan(p, f, GenerationConfig(max_new_tokens=6)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == 3000
+    for i in range(3000):
+        want = [9, i % 5]
+        for _ in range(6):
+            want.append(best[want[-1]])
+        assert got[str(i)] == want
+
+
 def test_contrastive_search_equals_brute_force(spark):
     t, p = table(11), prompts(12)
     rng = random.Random(13)
