@@ -334,3 +334,25 @@ def test_offsets_equal_the_library(spark):
         for x, y in zip(r.at, r.cut or [], strict=True):
             own = text[x.start : x.end]
             assert text[y.start : y.end] == (own.lstrip() or own), text
+
+
+def test_text_added_by_each_token_joins_to_the_text_in_one_pass(spark):
+    import time
+
+    from loomtext.operators.offsets import added_text
+
+    rng = random.Random(23)
+    rows = [(0, "", []), (1, None, None), (2, "ab", [(0, 1)]), (3, "\u4e2d\U0001f600x", [(0, 1), (0, 1), (1, 2), (1, 3)]), (4, "tail", [(0, 4)]), (5, "none", [])]
+    for i in range(6, 60):
+        text = "".join(rng.choices("ab \u00e9\u4e2d\U0001f680", k=rng.randint(1, 30)))
+        rows.append((i, text, [(0, e) for e in sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 9)))]))
+    long = "abc\u00e9 " * 60_000
+    rows.append((60, long, [(k, k + 1) for k in range(len(long))]))
+    df = spark.createDataFrame(rows, "i int, t string, at array<struct<start:int,end:int>>").coalesce(1)
+    df.select(added_text("t", "at")).limit(1).collect()
+    began = time.monotonic()
+    got = {r.i: r.p for r in df.select("i", added_text("t", "at").alias("p")).collect()}
+    assert time.monotonic() - began < 60  # a search for each place from the text's start takes minutes
+    for i, text, at in rows:
+        ends = [0, *(e for _, e in at or [])]
+        assert got[i] == [text[a:b] for a, b in zip(ends, ends[1:]) if b > a], i
