@@ -7,7 +7,6 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -81,19 +80,31 @@ def run_text(tokens: Sequence[str], family: Family) -> str:
     return text.strip(" ") if family == Family.WORD_END else text.removeprefix(" ") if family == Family.PIECES else text
 
 
-def runs_text(tokens: Column, family: Family, added: Sequence[str], spaces_between: bool = True) -> Column:
-    """Runs of model tokens are detokenized together, added tokens stand alone."""
+def runs_text(rows: Column, family: Family, added: Sequence[str], spaces_between: bool = True, vocab: dict[str, int] | None = None, skip: Sequence[int] = ()) -> Column:
+    """Runs of model tokens are detokenized together, added tokens stand alone. rows: arrays of tokens, or with a vocabulary of their ids, of which those in
+    skip are left out and a missing one is an error. A worker holds one row's tokens at a time, beside the batch's ids and texts."""
     alone, blank = frozenset(added), " " if spaces_between else ""
+    names, left_out = None if vocab is None else {i: t for t, i in vocab.items()}, frozenset(skip)
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            parts = [p for is_added, ts in itertools.groupby(row, alone.__contains__) for p in (ts if is_added else [run_text(list(ts), family)])]
-            out.append(blank.join(p for p in parts if p))
-        return pd.Series(out, dtype=object)
+    def tokens_of_row(row: pa.Array) -> list[str]:
+        if names is None:
+            return row.to_pylist()
+        try:
+            return [names[i] for i in row.to_numpy(zero_copy_only=False).tolist() if i not in left_out]
+        except KeyError as e:
+            raise ValueError(f"no token has id {e.args[0]}") from None
 
-    return run(tokens)
+    def text(row: list[str]) -> str:
+        parts = [p for is_added, ts in itertools.groupby(row, alone.__contains__) for p in (ts if is_added else [run_text(list(ts), family)])]
+        return blank.join(p for p in parts if p)
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        values, n = batch.flatten(), pc.list_value_length(batch).to_pylist()
+        ends = itertools.accumulate(n)
+        return pa.array((text(tokens_of_row(values.slice(end - k, k))) for end, k in zip(ends, n, strict=True)), pa.string(), size=len(batch))
+
+    return run(rows)
 
 
 def decode(
@@ -104,6 +115,9 @@ def decode(
     if isinstance(vocab, dict) and not added and family in (Family.BYTE_LEVEL, Family.WORD_END, Family.PIECES):
         text = text_of(F.col(ids), vocab, family, skip_ids)
         return df.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))
+    if isinstance(vocab, dict) and added:
+        text = runs_text(F.coalesce(ids, F.array()).cast("array<int>"), family, added, spaces_between, vocab, skip_ids)
+        return df.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))
     tokens = id_tokens(df, key, ids, vocab, skip_ids)
     text = runs_text(F.col("tokens"), family, added, spaces_between) if added else tokens_text(F.col("tokens"), family)
     return tokens.select(*key, (cleanup_spaces(text) if clean_up else text).alias("text"))

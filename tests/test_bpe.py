@@ -166,3 +166,14 @@ def test_stretches_of_a_batch_give_what_the_whole_batch_gives(spark, monkeypatch
     whole = made()
     monkeypatch.setattr(bpe, "STRETCH", 5)
     assert made() == whole and whole[0] == (None, None) and sum(len(t) for t, _ in whole if t) > 200
+
+
+def test_runs_between_added_tokens_are_decoded_from_ids(spark):
+    v = {"a": 0, "b</w>": 1, "<s>": 2, "</s>": 3, "x": 5}
+    df = spark.createDataFrame([(0, [2, 0, 1, 0, 3, 5]), (1, []), (2, None), (3, [2, 3]), (4, [5, 5, 2])], "i int, ids array<int>")
+    got = lambda **o: [r.text for r in decode.decode(df, ["i"], "ids", v, added=("<s>", "</s>"), **o).orderBy("i").collect()]
+    assert got(family=Family.PLAIN) == ["<s> a b</w> a </s> x", "", "", "<s> </s>", "x x <s>"]
+    assert got(family=Family.WORD_END, skip_ids=[3]) == ["<s> ab ax", "", "", "<s>", "xx <s>"]
+    assert "EvalPython" in (plan := decode.decode(df, ["i"], "ids", v, Family.PLAIN, added=("<s>",))._jdf.queryExecution().executedPlan().toString()) and "array<string>" not in plan
+    with pytest.raises(Exception, match="no token has id 7"):
+        decode.decode(spark.createDataFrame([(0, [2, 7])], "i int, ids array<int>"), ["i"], "ids", v, Family.PLAIN, added=("<s>",)).collect()
