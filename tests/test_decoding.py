@@ -374,3 +374,17 @@ def test_beams_leave_the_prompt_where_it_is_and_equal_those_scored_as_rows(spark
         got = run(G.bigram_scorer(f), lambda df: watched(saved(df)))
         assert longest and max(longest) <= 1 + 3
         assert got == run(lambda st: G.bigram_scorer(f)(st), saved)
+
+
+def test_lookup_scores_each_last_id_once(spark):
+    t, p = table(33), prompts(34)
+    f, calls = frame(spark, t), []
+    inner = G.bigram_scorer(f)
+
+    def counted(st):
+        calls.append(1)
+        return inner(st)
+
+    counted.last_ids, counted.small = inner.last_ids, False
+    got = {r.seq_id: r.ids for r in L.prompt_lookup(states(spark, p), counted, GenerationConfig(max_new_tokens=5, prompt_lookup_num_tokens=3), save=saved).collect()}
+    assert got == {k: greedy(ids, t, 5) for k, ids in p.items()} and len(calls) == 1
