@@ -95,3 +95,23 @@ def test_batches_fill_over_micro_batches_and_restarts(spark, tmp_path):
         longest = max(map(len, ids.values()))
         assert len(batch) <= 4 and all(batch[k] == (x + [-1] * (longest - len(x)), [1] * len(x) + [0] * (longest - len(x))) for k, x in ids.items())
     assert sum(len(b) == 4 for b in got.values()) >= 6 and (9, 0) not in got
+
+
+def test_batches_of_a_lane_leave_a_few_at_a_time(spark):
+    import pandas as pd
+
+    class Plan:
+        select = withWatermark = groupBy = lambda self, *a: self
+        applyInPandasWithState = lambda self, f, *a: f
+
+    class State:
+        exists = hasTimedOut = False
+        update = setTimeoutTimestamp = lambda self, x: setattr(self, "last", x)
+        getCurrentWatermarkMs = lambda self: 0
+
+    n = 5000
+    part = pd.DataFrame({"lane_": 0, "row_": [f"{i:05d}" for i in range(n)], "ids_": [[i % 7] * (i % 5) for i in range(n)], "time_": pd.to_datetime(list(range(n))[::-1], unit="s")})
+    fill = batch_stream(Plan(), F.lit(0), "row", "ids", "time", 16)
+    frames = list(fill((0,), iter([part]), State()))
+    assert max(map(len, frames)) <= 1040 and sum(map(len, frames)) == n // 16 * 16
+    assert [r for f in frames for r in f["row"]] == [f"{i:05d}" for i in range(n)][::-1][: n // 16 * 16]
